@@ -118,8 +118,8 @@ def repeated_keys(rows: pa.Table) -> pa.Table:
     twice = (n + np.bincount(back, many, len(n)) > 1)[back]
     key, owner = key[twice], owner[twice]
     cut = np.searchsorted(owner, np.arange(len(sent) + 1))
-    keep = [i for i in range(len(sent)) if cut[i] < cut[i + 1]]
-    return pa.table([rows.column("chunk").take(keep), rows.column("bucket").take(keep), [key[cut[i] : cut[i + 1]].tobytes() for i in keep], pa.array([b""] * len(keep), pa.binary())], schema=_ANSWER_ARROW)
+    keep = pa.array(np.flatnonzero(np.diff(cut)))
+    return pa.table([rows.column("chunk").take(keep), rows.column("bucket").take(keep), [key[cut[i] : cut[i + 1]].tobytes() for i in keep.to_pylist()], pa.array([b""] * len(keep), pa.binary())], schema=_ANSWER_ARROW)
 
 
 def second_level(chunk: pa.Table, answers: pa.Table, window: int, bits: int) -> pa.Table:
@@ -176,8 +176,8 @@ def smallest_ids(rows: pa.Table) -> pa.Table:
     need = other | (least < doc)
     key, least, owner = key[need], least[need], owner[need]
     cut = np.searchsorted(owner, np.arange(len(keys) + 1))
-    keep = [i for i in range(len(keys)) if cut[i] < cut[i + 1]]
-    return pa.table([rows.column("chunk").take(keep), rows.column("bucket").take(keep), [key[cut[i] : cut[i + 1]].tobytes() for i in keep], [least[cut[i] : cut[i + 1]].tobytes() for i in keep]], schema=_ANSWER_ARROW)
+    keep = pa.array(np.flatnonzero(np.diff(cut)))
+    return pa.table([rows.column("chunk").take(keep), rows.column("bucket").take(keep), [key[cut[i] : cut[i + 1]].tobytes() for i in keep.to_pylist()], [least[cut[i] : cut[i + 1]].tobytes() for i in keep.to_pylist()]], schema=_ANSWER_ARROW)
 
 
 def removed_words(chunk: pa.Table, answers: pa.Table, window: int):
