@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import simhash, substring_dedup
 
 QUERIES = {
+    "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
 }
 ORACLE_SQL = {
