@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import packing, simhash, substring_dedup
+from . import packing, simhash, substring_dedup, toxicity
 
 QUERIES = {
+    "op3_toxicity": toxicity.op3_toxicity,
     "op6_packing": packing.op6_packing,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
