@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import packing, simhash, substring_dedup, toxicity
+from . import decontamination, packing, simhash, substring_dedup, toxicity
 
 QUERIES = {
+    "op8_decontamination": decontamination.op8_decontamination,
     "op3_toxicity": toxicity.op3_toxicity,
     "op6_packing": packing.op6_packing,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
 }
 ORACLE_SQL = {
+    "op8_decontamination": decontamination.ORACLE_SQL,
     "op7_substring_dedup": substring_dedup.ORACLE_SQL,
 }
