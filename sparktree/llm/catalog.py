@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, simhash, substring_dedup, toxicity
+from . import decontamination, packing, simhash, substring_dedup, toxicity, url_filters
 
 QUERIES = {
+    "op2_url_filters": url_filters.op2_url_filters,
     "op8_decontamination": decontamination.op8_decontamination,
     "op3_toxicity": toxicity.op3_toxicity,
     "op6_packing": packing.op6_packing,
@@ -12,6 +13,7 @@ QUERIES = {
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
 }
 ORACLE_SQL = {
+    "op2_url_filters": url_filters.ORACLE_SQL,
     "op8_decontamination": decontamination.ORACLE_SQL,
     "op7_substring_dedup": substring_dedup.ORACLE_SQL,
 }
