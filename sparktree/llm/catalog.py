@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, simhash, substring_dedup, toxicity, url_filters
+from . import decontamination, packing, simhash, substring_dedup, toxicity, url_filters, warc
 
 QUERIES = {
+    "op10_warc": warc.op10_warc,
     "op2_url_filters": url_filters.op2_url_filters,
     "op8_decontamination": decontamination.op8_decontamination,
     "op3_toxicity": toxicity.op3_toxicity,
@@ -13,6 +14,7 @@ QUERIES = {
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
 }
 ORACLE_SQL = {
+    "op10_warc": warc.ORACLE_SQL,
     "op2_url_filters": url_filters.ORACLE_SQL,
     "op8_decontamination": decontamination.ORACLE_SQL,
     "op7_substring_dedup": substring_dedup.ORACLE_SQL,
