@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, simhash, substring_dedup, toxicity, url_filters, warc
+from . import decontamination, language_id, packing, simhash, substring_dedup, toxicity, url_filters, warc
 
 QUERIES = {
+    "op5_language_id": language_id.op5_language_id,
     "op10_warc": warc.op10_warc,
     "op2_url_filters": url_filters.op2_url_filters,
     "op8_decontamination": decontamination.op8_decontamination,
