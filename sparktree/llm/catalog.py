@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, importance_resampling, language_id, packing, simhash, substring_dedup, toxicity, url_filters, warc
+from . import decontamination, importance_resampling, language_id, multi_index, packing, simhash, substring_dedup, toxicity, url_filters, warc
 
 QUERIES = {
+    "op9_nearest_neighbours": multi_index.op9_nearest_neighbours,
     "op1_quality_classifier": importance_resampling.op1_quality_classifier,
     "op5_language_id": language_id.op5_language_id,
     "op10_warc": warc.op10_warc,
