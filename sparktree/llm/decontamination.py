@@ -65,7 +65,9 @@ def sketches(own: DataFrame, threshold: float) -> DataFrame:
     least = own.withColumn("rank", rank).where(F.col("rank") <= SKETCH)
     by_size = F.floor(F.log2("n")).cast("int")
     need = F.greatest(F.floor(F.least("n", F.lit(SKETCH)) * (threshold / 4)), F.lit(1))
-    return least.withColumn("size", by_size).withColumn("bound", F.max("hash").over(W.partitionBy("size"))).select("item_id", "hash", need.cast("int").alias("need"), "bound")
+    sized_rows = least.withColumn("size", by_size)
+    bounds = F.broadcast(sized_rows.groupBy("size").agg(F.max("hash").alias("bound")))  # a row for each power of two
+    return sized_rows.join(bounds, "size").select("item_id", "hash", need.cast("int").alias("need"), "bound")
 
 
 def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
