@@ -28,12 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import slices, table, tidied
 
 #: Open windows of a task beyond which they are joined.
 OPEN = 2048
 #: Words that a worker remembers the ids of.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 SPECIAL = "<|endoftext|>"
 
 
@@ -182,7 +182,7 @@ def pack_documents(docs: DataFrame, window: int = 2048, end_id: int = 1, id_col:
         yield rows()
 
     ddl = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ddl)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidied(run), ddl)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

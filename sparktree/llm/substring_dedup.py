@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, binary, bucketed, materialize, ranges, release_shuffles, shuffle_partitions, slices, table, text_bytes
+from .common import Words, binary, bucketed, materialize, ranges, release_shuffles, shuffle_partitions, slices, table, text_bytes, tidy
 
 CHUNK_BYTES = 8 << 20
 #: Words of text for each hash range.
@@ -74,6 +74,16 @@ def by_range(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.
     return bucket[lo] if len(hashes) else np.zeros(0, np.int64), lo, np.append(cut, len(hashes))
 
 
+def tidied(run):
+    def wrapped(*tables):
+        try:
+            return run(*tables)
+        finally:
+            tidy()
+
+    return wrapped
+
+
 def first_level(chunk: pa.Table, window: int, bits: int) -> pa.Table:
     """The chunk's half-length keys: 32 bits beyond the range bits, then one byte that
     tells whether two documents of this chunk hold it."""
@@ -252,10 +262,10 @@ def _passes(spark: SparkSession, docs: DataFrame, window: int, n_bytes: int) ->
     chunked = bucketed(hot_free, "chunks", chunks, "chunk")
     release_shuffles(spark)
     own = chunked.where("id IS NOT NULL").select("id", "text", "chunk")
-    sent = own.groupBy("chunk").applyInArrow(lambda t: first_level(t, window, bits), _SENT)
+    sent = own.groupBy("chunk").applyInArrow(tidied(lambda t: first_level(t, window, bits)), _SENT)
     keys = materialize(sent.groupBy("bucket").applyInArrow(repeated_keys, _ANSWER), "keys")
     release_shuffles(spark)
-    sent = own.groupBy("chunk").cogroup(keys.groupBy("chunk")).applyInArrow(lambda t, a: second_level(t, a, window, bits), _SENT)
+    sent = own.groupBy("chunk").cogroup(keys.groupBy("chunk")).applyInArrow(tidied(lambda t, a: second_level(t, a, window, bits)), _SENT)
     answers = materialize(sent.groupBy("bucket").applyInArrow(smallest_ids, _ANSWER), "windows")
     release_shuffles(spark)
     return chunked, answers
@@ -276,7 +286,7 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, window: int = 50, id_
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), *place)
     chunked, answers = _passes(spark, plain, window, text_bytes(plain, "text"))
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in chunked.schema])
-    cut = chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda t, a: cut_text(t, a, window), schema)
+    cut = chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(tidied(lambda t, a: cut_text(t, a, window)), schema)
     return cut.select(*(F.col("text" if n == text_col else o).alias(n) for n, o in zip(names, own)))
 
 
