@@ -74,14 +74,12 @@ def by_range(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.
     return bucket[lo] if len(hashes) else np.zeros(0, np.int64), lo, np.append(cut, len(hashes))
 
 
-def tidied(run):
-    def wrapped(*tables):
-        try:
-            return run(*tables)
-        finally:
-            tidy()
-
-    return wrapped
+def tidied(run, *given):
+    """run(*given), leaving no free memory behind."""
+    try:
+        return run(*given)
+    finally:
+        tidy()
 
 
 def first_level(chunk: pa.Table, window: int, bits: int) -> pa.Table:
@@ -262,10 +260,10 @@ def _passes(spark: SparkSession, docs: DataFrame, window: int, n_bytes: int) ->
     chunked = bucketed(hot_free, "chunks", chunks, "chunk")
     release_shuffles(spark)
     own = chunked.where("id IS NOT NULL").select("id", "text", "chunk")
-    sent = own.groupBy("chunk").applyInArrow(tidied(lambda t: first_level(t, window, bits)), _SENT)
+    sent = own.groupBy("chunk").applyInArrow(lambda t: tidied(first_level, t, window, bits), _SENT)
     keys = materialize(sent.groupBy("bucket").applyInArrow(repeated_keys, _ANSWER), "keys")
     release_shuffles(spark)
-    sent = own.groupBy("chunk").cogroup(keys.groupBy("chunk")).applyInArrow(tidied(lambda t, a: second_level(t, a, window, bits)), _SENT)
+    sent = own.groupBy("chunk").cogroup(keys.groupBy("chunk")).applyInArrow(lambda t, a: tidied(second_level, t, a, window, bits), _SENT)
     answers = materialize(sent.groupBy("bucket").applyInArrow(smallest_ids, _ANSWER), "windows")
     release_shuffles(spark)
     return chunked, answers
@@ -275,7 +273,7 @@ def substring_digests(spark: SparkSession, docs: DataFrame, window: int = 13, id
     """doc_id, n_words, n_removed, kept_sha256 of every row of ``docs``."""
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     chunked, answers = _passes(spark, plain, window, text_bytes(plain, "text"))
-    return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda t, a: digest(t, a, window) if t.num_rows else pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]).empty_table(), _DIGEST)
+    return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda t, a: tidied(digest, t, a, window) if t.num_rows else pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]).empty_table(), _DIGEST)
 
 
 def dedup_substrings(spark: SparkSession, docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,7 +284,7 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, window: int = 50, id_
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), *place)
     chunked, answers = _passes(spark, plain, window, text_bytes(plain, "text"))
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in chunked.schema])
-    cut = chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(tidied(lambda t, a: cut_text(t, a, window)), schema)
+    cut = chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda t, a: tidied(cut_text, t, a, window), schema)
     return cut.select(*(F.col("text" if n == text_col else o).alias(n) for n, o in zip(names, own)))
 
 
