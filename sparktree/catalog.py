@@ -1,6 +1,579 @@
-"""Queries of the spatial engine, with their SQL twins."""
+"""Queries of the spatial engine, with their SQL twins for DuckDB."""
 
 from __future__ import annotations
 
+import math
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import arrays
+from .functions.geometry import CUBE_MARGIN, FOUR_THIRDS_SQRT, r6
+from .operators import balance, gravity, integrate, joins, partitioning, sph, traverse, tree, universe
+from .sources.adapters import SQL_VIEWS, from_embeddings, from_events, from_parts, table
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+FLAGSHIP = "gravity_quadrupole"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: r6(F.col(c), digits) for c in columns})
+
+
+# SQL fragments
+
+BOX = ", ".join(f"min({d}) AS {d}0, max({d}) AS {d}1" for d in "xyz")
+MOM = [a + b for i, a in enumerate("xyz") for b in "xyz"[i:]]
+V2 = "(vx * vx + vy * vy + vz * vz)"
+
+
+def rnd(what: str, name: str, digits: int = 6) -> str:
+    return f"round({what}, {digits}) + 0e0 AS {name}"
+
+
+def sql_key(view: str) -> str:
+    """CTEs p (rows) and k (rows with key)."""
+    cell = {d: f"greatest(least(CAST(floor(({d} - lo_{d}) / side * 1048576e0) AS BIGINT), 1048575), 0)" for d in "xyz"}
+    key = " + ".join(f"((i{d} >> {b}) & 1) * {1 << (3 * b + s)}" for d, s in (("x", 2), ("y", 1), ("z", 0)) for b in range(20))
+    return f"""
+p AS ({SQL_VIEWS[view]}),
+bx AS (SELECT {BOX} FROM p),
+sd AS (SELECT *, CASE WHEN greatest(x1 - x0, y1 - y0, z1 - z0) > 0 THEN greatest(x1 - x0, y1 - y0, z1 - z0) * {1.0 + CUBE_MARGIN!r}e0 ELSE 1e0 END AS side FROM bx),
+cu AS (SELECT side, {", ".join(f"({d}0 + {d}1) / 2e0 - side / 2e0 AS lo_{d}" for d in "xyz")} FROM sd),
+ci AS (SELECT p.*, {", ".join(f"{cell[d]} AS i{d}" for d in "xyz")} FROM p, cu),
+k AS (SELECT * EXCLUDE (ix, iy, iz), CAST({key} AS BIGINT) AS key FROM ci)"""
+
+
+def sql_tree(view: str, step: int = 3, leaf: int = 12) -> str:
+    """CTEs up to nodes (with shape) and leaf_of."""
+    deepest = 60 // step
+    sums = ", ".join([f"sum(mass * {d}) AS m{d}" for d in "xyz"] + [f"sum(mass * {p[0]} * {p[1]}) AS m{p}" for p in MOM])
+    corner = " + ".join(f"pow(greatest(c{d} - {d}0, {d}1 - c{d}), 2)" for d in "xyz")
+    half = " + ".join(f"pow({d}1 - {d}0, 2)" for d in "xyz")
+    return f"""{sql_key(view)},
+up AS (SELECT k.*, CAST(d AS INTEGER) AS depth, (CAST(1 AS BIGINT) << CAST({step} * d AS INTEGER)) + (key >> CAST(60 - {step} * d AS INTEGER)) AS node FROM k, range(0, {deepest + 1}) t(d)),
+ag AS (SELECT depth, node, count(*) AS n, sum(mass) AS mass, sum(mass * soft) AS msoft, {sums}, {BOX} FROM up GROUP BY depth, node),
+raw AS (SELECT a.*, a.node >> {step} AS parent, (a.n <= {leaf} OR a.depth = {deepest}) AS is_leaf FROM ag a LEFT JOIN ag q ON q.node = a.node >> {step} WHERE a.depth = 0 OR q.n > {leaf}),
+cm AS (SELECT *, {", ".join(f"m{d} / mass AS c{d}" for d in "xyz")}, msoft / mass AS soft FROM raw),
+nodes AS (SELECT *, {", ".join(f"m{p} - mass * c{p[0]} * c{p[1]} AS q{p}" for p in MOM)}, CASE WHEN n <= 1 THEN 1e0 WHEN is_leaf THEN 5e-1 * sqrt({half}) ELSE sqrt({corner}) END AS radius FROM cm),
+leaf_of AS (SELECT up.*, up.node AS leaf FROM up JOIN nodes USING (node) WHERE nodes.is_leaf)"""
+
+
+def sql_gap2(point: str, box: str) -> str:
+    return " + ".join(f"pow(greatest({box}.{d}0 - {point}{d}, 0e0, {point}{d} - {box}.{d}1), 2)" for d in "xyz")
+
+
+def sql_walk(test: str) -> str:
+    """CTE act (target, source, s_n, action); ``test`` over s and t says whether to open."""
+    return f"""
+act AS (
+  SELECT t.node AS target, s.node AS source, s.n AS s_n, CASE WHEN NOT ({test}) THEN 'node' WHEN s.is_leaf THEN 'leaf' ELSE 'open' END AS action FROM nodes t, nodes s WHERE t.is_leaf AND s.depth = 0
+  UNION ALL
+  SELECT t.node, s.node, s.n, CASE WHEN NOT ({test}) THEN 'node' WHEN s.is_leaf THEN 'leaf' ELSE 'open' END FROM act JOIN nodes s ON s.parent = act.source AND s.depth > 0 JOIN nodes t ON t.node = act.target WHERE act.action = 'open'
+)"""
+
+
+OPEN_SQL = f"s.n <= 6 OR ({sql_gap2('s.c', 't')}) <= pow(s.radius * {FOUR_THIRDS_SQRT / 0.7!r}e0, 2)"
+
+
+def sql_spline(r2: str, twoh: str) -> tuple[str, str]:
+    r, u = f"sqrt({r2})", f"(sqrt({r2}) * 2e0 / ({twoh}))"
+    h = f"(2e0 / ({twoh}))"
+    ia = f"{h} * (7e0/5e0 - 2e0/3e0*{u}*{u} + 3e0/10e0*pow({u},4) - 1e0/10e0*pow({u},5))"
+    ib = f"pow({h},3) * (4e0/3e0 - 6e0/5e0*{u}*{u} + 1e0/2e0*pow({u},3))"
+    oa = f"(-1e0/15e0/{r} + {h} * (8e0/5e0 - 4e0/3e0*{u}*{u} + pow({u},3) - 3e0/10e0*pow({u},4) + 1e0/30e0*pow({u},5)))"
+    ob = f"(-1e0/15e0/pow({r},3) + pow({h},3) * (8e0/3e0 - 3e0*{u} + 6e0/5e0*{u}*{u} - 1e0/6e0*pow({u},3)))"
+    near = f"{r} < ({twoh})"
+    return (f"CASE WHEN {near} AND {u} < 1 THEN {ia} WHEN {near} THEN {oa} ELSE 1e0/{r} END", f"CASE WHEN {near} AND {u} < 1 THEN {ib} WHEN {near} THEN {ob} ELSE 1e0/pow({r},3) END")
+
+
+def sql_direct(pairs: str, out: str = "") -> str:
+    """Terms of near pairs (dx, dy, dz, m, h by id) in CTE ``pairs``."""
+    a, b = sql_spline("r2", "h")
+    return f"SELECT id, {', '.join(f'd{d} * m * ({b}) AS a{d}' for d in 'xyz')}, -m * ({a}) AS potential FROM (SELECT *, dx*dx + dy*dy + dz*dz AS r2 FROM {pairs}) WHERE r2 <> 0"
+
+
+def sql_sum(terms: str, total: str) -> str:
+    return f"SELECT p.id, {', '.join(rnd(f'coalesce(sum({c}), 0e0)', c, 4) for c in gravity.SUMS)}, {total} AS terms FROM p LEFT JOIN {terms} t ON p.id = t.id GROUP BY p.id"
+
+
+def out_gravity(df: DataFrame) -> DataFrame:
+    return rounded(df, *gravity.SUMS, digits=4)
+
+
+# Universe and keys
+
+UNI = f"{BOX}, count(*) AS n, CAST(count_if(type = 1) AS BIGINT) AS n_star, CAST(count_if(type = 2) AS BIGINT) AS n_gas, CAST(count_if(type = 3) AS BIGINT) AS n_dark, {rnd('sum(mass)', 'mass')}, {rnd(f'sum(mass * {V2} * 5e-1)', 'ke')}, 0e0 AS pe, {rnd(f'sqrt(max({V2}))', 'max_speed')}"
+
+
+@query(f"WITH p AS ({SQL_VIEWS['emb']}) SELECT {UNI} FROM p")
+def universe_box(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(universe.universe(from_embeddings(spark, sf)), "mass", "ke", "max_speed")
+
+
+@query(f"WITH p AS ({SQL_VIEWS['emb']}) SELECT type, {UNI} FROM p GROUP BY type")
+def universe_by_type(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(universe.universe(from_embeddings(spark, sf), "type"), "mass", "ke", "max_speed")
+
+
+@query(f"WITH {sql_key('evt')} SELECT {rnd('side', 'side')}, {', '.join(rnd(f'lo_{d}', f'lo_{d}') for d in 'xyz')} FROM cu")
+def universe_cube(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(universe.cube(from_events(spark, sf)), "side", "lo_x", "lo_y", "lo_z")
+
+
+@query(f"WITH {sql_key('evt')} SELECT id, key FROM k")
+def morton_key(spark: SparkSession, sf: str) -> DataFrame:
+    return universe.keyed(from_events(spark, sf)).select("id", "key")
+
+
+@query(f"WITH {sql_key('emb')} SELECT id, CAST(d AS INTEGER) AS depth, (CAST(1 AS BIGINT) << CAST(3 * d AS INTEGER)) + (key >> CAST(60 - 3 * d AS INTEGER)) AS node FROM k, range(0, 6) t(d)")
+def key_prefix_depth(spark: SparkSession, sf: str) -> DataFrame:
+    rows = universe.keyed(from_embeddings(spark, sf)).withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    return rows.select("id", "depth", tree.node_of(F.col("depth"), 3).alias("node"))
+
+
+@query(f"WITH {sql_key('evt')} SELECT CAST(least(floor(key / {float((1 << 60) // 16)!r}), 15) AS INTEGER) AS range, count(*) AS n FROM k GROUP BY 1".replace("e+", "e"))
+def range_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return partitioning.histogram(from_events(spark, sf), 16)
+
+
+# Partitioning
+
+CURVE = f"WITH {sql_key('evt')}, r AS (SELECT *, ntile(8) OVER (ORDER BY key, id) - 1 AS partition_idx FROM k)"
+
+
+@query(f"{CURVE} SELECT id, CAST(partition_idx AS INTEGER) AS partition_idx FROM r")
+def sfc_partition(spark: SparkSession, sf: str) -> DataFrame:
+    return partitioning.by_curve(from_events(spark, sf), 8).select("id", "partition_idx")
+
+
+@query(f"{CURVE}, g AS (SELECT partition_idx, count(*) AS n FROM r GROUP BY 1) SELECT max(n) AS most, min(n) AS least, CAST(sum(n) AS BIGINT) AS total, avg(n) AS mean, round(max(n) / avg(n), 6) AS ratio FROM g")
+def sfc_partition_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(partitioning.bin_stats(partitioning.by_curve(from_events(spark, sf), 8)), "ratio")
+
+
+@query(f"{CURVE} SELECT key >> 54 AS cell, CAST(floor(avg(partition_idx)) AS BIGINT) AS home FROM r GROUP BY 1")
+def subtree_homes(spark: SparkSession, sf: str) -> DataFrame:
+    rows = partitioning.by_curve(from_events(spark, sf), 8).withColumn("cell", F.shiftright("key", 54))
+    return partitioning.homes(rows, "cell")
+
+
+@query(f"WITH {sql_key('evt')}, r AS (SELECT *, (row_number() OVER (ORDER BY key, id) - 1) // 500 AS grp FROM k), s AS (SELECT max(key) AS key FROM r GROUP BY grp), t AS (SELECT DISTINCT (key >> 51) << 51 AS tk FROM k) SELECT key, arg_min(tk, (abs(key - tk), tk)) AS nearest FROM s, t GROUP BY key")
+def splitter_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    rows = universe.keyed(from_events(spark, sf))
+    parts = F.floor((F.row_number().over(W.orderBy("key", "id")) - 1) / 500)
+    cuts = rows.select("key", parts.alias("grp")).groupBy("grp").agg(F.max("key").alias("key")).select("key").distinct()
+    return partitioning.align(cuts, rows.select(F.shiftleft(F.shiftright("key", 51), 51).alias("key")).distinct())
+
+
+def cell_sql(step: int) -> str:
+    return f"WITH {sql_key('evt')}, up AS (SELECT id, CAST(d AS INTEGER) AS depth, (CAST(1 AS BIGINT) << CAST({step} * d AS INTEGER)) + (key >> CAST(60 - {step} * d AS INTEGER)) AS node FROM k, range(0, {60 // step + 1}) t(d)), ag AS (SELECT depth, node, count(*) AS n FROM up GROUP BY ALL), lim AS (SELECT count(*) // 8 AS l FROM k) SELECT a.node, a.depth, a.n FROM lim, ag a LEFT JOIN ag q ON q.node = a.node >> {step} WHERE (a.depth = 0 OR q.n > l) AND a.n <= l"
+
+
+@query(cell_sql(3))
+def oct_partition(spark: SparkSession, sf: str) -> DataFrame:
+    return partitioning.by_cells(from_events(spark, sf), 8, 3)[1]
+
+
+@query(cell_sql(1))
+def binoct_partition(spark: SparkSession, sf: str) -> DataFrame:
+    return partitioning.by_cells(from_events(spark, sf), 8, 1)[1]
+
+
+def median_sql(levels: int) -> str:
+    out = f"WITH p AS ({SQL_VIEWS['part']}), b0 AS (SELECT id, x, y, z, CAST(0 AS BIGINT) AS bin FROM p)"
+    for i in range(levels):
+        d = "xyz"[i % 3]
+        out += f", b{i + 1} AS (SELECT id, x, y, z, bin * 2 + CASE WHEN row_number() OVER (PARTITION BY bin ORDER BY {d}, id) > ceil(count(*) OVER (PARTITION BY bin) / 2e0) THEN 1 ELSE 0 END AS bin FROM b{i})"
+    return out + f" SELECT id, bin FROM b{levels}"
+
+
+@query(median_sql(4))
+def kd_partition(spark: SparkSession, sf: str) -> DataFrame:
+    return partitioning.by_median(from_parts(spark, sf), 4)
+
+
+def longest_sql(levels: int) -> str:
+    out = f"WITH p AS ({SQL_VIEWS['part']}), b0 AS (SELECT id, x, y, z, CAST(0 AS BIGINT) AS bin FROM p)"
+    for i in range(levels):
+        out += f", g{i} AS (SELECT bin, {BOX}, avg(x) AS ax, avg(y) AS ay, avg(z) AS az FROM b{i} GROUP BY bin), h{i} AS (SELECT *, greatest(x1 - x0, y1 - y0, z1 - z0) AS w FROM g{i})"
+        out += f", b{i + 1} AS (SELECT id, b.x, b.y, b.z, b.bin * 2 + CASE WHEN (CASE WHEN x1 - x0 = w THEN b.x > ax WHEN y1 - y0 = w THEN b.y > ay ELSE b.z > az END) THEN 1 ELSE 0 END AS bin FROM b{i} b JOIN h{i} h ON b.bin = h.bin)"
+    return out + f" SELECT id, bin FROM b{levels}"
+
+
+@query(longest_sql(3))
+def longest_partition(spark: SparkSession, sf: str) -> DataFrame:
+    return partitioning.by_median(from_parts(spark, sf), 3, longest=True)
+
+
+# Trees
+
+
+def tree_nodes(spark: SparkSession, sf: str, step: int) -> DataFrame:
+    nodes, _ = tree.build(from_embeddings(spark, sf), step)
+    return nodes.select("depth", "node", "parent", "n", "is_leaf")
+
+
+@query(f"WITH {sql_tree('emb')} SELECT depth, node, parent, n, is_leaf FROM nodes")
+def tree_nodes_oct(spark: SparkSession, sf: str) -> DataFrame:
+    return tree_nodes(spark, sf, 3)
+
+
+@query(f"WITH {sql_tree('emb', 1)} SELECT depth, node, parent, n, is_leaf FROM nodes")
+def tree_nodes_binoct(spark: SparkSession, sf: str) -> DataFrame:
+    return tree_nodes(spark, sf, 1)
+
+
+@query(f"WITH {sql_tree('emb')} SELECT id, leaf FROM leaf_of")
+def tree_leaves(spark: SparkSession, sf: str) -> DataFrame:
+    return tree.build(from_embeddings(spark, sf))[1].select("id", "leaf")
+
+
+ROLL = ["mass", *(f"c{d}" for d in "xyz"), *(f"q{p}" for p in MOM), "soft", "radius"]
+
+
+@query(f"WITH {sql_tree('emb')} SELECT node, n, {', '.join(rnd(c, c) for c in ROLL)} FROM nodes")
+def tree_rollup_moments(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = tree.shape(tree.build(from_embeddings(spark, sf))[0])
+    return rounded(nodes.select("node", "n", *ROLL), *ROLL)
+
+
+@query(f"WITH {sql_tree('emb')} SELECT node, {', '.join(f'{d}{i}' for d in 'xyz' for i in (0, 1))}, {rnd('radius', 'radius')} FROM nodes")
+def node_radius(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = tree.shape(tree.build(from_embeddings(spark, sf))[0])
+    return rounded(nodes.select("node", *universe.BOX, "radius"), "radius")
+
+
+@query(f"WITH {sql_tree('emb')} SELECT node, n FROM nodes ORDER BY depth, node LIMIT 20")
+def subtree_top_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return tree.build(from_embeddings(spark, sf))[0].orderBy("depth", "node").limit(20).select("node", "n")
+
+
+@query(f"WITH {sql_tree('emb')}, pick AS (SELECT node, n FROM nodes WHERE node IN (1, 8, 9, 15, 64, 71)) SELECT node, n FROM pick")
+def nodes_by_key(spark: SparkSession, sf: str) -> DataFrame:
+    return tree.build(from_embeddings(spark, sf))[0].where(F.col("node").isin(1, 8, 9, 15, 64, 71)).select("node", "n")
+
+
+@query(f"""WITH {sql_tree('emb')} SELECT 'n' || node || ' [label="' || n || '" fillcolor=' || CASE WHEN is_leaf THEN 'lightblue' ELSE 'lightgrey' END || ' style=filled];' AS line FROM nodes UNION ALL SELECT 'n' || parent || ' -> n' || node || ';' FROM nodes WHERE depth > 0""")
+def tree_graphviz(spark: SparkSession, sf: str) -> DataFrame:
+    return tree.graphviz(tree.build(from_embeddings(spark, sf))[0])
+
+
+# Traversals
+
+
+@query(f"WITH RECURSIVE {sql_tree('emb')}, {sql_walk(OPEN_SQL)} SELECT action, count(*) AS pairs, CAST(sum(s_n) AS BIGINT) AS source_rows FROM act GROUP BY action")
+def traverse_counts(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = tree.shape(tree.build(from_embeddings(spark, sf))[0])
+    return traverse.counters(traverse.walk(nodes, traverse.Visitor(traverse.gravity_open(0.7))))
+
+
+@query(f"WITH {sql_tree('emb')} SELECT CASE WHEN s.is_leaf THEN 'leaf' ELSE 'open' END AS action, count(*) AS pairs, CAST(sum(s.n) AS BIGINT) AS source_rows FROM nodes t, nodes s WHERE t.is_leaf GROUP BY 1")
+def visit_all(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = tree.build(from_embeddings(spark, sf))[0]
+    return traverse.counters(traverse.walk(nodes, traverse.Visitor(traverse.always)))
+
+
+HIST_ARGS = (1e-3, 1e1, 12)
+LO, HI = math.log(HIST_ARGS[0]), math.log(HIST_ARGS[1])
+
+
+@query(f"WITH p AS ({SQL_VIEWS['emb']}), d AS (SELECT 5e-1 * ln(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS l FROM p a, p b WHERE a.x <> b.x OR a.y <> b.y OR a.z <> b.z) SELECT CAST(floor((l - ({LO!r}e0)) / ({HI - LO!r}e0) * 12) AS INTEGER) AS bin, count(*) AS pairs FROM d WHERE l >= {LO!r}e0 AND l < {HI!r}e0 GROUP BY 1")
+def pair_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return joins.pair_histogram(from_embeddings(spark, sf), *HIST_ARGS)
+
+
+# Gravity
+
+PAIRS = "q AS (SELECT a.id, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz, b.mass AS m, a.soft + b.soft AS h FROM p a, p b)"
+
+
+@query(f"WITH p AS ({SQL_VIEWS['emb']}), {PAIRS}, t AS ({sql_direct('q')}) {sql_sum('t', 'CAST((SELECT count(*) FROM p) AS BIGINT)')}")
+def gravity_direct(spark: SparkSession, sf: str) -> DataFrame:
+    return out_gravity(gravity.direct(from_embeddings(spark, sf)))
+
+
+REPS = "o AS (SELECT i * 2e0 AS ox, j * 2e0 AS oy, k * 2e0 AS oz FROM range(-1, 2) a(i), range(-1, 2) b(j), range(-1, 2) c(k))"
+
+
+@query(f"WITH p AS ({SQL_VIEWS['emb']}), {REPS}, q AS (SELECT a.id, b.x + ox - a.x AS dx, b.y + oy - a.y AS dy, b.z + oz - a.z AS dz, b.mass AS m, a.soft + b.soft AS h FROM p a, p b, o), t AS ({sql_direct('q')}) {sql_sum('t', 'CAST(27 * (SELECT count(*) FROM p) AS BIGINT)')}")
+def gravity_replicas(spark: SparkSession, sf: str) -> DataFrame:
+    return out_gravity(gravity.direct(from_embeddings(spark, sf), replicas=1, period=2.0))
+
+
+def sql_hierarchical(quadrupole: bool) -> str:
+    qr = {i: " + ".join(f"q{min(i, j)}{max(i, j)} * r{j}" for j in "xyz") for i in "xyz"}
+    far = f"""
+fr AS (SELECT p.id, s.mass AS m, {', '.join(f's.q{q}' for q in MOM)}, {', '.join(f'p.{d} - s.c{d} AS r{d}' for d in 'xyz')},
+  (pow(s.cx - t.cx, 2) + pow(s.cy - t.cy, 2) + pow(s.cz - t.cz, 2) <= pow(2e0 * s.soft + 2e0 * t.soft, 2) OR ({sql_gap2('s.c', 't')}) <= pow(2e0 * s.soft, 2)) AS meet
+  FROM act JOIN nodes s ON s.node = act.source JOIN nodes t ON t.node = act.target JOIN leaf_of p ON p.leaf = act.target WHERE action = 'node'),
+f1 AS (SELECT *, 1e0 / sqrt(rx*rx + ry*ry + rz*rz) AS dir, {', '.join(f'({qr[i]}) AS qr{i}' for i in 'xyz')}, 5e-1 * (qxx + qyy + qzz) AS tr FROM fr),
+f2 AS (SELECT *, pow(dir, 3) AS b, 3e0 * pow(dir, 5) AS c, 15e0 * pow(dir, 7) AS d, 5e-1 * (qrx*rx + qry*ry + qrz*rz) AS qir FROM f1),
+ft AS (SELECT id, {', '.join(f'CASE WHEN meet OR {not quadrupole} THEN -r{d} * b * m ELSE -(b*m + d*qir - c*tr) * r{d} + c * qr{d} END AS a{d}' for d in 'xyz')},
+  CASE WHEN meet OR {not quadrupole} THEN -m * dir ELSE -m * dir - c*qir + b*tr END AS potential FROM f2)"""
+    return f"""WITH RECURSIVE {sql_tree('emb')}, {sql_walk(OPEN_SQL)},
+q AS (SELECT a.id, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz, b.mass AS m, a.soft + b.soft AS h FROM act JOIN leaf_of a ON a.leaf = act.target JOIN leaf_of b ON b.leaf = act.source WHERE action = 'leaf'),
+nt AS ({sql_direct('q')}), {far},
+tt AS (SELECT id, count(*) AS terms FROM (SELECT id FROM q UNION ALL SELECT id FROM ft) GROUP BY id),
+t AS (SELECT id, ax, ay, az, potential FROM nt UNION ALL SELECT id, ax, ay, az, potential FROM ft)
+SELECT t.id, {', '.join(rnd(f'sum({c})', c, 4) for c in gravity.SUMS)}, any_value(tt.terms) AS terms FROM t JOIN tt USING (id) GROUP BY t.id"""
+
+
+@query(sql_hierarchical(False))
+def gravity_monopole(spark: SparkSession, sf: str) -> DataFrame:
+    return out_gravity(gravity.hierarchical(from_embeddings(spark, sf), quadrupole=False))
+
+
+@query(sql_hierarchical(True))
+def gravity_quadrupole(spark: SparkSession, sf: str) -> DataFrame:
+    return out_gravity(gravity.hierarchical(from_embeddings(spark, sf)))
+
+
+# Neighbours and SPH
+
+D2 = "(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))"
+KNN = f"n0 AS (SELECT a.id, b.id AS s_id, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2, b.mass AS s_mass FROM p a, p b), n1 AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, s_id) AS rank, rank() OVER (PARTITION BY id ORDER BY d2) AS tied FROM n0)"
+
+
+@query(f"WITH p AS ({SQL_VIEWS['emb']}), {KNN} SELECT id, s_id, {rnd('d2', 'd2', 9)}, CAST(rank AS INTEGER) AS rank FROM n1 WHERE rank <= 32")
+def knn32(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(joins.knn(from_embeddings(spark, sf), 32).select("id", "s_id", "d2", "rank"), "d2", digits=9)
+
+
+KERNEL = "CASE WHEN q2 < 1 THEN 1e0 - 75e-2 * (2e0 - sqrt(q2)) * q2 ELSE 25e-2 * pow(2e0 - sqrt(q2), 3) END"
+DENS = f"n2 AS (SELECT *, max(d2) OVER (PARTITION BY id) AS ball2 FROM n1 WHERE tied <= 32), n3 AS (SELECT *, 4e0 * d2 / ball2 AS q2 FROM n2), dens AS (SELECT id, ball2, sum(({KERNEL}) * s_mass) / (125e-3 * {math.pi!r}e0 * ball2 * sqrt(ball2)) AS density, count(*) AS n_near FROM n3 GROUP BY id, ball2)"
+
+
+@query(f"WITH p AS ({SQL_VIEWS['emb']}), {KNN}, {DENS} SELECT id, {rnd('ball2', 'ball2', 9)}, {rnd('density', 'density', 4)}, n_near FROM dens")
+def sph_density(spark: SparkSession, sf: str) -> DataFrame:
+    dens = sph.density(sph.neighbours(from_embeddings(spark, sf)))
+    return rounded(rounded(dens, "ball2", digits=9), "density", digits=4)
+
+
+@query(f"WITH p AS ({SQL_VIEWS['emb']}), {KNN}, {DENS} SELECT id, {rnd(f'{sph.GAMMA_M1!r}e0 * u * density', 'pressure', 4)} FROM dens JOIN p USING (id)")
+def sph_pressure(spark: SparkSession, sf: str) -> DataFrame:
+    points = from_embeddings(spark, sf)
+    return rounded(sph.pressure(points, sph.density(sph.neighbours(points))), "pressure", digits=4)
+
+
+GRAD = "CASE WHEN q2 < 1 THEN -3e0 + 225e-2 * sqrt(q2) ELSE -75e-2 * (2e0 - sqrt(q2)) * (2e0 - sqrt(q2)) / sqrt(q2) END"
+G = f"{sph.GAMMA_M1!r}e0"
+FORCE = f"""n4 AS (SELECT n3.*, {GRAD} AS g, di.density AS rho, dj.density AS s_rho FROM n3 JOIN dens di ON di.id = n3.id JOIN dens dj ON dj.id = n3.s_id),
+fx AS (SELECT id, CASE WHEN sum(g * d2 * s_mass / s_rho) <> 0 THEN sum(g * d2 * s_mass) / any_value(rho) / sum(g * d2 * s_mass / s_rho) ELSE 1e0 END AS corrector FROM n4 GROUP BY id),
+n5 AS (SELECT n4.*, g * 5e-1 / {math.pi!r}e0 * (4e0 / ball2) * (4e0 / ball2) / (5e-1 * sqrt(ball2)) * corrector AS rs, a.mass AS mass, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz, (b.vx - a.vx) * (b.x - a.x) + (b.vy - a.vy) * (b.y - a.y) + (b.vz - a.vz) * (b.z - a.z) AS dv, a.u * {G} / s_rho AS pa, b.u * {G} / rho AS pb FROM n4 JOIN fx ON fx.id = n4.id JOIN p a ON a.id = n4.id JOIN p b ON b.id = n4.s_id),
+fo AS (SELECT id, {', '.join(f'(pa + pb) * rs * s_mass * d{d} AS a{d}' for d in 'xyz')}, rs * s_mass * pa * dv AS pdv FROM n5 UNION ALL SELECT s_id, {', '.join(f'-(pa + pb) * rs * mass * d{d}' for d in 'xyz')}, rs * mass * pa * dv FROM n5)"""
+
+
+@query(f"WITH p AS ({SQL_VIEWS['emb']}), {KNN}, {DENS}, {FORCE} SELECT id, {', '.join(rnd(f'sum({c})', c, 4) for c in ('ax', 'ay', 'az', 'pdv'))} FROM fo GROUP BY id")
+def sph_force(spark: SparkSession, sf: str) -> DataFrame:
+    near = sph.neighbours(from_embeddings(spark, sf))
+    return rounded(sph.forces(near, sph.density(near)), "ax", "ay", "az", "pdv", digits=4)
+
+
+@query(f"WITH p AS ({SQL_VIEWS['part']}) SELECT a.id, count(*) AS n FROM p a JOIN p b ON b.x BETWEEN a.x - 2 AND a.x + 2 AND {D2} <= 4e0 GROUP BY a.id")
+def ball_join_count(spark: SparkSession, sf: str) -> DataFrame:
+    points = from_parts(spark, sf)
+    return joins.ball(points, points, 2.0).groupBy("id").agg(F.count("*").alias("n"))
+
+
+COLLIDE = f"""cb AS (SELECT a.id, b.id AS s_id, {D2} AS d2, pow(a.vx-b.vx,2)+pow(a.vy-b.vy,2)+pow(a.vz-b.vz,2) AS v2, (a.x-b.x)*(a.vx-b.vx)+(a.y-b.y)*(a.vy-b.vy)+(a.z-b.z)*(a.vz-b.vz) AS rv, 2e0*(a.soft+b.soft) AS sr FROM p a, p b WHERE a.id <> b.id AND {D2} < pow(2e0*sqrt(a.vx*a.vx+a.vy*a.vy+a.vz*a.vz)*{sph.BALL_DT!r}e0 + 4e0*a.soft, 2)),
+cc AS (SELECT *, (d2 - sr*sr) / (rv*rv) * v2 AS inside FROM cb WHERE rv <> 0 AND v2 > 0),
+cd AS (SELECT *, -rv/v2*(1e0+sqrt(1e0-inside)) AS t1, -rv/v2*(1e0-sqrt(1e0-inside)) AS t2 FROM cc WHERE inside <= 1),
+ce AS (SELECT id, s_id, CASE WHEN t1 > 0 AND t1 < t2 THEN t1 WHEN t2 > 0 AND t2 < t1 THEN t2 END AS dt FROM cd),
+hit AS (SELECT id, arg_min(s_id, (dt, s_id)) AS partner, min(dt) AS dt FROM ce WHERE dt IS NOT NULL GROUP BY id HAVING min(dt) < 1e0)"""
+
+
+@query(f"WITH p AS ({SQL_VIEWS['emb']}), {COLLIDE} SELECT id, partner, {rnd('dt', 'dt')} FROM hit")
+def collision_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(sph.collisions(from_embeddings(spark, sf), 1.0), "dt")
+
+
+@query(f"WITH p AS ({SQL_VIEWS['emb']}), {COLLIDE} SELECT id FROM p WHERE id NOT IN (SELECT id FROM hit UNION SELECT partner FROM hit)")
+def collision_resolve(spark: SparkSession, sf: str) -> DataFrame:
+    points = from_embeddings(spark, sf)
+    return sph.resolve(points, sph.collisions(points, 1.0)).select("id")
+
+
+@query(f"WITH p AS ({SQL_VIEWS['emb']}) SELECT id, z FROM p WHERE x*x + y*y + z*z <= 45 AND abs(z) <= 2e-1")
+def crop(spark: SparkSession, sf: str) -> DataFrame:
+    return sph.crop(from_embeddings(spark, sf)).select("id", "z")
+
+
+# Integration
+
+MOVING = "m AS (SELECT *, -x AS ax, -y AS ay, -z AS az, 1e-1 * mass AS pdv FROM p)"
+
+
+def moving(spark: SparkSession, sf: str) -> DataFrame:
+    return from_embeddings(spark, sf).withColumns({**{f"a{d}": -F.col(d) for d in "xyz"}, "pdv": F.col("mass") * 0.1, "density": F.lit(1.0)})
+
+
+@query(f"WITH p AS ({SQL_VIEWS['emb']}), {MOVING} SELECT id, {', '.join(rnd(f'v{d} + a{d} * 5e-3', f'v{d}') for d in 'xyz')} FROM m")
+def kick(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(integrate.kick(moving(spark, sf), 0.01).select("id", "vx", "vy", "vz"), "vx", "vy", "vz")
+
+
+STATE = ["x", "y", "z", "vx", "vy", "vz", "vpx", "vpy", "vpz", "u", "u_predicted", "ax", "density"]
+
+
+@query(f"""WITH p AS ({SQL_VIEWS['emb']}), {MOVING}, d AS (SELECT id, {', '.join(f'{c} + (v{c} + a{c} * 5e-3) * 1e-2 AS {c}, v{c} + a{c} * 5e-3 AS v{c}, v{c} + a{c} * 5e-3 + a{c} * 1e-2 AS vp{c}' for c in 'xyz')}, u - pdv * 5e-10 AS u, u - 2 * pdv * 5e-10 AS u_predicted, 0e0 AS ax, 0e0 AS density FROM m)
+SELECT id, {', '.join(rnd(c, c) for c in STATE)} FROM d""")
+def drift(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(integrate.drift(moving(spark, sf), 0.01).select("id", *STATE), *STATE)
+
+
+@query(f"WITH p AS ({SQL_VIEWS['emb']}) SELECT id, {', '.join(rnd(f'CASE WHEN {d}*5e0 < -1 THEN {d}*5e0 + ceil((-1 - {d}*5e0) / 2e0) * 2e0 WHEN {d}*5e0 > 1 THEN {d}*5e0 - ceil(({d}*5e0 - 1) / 2e0) * 2e0 ELSE {d}*5e0 END', d) for d in 'xyz')} FROM p")
+def wrap_periodic(spark: SparkSession, sf: str) -> DataFrame:
+    wide = from_embeddings(spark, sf).withColumns({d: F.col(d) * 5.0 for d in "xyz"})
+    return rounded(integrate.wrap(wide, (-1.0,) * 3, (1.0,) * 3).select("id", "x", "y", "z"), "x", "y", "z")
+
+
+@query(f"WITH p AS ({SQL_VIEWS['emb']}), b AS (SELECT {BOX}, sqrt(max({V2})) AS v, count(*) AS n FROM p) SELECT round(least(least(x1 - x0, y1 - y0, z1 - z0) / (v * cbrt(n)), 1e0), 6) AS dt FROM b")
+def timestep(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(universe.time_step(from_embeddings(spark, sf), 1.0), "dt")
+
+
+@query(f"WITH p AS ({SQL_VIEWS['emb']}), {PAIRS}, t AS ({sql_direct('q')}), s AS (SELECT p.id, any_value(x) AS x, any_value(vx) AS vx, coalesce(sum(ax), 0e0) AS ax FROM p LEFT JOIN t ON t.id = p.id GROUP BY p.id) SELECT id, {rnd('x + (vx + ax * 1e-5) * 1e-5', 'x')}, {rnd('vx + ax * 1e-5', 'vx', 4)} FROM s")
+def sim_step(spark: SparkSession, sf: str) -> DataFrame:
+    """One step of the simulation: gravity to the last pair (opening angle 0), kick, drift."""
+    from .plans.simulation import GravitySimulation
+
+    out = GravitySimulation(theta=1e-9, max_dt=1e-5, fixed_dt=1e-5).step(from_embeddings(spark, sf))
+    return rounded(rounded(out.select("id", "x", "vx"), "x"), "vx", digits=4)
+
+
+# Arrays
+
+
+def array_of(spark: SparkSession, sf: str, column: str) -> DataFrame:
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("idx"), F.col(column).cast("double").alias("value"))
+
+
+@query("WITH a AS (SELECT p_retailprice AS v FROM part) SELECT round(sum(v), 4) AS sum, round(avg(v), 6) AS mean, min(v) AS min, max(v) AS max, round(sqrt(avg(v * v)), 6) AS rms FROM a")
+def arr_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(rounded(arrays.stats(array_of(spark, sf, "p_retailprice")), "mean", "rms"), "sum", digits=4)
+
+
+@query("SELECT CAST(p_partkey AS BIGINT) AS idx, abs(p_retailprice - 1e3) AS abs, p_retailprice * 2e0 AS scaled, CASE WHEN p_retailprice > 1e3 THEN 1e0 ELSE 0e0 END AS gt FROM part")
+def arr_scalars(spark: SparkSession, sf: str) -> DataFrame:
+    a = array_of(spark, sf, "p_retailprice")
+    shifted = a.select("idx", (F.col("value") - 1000.0).alias("value"))
+    named = lambda df, n: df.withColumnRenamed("value", n)
+    return named(arrays.absolute(shifted), "abs").join(named(arrays.scale(a, 2.0), "scaled"), "idx").join(named(arrays.greater(a, 1000.0), "gt"), "idx")
+
+
+@query("SELECT CAST(p_partkey AS BIGINT) AS idx, p_retailprice + p_size AS add, p_retailprice - p_size AS sub, round(p_retailprice / p_size, 6) AS div FROM part WHERE p_size <> 0")
+def arr_binary(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = array_of(spark, sf, "p_retailprice"), array_of(spark, sf, "p_size").where("value <> 0")
+    named = lambda op, n: arrays.combine(a, b, op).withColumnRenamed("value", n)
+    return rounded(named("+", "add").join(named("-", "sub"), "idx").join(named("/", "div"), "idx"), "div")
+
+
+@query(f"WITH p AS ({SQL_VIEWS['emb']}) SELECT id AS idx, {rnd('sqrt(x*x + y*y + z*z)', 'value')} FROM p")
+def vec_magnitude(spark: SparkSession, sf: str) -> DataFrame:
+    parts = F.posexplode(F.array("x", "y", "z")).alias("dim", "value")
+    return rounded(arrays.magnitude(from_embeddings(spark, sf).select(F.col("id").alias("idx"), parts)), "value")
+
+
+@query("SELECT CAST(p_partkey % 3 AS INTEGER) AS dim, CAST(p_partkey // 3 AS BIGINT) AS idx, p_retailprice AS value FROM part")
+def vec_unpack(spark: SparkSession, sf: str) -> DataFrame:
+    return arrays.unpack(array_of(spark, sf, "p_retailprice"))
+
+
+# Balancers
+
+LOADS = "o AS (SELECT CAST(o_orderkey AS BIGINT) AS id, CAST(o_custkey % 8 AS INTEGER) AS pe, o_totalprice AS load, CAST(o_custkey % 97 + 1 AS BIGINT) AS size, CAST(o_custkey % 101 AS DOUBLE) AS x, CAST(o_orderkey % 89 AS DOUBLE) AS y, CAST(o_custkey % 53 AS DOUBLE) AS z FROM orders)"
+
+
+def loads(spark: SparkSession, sf: str) -> DataFrame:
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    return table(spark, sf, "orders").select(key.cast("long").alias("id"), (cust % 8).cast("int").alias("pe"), F.col("o_totalprice").alias("load"), (cust % 97 + 1).cast("long").alias("size"), (cust % 101).cast("double").alias("x"), (key % 89).cast("double").alias("y"), (cust % 53).cast("double").alias("z"))
+
+
+@query(f"WITH {LOADS} SELECT id, pe, CAST(least(sum(size) OVER (ORDER BY pe, id) // greatest(sum(size) OVER () // 8, 1), 7) AS INTEGER) AS to_pe FROM o")
+def lb_prefix(spark: SparkSession, sf: str) -> DataFrame:
+    return balance.prefix_balance(loads(spark, sf), 8)
+
+
+SMOOTH = "g AS (SELECT pe, sum(load) AS load FROM o GROUP BY pe), h AS (SELECT *, sum(load) OVER () / 8e0 AS mean FROM g), i AS (SELECT *, max(abs(load - mean)) OVER () AS off FROM h), j AS (SELECT pe, load, 5e-2 * mean / off * load + (1 - 5e-2 * mean / off) * mean AS smoothed FROM i), e AS (SELECT *, sum(smoothed) OVER (ORDER BY pe) AS upto FROM j)"
+
+
+@query(f"WITH {LOADS}, {SMOOTH} SELECT pe, round(load, 3) AS load, round(smoothed, 3) AS smoothed, round(upto, 3) AS upto FROM e")
+def lb_smooth(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(balance.smoothed_loads(loads(spark, sf), 8), "load", "smoothed", "upto", digits=3)
+
+
+@query(f"WITH {LOADS}, {SMOOTH}, r AS (SELECT *, sum(load) OVER (ORDER BY pe, id) - load / 2 AS mid FROM o) SELECT r.id, r.pe, CAST(least((SELECT count(*) FROM e WHERE e.upto < r.mid), 7) AS INTEGER) AS to_pe FROM r")
+def lb_smooth_moves(spark: SparkSession, sf: str) -> DataFrame:
+    return balance.smooth_balance(loads(spark, sf), 8)
+
+
+DIFF = "d0 AS (SELECT pe, sum(load) AS load, sum(load) AS d FROM o GROUP BY pe)" + "".join(f", d{i + 1} AS (SELECT pe, load, 5e-1 * d + 5e-1 * coalesce(lead(d) OVER (ORDER BY pe), (SELECT d FROM d{i} ORDER BY pe LIMIT 1)) AS d FROM d{i})" for i in range(3))
+
+
+@query(f"WITH {LOADS}, {DIFF} SELECT pe, round(load, 3) AS load, round(d, 3) AS diffused FROM d3")
+def lb_diffuse(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(balance.diffused_loads(loads(spark, sf), 8), "load", "diffused", digits=3)
+
+
+@query(f"""WITH {LOADS}, {DIFF}, s AS (SELECT pe, load - d AS surplus FROM d3), c AS (SELECT pe, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM o GROUP BY pe),
+n AS (SELECT o.*, s.surplus, u.pe AS to_pe, pow(x - mx, 2) + pow(y - my, 2) + pow(z - mz, 2) AS d2 FROM o JOIN s ON s.pe = o.pe AND s.surplus > 0, (SELECT c.* FROM c JOIN s ON s.pe = c.pe WHERE surplus <= 0) u),
+b AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY id ORDER BY d2, to_pe) = 1),
+m AS (SELECT *, sum(load) OVER (PARTITION BY pe ORDER BY d2, id) - load AS moved FROM b) SELECT id, pe, to_pe FROM m WHERE moved <= surplus""")
+def lb_diffusion_moves(spark: SparkSession, sf: str) -> DataFrame:
+    return balance.diffusion_moves(loads(spark, sf), 8)
+
+
+def orb_sql(levels: int) -> str:
+    out = f"WITH {LOADS}, b0 AS (SELECT *, CAST(0 AS BIGINT) AS bin FROM o)"
+    for i in range(levels):
+        out += f", g{i} AS (SELECT bin, {BOX}, sum(load) AS total FROM b{i} GROUP BY bin), a{i} AS (SELECT b.*, total, CASE WHEN x1 - x0 = greatest(x1 - x0, y1 - y0, z1 - z0) THEN x WHEN y1 - y0 = greatest(x1 - x0, y1 - y0, z1 - z0) THEN y ELSE z END AS at_ FROM b{i} b JOIN g{i} g ON b.bin = g.bin)"
+        out += f", u{i} AS (SELECT *, sum(load) OVER (PARTITION BY bin ORDER BY at_, id) AS upto FROM a{i}), b{i + 1} AS (SELECT * EXCLUDE (bin, total, at_, upto), bin * 2 + CASE WHEN upto - load / 2 > total / 2 THEN 1 ELSE 0 END AS bin FROM u{i})"
+    return out + f" SELECT id, bin AS to_pe FROM b{levels}"
+
+
+@query(orb_sql(3))
+def lb_orb(spark: SparkSession, sf: str) -> DataFrame:
+    return balance.orb_balance(loads(spark, sf), 3)
+
+
+@query(f"WITH {LOADS}, b AS (SELECT min(x) AS lo, max(x) AS hi FROM o), h AS (SELECT CAST(least(floor((x - lo) / (hi - lo) * 8), 7) AS INTEGER) AS bin, sum(load) AS load FROM o, b GROUP BY 1) SELECT bin, round(load, 3) AS load, round(sum(load) OVER (ORDER BY bin), 3) AS upto FROM h")
+def lb_orb_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(balance.orb_histogram(loads(spark, sf), "x"), "load", "upto", digits=3)
+
+
+@query(f"WITH {LOADS}, g AS (SELECT pe, sum(load) AS load FROM o GROUP BY pe) SELECT round(max(load), 3) AS most, round(min(load), 3) AS least, round(avg(load), 3) AS mean, round(max(load) / avg(load), 6) AS ratio FROM g")
+def lb_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(rounded(balance.load_metrics(loads(spark, sf)), "most", "least", "mean", digits=3), "ratio")
+
+
+
+
+# Without an SQL twin: erf, generators and binary formats
+
+
+@query()
+def gravity_ewald(spark: SparkSession, sf: str) -> DataFrame:
+    from .operators import ewald
+
+    return rounded(ewald.ewald(from_embeddings(spark, sf), 2.0), "ax", "ay", "az", "potential")
+
+
+@query()
+def plummer_model(spark: SparkSession, sf: str) -> DataFrame:
+    from .sources import models
+
+    return rounded(models.recentred(models.plummer(spark, 200)).select("id", "x", "y", "z", "vx", "vy", "vz"), "x", "y", "z", "vx", "vy", "vz")
