@@ -68,10 +68,12 @@ def half_keys(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 def by_range(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash range numbers of sorted hashes, with the first and last place of each."""
+    if not len(hashes):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
     cut = np.flatnonzero(np.diff(bucket)) + 1
     lo = np.concatenate([[0], cut]).astype(np.int64)
-    return bucket[lo] if len(hashes) else np.zeros(0, np.int64), lo, np.append(cut, len(hashes))
+    return bucket[lo], lo, np.append(cut, len(hashes))
 
 
 def tidied(run, *given):
