@@ -65,7 +65,7 @@ def _cell(v):
     if v is None or v is pd.NA or (isinstance(v, float) and v != v):
         return "null"
     if isinstance(v, float) or hasattr(v, "dtype") and v.dtype.kind == "f":
-        return repr(float(v))
+        return str(int(v)) if float(v).is_integer() else repr(float(v))  # pandas makes nullable whole numbers floats
     if isinstance(v, bool) or hasattr(v, "dtype") and v.dtype.kind == "b":
         return str(bool(v))
     return str(int(v)) if hasattr(v, "dtype") and v.dtype.kind in "iu" else str(v)
