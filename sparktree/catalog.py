@@ -577,3 +577,54 @@ def plummer_model(spark: SparkSession, sf: str) -> DataFrame:
     from .sources import models
 
     return rounded(models.recentred(models.plummer(spark, 200)).select("id", "x", "y", "z", "vx", "vy", "vz"), "x", "y", "z", "vx", "vy", "vz")
+
+
+@query(f"WITH p AS ({SQL_VIEWS['emb']}) SELECT id, 5e-1 AS soft FROM p WHERE type = 2")
+def gas_with_softening(spark: SparkSession, sf: str) -> DataFrame:
+    return integrate.of_type(integrate.set_softening(from_embeddings(spark, sf), 0.5), 2).select("id", "soft")
+
+
+@query(f"WITH p AS ({SQL_VIEWS['emb']}) SELECT id FROM p WHERE id NOT IN (SELECT id FROM p WHERE type = 1)")
+def delete_by_ids(spark: SparkSession, sf: str) -> DataFrame:
+    points = from_embeddings(spark, sf)
+    return integrate.without(points, points.where("type = 1")).select("id")
+
+
+@query(f"WITH p AS ({SQL_VIEWS['emb']}) SELECT id, {rnd('mass + CASE WHEN type = 1 THEN mass * 5e-1 + 1e0 ELSE 0e0 END', 'mass')} FROM p")
+def delta_join_back(spark: SparkSession, sf: str) -> DataFrame:
+    points = from_embeddings(spark, sf)
+    stars = points.where("type = 1")
+    deltas = stars.select("id", (F.col("mass") * 0.5).alias("mass")).unionByName(stars.select("id", F.lit(1.0).alias("mass")))
+    return rounded(integrate.add_deltas(points, deltas, "mass").select("id", "mass"), "mass")
+
+
+@query("SELECT CAST(p_partkey AS BIGINT) AS idx, p_retailprice AS value FROM part")
+def arr_sort(spark: SparkSession, sf: str) -> DataFrame:
+    return arrays.sorted_by(array_of(spark, sf, "p_retailprice"), "idx")
+
+
+@query(f"{CURVE}, g AS (SELECT partition_idx AS bin, count(*) AS n FROM r GROUP BY 1) SELECT CAST(bin AS INTEGER) AS bin, CAST(least(floor((sum(n) OVER (ORDER BY bin) - n / 2e0) / sum(n) OVER () * 3), 2) AS INTEGER) AS executor FROM g")
+def block_placement(spark: SparkSession, sf: str) -> DataFrame:
+    rows = partitioning.by_curve(from_events(spark, sf), 8)
+    return partitioning.place_blocks(rows.groupBy(F.col("partition_idx").alias("bin")).agg(F.count("*").alias("n")), 3)
+
+
+@query(f"WITH p AS ({SQL_VIEWS['emb']}), d AS (SELECT count(*) AS row_pairs FROM p a, p b) SELECT CAST(row_pairs AS BIGINT) AS row_pairs FROM d")
+def dual_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """A dual walk that never prunes meets every pair of rows once."""
+    nodes = tree.build(from_embeddings(spark, sf))[0]
+    pairs = traverse.dual_walk(nodes, lambda: F.lit(None).cast("string"))
+    return pairs.agg(F.sum(F.col("s_n") * F.col("t_n")).alias("row_pairs"))
+
+
+@query()
+def tipsy_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    import uuid
+
+    from .operators.tables import shared_dir
+    from .sources import tipsy
+
+    path = f"{shared_dir(spark)}/rows-{uuid.uuid4().hex}.tipsy"
+    tipsy.write_tipsy(from_embeddings(spark, sf), path)
+    back = tipsy.read_tipsy(spark, path)
+    return rounded(back.select("id", "type", "mass", "x", "y", "z"), "x", "y", "z")

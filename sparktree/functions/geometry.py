@@ -56,11 +56,10 @@ def boxes_distance2(a: str, b: str, farthest: bool = False) -> Column:
     return total
 
 
-def spline(r2: Column, twoh: Column) -> tuple[Column, Column]:
-    """Potential and force factors of a cubic-spline softened mass: 1/r and 1/r**3 beyond twoh."""
-    r = F.sqrt(r2)
-    dih = F.lit(2.0) / twoh
-    u, dir_ = r * dih, F.lit(1.0) / r
+def spline(r: Column, u: Column, dih: Column, dir_: Column, twoh: Column) -> tuple[Column, Column]:
+    """Potential and force factors of a cubic-spline softened mass, 1/r and 1/r**3 beyond
+    twoh; u = r * dih, dih = 2 / twoh and dir_ = 1 / r are columns of their own, so that
+    no long expression is written out again and again in generated code."""
     u2, u3 = u * u, u * u * u
     inner_a = dih * (7.0 / 5.0 - 2.0 / 3.0 * u2 + 3.0 / 10.0 * u2 * u2 - 1.0 / 10.0 * u2 * u3)
     inner_b = dih * dih * dih * (4.0 / 3.0 - 6.0 / 5.0 * u2 + 1.0 / 2.0 * u3)
@@ -86,9 +85,9 @@ def dkernel_m4(q2: Column) -> Column:
 
 def time_to_contact(dx2: Column, v2: Column, rdotv: Column, radius: Column) -> Column:
     """When two bodies first touch; null if never."""
-    inside = (dx2 - radius * radius) / (rdotv * rdotv) * v2
+    inside = F.try_divide(dx2 - radius * radius, rdotv * rdotv) * v2
     root = F.sqrt(F.when(inside <= 1.0, 1.0 - inside))
-    first, second = -rdotv / v2 * (1.0 + root), -rdotv / v2 * (1.0 - root)
+    first, second = F.try_divide(-rdotv, v2) * (1.0 + root), F.try_divide(-rdotv, v2) * (1.0 - root)
     hit = F.when((first > 0.0) & (first < second), first).when((second > 0.0) & (second < first), second)
     return F.when((inside <= 1.0) & (rdotv != 0.0) & (v2 > 0.0), hit)
 

@@ -89,7 +89,7 @@ def orb_balance(objects: DataFrame, levels: int) -> DataFrame:
 def orb_histogram(objects: DataFrame, dim: str, bins: int = 8) -> DataFrame:
     """bin, load, upto: load histogram along one side, from which a cut is refined."""
     b = objects.agg(F.min(dim).alias("lo"), F.max(dim).alias("hi"))
-    at = F.least(F.floor((F.col(dim) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)).cast("int")
+    at = F.least(F.floor(F.coalesce(F.try_divide(F.col(dim) - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int")
     per = objects.crossJoin(F.broadcast(b)).groupBy(at.alias("bin")).agg(F.sum("load").alias("load"))
     return per.select("bin", "load", F.sum("load").over(W.orderBy("bin").rowsBetween(W.unboundedPreceding, 0)).alias("upto"))
 

@@ -15,39 +15,45 @@ BLOCK = 2048
 SUMS = ("ax", "ay", "az", "potential")
 
 
-def near_terms(dx: Column, dy: Column, dz: Column, mass: Column, twoh: Column) -> list[Column]:
-    """Acceleration and potential of a row towards a softened source at (dx, dy, dz); 0 at the same place."""
-    r2 = dx * dx + dy * dy + dz * dz
-    a, b = spline(r2, twoh)
-    some = r2 != 0
-    return [F.when(some, v).otherwise(F.lit(0.0)).alias(c) for c, v in zip(SUMS, (dx * b * mass, dy * b * mass, dz * b * mass, -mass * a))]
-
-
-def far_terms(quadrupole: bool) -> list[Column]:
-    """Terms of a row (x, y, z, soft) towards node s_*, seen from leaf t_*: monopole, with
-    the quadrupole unless the softening spheres meet."""
-    r = {d: F.col(d) - F.col(f"s_c{d}") for d in "xyz"}
-    r2 = r["x"] * r["x"] + r["y"] * r["y"] + r["z"] * r["z"]
-    dir_ = 1.0 / F.sqrt(r2)
-    b = dir_ * dir_ * dir_
-    m = F.col("s_mass")
-    mono = [-r[d] * b * m for d in "xyz"] + [-m * dir_]
+def near_terms(pairs: DataFrame, dx: Column, dy: Column, dz: Column, mass: Column, twoh: Column) -> DataFrame:
+    """id, ax, ay, az, potential of rows towards softened sources at (dx, dy, dz); 0 at the same place."""
+    c = F.col
+    step = pairs.select("id", dx.alias("dx"), dy.alias("dy"), dz.alias("dz"), mass.alias("m"), twoh.alias("h"))
+    step = step.select("*", (c("dx") * c("dx") + c("dy") * c("dy") + c("dz") * c("dz")).alias("r2"))
+    step = step.select("*", F.sqrt("r2").alias("r"), F.try_divide(F.lit(2.0), c("h")).alias("dih"))
+    step = step.select("*", (c("r") * c("dih")).alias("u"), F.try_divide(F.lit(1.0), c("r")).alias("dir"))
+    a, b = spline(c("r"), c("u"), c("dih"), c("dir"), c("h"))
+    step = step.select("id", "dx", "dy", "dz", "r2", (a * c("m")).alias("am"), (b * c("m")).alias("bm"))
+    some = c("r2") != 0
+    values = (c("dx") * c("bm"), c("dy") * c("bm"), c("dz") * c("bm"), -c("am"))
+    return step.select("id", *(F.when(some, v).otherwise(F.lit(0.0)).alias(n) for n, v in zip(SUMS, values)))
+
+
+def far_terms(pairs: DataFrame, quadrupole: bool) -> DataFrame:
+    """The same of rows (id, x, y, z) towards nodes s_*, seen from leaves t_*: monopoles,
+    with the quadrupole unless the softening spheres meet."""
+    c = F.col
+    q = lambda i, j: c(f"s_q{min(i, j)}{max(i, j)}")
+    gap2 = sum((c(f"s_c{d}") - c(f"t_c{d}")) * (c(f"s_c{d}") - c(f"t_c{d}")) for d in "xyz")
+    reach, own = 2.0 * c("s_soft") + 2.0 * c("t_soft"), 2.0 * c("s_soft")
+    meet = (gap2 <= reach * reach) | (box_distance2(c("s_cx"), c("s_cy"), c("s_cz"), "t") <= own * own)
+    moments = [q(*p).alias(f"q{p}") for p in ("xx", "xy", "xz", "yy", "yz", "zz")]
+    step = pairs.select("id", *((c(d) - c(f"s_c{d}")).alias(f"r{d}") for d in "xyz"), c("s_mass").alias("m"), *moments, meet.alias("meet"))
+    step = step.select("*", (c("rx") * c("rx") + c("ry") * c("ry") + c("rz") * c("rz")).alias("r2"))
+    step = step.select("*", F.try_divide(F.lit(1.0), F.sqrt("r2")).alias("dir"))
+    step = step.select("*", (c("dir") * c("dir") * c("dir")).alias("b"))
+    mono = [-c(f"r{d}") * c("b") * c("m") for d in "xyz"] + [-c("m") * c("dir")]
     terms = mono
     if quadrupole:
-        c = 3.0 * b * dir_ * dir_
-        d5 = 5.0 * c * dir_ * dir_
-        q = lambda i, j: F.col(f"s_q{min(i, j)}{max(i, j)}")
-        qr = {i: q(i, "x") * r["x"] + q(i, "y") * r["y"] + q(i, "z") * r["z"] for i in "xyz"}
-        qir = 0.5 * (qr["x"] * r["x"] + qr["y"] * r["y"] + qr["z"] * r["z"])
-        tr = 0.5 * (q("x", "x") + q("y", "y") + q("z", "z"))
-        qir3 = b * m + d5 * qir - c * tr
-        full = [-qir3 * r[d] + c * qr[d] for d in "xyz"] + [-m * dir_ - c * qir + b * tr]
-        gap2 = sum((F.col(f"s_c{d}") - F.col(f"t_c{d}")) * (F.col(f"s_c{d}") - F.col(f"t_c{d}")) for d in "xyz")
-        reach = 2.0 * F.col("s_soft") + 2.0 * F.col("t_soft")
-        own = 2.0 * F.col("s_soft")
-        meet = (gap2 <= reach * reach) | (box_distance2(F.col("s_cx"), F.col("s_cy"), F.col("s_cz"), "t") <= own * own)
-        terms = [F.when(meet, a).otherwise(f) for a, f in zip(mono, full)]
-    return [F.when(r2 != 0, v).otherwise(F.lit(0.0)).alias(c) for c, v in zip(SUMS, terms)]
+        own_q = lambda i, j: c(f"q{min(i, j)}{max(i, j)}")
+        qr = [(own_q(i, "x") * c("rx") + own_q(i, "y") * c("ry") + own_q(i, "z") * c("rz")).alias(f"qr{i}") for i in "xyz"]
+        step = step.select("*", *qr, (3.0 * c("b") * c("dir") * c("dir")).alias("c3"), (0.5 * (c("qxx") + c("qyy") + c("qzz"))).alias("tr"))
+        step = step.select("*", (5.0 * c("c3") * c("dir") * c("dir")).alias("d5"), (0.5 * (c("qrx") * c("rx") + c("qry") * c("ry") + c("qrz") * c("rz"))).alias("qir"))
+        step = step.select("*", (c("b") * c("m") + c("d5") * c("qir") - c("c3") * c("tr")).alias("radial"))
+        full = [-c("radial") * c(f"r{d}") + c("c3") * c(f"qr{d}") for d in "xyz"] + [-c("m") * c("dir") - c("c3") * c("qir") + c("b") * c("tr")]
+        terms = [F.when(c("meet"), a).otherwise(f) for a, f in zip(mono, full)]
+    some = c("r2") != 0
+    return step.select("id", *(F.when(some, v).otherwise(F.lit(0.0)).alias(n) for n, v in zip(SUMS, terms)))
 
 
 def summed(df: DataFrame) -> DataFrame:
@@ -77,7 +83,7 @@ def direct(points: DataFrame, replicas: int = 0, period: float = 0.0) -> DataFra
         pairs = pairs.crossJoin(F.broadcast(offsets(points, replicas, period)))
         shift = {d: F.col(f"o{d}") for d in "xyz"}
     gap = [F.col(f"s_{d}") + shift[d] - F.col(d) for d in "xyz"]
-    return summed(pairs.select("id", *near_terms(*gap, F.col("s_mass"), F.col("s_soft") + F.col("soft"))))
+    return summed(near_terms(pairs, *gap, F.col("s_mass"), F.col("s_soft") + F.col("soft")))
 
 
 def hierarchical(points: DataFrame, theta: float = 0.7, quadrupole: bool = True, step: int = 3, leaf: int = 12) -> DataFrame:
@@ -90,8 +96,8 @@ def hierarchical(points: DataFrame, theta: float = 0.7, quadrupole: bool = True,
     source = rows.select(*(F.col(c).alias(f"s_{c}") for c in ("x", "y", "z", "mass", "soft")), F.col("leaf").alias("source"))
     near = actions.where("action = 'leaf'").select("target", "source").join(target, "target").join(source, "source")
     gap = [F.col(f"s_{d}") - F.col(d) for d in "xyz"]
-    near = near.select("id", *near_terms(*gap, F.col("s_mass"), F.col("s_soft") + F.col("soft")))
+    near = near_terms(near, *gap, F.col("s_mass"), F.col("s_soft") + F.col("soft"))
     t = node_side(nodes.where("is_leaf").select("node", *(f"{d}{i}" for d in "xyz" for i in (0, 1)), "cx", "cy", "cz", "soft"), "t")
     s = node_side(nodes.select("node", "mass", "cx", "cy", "cz", "soft", *(c for c in nodes.columns if c.startswith("q"))), "s")
     far = actions.where("action = 'node'").select("target", "source").join(hinted(s, n), F.col("source") == F.col("s_node")).join(hinted(t, n), F.col("target") == F.col("t_node")).join(target, "target")
-    return summed(near.unionByName(far.select("id", *far_terms(quadrupole))))
+    return summed(near.unionByName(far_terms(far, quadrupole)))

@@ -43,4 +43,4 @@ def time_step(points: DataFrame, max_dt: float = 1e-5) -> DataFrame:
     """dt: the time that the fastest row takes through a mean cell, max_dt at most."""
     u = universe(points)
     edge = F.least(*(F.col(f"{d}1") - F.col(f"{d}0") for d in "xyz"))
-    return u.select(F.least(edge / (F.col("max_speed") * F.cbrt("n")), F.lit(max_dt)).alias("dt"))
+    return u.select(F.least(F.try_divide(edge, F.col("max_speed") * F.cbrt("n")), F.lit(max_dt)).alias("dt"))
