@@ -108,10 +108,10 @@ class Filter:
         none = F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
         if not self.languages:
             return none
-        shipped = SparkSession.active().sparkContext.broadcast(self)
+        shipped = SparkSession.active().sparkContext.broadcast((self.languages, self.masks, self.chance))
 
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            own = shipped.value
+            own = Filter(*shipped.value)
             names = np.array(own.languages, object)
             for series in batches:
                 batch = pa.record_batch([pa.array(series, pa.string(), from_pandas=True)], names=["text"])
