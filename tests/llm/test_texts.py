@@ -177,6 +177,51 @@ def test_near_copies_go_and_others_stay(spark):
     assert len([i for i in kept if i < 1000]) <= groups + 1
 
 
+def jaccard(a, b):
+    a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("kind", ["cut", "longer", "block", "scattered"])
+def test_near_copies_by_exact_similarity(spark, kind):
+    """Every pair of 0.8 or more is found whatever the edit, and none below."""
+    rng = np.random.default_rng(11)
+    rows, want = [], {}
+    for g in range(120):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 200)]
+        new = [f"v{x}" for x in rng.integers(0, 10**6, 60)]
+        k = int(rng.integers(5, 60))
+        if kind == "cut":
+            copy = words[:-k]
+        elif kind == "longer":
+            copy = words + new[:k]
+        elif kind == "block":
+            copy = words[:70] + new[:k] + words[70 + k :]
+        else:
+            copy = list(words)
+            for at in rng.choice(200, max(1, k // 5), replace=False):
+                copy[at] = new[0]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(copy))]
+        want[2 * g + 1] = jaccard(words, copy) >= 0.8
+    assert 10 < sum(want.values()) < 110
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(documents(spark, rows)).collect()}
+    assert {i for i in range(0, 240, 2)} <= kept
+    assert {i for i in want if i not in kept} == {i for i in want if want[i]}
+
+
+@pytest.mark.parametrize("cap", [4, 512])
+def test_similar_texts_of_large_shards(spark, cap, monkeypatch):
+    """Chains of texts connect what pairs of 0.8 connect, also where parts of a shard meet."""
+    monkeypatch.setattr(simhash, "SHARD", cap)
+    words = [f"w{i}" for i in range(400)]
+    texts = [words[i : i + 100] for i in (*range(0, 200, 4), *range(240, 290, 3))]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(900, None), (901, " "), (902, "")]
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicate_components(documents(spark, rows)).collect()}
+    assert jaccard(texts[0], texts[1]) > 0.8 > jaccard(texts[49], texts[50])
+    assert [found[i] for i in range(len(texts))] == [0] * 50 + [50] * 17
+    assert found[900] == found[901] == found[902] == 900
+
+
 def test_packing_round_trip(spark, odd, some):
     import public_tokenizers
     from tokenizers import Tokenizer
