@@ -17,7 +17,7 @@ Defined results: A-Z count as a-z; words are runs of bytes other than 0x20 and
 0x09-0x0D; texts of fewer words than a shingle have their whole word sequence as only
 shingle; null and wordless texts have none and never match; documents are told apart
 by id and text, so repeated rows report one pair, and rows with equal ids one each for
-each text that matches; the same holds for a null id.
+each text that matches; the same holds for a null id, and for items likewise.
 """
 
 from __future__ import annotations
@@ -53,46 +53,48 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
 
 
 def item_shingles(items: DataFrame, item_id: str, text: str, size: int) -> DataFrame:
-    """(item_id, shingle, hash, n): the distinct shingles of each item and their number."""
-    own = shingles(items.select(F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{text}`").alias("text")), F.col("text"), size, "item_id").distinct()
-    return own.select("item_id", "shingle", F.xxhash64("shingle").alias("hash"), F.count("*").over(W.partitionBy("item_id")).alias("n"))
+    """(item_key, item_id, shingle, hash, n): the distinct shingles of each item and their
+    number. item_key tells items with other ids or texts apart."""
+    keyed = items.select(F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{text}`").alias("text"), row_key(item_id, text).alias("item_key"))
+    own = shingles(keyed, F.col("text"), size, "item_key", "item_id").distinct()
+    return own.select("item_key", "item_id", "shingle", F.xxhash64("shingle").alias("hash"), F.count("*").over(W.partitionBy("item_key")).alias("n"))
 
 
 def sketches(own: DataFrame, threshold: float) -> DataFrame:
-    """(item_id, hash, need, bound): each item's smallest hashes, the number of them to
+    """(item_key, hash, need, bound): each item's smallest hashes, the number of them to
     share, and the largest sketched hash of the items of its size."""
-    rank = F.row_number().over(W.partitionBy("item_id").orderBy("hash", "shingle"))
+    rank = F.row_number().over(W.partitionBy("item_key").orderBy("hash", "shingle"))
     least = own.withColumn("rank", rank).where(F.col("rank") <= SKETCH)
     by_size = F.floor(F.log2("n")).cast("int")
     need = F.greatest(F.floor(F.least("n", F.lit(SKETCH)) * (threshold / 4)), F.lit(1))
     sized_rows = least.withColumn("size", by_size)
     bounds = F.broadcast(sized_rows.groupBy("size").agg(F.max("hash").alias("bound")))  # a row for each power of two
-    return sized_rows.join(bounds, "size").select("item_id", "hash", need.cast("int").alias("need"), "bound")
+    return sized_rows.join(bounds, "size").select("item_key", "hash", need.cast("int").alias("need"), "bound")
 
 
 def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_key, doc_id, item_id, n_shared, n_shingles, containment) of the pairs in
     which the document holds at least ``threshold`` of the item's distinct shingles.
-    doc_key tells rows with other texts apart."""
+    doc_key tells rows with other texts apart; so are items, by a key of their own."""
     own = materialize(item_shingles(items, item_id, item_text, size), "items")
     sketch = materialize(sketches(own, threshold), "sketches")
     rows, bound = sketch.agg(F.count("*"), F.max("bound")).first()
     text = F.col(f"`{doc_text}`")
-    keyed = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text.alias("text"), document_key(doc_id, doc_text).alias("doc_key"))
+    keyed = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text.alias("text"), row_key(doc_id, doc_text).alias("doc_key"))
     hashes = shingles(keyed, F.col("text"), size, "doc_key").select("doc_key", F.xxhash64("shingle").alias("hash")).where(F.col("hash") <= F.lit(bound))
     probed = hashes.join(sized(sketch, rows), "hash").where(F.col("hash") <= F.col("bound"))
-    candidates = probed.groupBy("doc_key", "item_id").agg(F.count("*").alias("shared"), F.first("need").alias("need")).where("shared >= need").select("doc_key", "item_id")
+    candidates = probed.groupBy("doc_key", "item_key").agg(F.count("*").alias("shared"), F.first("need").alias("need")).where("shared >= need").select("doc_key", "item_key")
     candidates = materialize(candidates, "candidates")
     held = keyed.join(candidates.select("doc_key").distinct(), "doc_key").dropDuplicates(["doc_key"])
     exact = shingles(held, F.col("text"), size, "doc_key", "doc_id").distinct()
-    shared = exact.join(candidates, "doc_key").join(sized(own.drop("hash"), own.count()), ["item_id", "shingle"])
-    counted = shared.groupBy("doc_key", "item_id").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("n_shared"), F.first("n").alias("n_shingles"))
+    shared = exact.join(candidates, "doc_key").join(sized(own.drop("hash"), own.count()), ["item_key", "shingle"])
+    counted = shared.groupBy("doc_key", "item_key").agg(F.first("doc_id").alias("doc_id"), F.first("item_id").alias("item_id"), F.count("*").alias("n_shared"), F.first("n").alias("n_shingles"))
     out = counted.withColumn("containment", F.col("n_shared") / F.col("n_shingles")).where(F.col("containment") >= threshold)
     return out.select("doc_key", "doc_id", "item_id", "n_shared", "n_shingles", "containment")
 
 
-def document_key(doc_id: str, text: str) -> Column:
-    return F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
+def row_key(row_id: str, text: str) -> Column:
+    return F.xxhash64(F.col(f"`{row_id}`"), F.col(f"`{text}`"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", **options) -> DataFrame:
@@ -101,7 +103,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     key = "_doc_key"
     while key in docs.columns:
         key += "_"
-    return docs.withColumn(key, document_key(doc_id, doc_text)).join(found.withColumnRenamed("doc_key", key), key, "left_anti").drop(key)
+    return docs.withColumn(key, row_key(doc_id, doc_text)).join(found.withColumnRenamed("doc_key", key), key, "left_anti").drop(key)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

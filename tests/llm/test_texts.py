@@ -283,6 +283,15 @@ def test_decontamination_odd_rows(spark, odd, empty):
     assert decontamination.contained_items(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_items_with_null_and_equal_ids(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(20)) for c in "abcd"]
+    items = spark.createDataFrame([(None, texts[0]), (None, texts[1]), (0, texts[2]), (0, texts[3]), (0, texts[3])], "item_id long, text string")
+    docs = documents(spark, [(i, f"x {t} y") for i, t in enumerate(texts)] + [(9, "clean " * 20)])
+    found = [(r.doc_id, r.item_id, r.n_shared, r.n_shingles) for r in decontamination.contained_items(docs, items).collect()]
+    assert sorted(found, key=str) == [(0, None, 16, 16), (1, None, 16, 16), (2, 0, 16, 16), (3, 0, 16, 16)]
+    assert [r.doc_id for r in decontamination.drop_contaminated(docs, items).collect()] == [9]
+
+
 def test_decontamination_without_broadcast(spark, same, some, data, monkeypatch):
     items = spark.read.parquet(f"{data}/sf0.001/benchmark.parquet")
     want = decontamination.contained_items(some, items).toPandas()
