@@ -1,6 +1,7 @@
 """Language identification by n-gram filters with language bitmasks.
 
-A bit-sliced Bloom filter holds one bit a language in each slot. An n-gram (``ORDER``
+A bit-sliced Bloom filter holds one bit a language in each slot, in as many words as
+the learnt languages need. An n-gram (``ORDER``
 bytes of lower-cased text) is entered for the languages of which it occurs in a share
 of at least ``SHARE`` of the learnt texts; looking it up ands the masks of its ``HASHES`` slots
 and so returns all languages that contain it at once. For each text the languages'
@@ -36,8 +37,8 @@ ORDER, SHARE, HASHES = 4, 0.05, 3
 SLOTS = 8
 #: Labelled rows to learn from, at most.
 SAMPLE = 20_000
-#: Languages, at most: bits of a mask.
-LANGUAGES = 64
+#: Languages of one mask word.
+WORD = 64
 UNKNOWN = "und"
 
 
@@ -66,9 +67,16 @@ def slots(key: np.ndarray, n: int) -> Iterator[np.ndarray]:
         yield ((first + np.uint64(i) * step) & np.uint64(n - 1)).astype(np.int64)
 
 
+def bit(masks: np.ndarray, language: int) -> np.ndarray:
+    """The bit of a language in each mask."""
+    word = masks[:, language // WORD] if masks.ndim > 1 else masks
+    return (word >> np.uint64(language % WORD)) & np.uint64(1)
+
+
 @dataclass
 class Filter:
-    """languages: the most frequent first; masks: one bit of each in each slot."""
+    """languages: the most frequent first; masks: one bit of each in each slot, of up to
+    WORD languages in one number, else a row of numbers for each slot."""
 
     languages: list[str]
     masks: np.ndarray = field(default_factory=lambda: np.zeros(1, np.uint64))
@@ -77,10 +85,12 @@ class Filter:
     @classmethod
     def build(cls, languages: list[str], key: np.ndarray, language: np.ndarray) -> Filter:
         n = 1 << max(4, int(SLOTS * len(np.unique(key))).bit_length())
-        masks = np.zeros(n, np.uint64)
+        words = -(-len(languages) // WORD)
+        masks = np.zeros((n, words), np.uint64)
         for at in slots(key, n):
-            np.bitwise_or.at(masks, at, np.uint64(1) << language.astype(np.uint64))
-        fill = np.array([((masks >> np.uint64(i)) & np.uint64(1)).mean() for i in range(len(languages))])
+            np.bitwise_or.at(masks, (at, language // WORD), np.uint64(1) << (language % WORD).astype(np.uint64))
+        masks = masks if words > 1 else masks[:, 0]
+        fill = np.array([bit(masks, i).mean() for i in range(len(languages))])
         return cls(languages, masks, fill**HASHES)
 
     def lookup(self, key: np.ndarray) -> np.ndarray:
@@ -96,7 +106,7 @@ class Filter:
         n = np.bincount(row, minlength=len(raw))
         votes = np.zeros((len(raw), len(self.languages)))
         for i, chance in enumerate(self.chance):
-            hits = np.bincount(row, ((mask >> np.uint64(i)) & np.uint64(1)).astype(float), minlength=len(raw))
+            hits = np.bincount(row, bit(mask, i).astype(float), minlength=len(raw))
             votes[:, i] = np.maximum((hits - n * chance) / (1 - min(chance, 0.999)), 0)
         best = votes.argmax(axis=1)
         total = votes.sum(axis=1)
@@ -149,7 +159,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("learn_id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"))
     marks = own.select("learn_id", "lang").where("learn_id IS NOT NULL AND lang IS NOT NULL").where(~held_out(F.col("learn_id")))
     learn = marks.groupBy("learn_id").agg(F.min("lang").alias("lang")).orderBy(F.xxhash64("learn_id"), "learn_id").limit(sample)
-    languages = learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    languages = learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not languages:
         return Filter([])
     code = F.create_map(*(x for i, r in enumerate(languages) for x in (F.lit(r["lang"]), F.lit(i))))[F.col("lang")]

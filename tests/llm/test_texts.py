@@ -350,6 +350,16 @@ def test_filter_has_no_false_negatives():
     assert ((mask >> language.astype(np.uint64)) & np.uint64(1)).all()
 
 
+def test_more_languages_than_bits_of_a_number(spark):
+    rng = np.random.default_rng(4)
+    words = {f"l{k:03}": ["".join(rng.choice(list("abcdefghijklmnop"), 8)) for _ in range(12)] for k in range(150)}
+    rows = [(i, " ".join(rng.choice(words[lang], 10)), lang) for i, lang in enumerate(sorted(words) * 8)]
+    found = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    lang = {i: x for i, _, x in rows}
+    assert {r.lang_pred for r in found} == set(words)
+    assert np.mean([r.lang_pred == lang[r.doc_id] for r in found]) > 0.95
+
+
 def test_resampling(spark, some, empty, odd, data):
     labels = spark.read.parquet(f"{data}/sf0.001/labels.parquet")
     found = importance_resampling.resample(some, labels, 0.4).toPandas()
