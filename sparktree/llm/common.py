@@ -163,21 +163,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64."""
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        p = np.full(max(n, 1), np.uint64(b))
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=np.uint64))
-    return out[0], out[1]
-
-
-def _hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    up, down = _powers(len(values) + 1, base)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _ODD)
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in this order."""
+    return mix(mix(a + _ODD) + b)
 
 
 class Words:
@@ -203,21 +191,42 @@ class Words:
         after[row_end[(row_end > 0)] - 1] = False
         self.end = np.flatnonzero(inside & ~after) + 1
         self.first = np.append(np.searchsorted(self.start, row_start), len(self.start))
-        self._hash = None
+        self._hash = self._check = None
+
+    def _sums(self, spread) -> np.ndarray:
+        """A hash of each word: the sum of what ``spread`` makes of its (place, byte) pairs, mixed."""
+        size = self.end - self.start
+        at = ranges(self.start, size)
+        place = ranges(np.zeros(len(size), np.int64), size).astype(np.uint64)
+        term = spread(mix(((place << np.uint64(8)) | self.buf[at]) + _ODD))
+        sums = np.zeros(len(at) + 1, np.uint64)
+        np.cumsum(term, out=sums[1:])
+        stop = np.cumsum(size)
+        return mix(sums[stop] - sums[stop - size] + size.astype(np.uint64) * _ODD)
 
     @property
     def hash(self) -> np.ndarray:
         if self._hash is None:
-            self._hash = _hashes(self.buf.astype(np.uint64) + np.uint64(1), self.start, self.end, 0x2545F4914F6CDD1D)
+            self._hash = self._sums(lambda x: x)
         return self._hash
 
-    def windows(self, k: int) -> np.ndarray:
-        """A hash of the k words from each word on, across rows (see ``whole``)."""
-        n = len(self.start) - k + 1
-        if n <= 0:
+    @property
+    def check(self) -> np.ndarray:
+        """A second hash of each word, for those that must not meet by chance or design."""
+        if self._check is None:
+            self._check = self._sums(lambda x: (x ^ (x >> np.uint64(31))) * (x | np.uint64(1)))
+        return self._check
+
+    def windows(self, k: int, of: str = "hash") -> np.ndarray:
+        """A hash of the k words from each word on, across rows (see ``whole``): windows
+        of a power of two are paired from their halves, others from two that overlap."""
+        out, size = getattr(self, of), 1
+        if len(out) < k:
             return np.zeros(0, np.uint64)
-        at = np.arange(n)
-        return _hashes(self.hash, at, at + k, 0xD1342543DE82EF95)
+        while 2 * size <= k:
+            out = paired(out[: len(out) - size], out[size:])
+            size *= 2
+        return paired(out[: len(out) - (k - size)], out[k - size :]) if size < k else out
 
     def row(self) -> np.ndarray:
         """Each word's row."""

@@ -1,17 +1,21 @@
 """Exact removal of repeated passages by level-wise doubling of windows.
 
 A passage counts as repeated if ``window`` consecutive words start in more than one
-document. Windows of half that length come first. Of each full window only the
-smallest half-length hash is kept, so that a run of unlike windows shares one key.
-Half-length keys that only one document holds end there; the windows around the
-others are extended to twice the length and matched by a 64-bit hash. Candidates
-that do not repeat at that length end there too.
+document. Windows are judged level by level, at lengths that double up to ``window``
+(4, 7 and 13 words for 13). At a level each window still in the race is known by one
+key, the smallest hash of that many words in it, so a run of unlike windows shares a
+key. Keys that one document alone holds end there, and so do their windows; the others
+are extended to twice the length, until none survive or the full length is reached.
+There windows are told apart by 96 bits of two hashes of their words, so that neither
+chance (one in a thousand at 1e13 windows) nor made-up words remove anything.
 
 Documents are dealt once into chunks of bounded size (a bucketed table in the shared
-folder). A chunk sends a hash once, however many of its documents hold it, as packed
-arrays by hash range, and gets answers for its own hashes only. So a passage that a
-third of all documents share costs one entry for each chunk, no task gathers a
-document group, and nothing but row counts reaches the driver.
+folder; several chunks share a bucket where there are many). A chunk sends a hash once,
+however many of its documents hold it, as packed arrays by hash range, and gets answers
+for its own hashes only. So a passage that a third of all documents share costs one
+entry for each chunk, of which there are ``CHUNKS`` at most (beyond 8 TB of text they
+grow instead), no task gathers a document group, and nothing but row counts reaches
+the driver.
 
 Defined results: null text has no words; a document whose id is null neither removes
 nor loses words; rows with equal ids never remove each other's words; documents
@@ -32,8 +36,12 @@ from pyspark.sql import types as T
 from .common import Words, binary, bucketed, materialize, ranges, release_shuffles, shuffle_partitions, slices, table, text_bytes, tidy
 
 CHUNK_BYTES = 8 << 20
-#: Words of text for each hash range.
-RANGE_WORDS = 1 << 16
+#: Chunks and buckets of their table, at most.
+CHUNKS, BUCKETS = 1 << 20, 1 << 14
+#: Words of text for each hash range, of which there are 2**RANGE_BITS at most.
+RANGE_WORDS, RANGE_BITS = 1 << 16, 30
+#: Shortest level, as a part of the window.
+FIRST = 4
 
 _SENT = "bucket int, chunk int, hashes binary, who binary, ids binary"
 _ANSWER = "chunk int, bucket int, hashes binary, ids binary"
@@ -41,8 +49,12 @@ _SENT_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("hashes
 _ANSWER_ARROW = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("ids", pa.binary())])
 
 
-def levels(window: int) -> tuple[int, int]:
-    return (window + 1) // 2, window
+def levels(window: int) -> list[int]:
+    """Window lengths, each at most twice the one before."""
+    out = [window]
+    while out[0] > -(-window // FIRST):
+        out.insert(0, (out[0] + 1) // 2)
+    return out
 
 
 def sliding_min(x: np.ndarray, k: int) -> np.ndarray:
@@ -55,13 +67,12 @@ def sliding_min(x: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def half_keys(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the whole windows, and for each the smallest half-length hash in it."""
-    half, _ = levels(window)
+def level_keys(words: Words, window: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the whole windows, and for each the smallest hash of ``length`` words in it."""
     inside = words.whole(window)
     if not inside.any():
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    least = sliding_min(words.windows(half), window - half + 1)[: len(inside)]
+    least = sliding_min(words.windows(length), window - length + 1)[: len(inside)]
     at = np.flatnonzero(inside)
     return at, least[at]
 
@@ -84,21 +95,41 @@ def tidied(run, *given):
         tidy()
 
 
-def first_level(chunk: pa.Table, window: int, bits: int) -> pa.Table:
-    """The chunk's half-length keys: 32 bits beyond the range bits, then one byte that
-    tells whether two documents of this chunk hold it."""
+def known_keys(answers: pa.Table) -> np.ndarray:
+    """The keys of a level's answers, sorted: their range above 32 bits."""
+    keys = [np.frombuffer(h, np.uint32).astype(np.uint64) | (np.uint64(b) << np.uint64(32)) for b, h in zip(answers.column("bucket").to_pylist(), answers.column("hashes").to_pylist())]
+    return np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+
+
+def survivors(words: Words, window: int, length: int, known: np.ndarray, bits: int) -> np.ndarray:
+    """Starts of the windows whose key of that length is among the known ones."""
+    starts, least = level_keys(words, window, length)
+    least = least >> np.uint64(32 - bits)
+    return starts[known[np.minimum(np.searchsorted(known, least), len(known) - 1)] == least]
+
+
+def middle_level(chunk: pa.Table, answers: pa.Table | None, window: int, before: int | None, length: int, bits: int) -> pa.Table:
+    """The chunk's keys of one level, of windows that survived the level before: 32 bits
+    beyond the range bits, then one byte that tells whether two documents of this chunk
+    hold it."""
+    if not chunk.num_rows or answers is not None and not answers.num_rows:
+        return _SENT_ARROW.empty_table()
     keys, owner = [], []
     ids = chunk.column("id").to_numpy()
+    known = None if answers is None else known_keys(answers)
     for at, part in parts(chunk):
         words = Words(binary(part.column("text")))
-        starts, least = half_keys(words, window)
+        starts, least = level_keys(words, window, length)
+        if known is not None:
+            own = np.isin(starts, survivors(words, window, before, known, bits), assume_unique=True)
+            starts, least = starts[own], least[own]
         doc = ids[at + words.row()[starts]]
         new = np.ones(len(least), bool)
         new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
         keys.append(least[new])
         owner.append(doc[new])
-    key, doc = (np.concatenate(x) if x else np.zeros(0) for x in (keys, owner))
-    key = (key.astype(np.uint64) >> np.uint64(32 - bits)) << np.uint64(32 - bits)
+    key, doc = (np.concatenate(x) for x in (keys, owner))
+    key = (key >> np.uint64(32 - bits)) << np.uint64(32 - bits)
     order = np.argsort(key, kind="stable")
     key, doc = key[order], doc[order]
     lo = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
@@ -132,29 +163,34 @@ def repeated_keys(rows: pa.Table) -> pa.Table:
     return pa.table([rows.column("chunk").take(keep), rows.column("bucket").take(keep), [key[cut[i] : cut[i + 1]].tobytes() for i in keep.to_pylist()], pa.array([b""] * len(keep), pa.binary())], schema=_ANSWER_ARROW)
 
 
-def second_level(chunk: pa.Table, answers: pa.Table, window: int, bits: int) -> pa.Table:
-    """Windows around repeated half-length keys: their hashes, with the smallest id
-    here and whether another document of this chunk holds it."""
+def distinct(key: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Where a new one of sorted (key, check) begins."""
+    return np.append(True, (key[1:] != key[:-1]) | (check[1:] != check[:-1])) if len(key) else np.zeros(0, bool)
+
+
+def last_level(chunk: pa.Table, answers: pa.Table, window: int, before: int, bits: int) -> pa.Table:
+    """The windows that survived: both their hashes, with the smallest id here and
+    whether another document of this chunk holds it."""
     if not chunk.num_rows or not answers.num_rows:
         return _SENT_ARROW.empty_table()
-    known = np.sort(np.concatenate([np.frombuffer(h, np.uint32).astype(np.uint64) | (np.uint64(b) << np.uint64(32)) for b, h in zip(answers.column("bucket").to_pylist(), answers.column("hashes").to_pylist())]))
-    hashes, owner = [], []
+    known = known_keys(answers)
+    found: list[list[np.ndarray]] = [[], [], []]
     ids = chunk.column("id").to_numpy()
     for at, part in parts(chunk):
         words = Words(binary(part.column("text")))
-        starts, least = half_keys(words, window)
-        least = least >> np.uint64(32 - bits)
-        starts = starts[known[np.minimum(np.searchsorted(known, least), len(known) - 1)] == least]
-        hashes.append(words.windows(window)[starts])
-        owner.append(ids[at + words.row()[starts]])
-    key, doc = np.concatenate(hashes), np.concatenate(owner)
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
-    if not len(key):
+        starts = survivors(words, window, before, known, bits)
+        if len(starts):
+            new = (words.windows(window)[starts], words.windows(window, "check")[starts].astype(np.uint32), ids[at + words.row()[starts]])
+            for c, v in zip(found, new):
+                c.append(v)
+    if not found[0]:
         return _SENT_ARROW.empty_table()
-    lo = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    key, check, doc = (np.concatenate(c) for c in found)
+    order = np.lexsort((doc, check, key))
+    key, check, doc = key[order], check[order], doc[order]
+    lo = np.flatnonzero(distinct(key, check))
     high = np.maximum.reduceat(doc, lo)
-    key, doc = key[lo], doc[lo]
+    key, check, doc = key[lo], check[lo], doc[lo]
     dictionary, code = np.unique(doc, return_inverse=True)
     who = ((code.astype(np.uint32) << np.uint32(1)) | (high != doc)).astype(np.uint32)
     number = chunk.column("chunk")[0].as_py()
@@ -163,43 +199,49 @@ def second_level(chunk: pa.Table, answers: pa.Table, window: int, bits: int) ->
     for i, j in zip(a, b):
         used, short = np.unique(who[i:j] >> 1, return_inverse=True)
         flags = (short.astype(np.uint32) << np.uint32(1)) | (who[i:j] & np.uint32(1))
-        packed.append((key[i:j].tobytes(), flags.astype(np.uint16 if len(used) < 1 << 15 else np.uint32).tobytes(), dictionary[used].tobytes()))
+        packed.append((key[i:j].tobytes() + check[i:j].tobytes(), flags.astype(np.uint16 if len(used) < 1 << 15 else np.uint32).tobytes(), dictionary[used].tobytes()))
     return pa.table([pa.array(bucket, pa.int32()), pa.array([number] * len(bucket), pa.int32()), *([x[k] for x in packed] for k in range(3))], schema=_SENT_ARROW)
 
 
+def both_hashes(packed: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The 64-bit and the 32-bit hashes of packed windows."""
+    sizes = [len(x) // 12 for x in packed]
+    return [np.frombuffer(x, np.uint64, n) for x, n in zip(packed, sizes)], [np.frombuffer(x, np.uint32, n, 8 * n) for x, n in zip(packed, sizes)]
+
+
 def smallest_ids(rows: pa.Table) -> pa.Table:
     """Of one hash range: for each chunk the windows that start in a document with a
     smaller id than one of the chunk's, with the smallest id of all."""
-    keys, docs, more = [], [], []
-    for h, w, d in zip(*(rows.column(c).to_pylist() for c in ("hashes", "who", "ids"))):
-        key = np.frombuffer(h, np.uint64)
+    keys, checks = both_hashes(rows.column("hashes").to_pylist())
+    docs, more = [], []
+    for key, w, d in zip(keys, rows.column("who").to_pylist(), rows.column("ids").to_pylist()):
         who = np.frombuffer(w, np.uint16 if len(w) == 2 * len(key) else np.uint32)
-        keys.append(key)
         docs.append(np.frombuffer(d, np.int64)[who >> 1])
         more.append((who & 1).astype(bool))
-    key, doc, other = np.concatenate(keys), np.concatenate(docs), np.concatenate(more)
+    key, check, doc, other = (np.concatenate(x) for x in (keys, checks, docs, more))
     owner = np.repeat(np.arange(len(keys)), [len(x) for x in keys])
-    _, back = np.unique(key, return_inverse=True)
-    least = np.full(back.max() + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, back, doc)
-    least = least[back]
+    order = np.lexsort((check, key))
+    group = np.empty(len(key), np.int64)
+    group[order] = np.cumsum(distinct(key[order], check[order])) - 1
+    least = np.full(group.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, group, doc)
+    least = least[group]
     need = other | (least < doc)
-    key, least, owner = key[need], least[need], owner[need]
+    key, check, least, owner = key[need], check[need], least[need], owner[need]
     cut = np.searchsorted(owner, np.arange(len(keys) + 1))
     keep = pa.array(np.flatnonzero(np.diff(cut)))
-    return pa.table([rows.column("chunk").take(keep), rows.column("bucket").take(keep), [key[cut[i] : cut[i + 1]].tobytes() for i in keep.to_pylist()], [least[cut[i] : cut[i + 1]].tobytes() for i in keep.to_pylist()]], schema=_ANSWER_ARROW)
+    own = [slice(cut[i], cut[i + 1]) for i in keep.to_pylist()]
+    return pa.table([rows.column("chunk").take(keep), rows.column("bucket").take(keep), [key[i].tobytes() + check[i].tobytes() for i in own], [least[i].tobytes() for i in own]], schema=_ANSWER_ARROW)
 
 
 def removed_words(chunk: pa.Table, answers: pa.Table, window: int):
     """For each slice of the chunk: rows before it, its words, and which of them go."""
     ids = chunk.column("id").to_numpy()
-    if answers.num_rows:
-        key = np.concatenate([np.frombuffer(x, np.uint64) for x in answers.column("hashes").to_pylist()])
-        least = np.concatenate([np.frombuffer(x, np.int64) for x in answers.column("ids").to_pylist()])
-        order = np.argsort(key)
-        key, least = key[order], least[order]
-    else:
-        key, least = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    keys, checks = both_hashes(answers.column("hashes").to_pylist()) if answers.num_rows else ([np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)])
+    key, check = np.concatenate(keys), np.concatenate(checks)
+    least = np.concatenate([np.frombuffer(x, np.int64) for x in answers.column("ids").to_pylist()] or [np.zeros(0, np.int64)])
+    order = np.lexsort((check, key))
+    key, check, least = key[order], check[order], least[order]
     for at, part in parts(chunk):
         words = Words(binary(part.column("text")))
         gone = np.zeros(len(words.start), bool)
@@ -207,7 +249,17 @@ def removed_words(chunk: pa.Table, answers: pa.Table, window: int):
         if len(whole):
             hashes = words.windows(window)[whole]
             place = np.minimum(np.searchsorted(key, hashes), len(key) - 1)
-            hit = (key[place] == hashes) & (least[place] < ids[at + words.row()[whole]])
+            near = np.flatnonzero(key[place] == hashes)
+            whole, hashes, place = whole[near], hashes[near], place[near]
+        if len(whole):
+            second = words.windows(window, "check")[whole].astype(np.uint32)
+            while True:  # windows with one first hash lie in the order of their second one
+                next_ = np.minimum(place + 1, len(key) - 1)
+                on = (check[place] != second) & (key[next_] == hashes) & (next_ > place)
+                if not on.any():
+                    break
+                place = np.where(on, next_, place)
+            hit = (check[place] == second) & (least[place] < ids[at + words.row()[whole]])
             step = np.zeros(len(gone) + 1, np.int32)
             np.add.at(step, whole[hit], 1)
             np.add.at(step, whole[hit] + window, -1)
@@ -251,21 +303,34 @@ def cut_text(chunk: pa.Table, answers: pa.Table, window: int) -> pa.Table:
     return chunk.set_column(chunk.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
 
 
+def _level(own: DataFrame, keys: DataFrame | None, window: int, before: int | None, length: int, bits: int) -> DataFrame:
+    """What the chunks send at one level short of the last."""
+    if keys is None:
+        return own.groupBy("chunk").applyInArrow(lambda t: tidied(middle_level, t, None, window, None, length, bits), _SENT)
+    return own.groupBy("chunk").cogroup(keys.groupBy("chunk")).applyInArrow(lambda t, a: tidied(middle_level, t, a, window, before, length, bits), _SENT)
+
+
 def _passes(spark: SparkSession, docs: DataFrame, window: int, n_bytes: int) -> tuple[DataFrame, DataFrame]:
     """The chunk table (columns id, text, chunk and what docs has besides) and the
     answers of the last level."""
     if window < 2:
         raise ValueError("window must be at least 2")
-    chunks = max(n_bytes // CHUNK_BYTES + 1, shuffle_partitions(spark))
-    bits = min(24, max(0, (n_bytes // 6 // RANGE_WORDS).bit_length()))
-    hot_free = docs.withColumn("chunk", F.pmod(F.xxhash64(F.coalesce(F.col("id"), F.lit(-1)), F.length("text")), F.lit(chunks)).cast("int"))
-    chunked = bucketed(hot_free, "chunks", chunks, "chunk")
+    chunks = min(max(n_bytes // CHUNK_BYTES + 1, shuffle_partitions(spark)), CHUNKS)
+    bits = min(RANGE_BITS, max(0, (n_bytes // 6 // RANGE_WORDS).bit_length()))
+    # rows are dealt by their place too, so that equal rows don't share a chunk
+    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("id", F.length("text"), F.monotonically_increasing_id()), F.lit(chunks)).cast("int"))
+    chunked = bucketed(dealt, "chunks", min(chunks, BUCKETS), "chunk")
     release_shuffles(spark)
     own = chunked.where("id IS NOT NULL").select("id", "text", "chunk")
-    sent = own.groupBy("chunk").applyInArrow(lambda t: tidied(first_level, t, window, bits), _SENT)
-    keys = materialize(sent.groupBy("bucket").applyInArrow(repeated_keys, _ANSWER), "keys")
-    release_shuffles(spark)
-    sent = own.groupBy("chunk").cogroup(keys.groupBy("chunk")).applyInArrow(lambda t, a: tidied(second_level, t, a, window, bits), _SENT)
+    *lengths, _ = levels(window)
+    keys, before = None, None
+    for length in lengths:
+        sent = _level(own, keys, window, before, length, bits)
+        keys, before = materialize(sent.groupBy("bucket").applyInArrow(repeated_keys, _ANSWER), "keys"), length
+        release_shuffles(spark)
+        if keys.isEmpty():
+            return chunked, keys
+    sent = own.groupBy("chunk").cogroup(keys.groupBy("chunk")).applyInArrow(lambda t, a: tidied(last_level, t, a, window, before, bits), _SENT)
     answers = materialize(sent.groupBy("bucket").applyInArrow(smallest_ids, _ANSWER), "windows")
     release_shuffles(spark)
     return chunked, answers

@@ -377,3 +377,43 @@ def test_kth_largest(spark, k, monkeypatch):
     rows = [(float(rng.integers(0, 40)), i) for i in range(1000)]
     df = spark.createDataFrame(rows, "key double, tie long")
     assert importance_resampling.kth_largest(df, "key", "tie", k) == sorted(rows, key=lambda r: (-r[0], r[1]))[k - 1]
+
+
+def test_substring_of_made_up_words(spark):
+    """Words on which polynomial hashes modulo 2**64 meet don't make windows equal."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    one, other = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    rest = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{one} {rest}"), (2, f"{other} {rest}")]
+    assert [r.n_removed for r in substring_dedup.substring_digests(spark, documents(spark, rows), 13).collect()] == [0, 0]
+
+
+def test_substring_levels():
+    assert substring_dedup.levels(13) == [4, 7, 13] and substring_dedup.levels(50) == [13, 25, 50] and substring_dedup.levels(2) == [1, 2]
+
+
+def test_substring_with_more_chunks_than_buckets(spark, some, oracle, same, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 2000)
+    monkeypatch.setattr(substring_dedup, "BUCKETS", 5)
+    before = spark.conf.get("spark.sql.sources.bucketing.maxBuckets")
+    spark.conf.set("spark.sql.sources.bucketing.maxBuckets", "5")
+    try:
+        found = substring_dedup.substring_digests(spark, some).toPandas()
+    finally:
+        spark.conf.set("spark.sql.sources.bucketing.maxBuckets", before)
+    same(found, oracle(substring_dedup.ORACLE_SQL))
+
+
+def test_substring_windows_with_one_first_hash(monkeypatch):
+    """Windows that share the first hash are told apart by the second."""
+    import pyarrow as pa
+
+    plain = Words.windows
+    monkeypatch.setattr(Words, "windows", lambda self, k, of="hash": plain(self, k, of) if of == "check" else plain(self, k) & np.uint64(0))
+    texts = ["a b c", "d e f", "x a b c y", "g h i"]
+    chunk = pa.table({"id": pa.array([1, 2, 3, 4]), "text": pa.array(texts), "chunk": pa.array([0] * 4, pa.int32())})
+    sent = substring_dedup.middle_level(chunk, None, 3, None, 2, 0)
+    sent = substring_dedup.last_level(chunk, substring_dedup.repeated_keys(sent), 3, 2, 0)
+    answers = substring_dedup.smallest_ids(sent)
+    gone = np.concatenate([g for _, _, _, g in substring_dedup.removed_words(chunk, answers, 3)])
+    assert np.flatnonzero(gone).tolist() == [7, 8, 9]
