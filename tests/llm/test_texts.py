@@ -139,7 +139,7 @@ def test_links_of_dense_shards(spark, cap, monkeypatch):
     rng = np.random.default_rng(cap)
     base = rng.integers(0, 2**62, 6)
     codes = sorted({int(b) ^ sum(1 << int(x) for x in rng.choice(62, rng.integers(0, 4), replace=False)) for b in base for _ in range(40)})
-    nodes = spark.createDataFrame([(c, c) for c in codes], "node long, code long")
+    nodes = spark.createDataFrame([(c,) for c in codes], "node long")
     links = simhash.radius_links(nodes, 4).collect()
     assert all(bin((r.a ^ r.b) & (2**64 - 1)).count("1") <= 64 for r in links)
     from sparktree.llm.components import connected_components
