@@ -168,18 +168,32 @@ def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(mix(a + _ODD) + b)
 
 
+def placed(place: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """What a byte at a place in a word adds to the word's hash."""
+    return mix(((place << np.uint64(8)) | byte) + _ODD)
+
+
+def sized_hash(total: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The hash of a word of so many bytes from the sum of what they add."""
+    return mix(total + size.astype(np.uint64) * _ODD)
+
+
+#: Which bytes make words: all but 0x20 and 0x09-0x0D.
+PLAIN = ~np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+
+
 class Words:
-    """The words (runs of bytes other than 0x20 and 0x09-0x0D) of a binary column.
+    """The words (runs of ``inside`` bytes) of a binary column.
 
     ``start``/``end``: byte ranges in ``buf``; ``first``: index of each row's first
     word, with the number of words at its end; ``hash``: a 64-bit hash of each word.
     """
 
-    def __init__(self, raw: pa.Array, lower: bool = False):
+    def __init__(self, raw: pa.Array, lower: bool = False, inside: np.ndarray = PLAIN):
         buf, row_end = flat(raw)
         if lower:
             buf = np.where((buf >= 65) & (buf <= 90), buf + np.uint8(32), buf)
-        inside = ~((buf == 32) | ((buf >= 9) & (buf <= 13)))
+        inside = inside[buf]
         before = np.zeros(len(buf), bool)
         before[1:] = inside[:-1]
         row_start = np.concatenate([[0], row_end[:-1]]).astype(np.int64) if len(row_end) else np.zeros(0, np.int64)
@@ -196,13 +210,10 @@ class Words:
     def _sums(self, spread) -> np.ndarray:
         """A hash of each word: the sum of what ``spread`` makes of its (place, byte) pairs, mixed."""
         size = self.end - self.start
-        at = ranges(self.start, size)
         place = ranges(np.zeros(len(size), np.int64), size).astype(np.uint64)
-        term = spread(mix(((place << np.uint64(8)) | self.buf[at]) + _ODD))
-        sums = np.zeros(len(at) + 1, np.uint64)
-        np.cumsum(term, out=sums[1:])
+        sums = np.append(np.uint64(0), np.cumsum(spread(placed(place, self.buf[ranges(self.start, size)])), dtype=np.uint64))
         stop = np.cumsum(size)
-        return mix(sums[stop] - sums[stop - size] + size.astype(np.uint64) * _ODD)
+        return sized_hash(sums[stop] - sums[stop - size], size)
 
     @property
     def hash(self) -> np.ndarray:

@@ -1,13 +1,14 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
-DataFrame functions only. Test items are partitioned by their number of shingles, in
-powers of two. Each item is sketched by its ``SKETCH`` smallest shingle hashes; the
-largest hash in a partition's sketches bounds what it can match, so a document probes
-a partition only with hashes up to that bound. An item whose shingles a document holds
-to a share of ``threshold`` misses all of its sketch with probability below
-(1-threshold)**SKETCH; items of up to ``SKETCH`` shingles are sketched whole. A pair
-that shares a quarter of what the threshold asks is verified by exact containment of
-the shingle strings themselves.
+DataFrame functions only. Test items are partitioned by their number of shingles n, in
+powers of two. A document that holds a share of ``threshold`` of them misses at most
+e = n - ceil(threshold * n). So of an item's e + ``SPARE`` smallest shingle hashes it
+shares at least SPARE: these are the item's sketch, and nothing is missed. An item
+whose sketch would be longer than ``SKETCH`` keeps that many and asks for a quarter of
+them, which a document that qualifies misses with a probability below 1e-12. The
+largest sketched hash of a size bounds what its items can match, and the largest of
+all sizes, which falls as items grow, what a document needs to look up. Candidates are
+verified by exact containment of the shingle strings themselves.
 
 The sketches are broadcast if there are at most ``BROADCAST_ROWS`` of them; beyond, the
 same join shuffles. Document shingles are hashed and probed within one stage of
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-SHINGLE, THRESHOLD, SKETCH = 5, 0.8, 32
+SHINGLE, THRESHOLD, SKETCH, SPARE = 5, 0.8, 32, 3
 #: Sketch rows (three numbers each) that are broadcast at most.
 BROADCAST_ROWS = 1 << 20
 
@@ -61,15 +62,14 @@ def item_shingles(items: DataFrame, item_id: str, text: str, size: int) -> DataF
 
 
 def sketches(own: DataFrame, threshold: float) -> DataFrame:
-    """(item_key, hash, need, bound): each item's smallest hashes, the number of them to
-    share, and the largest sketched hash of the items of its size."""
+    """(item_key, hash, need, size): each item's smallest hashes, the number of them to
+    share, and the item's size class."""
     rank = F.row_number().over(W.partitionBy("item_key").orderBy("hash", "shingle"))
-    least = own.withColumn("rank", rank).where(F.col("rank") <= SKETCH)
-    by_size = F.floor(F.log2("n")).cast("int")
-    need = F.greatest(F.floor(F.least("n", F.lit(SKETCH)) * (threshold / 4)), F.lit(1))
-    sized_rows = least.withColumn("size", by_size)
-    bounds = F.broadcast(sized_rows.groupBy("size").agg(F.max("hash").alias("bound")))  # a row for each power of two
-    return sized_rows.join(bounds, "size").select("item_key", "hash", need.cast("int").alias("need"), "bound")
+    missed = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9)
+    kept = F.least(missed + SPARE, F.col("n"), F.lit(SKETCH))
+    need = F.when(missed + SPARE <= SKETCH, kept - missed).otherwise(SKETCH // 4)
+    least = own.select("item_key", "hash", "n", rank.alias("rank"), kept.alias("kept"), F.greatest(need, F.lit(1)).cast("int").alias("need"))
+    return least.where("rank <= kept").select("item_key", "hash", "need", F.floor(F.log2("n")).cast("int").alias("size"))
 
 
 def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -78,11 +78,12 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", d
     doc_key tells rows with other texts apart; so are items, by a key of their own."""
     own = materialize(item_shingles(items, item_id, item_text, size), "items")
     sketch = materialize(sketches(own, threshold), "sketches")
-    rows, bound = sketch.agg(F.count("*"), F.max("bound")).first()
+    sizes = sketch.groupBy("size").agg(F.count("*").alias("rows"), F.max("hash").alias("bound")).collect()  # a row for each power of two
+    rows, bound = sum(r["rows"] for r in sizes), max((r["bound"] for r in sizes), default=None)
     text = F.col(f"`{doc_text}`")
     keyed = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text.alias("text"), row_key(doc_id, doc_text).alias("doc_key"))
-    hashes = shingles(keyed, F.col("text"), size, "doc_key").select("doc_key", F.xxhash64("shingle").alias("hash")).where(F.col("hash") <= F.lit(bound))
-    probed = hashes.join(sized(sketch, rows), "hash").where(F.col("hash") <= F.col("bound"))
+    hashes = shingles(keyed, F.col("text"), size, "doc_key").select("doc_key", F.xxhash64("shingle").alias("hash")).where(F.col("hash") <= F.lit(bound).cast("long"))
+    probed = hashes.join(sized(sketch.drop("size"), rows), "hash")
     candidates = probed.groupBy("doc_key", "item_key").agg(F.count("*").alias("shared"), F.first("need").alias("need")).where("shared >= need").select("doc_key", "item_key")
     candidates = materialize(candidates, "candidates")
     held = keyed.join(candidates.select("doc_key").distinct(), "doc_key").dropDuplicates(["doc_key"])

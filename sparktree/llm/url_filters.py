@@ -1,12 +1,15 @@
 """URL filters by hashed expressions.
 
 DataFrame functions only. A url is expanded into expressions, each a suffix of its
-host at a label boundary and a prefix of its path, and these are equi-joined with the
-rules on a short hash prefix; the full digest confirms a match, so a short hash that
-two expressions share decides nothing. The longest rule wins, then the one with the
+host at a label boundary and a prefix of its path, and these are equi-joined on a short
+hash prefix with the rules, which are held together by short hash; among those of an
+expression's short hash the full digest confirms a match, so a short hash that two
+expressions share decides nothing. The longest rule wins, then the one with the
 longer host, then block. Urls are expanded only to the label counts and path lengths
 that rules have, so a hostile url costs no more expressions than there are such pairs.
 
+Lengths and label counts are arrays, so a plan does not grow with the rules.
+
 Rules are broadcast if there are at most ``BROADCAST_ROWS``; beyond, both sides are
 shuffled, and expressions that many urls share are matched once for each: the distinct
 expressions are added up before the join and the verdicts go back by expression, in
@@ -54,22 +57,27 @@ def digest(host: Column, path: Column) -> Column:
 
 
 def rule_table(rules: DataFrame) -> DataFrame:
-    """(short, full, rule, verdict, length, host_length) of each rule."""
+    """(short, rules) of each short hash: array of (full, length, host_length, verdict, rule)."""
     clean = rules.where("host IS NOT NULL AND path IS NOT NULL").select(F.translate("host", UPPER, LOWER).alias("host"), "path", "verdict")
     best = clean.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))  # block over allow
     full = digest(F.col("host"), F.col("path"))
-    return best.select(full.alias("full"), F.substring(full, 1, SHORT).alias("short"), F.concat("host", "path").alias("rule"), "verdict", F.length(F.concat("host", "path")).alias("length"), F.length("host").alias("host_length"))
+    own = F.struct(full.alias("full"), F.length(F.concat("host", "path")).alias("length"), F.length("host").alias("host_length"), "verdict", F.concat("host", "path").alias("rule"))
+    return best.groupBy(F.substring(full, 1, SHORT).alias("short")).agg(F.collect_list(own).alias("rules"))
 
 
 def expressions(host: Column, path: Column, labels: list[int], lengths: list[int]) -> Column:
     """Digests of the host suffixes of so many labels with the path prefixes of such lengths."""
-    suffixes = F.array(*(F.substring_index(host, ".", -n) for n in labels))
     # substring_index gives the whole host if it has fewer labels
-    suffixes = F.array_distinct(suffixes)
-    prefixes = F.filter(F.array(*(F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths)), lambda p: p.isNotNull())
+    suffixes = F.array_distinct(F.transform(F.lit(labels), lambda n: F.call_function("substring_index", host, F.lit("."), -n)))
+    prefixes = F.transform(F.filter(F.lit(lengths), lambda n: F.length(path) >= n), lambda n: F.substr(path, F.lit(1), n))
     return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: digest(s, p))))
 
 
+def confirmed(full: Column, rules: Column) -> Column:
+    """Of the rules of a short hash the one with this digest."""
+    return F.filter(rules, lambda r: r["full"] == full)[0]
+
+
 def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict of every row of ``pages``.
 
@@ -86,21 +94,17 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
         return parsed.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     matches = rule_table(rules)
     digests = expressions(F.col("host"), F.col("path"), sorted(known["labels"]), sorted(known["lengths"]))
-    exploded = parsed.select("*", F.posexplode_outer(digests).alias("place", "full")).withColumn("short", F.substring("full", 1, SHORT))
-    rule = matches.withColumnsRenamed({"full": "rule_full", "short": "rule_short"})
-    confirmed = (F.col("short") == F.col("rule_short")) & (F.col("full") == F.col("rule_full"))
+    each = parsed.withColumn("row", F.monotonically_increasing_id())  # equal rows are judged one by one
+    exploded = each.select("*", F.explode_outer(digests).alias("full")).withColumn("short", F.substring("full", 1, SHORT))
     if known["n"] <= BROADCAST_ROWS:
-        joined = exploded.join(F.broadcast(rule), confirmed, "left")
+        joined = exploded.join(F.broadcast(matches), "short", "left").withColumn("hit", confirmed(F.col("full"), F.col("rules")))
     else:
-        rule = materialize(rule, "rules")
         used = exploded.select("full", "short").where("full IS NOT NULL").distinct()
-        hit = materialize(used.join(rule, confirmed).drop("full", "short", "rule_short"), "hits")
-        joined = exploded.join(hit, F.col("full") == F.col("rule_full"), "left")
-    best = F.max(F.when(F.col("rule_full").isNotNull(), F.struct("length", "host_length", "verdict", "rule")))
-    rows = F.count(F.when(F.coalesce("place", F.lit(0)) == 0, 1))  # equal rows are judged together
-    judged = joined.groupBy("page_id", "host", "path").agg(best.alias("best"), rows.alias("n"))
-    each = judged.withColumn("_", F.explode(F.sequence(F.lit(1), "n")))
-    return each.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+        hits = used.join(materialize(matches, "rules"), "short").select(F.col("full").alias("known"), confirmed(F.col("full"), F.col("rules")).alias("hit"))
+        joined = exploded.join(materialize(hits.where("hit IS NOT NULL"), "hits"), F.col("full") == F.col("known"), "left")
+    best = F.max(F.when(F.col("hit").isNotNull(), F.struct("hit.length", "hit.host_length", "hit.verdict", "hit.rule")))
+    judged = joined.groupBy("row").agg(*(F.first(c).alias(c) for c in ("page_id", "host", "path")), best.alias("best"))
+    return judged.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

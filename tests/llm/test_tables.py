@@ -140,13 +140,23 @@ def test_neighbours_odd_rows(spark, monkeypatch):
     assert multi_index.nearest(few.limit(0), few).count() == 0 and multi_index.nearest(few, few.limit(0)).count() == 0
 
 
-def test_index_returns_all_codes_within_the_radius():
+@pytest.mark.parametrize("radius", [0, 5, 9, 40, 60, 128])
+def test_index_returns_all_codes_within_the_radius(radius):
     rng = np.random.default_rng(4)
-    codes = rng.integers(0, 2**63, (400, 2)).astype(np.uint64)
+    codes = rng.integers(0, 2**63, (2000, 2)).astype(np.uint64)
     near = codes[0] ^ np.array([0b1011, 1 << 40], np.uint64)
-    index = multi_index.Index(np.vstack([codes, near]))
-    for radius in (0, 5, 40, 60, 128):
-        assert index.within(codes[0], radius).tolist() == np.flatnonzero(multi_index.hamming(index.codes, codes[0]) <= radius).tolist()
+    index = multi_index.Index(np.vstack([codes, near]), radius)
+    assert index.within(codes[0]).tolist() == np.flatnonzero(multi_index.hamming(index.codes, codes[0]) <= radius).tolist()
+    if radius <= 40:
+        assert len(index.retrieved(codes[0])) < 0.05 * len(index.codes)
+
+
+def test_neighbours_of_equal_ids_and_other_lengths(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.1, 1.0]), (3, [1.0, 0.2]), (3, [-1.0, 0.0]), (4, [1.0, 1.0, 1.0]), (5, [1.0, 1.0, 0.9]), (3, [1.0, 0.2])]
+    df = vectors(spark, rows)
+    found = multi_index.nearest(df, df.where("vec_id IN (1, 4)")).toPandas().sort_values(["query_id", "rank"])
+    assert [(int(r.query_id), int(r.vec_id)) for r in found.itertuples()] == [(1, 2), (1, 3), (4, 5)]
+    assert abs(found.score.iloc[0] - 1 / np.sqrt(1.01)) < 1e-6
 
 
 def test_pipeline(spark, data):

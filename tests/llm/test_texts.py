@@ -329,6 +329,86 @@ def test_toxicity_finds_held_out(spark, empty):
     assert all(r.score == 0 for r in toxicity.score_documents(documents(spark, rows[:5]), labels.limit(0)).collect())
 
 
+def brute_toxicity(texts, labels):
+    """Plain Python: (raw score of each text, P(byte | chain before it, class))."""
+    import math
+    from collections import Counter
+
+    words = [re.findall("[a-z0-9]+", t.lower()) for t in texts]
+    counts = [Counter(), Counter()]
+    for own, label in zip(words, labels):
+        if label is not None:
+            counts[label].update(w[:i] for x in set(own) for w in [x + " "] for i in range(1, len(w) + 1))
+    pooled = counts[0] + counts[1]
+    known = {c for c, n in pooled.items() if n > 3}
+    grams = {5: Counter((" " + w + " ")[: i + 1][-5:].rjust(5, "0") for own in words for w in own for i in range(1, len(w) + 2))}
+    for k in (4, 3, 2, 1):
+        grams[k] = Counter(g[1:] for g in grams[k + 1])
+
+    def lower(text, k=5):
+        if not k:
+            return 1 / 256
+        own = (" " + text)[-k:].rjust(k, "0")
+        rivals = [n for g, n in grams[k].items() if g[:-1] == own[:-1]]
+        if not rivals:
+            return lower(text, k - 1)
+        return (max(grams[k][own] - 0.75, 0) + sum(min(n, 0.75) for n in rivals) * lower(text, k - 1)) / sum(rivals)
+
+    def total(c, before):
+        return sum(n for x, n in c.items() if len(x) == len(before) + 1 and x.startswith(before) and (len(before) > 0 or len(x) == 1))
+
+    def discounted(c, text, shorter):
+        n = total(c, text[:-1])
+        if not n:
+            return shorter
+        kept = {x: max(c[x] - 3, 0) for x in known if len(x) == len(text) and x[:-1] == text[:-1]}
+        return kept.get(text, 0) / n + (1 - sum(kept.values()) / n) * shorter
+
+    def step(text, label):
+        shared = discounted(pooled, text, lower(text))
+        return (discounted(counts[label], text, shared) + shared) / 2
+
+    def evidence(word):
+        gap, text = 0.0, word + " "
+        for i in range(1, len(text) + 1):
+            gap += math.log(step(text[:i], 1)) - math.log(step(text[:i], 0))
+            if text[:i] not in known:
+                break
+        return math.copysign(max(abs(gap) - 1, 0), gap)
+
+    seen = {w: evidence(w) for own in words for w in own}
+    return [sum(seen[w] for w in own) / max(len(own), 1) for own in words], step
+
+
+def test_toxicity_equals_plain_python(spark):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    texts = [" ".join("".join(rng.choice(list("abAc"), rng.integers(1, 5))) for _ in range(25)) + (" badx bady" if i % 3 == 0 else "") for i in range(40)]
+    labels = [None if zlib.crc32(str(i).encode()) % 5 == 0 else int(i % 3 == 0) for i in range(40)]
+    table = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(40)], "doc_id long, toxic int")
+    model = toxicity.fit(documents(spark, list(enumerate(texts))), table)
+    want, step = brute_toxicity(texts, labels)
+    np.testing.assert_allclose(model.raw_scores(binary(pa.array(texts))), want, atol=1e-9)
+    assert max(want) > 0.01
+    for before in ("", "a", "ba", "bad", "zz"):
+        for label in (0, 1):
+            assert abs(sum(step(before + chr(b), label) for b in range(256)) - 1) < 1e-6
+
+
+def test_toxicity_reads_whole_words():
+    import pyarrow as pa
+
+    texts = ["Ab cdefghijklmnop", "", None, "é1"]
+    words = toxicity.words_of(binary(pa.array(texts)))
+    chains = toxicity.Chains.of(words.buf, words.start, words.end)
+    assert np.bincount(chains.word).tolist() == [3, 15, 4]
+    assert bytes(chains.gram[2].tobytes()[:4]) == b" ba "
+    assert len(set(chains.node.tolist())) == 22 and chains.above[0] == toxicity.ROOT
+    inner = chains.depth > 0
+    assert (chains.above[inner] == chains.node[np.flatnonzero(inner) - 1]).all()
+
+
 def test_language(spark, some, empty, odd):
     found = {r.doc_id: r for r in language_id.identify(some).collect()}
     truth = {r.doc_id: r.lang for r in some.select("doc_id", "lang").collect()}
