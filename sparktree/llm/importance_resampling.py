@@ -12,7 +12,7 @@ largest key is found by histograms of the keys: each round narrows the range to
 bin, and only a bin of at most ``SORTED`` rows is sorted, so no task gathers all rows.
 
 Defined results: null and empty texts have weight 0 in logarithms; a null id has a
-noise of its own; without a good document all weights are equal; rows with equal key
+noise of its text's; without a good document all weights are equal; rows with equal key
 and id are kept or dropped together, so k may be exceeded by such copies.
 """
 
@@ -71,7 +71,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, s
 
 
 def log_weights(docs: DataFrame, ratios: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, log_weight of every row."""
+    """doc_id, tie (the id, without one a hash of the text), log_weight of every row."""
     shipped = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -83,7 +83,8 @@ def log_weights(docs: DataFrame, ratios: np.ndarray, id_col: str, text_col: str)
                 out.append(np.bincount(row, shipped.value[at], minlength=part.num_rows))
             yield pd.Series(np.concatenate(out))
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.pandas_udf(run, "double")(F.col(f"`{text_col}`")).alias("log_weight"))
+    own = F.col(f"`{id_col}`").cast("long")
+    return docs.select(own.alias("doc_id"), F.coalesce(own, F.xxhash64(F.col(f"`{text_col}`"))).alias("tie"), F.pandas_udf(run, "double")(F.col(f"`{text_col}`")).alias("log_weight"))
 
 
 def kth_largest(rows: DataFrame, key: str, tie: str, k: int) -> tuple[float, int] | None:
@@ -101,19 +102,34 @@ def kth_largest(rows: DataFrame, key: str, tie: str, k: int) -> tuple[float, int
                 break
             k -= bins[b]["n"]
         low, high, n = bins[b]["low"], bins[b]["high"], bins[b]["n"]
-    if low == high and n > SORTED:  # one key: narrow the ties instead
-        ties = rows.where(F.col(key) == low).select((-F.col(tie).cast("double")).alias(key), F.lit(0).alias(tie))
-        found = kth_largest(ties, key, tie, k)
-        return low, int(-found[0])
+    if low == high and n > SORTED:  # one key: its ties decide
+        return low, kth_smallest(rows.where(F.col(key) == low).select(F.col(tie).cast("long").alias("tie")), k)
     last = rows.where(F.col(key).between(low, high)).orderBy(F.desc(key), F.asc(tie)).limit(k).orderBy(F.asc(key), F.desc(tie)).first()
     return last[key], last[tie]
 
 
+def kth_smallest(rows: DataFrame, k: int) -> int:
+    """The k-th smallest of the whole numbers in column ``tie``, exactly."""
+    low, high, n = rows.agg(F.min("tie"), F.max("tie"), F.count("tie")).first()
+    while n > SORTED and low < high:
+        width = (high - low) // BINS + 1
+        place = F.expr(f"CAST((CAST(tie AS DECIMAL(38, 0)) - CAST('{low}' AS DECIMAL(38, 0))) div CAST('{width}' AS DECIMAL(38, 0)) AS INT)").alias("bin")
+        bins = {r["bin"]: r for r in rows.where(F.col("tie").between(low, high)).groupBy(place).agg(F.count("*").alias("n"), F.min("tie").alias("low"), F.max("tie").alias("high")).collect()}
+        for b in sorted(bins):
+            if k <= bins[b]["n"]:
+                break
+            k -= bins[b]["n"]
+        low, high, n = bins[b]["low"], bins[b]["high"], bins[b]["n"]
+    if low == high:
+        return low
+    return rows.where(F.col("tie").between(low, high)).orderBy("tie").limit(k).agg(F.max("tie")).first()[0]
+
+
 def resample(docs: DataFrame, labels: DataFrame, fraction: float = 0.5, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, log_weight, gumbel_key, selected of every row; ``fraction`` of them are selected."""
     weights = log_weights(docs, log_ratios(docs, labels, id_col, text_col), id_col, text_col)
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1))), 11).cast("double") + 0.5) / 2.0**53
-    keyed = materialize(weights.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform))).withColumn("tie", F.coalesce("doc_id", F.lit(-1))), "keys")
+    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "tie"), 11).cast("double") + 0.5) / 2.0**53
+    keyed = materialize(weights.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform))), "keys")
     last = kth_largest(keyed, "gumbel_key", "tie", round(fraction * keyed.count()))
     if last is None:
         chosen = F.lit(False)

@@ -9,14 +9,14 @@ bits are counted over its n-grams, the hits that a filter of that fill gives by
 are taken off, and the largest count decides, ties going to the more frequent
 language. The score is the winner's share of all corrected counts.
 
-At most ``SAMPLE`` labelled rows, taken by hash of their id, are learnt from, so their
+The rows of at most ``SAMPLE`` labelled ids, taken by hash, are learnt from, so these
 ids are broadcast, and the n-grams that the driver gathers are at most 1/SHARE times
 those of a mean text for each language. Text is never shuffled.
 
 Defined results: ``und`` with score 0 if the text is null or has no letter, or if no
 language was learnt; a text with letters but no known n-gram gets the most frequent
 language with score 0; a null id is never learnt from and counts as held out; a
-repeated id's language is the smallest of its languages.
+repeated id teaches each of its rows' texts in the row's own language.
 """
 
 from __future__ import annotations
@@ -157,14 +157,14 @@ def count_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, share: float = SHARE) -> Filter:
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("learn_id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"))
-    marks = own.select("learn_id", "lang").where("learn_id IS NOT NULL AND lang IS NOT NULL").where(~held_out(F.col("learn_id")))
-    learn = marks.groupBy("learn_id").agg(F.min("lang").alias("lang")).orderBy(F.xxhash64("learn_id"), "learn_id").limit(sample)
+    marked = own.where("learn_id IS NOT NULL AND lang IS NOT NULL").where(~held_out(F.col("learn_id")))
+    ids = marked.select("learn_id").distinct().orderBy(F.xxhash64("learn_id"), "learn_id").limit(sample)
+    learn = marked.join(F.broadcast(ids), "learn_id")
     languages = learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not languages:
         return Filter([])
     code = F.create_map(*(x for i, r in enumerate(languages) for x in (F.lit(r["lang"]), F.lit(i))))[F.col("lang")]
-    coded = learn.select("learn_id", code.alias("code")).where("code IS NOT NULL")
-    texts = own.select("learn_id", "text").join(F.broadcast(coded), "learn_id").select("text", "code")
+    texts = learn.select("text", code.alias("code"))
     counted = texts.mapInArrow(count_ngrams, "code int, ngram long, n long").groupBy("code", "ngram").agg(F.sum("n").alias("n"))
     enough = F.greatest(F.ceil(F.array(*(F.lit(r["count"] * share) for r in languages))[F.col("code")]), F.lit(1))
     entered = counted.where(F.col("n") >= enough).select("code", "ngram").toArrow()

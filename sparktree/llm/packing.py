@@ -3,8 +3,10 @@
 Each task packs the documents of its partition as they come. Whole windows of a long
 document are sequences of their own; the rest of it goes to the fill level that
 minimises the sum of squares of N(h), the number of open windows filled to level h,
-which a level array keeps. Levels with no open window are out, a new window counts as
-level 0, ties go to the fullest. A window that reaches its size is written at once.
+which a level array keeps. There are ``LEVELS`` levels, so that the array fills soon and
+a sum of squares says something. Levels with no open window are out, a new window
+counts as level 0, ties go to the fullest. A window whose room is less than a level is
+topped up with the first ids of the next document (documents may be cut) and written.
 
 What stays open at the end of a partition, or whenever ``OPEN`` windows are open, is
 joined and cut into full windows, so memory is bounded and at most one window of a
@@ -32,6 +34,8 @@ from .common import slices, table, tidied
 
 #: Open windows of a task beyond which they are joined.
 OPEN = 2048
+#: Fill levels of a window.
+LEVELS = 8
 #: Words that a worker remembers the ids of.
 REMEMBERED = 200_000
 SPECIAL = "<|endoftext|>"
@@ -75,15 +79,22 @@ class Encoder:
                 yield (bytes(self.part(first, none)) if first else b"") + b"".join(map(known.__getitem__, parts))
 
 
+def size_of(pieces: list[tuple]) -> int:
+    return sum(len(p[2]) for p in pieces)
+
+
 class Packer:
-    """Sum-of-squares packing. ``out`` gets (doc, start, ids, sequence, offset)."""
+    """Sum-of-squares packing. ``out`` gets (doc, start, ids, sequence, offset); ``joined``
+    counts the windows that were made at the end, not by levels."""
 
     def __init__(self, window: int):
-        self.window = window
-        self.levels = np.zeros(window + 1)
-        self.levels[window] = -0.5  # a full window is not open: twice this makes its cost 1 - 2 N(h)
+        self.window, self.step = window, -(-window // LEVELS)
+        self.top = window // self.step
+        self.levels = np.zeros(self.top + 1)
+        self.levels[self.top] = -0.5  # a full window is not open: twice this makes its cost 1 - 2 N(h)
         self.open: dict[int, list[list]] = defaultdict(list)
-        self.n_open = self.next = 0
+        self.short: list[list] = []  # windows with less room than a level
+        self.n_open = self.next = self.joined = 0
         self.out: list[tuple] = []
 
     def add(self, doc: int, ids: np.ndarray) -> None:
@@ -91,37 +102,59 @@ class Packer:
         while len(ids) - start >= self.window:
             self.write([(doc, start, ids[start : start + self.window])])
             start += self.window
+        while self.short and start < len(ids):
+            pieces = self.short.pop()
+            room = self.window - size_of(pieces)
+            pieces.append((doc, start, ids[start : start + room].copy()))
+            start += room
+            self.shelve(pieces)
         if start < len(ids):
             self.place((doc, start, ids[start:].copy()))
 
-    def place(self, piece: tuple) -> None:
-        size, n = len(piece[2]), self.levels
-        costs = 2 * (n[size + 1 :] - n[1 : self.window - size + 1]) + 2
-        costs[n[1 : self.window - size + 1] <= 0] = np.inf
+    def level(self, pieces: list[tuple]) -> int:
+        return -(-size_of(pieces) // self.step)
+
+    def choose(self, size: int) -> int:
+        """The level to which a piece of so many levels goes; 0 for a new window."""
+        n = self.levels
+        costs = 2 * (n[size + 1 :] - n[1 : self.top - size + 1]) + 2
+        costs[n[1 : self.top - size + 1] <= 0] = np.inf
         level = len(costs) - int(np.argmin(costs[::-1])) if len(costs) else 0
-        if not level or costs[level - 1] > 2 * n[size] + 1:
-            level, pieces = 0, []
-            self.n_open += 1
-        else:
+        return 0 if not level or costs[level - 1] > 2 * n[size] + 1 else level
+
+    def place(self, piece: tuple) -> None:
+        level = self.choose(self.level([piece]))
+        pieces = []
+        if level:
             pieces = self.open[level].pop()
-            n[level] -= 1
-        pieces.append(piece)
-        level += size
-        if level == self.window:
+            self.levels[level] -= 1
             self.n_open -= 1
-            self.write(pieces)
-            return
-        self.open[level].append(pieces)
-        n[level] += 1
+        pieces.append(piece)
+        self.shelve(pieces)
         if self.n_open > OPEN:
             self.join(last=False)
 
+    def shelve(self, pieces: list[tuple]) -> None:
+        """Write a full window; keep another at its level."""
+        size = size_of(pieces)
+        level = self.level(pieces)
+        if size == self.window:
+            self.write(pieces)
+        elif level >= self.top:
+            self.short.append(pieces)
+        else:
+            self.open[level].append(pieces)
+            self.levels[level] += 1
+            self.n_open += 1
+
     def join(self, last: bool = True) -> None:
         """Cut what is open into full windows."""
         pieces = [p for level in sorted(self.open) for group in self.open[level] for p in group]
+        pieces += [p for group in self.short for p in group]
         self.open.clear()
-        self.levels[: self.window] = 0
-        self.n_open = 0
+        self.short.clear()
+        self.levels[: self.top] = 0
+        self.n_open, before = 0, self.next
         left = sum(len(p[2]) for p in pieces)
         room, held, filled = (self.window, [], 0) if left >= self.window or not last else (1 << (left.bit_length() - 1) if left else 0, [], 0)
         for doc, start, ids in pieces:
@@ -133,10 +166,9 @@ class Packer:
                     self.write(held)
                     held, filled = [], 0
                     room = self.window if left >= self.window or not last else 1 << (left.bit_length() - 1) if left else 0
+        self.joined += self.next - before
         if held:
-            self.open[filled].append(held)
-            self.levels[filled] += 1
-            self.n_open = 1
+            self.shelve(held)
 
     def write(self, pieces: list[tuple]) -> None:
         offset = 0
@@ -165,12 +197,16 @@ def pack_documents(docs: DataFrame, window: int = 2048, end_id: int = 1, id_col:
         end = np.array([end_id], np.uint32).tobytes()
 
         def rows() -> pa.RecordBatch:
-            cols: list[list] = [[] for _ in schema]
+            cols: list[list] = [[] for _ in kinds]
             for (doc, total), start, ids, sequence, offset in packer.out:
-                for c, v in zip(cols, (doc, start, len(ids), zlib.crc32(ids.tobytes()), total, base + sequence, offset, ids)):
+                for c, v in zip(cols, (doc, start, len(ids), zlib.crc32(ids.tobytes()), total, base + sequence, offset)):
                     c.append(v)
+            arrays = [pa.array(c, t) for c, (_, t) in zip(cols, kinds)]
+            if with_ids:
+                flat = np.concatenate([p[2] for p in packer.out] or [np.zeros(0, np.uint32)])
+                arrays.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(cols[2])), pa.int32()), pa.array(flat.view(np.int32))))
             packer.out = []
-            return pa.record_batch([pa.array(c, t.type) for c, t in zip(cols, schema)], schema=schema)
+            return pa.record_batch(arrays, schema=schema)
 
         for batch in batches:
             for part in slices(batch, "text"):
@@ -186,7 +222,7 @@ def pack_documents(docs: DataFrame, window: int = 2048, end_id: int = 1, id_col:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), with_ids=False)
+    return pack_documents(table(spark, sf_dir, "documents")).drop("ids")
 
 
 ORACLE_SQL = None

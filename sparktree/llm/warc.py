@@ -40,6 +40,7 @@ HEAD_BYTES = 600
 BROADCAST_ROWS = 500_000
 DATE = "2025-01-01T00:00:00Z"
 END = "\r\n\r\n"
+NAMES = {n.lower(): n for n in ("WARC-Type", "WARC-Record-ID", "WARC-Target-URI", "WARC-Payload-Digest", "WARC-Refers-To", "Content-Type", "Content-Length")}
 
 
 def payloads(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
@@ -96,12 +97,26 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
 
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of an archive."""
+    """Headers and block of each record of an archive; ValueError if it is cut short or
+    does not say where a block ends. Header names are as written but for a record's own
+    ones, which are spelt as WARC does; lines without a colon continue the one before."""
     at = 0
     while at < len(archive):
-        stop = archive.index(b"\r\n\r\n", at)
+        stop = archive.find(b"\r\n\r\n", at)
+        if stop < 0:
+            raise ValueError("the archive ends within a record's headers")
         _, *lines = archive[at:stop].decode("utf-8", "replace").split("\r\n")
-        head = dict(line.split(": ", 1) for line in lines)
+        head: dict[str, str] = {}
+        name = None
+        for line in lines:
+            if ":" in line and line[:1] not in " \t":
+                name, value = line.split(":", 1)
+                name = NAMES.get(name.strip().lower(), name.strip())
+                head[name] = value.strip()
+            elif name:
+                head[name] += " " + line.strip()
+        if not head.get("Content-Length", "").isdigit():
+            raise ValueError(f"record {head.get('WARC-Record-ID')} has no Content-Length")
         at = stop + 4 + int(head["Content-Length"])
         if archive[at : at + 4] != b"\r\n\r\n":
             raise ValueError(f"record {head.get('WARC-Record-ID')} does not end where its Content-Length says")
@@ -109,9 +124,17 @@ def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at += 4
 
 
+def payload_of(head: dict[str, str], block: bytes) -> bytes:
+    """What follows the HTTP headers of a block; the whole block if it has none."""
+    if not head.get("Content-Type", "").startswith("application/http"):
+        return block
+    _, end, payload = block.partition(b"\r\n\r\n")
+    return payload if end else b""
+
+
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """record_id, type, uri, stated_digest, refers_to, payload_bytes, payload_digest and,
-    if asked for, payload of every record; length and digest are those of the payload
+    if asked for, payload of every record, whoever wrote it (a header that is not there is null); length and digest are those of the payload
     that the record itself holds."""
     names = ["record_id", "type", "uri", "stated_digest", "refers_to", "payload_bytes", "payload_digest"] + ["payload"] * with_payload
     kinds = [pa.string()] * 5 + [pa.int64(), pa.string()] + [pa.binary()] * with_payload
@@ -121,8 +144,9 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
             for content in batch.column(0):
                 cols: list[list] = [[] for _ in names]
                 for head, block in parse(gzip.decompress(content.as_py())):
-                    payload = block[block.index(b"\r\n\r\n") + 4 :]
-                    row = (head["WARC-Record-ID"], head["WARC-Type"], head["WARC-Target-URI"] if "WARC-Target-URI" in head else None, head["WARC-Payload-Digest"].removeprefix("sha1:"), head.get("WARC-Refers-To"), len(payload), hashlib.sha1(payload).hexdigest(), payload)
+                    payload = payload_of(head, block)
+                    stated = head.get("WARC-Payload-Digest")
+                    row = (head.get("WARC-Record-ID"), head.get("WARC-Type"), head.get("WARC-Target-URI"), stated and stated.removeprefix("sha1:"), head.get("WARC-Refers-To"), len(payload), hashlib.sha1(payload).hexdigest(), payload)
                     for c, v in zip(cols, row):
                         c.append(v)
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)

@@ -93,6 +93,18 @@ def test_damaged_archive():
         list(warc.parse(good.replace(b": 3", b": 2")))
 
 
+def test_foreign_archives(spark, tmp_path):
+    """Records without digests, with other spellings, folded lines and blocks that are not HTTP."""
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\ncontent-length:5\r\n\r\na: b\n\r\n\r\n"
+    page = b"WARC/1.0\r\nwarc-type: response\r\nWARC-Record-ID: <x>\r\nX-Long: a\r\n b\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: 21\r\n\r\nHTTP/1.1 200 OK\r\n\r\nhi\r\n\r\n"
+    (tmp_path / "f.warc.gz").write_bytes(gzip.compress(info) + gzip.compress(page))
+    found = warc.read_archives(spark, f"file://{tmp_path}").collect()
+    assert [(r.type, r.record_id, bytes(r.payload), r.stated_digest) for r in found] == [("warcinfo", None, b"a: b\n", None), ("response", "<x>", b"hi", None)]
+    for damaged in (page[:60], page[:-8], b"WARC/1.0\r\nA: b\r\n\r\n"):
+        with pytest.raises(ValueError):
+            list(warc.parse(damaged))
+
+
 VECTORS = "vec_id long, embedding array<float>, label int, vector string, cell int"
 
 

@@ -245,15 +245,45 @@ def test_packing_round_trip(spark, odd, some):
         assert at == 2048 or at & (at - 1) == 0 and at < 2048
 
 
-def test_packer_chooses_by_sum_of_squares(monkeypatch):
-    monkeypatch.setattr(packing, "OPEN", 10**9)
-    packer = packing.Packer(10)
-    for doc, size in enumerate((6, 6, 4, 3, 1)):
-        packer.add(doc, np.zeros(size, np.uint32))
-    # 4 fills a window of 6; 3 opens a level of its own rather than 9? both change the sum by what N(h) says
-    assert any(o[0] == 2 and o[4] == 6 for o in packer.out)
+@pytest.mark.parametrize("window", [10, 64, 1000])
+def test_packer_chooses_by_sum_of_squares(window):
+    """Each placement has the least sum of squares over all levels, the fullest of equals."""
+    packer, rng = packing.Packer(window), np.random.default_rng(window)
+    for doc in range(600):
+        size = int(rng.integers(1, packer.top))
+        n = packer.levels.copy()
+        n[packer.top] = 0
+
+        def squares(level):
+            m = n.copy()
+            m[level] -= level > 0
+            m[level + size] += level + size < packer.top
+            return (m[1 : packer.top] ** 2).sum()
+
+        allowed = [0] + [h for h in range(1, packer.top - size + 1) if n[h] > 0]
+        assert packer.choose(size) == min(allowed, key=lambda h: (squares(h), -h)), (n, size)
+        packer.add(doc, np.zeros(size * packer.step, np.uint32))
+
+
+def test_packer_seldom_joins():
+    packer, rng = packing.Packer(2048), np.random.default_rng(0)
+    for doc in range(1500):
+        packer.add(doc, np.zeros(int(rng.exponential(700)) + 1, np.uint32))
     packer.join()
-    assert sum(len(o[2]) for o in packer.out) == 20
+    assert packer.joined < 0.1 * packer.next
+
+
+def test_ids_equal_the_tokenizers(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(1)
+    letters = list("abcXYZ019 .,;:'\n\t-_é漢字🙂ß") + [" "] * 4
+    texts = ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(3000)]
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    for text, ids in zip(texts, encode(texts)):
+        assert np.frombuffer(ids, np.uint32).tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
 def test_packer_memory_is_bounded(monkeypatch):
@@ -422,6 +452,28 @@ def test_language(spark, some, empty, odd):
     assert by_id[10004].lang_pred in set(truth.values()) and 0 <= by_id[10004].score <= 1
 
 
+def test_language_of_repeated_ids_and_plain_python(spark):
+    """A row is learnt in its own language; the counts that decide equal plain sets of n-grams."""
+    import pyarrow as pa
+
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, t, x) for i in ids for t, x in ((f"aaab{chr(97 + i % 9)} abab", "one"), (f"zzzy{chr(97 + i % 9)} zyzy", "two"), ("qqqq rrrr", None))]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(model.languages) == ["one", "two"]
+    sets = {}
+    for lang in model.languages:
+        texts = [t for _, t, x in rows if x == lang]
+        held = [{t[i : i + 4] for i in range(len(t) - 3)} for t in texts]
+        sets[lang] = {g for g in set().union(*held) if sum(g in h for h in held) >= max(1, np.ceil(0.05 * len(texts)))}
+    asked = ["aaab abab", "zyzy zzzy", "abab zyzy zyzy", "qqqq rrrr"]
+    best, _ = model.decide(binary(pa.array(asked)))
+    for text, b in zip(asked[:3], best):
+        grams = [text[i : i + 4] for i in range(len(text) - 3)]
+        assert model.languages[b] == max(model.languages, key=lambda x: sum(g in sets[x] for g in grams))
+    mask = model.lookup(language_id.ngrams(binary(pa.array(["qqqq rrrr"])))[1])
+    assert not mask.any()
+
+
 def test_filter_has_no_false_negatives():
     rng = np.random.default_rng(2)
     keys = rng.integers(0, 2**32, 500).astype(np.uint64)
@@ -450,6 +502,45 @@ def test_resampling(spark, some, empty, odd, data):
     assert importance_resampling.resample(odd, labels.limit(0)).toPandas().log_weight.eq(0).all()
 
 
+def test_resampling_weights_equal_plain_python(spark, some, data):
+    import pyarrow as pa
+    from collections import Counter
+
+    labels = spark.read.parquet(f"{data}/sf0.001/labels.parquet")
+    good = {r.doc_id for r in labels.where("quality = 1").collect()}
+    rows = [(r.doc_id, r.text) for r in some.select("doc_id", "text").collect()]
+    cells = 1 << importance_resampling.BITS
+    place = {}
+
+    def grams(text):
+        words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+
+    raw, target = Counter(), Counter()
+    for i, text in rows:
+        for g in grams(text):
+            if g not in place:
+                place[g] = int(importance_resampling.buckets(binary(pa.array([g])))[1][-1])
+            raw[place[g]] += 1
+            target[place[g]] += i in good
+    n, m = sum(raw.values()), sum(target.values())
+    weight = lambda c: np.log((target[c] + 1) / (m + cells)) - np.log((raw[c] + 1) / (n + cells))
+    want = {i: sum(weight(place[g]) for g in grams(t)) for i, t in rows}
+    for r in importance_resampling.resample(some, labels).collect():
+        assert abs(r.log_weight - want[r.doc_id]) < 1e-6 * max(1, abs(want[r.doc_id]))
+
+
+def test_resampling_of_equal_keys_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(importance_resampling, "SORTED", 50)
+    rows = spark.range(3000).selectExpr("1.5D AS key", "id + 1152921504606846976 AS tie")
+    assert importance_resampling.kth_largest(rows, "key", "tie", 1000) == (1.5, 2**60 + 999)
+    far = spark.createDataFrame([(-(2**63),), (2**63 - 1,)] + [(i,) for i in range(200)], "tie long")
+    assert [importance_resampling.kth_smallest(far, k) for k in (1, 2, 100, 202)] == [-(2**63), 0, 98, 2**63 - 1]
+    none = documents(spark, [(None, f"text {i}") for i in range(40)])
+    found = importance_resampling.resample(none, spark.createDataFrame([], "doc_id long, quality int"), 0.5).collect()
+    assert sum(r.selected for r in found) == 20 and len({r.gumbel_key for r in found}) == 40
+
+
 @pytest.mark.parametrize("k", [1, 37, 500, 999])
 def test_kth_largest(spark, k, monkeypatch):
     monkeypatch.setattr(importance_resampling, "SORTED", 20)
