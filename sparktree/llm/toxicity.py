@@ -305,11 +305,12 @@ def shared_counts(texts: DataFrame) -> DataFrame:
     shorter length with the number of bytes that continue them to the left."""
     counted = texts.mapInArrow(tidied(count_grams), "gram long, n long")
     longest = materialize(counted.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    out, at = longest.select(F.lit(ORDER).alias("k"), "gram", "n"), longest
-    for k in range(ORDER - 1, 0, -1):
-        at = at.groupBy(F.col("gram").bitwiseAND((1 << 8 * k) - 1).alias("gram")).agg(F.count("*").alias("n"))
-        out = out.unionByName(at.select(F.lit(k).alias("k"), "gram", "n"))
-    return materialize(out, "orders")
+    # (k, gram): a sequence of k + 1 bytes that continues one of k to the left
+    longer = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col("gram").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("gram")) for k in range(1, ORDER))))
+    pairs = longest.select(longer.alias("s")).select("s.k", "s.gram").distinct()
+    masks = F.array(*(F.lit((1 << 8 * k) - 1).cast("long") for k in range(1, ORDER)))
+    shorter = pairs.groupBy("k", F.col("gram").bitwiseAND(masks[F.col("k") - 1]).alias("gram")).agg(F.count("*").alias("n"))
+    return longest.select(F.lit(ORDER).alias("k"), "gram", "n").unionByName(shorter)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
@@ -317,7 +318,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("learn_id"), F.col(f"`{text_col}`").alias("text"))
     taught = plain.join(F.broadcast(learn), "learn_id").select("text", "label")
     chains = materialize(class_chains(taught), "chains")
-    counts = shared_counts(plain.select("text"))
+    counts = materialize(shared_counts(plain.select("text")), "orders")
     suffixes = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col("gram").bitwiseAND((1 << 8 * k) - 1).alias("gram")) for k in range(1, ORDER + 1))))
     need = chains.select("gram").distinct().select(suffixes.alias("s")).select("s.k", "s.gram").distinct()
     above = F.shiftrightunsigned("gram", 8)
