@@ -180,7 +180,8 @@ def splitter_alignment(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cell_sql(step: int) -> str:
-    return f"WITH {sql_key('evt')}, up AS (SELECT id, CAST(d AS INTEGER) AS depth, (CAST(1 AS BIGINT) << CAST({step} * d AS INTEGER)) + (key >> CAST(60 - {step} * d AS INTEGER)) AS node FROM k, range(0, {60 // step + 1}) t(d)), ag AS (SELECT depth, node, count(*) AS n FROM up GROUP BY ALL), lim AS (SELECT count(*) // 8 AS l FROM k) SELECT a.node, a.depth, a.n FROM lim, ag a LEFT JOIN ag q ON q.node = a.node >> {step} WHERE (a.depth = 0 OR q.n > l) AND a.n <= l"
+    keys = sql_key("evt").replace("\nk AS (", "\nk AS MATERIALIZED (")
+    return f"WITH {keys}, up AS (SELECT id, CAST(d AS INTEGER) AS depth, (CAST(1 AS BIGINT) << CAST({step} * d AS INTEGER)) + (key >> CAST(60 - {step} * d AS INTEGER)) AS node FROM k, range(0, {60 // step + 1}) t(d)), ag AS MATERIALIZED (SELECT depth, node, count(*) AS n FROM up GROUP BY ALL), lim AS (SELECT count(*) // 8 AS l FROM k) SELECT a.node, a.depth, a.n FROM lim, ag a LEFT JOIN ag q ON q.node = a.node >> {step} WHERE (a.depth = 0 OR q.n > l) AND a.n <= l"
 
 
 @query(cell_sql(3))
@@ -314,16 +315,25 @@ def gravity_replicas(spark: SparkSession, sf: str) -> DataFrame:
     return out_gravity(gravity.direct(from_embeddings(spark, sf), replicas=1, period=2.0))
 
 
-def sql_hierarchical(quadrupole: bool) -> str:
-    qr = {i: " + ".join(f"q{min(i, j)}{max(i, j)} * r{j}" for j in "xyz") for i in "xyz"}
+def sql_hierarchical(order: int) -> str:
+    """Far nodes by the Legendre series of each of their rows, up to the order: s is the
+    product of a row's offset with the target's, w and r2 their squares."""
+    # by degree: the term and its derivatives by s and by r2
+    series = {
+        0: ("pow(r2, -5e-1)", "0e0", "-5e-1 * pow(r2, -15e-1)"),
+        2: ("(3 * s * s * pow(r2, -25e-1) - w * pow(r2, -15e-1)) / 2", "3 * s * pow(r2, -25e-1)", "(-75e-1 * s * s * pow(r2, -35e-1) + 15e-1 * w * pow(r2, -25e-1)) / 2"),
+        3: ("(5 * s * s * s * pow(r2, -35e-1) - 3 * s * w * pow(r2, -25e-1)) / 2", "(15 * s * s * pow(r2, -35e-1) - 3 * w * pow(r2, -25e-1)) / 2", "(-175e-1 * s * s * s * pow(r2, -45e-1) + 75e-1 * s * w * pow(r2, -35e-1)) / 2"),
+        4: ("(35 * pow(s, 4) * pow(r2, -45e-1) - 30 * s * s * w * pow(r2, -35e-1) + 3 * w * w * pow(r2, -25e-1)) / 8", "(140 * s * s * s * pow(r2, -45e-1) - 60 * s * w * pow(r2, -35e-1)) / 8", "(-1575e-1 * pow(s, 4) * pow(r2, -55e-1) + 105 * s * s * w * pow(r2, -45e-1) - 75e-1 * w * w * pow(r2, -35e-1)) / 8"),
+    }
+    used = [t for n, t in series.items() if n <= order]
+    value, by_s, by_r2 = (" + ".join(f"CASE WHEN {i} = 0 OR NOT meet THEN {t[j]} ELSE 0e0 END" for i, t in enumerate(used)) for j in range(3))
     far = f"""
-fr AS (SELECT p.id, s.mass AS m, {', '.join(f's.q{q}' for q in MOM)}, {', '.join(f'p.{d} - s.c{d} AS r{d}' for d in 'xyz')},
+fr AS (SELECT p.id, b.id AS s_id, b.mass AS m, {', '.join(f'p.{d} - s.c{d} AS r{d}, b.{d} - s.c{d} AS d{d}' for d in 'xyz')}, s.node AS s_node,
   (pow(s.cx - t.cx, 2) + pow(s.cy - t.cy, 2) + pow(s.cz - t.cz, 2) <= pow(2e0 * s.soft + 2e0 * t.soft, 2) OR ({sql_gap2('s.c', 't')}) <= pow(2e0 * s.soft, 2)) AS meet
-  FROM act JOIN nodes s ON s.node = act.source JOIN nodes t ON t.node = act.target JOIN leaf_of p ON p.leaf = act.target WHERE action = 'node'),
-f1 AS (SELECT *, 1e0 / sqrt(rx*rx + ry*ry + rz*rz) AS dir, {', '.join(f'({qr[i]}) AS qr{i}' for i in 'xyz')}, 5e-1 * (qxx + qyy + qzz) AS tr FROM fr),
-f2 AS (SELECT *, pow(dir, 3) AS b, 3e0 * pow(dir, 5) AS c, 15e0 * pow(dir, 7) AS d, 5e-1 * (qrx*rx + qry*ry + qrz*rz) AS qir FROM f1),
-ft AS (SELECT id, {', '.join(f'CASE WHEN meet OR {not quadrupole} THEN -r{d} * b * m ELSE -(b*m + d*qir - c*tr) * r{d} + c * qr{d} END AS a{d}' for d in 'xyz')},
-  CASE WHEN meet OR {not quadrupole} THEN -m * dir ELSE -m * dir - c*qir + b*tr END AS potential FROM f2)"""
+  FROM act JOIN nodes s ON s.node = act.source JOIN nodes t ON t.node = act.target JOIN leaf_of p ON p.leaf = act.target JOIN up b ON b.node = s.node WHERE action = 'node'),
+f1 AS (SELECT *, rx*rx + ry*ry + rz*rz AS r2, dx*dx + dy*dy + dz*dz AS w, rx*dx + ry*dy + rz*dz AS s FROM fr),
+f2 AS (SELECT *, {value} AS v, {by_s} AS vs, {by_r2} AS vr FROM f1),
+ft AS (SELECT id, s_node, {', '.join(f'sum(m * (vs * d{d} + 2e0 * vr * r{d})) AS a{d}' for d in 'xyz')}, sum(-m * v) AS potential FROM f2 GROUP BY id, s_node)"""
     return f"""WITH RECURSIVE {sql_tree('emb')}, {sql_walk(OPEN_SQL)},
 q AS (SELECT a.id, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz, b.mass AS m, a.soft + b.soft AS h FROM act JOIN leaf_of a ON a.leaf = act.target JOIN leaf_of b ON b.leaf = act.source WHERE action = 'leaf'),
 nt AS ({sql_direct('q')}), {far},
@@ -332,16 +342,66 @@ t AS (SELECT id, ax, ay, az, potential FROM nt UNION ALL SELECT id, ax, ay, az,
 SELECT t.id, {', '.join(rnd(f'sum({c})', c, 4) for c in gravity.SUMS)}, any_value(tt.terms) AS terms FROM t JOIN tt USING (id) GROUP BY t.id"""
 
 
-@query(sql_hierarchical(False))
+@query(sql_hierarchical(0))
 def gravity_monopole(spark: SparkSession, sf: str) -> DataFrame:
-    return out_gravity(gravity.hierarchical(from_embeddings(spark, sf), quadrupole=False))
+    return out_gravity(gravity.hierarchical(from_embeddings(spark, sf), order=0))
 
 
-@query(sql_hierarchical(True))
+@query(sql_hierarchical(2))
 def gravity_quadrupole(spark: SparkSession, sf: str) -> DataFrame:
     return out_gravity(gravity.hierarchical(from_embeddings(spark, sf)))
 
 
+@query(sql_hierarchical(4))
+def gravity_hexadecapole(spark: SparkSession, sf: str) -> DataFrame:
+    return out_gravity(gravity.hierarchical(from_embeddings(spark, sf), order=4))
+
+
+# A user's aggregates, visitors and leaf functions
+
+def own_aggregates() -> list[tree.NodeAgg]:
+    return [tree.NodeAgg("momentum", F.col("mass") * F.col("vx")), tree.NodeAgg("hottest", F.col("u"), "max"), tree.NodeAgg("first_id", F.col("id"), "min")]
+
+
+@query(f"WITH {sql_tree('emb')}, a AS (SELECT node, sum(mass * vx) AS momentum, max(u) AS hottest, min(id) AS first_id FROM up GROUP BY node) SELECT nodes.node, {rnd('momentum', 'momentum')}, {rnd('hottest', 'hottest')}, first_id FROM nodes JOIN a USING (node)")
+def node_user_aggregates(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, _ = tree.build(from_embeddings(spark, sf), own=own_aggregates())
+    return rounded(nodes.select("node", *(a.name for a in own_aggregates())), "momentum", "hottest")
+
+
+@query(f"WITH {sql_tree('emb')} SELECT leaf, count(*) AS n, {rnd(f'sqrt(max({V2}))', 'fastest')}, {rnd('sum(mass * x) / sum(mass)', 'cx')} FROM leaf_of GROUP BY leaf")
+def leaf_user_function(spark: SparkSession, sf: str) -> DataFrame:
+    _, rows = tree.build(from_embeddings(spark, sf))
+    speed = F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy") + F.col("vz") * F.col("vz"))
+    out = tree.per_leaf(rows, F.count("*").alias("n"), F.max(speed).alias("fastest"), (F.sum(F.col("mass") * F.col("x")) / F.sum("mass")).alias("cx"))
+    return rounded(out, "fastest", "cx")
+
+
+@query(f"""WITH RECURSIVE {sql_tree('emb')}, {sql_walk(OPEN_SQL)}, up2 AS (SELECT node, max(u) AS hottest FROM up GROUP BY node),
+g AS (SELECT p.id, s.mass / (1e0 + pow(p.x - s.cx, 2) + pow(p.y - s.cy, 2) + pow(p.z - s.cz, 2)) AS glow, up2.hottest * s.n AS heat FROM act JOIN nodes s ON s.node = act.source JOIN up2 ON up2.node = s.node JOIN leaf_of p ON p.leaf = act.target WHERE action = 'node'
+UNION ALL SELECT a.id, b.mass / (1e0 + pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)), b.u FROM act JOIN leaf_of a ON a.leaf = act.target JOIN leaf_of b ON b.leaf = act.source WHERE action = 'leaf')
+SELECT id, {rnd('sum(glow)', 'glow', 4)}, {rnd('sum(heat)', 'heat', 4)} FROM g GROUP BY id""")
+def visitor_user_sums(spark: SparkSession, sf: str) -> DataFrame:
+    """A visitor that adds up softened masses, and a user's aggregate of the nodes it doesn't open."""
+    nodes, rows = tree.build(from_embeddings(spark, sf), own=own_aggregates())
+    c = F.col
+    near2 = sum(((c(d) - c(f"s_{d}")) * (c(d) - c(f"s_{d}")) for d in "xyz"), F.lit(0.0))
+    far2 = sum(((c(d) - c(f"s_c{d}")) * (c(d) - c(f"s_c{d}")) for d in "xyz"), F.lit(0.0))
+    visitor = traverse.Visitor(
+        traverse.gravity_open(0.7),
+        node=lambda: {"glow": c("s_mass") / (1.0 + far2), "heat": c("s_hottest") * c("s_n")},
+        leaf=lambda: {"glow": c("s_mass") / (1.0 + near2), "heat": c("s_u")},
+    )
+    return rounded(traverse.gather(tree.shape(nodes), rows, visitor), "glow", "heat", digits=4)
+
+
+@query(f"WITH {sql_tree('emb')} SELECT node, min(key) >= (node - (CAST(1 AS BIGINT) << CAST(3 * depth AS INTEGER))) * (CAST(1 AS BIGINT) << CAST(60 - 3 * depth AS INTEGER)) AS inside, (node - (CAST(1 AS BIGINT) << CAST(3 * depth AS INTEGER))) * (CAST(1 AS BIGINT) << CAST(60 - 3 * depth AS INTEGER)) AS first_key, (node - (CAST(1 AS BIGINT) << CAST(3 * depth AS INTEGER)) + 1) * (CAST(1 AS BIGINT) << CAST(60 - 3 * depth AS INTEGER)) - 1 AS last_key FROM up SEMI JOIN nodes USING (node) GROUP BY node, depth")
+def node_key_range(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, _ = tree.build(from_embeddings(spark, sf))
+    first, last = tree.key_range(F.col("node"), F.col("depth"), 3)
+    return nodes.select("node", F.lit(True).alias("inside"), first.alias("first_key"), last.alias("last_key"))
+
+
 # Neighbours and SPH
 
 D2 = "(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))"
@@ -389,7 +449,7 @@ def ball_join_count(spark: SparkSession, sf: str) -> DataFrame:
     return joins.ball(points, points, 2.0).groupBy("id").agg(F.count("*").alias("n"))
 
 
-COLLIDE = f"""cb AS (SELECT a.id, b.id AS s_id, {D2} AS d2, pow(a.vx-b.vx,2)+pow(a.vy-b.vy,2)+pow(a.vz-b.vz,2) AS v2, (a.x-b.x)*(a.vx-b.vx)+(a.y-b.y)*(a.vy-b.vy)+(a.z-b.z)*(a.vz-b.vz) AS rv, 2e0*(a.soft+b.soft) AS sr FROM p a, p b WHERE a.id <> b.id AND {D2} < pow(2e0*sqrt(a.vx*a.vx+a.vy*a.vy+a.vz*a.vz)*{sph.BALL_DT!r}e0 + 4e0*a.soft, 2)),
+COLLIDE = f"""m AS (SELECT *, -x AS ax, -y AS ay, -z AS az FROM p), cb AS (SELECT a.id, b.id AS s_id, {D2} AS d2, pow(a.vx-b.vx+(a.ax-b.ax)*5e-1,2)+pow(a.vy-b.vy+(a.ay-b.ay)*5e-1,2)+pow(a.vz-b.vz+(a.az-b.az)*5e-1,2) AS v2, (a.x-b.x)*(a.vx-b.vx+(a.ax-b.ax)*5e-1)+(a.y-b.y)*(a.vy-b.vy+(a.ay-b.ay)*5e-1)+(a.z-b.z)*(a.vz-b.vz+(a.az-b.az)*5e-1) AS rv, 2e0*(a.soft+b.soft) AS sr FROM m a, m b WHERE a.id <> b.id AND {D2} < pow(2e0*sqrt(a.vx*a.vx+a.vy*a.vy+a.vz*a.vz)*{sph.BALL_DT!r}e0 + 4e0*a.soft, 2)),
 cc AS (SELECT *, (d2 - sr*sr) / (rv*rv) * v2 AS inside FROM cb WHERE rv <> 0 AND v2 > 0),
 cd AS (SELECT *, -rv/v2*(1e0+sqrt(1e0-inside)) AS t1, -rv/v2*(1e0-sqrt(1e0-inside)) AS t2 FROM cc WHERE inside <= 1),
 ce AS (SELECT id, s_id, CASE WHEN t1 > 0 AND t1 < t2 THEN t1 WHEN t2 > 0 AND t2 < t1 THEN t2 END AS dt FROM cd),
@@ -398,12 +458,12 @@ hit AS (SELECT id, arg_min(s_id, (dt, s_id)) AS partner, min(dt) AS dt FROM ce W
 
 @query(f"WITH p AS ({SQL_VIEWS['emb']}), {COLLIDE} SELECT id, partner, {rnd('dt', 'dt')} FROM hit")
 def collision_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(sph.collisions(from_embeddings(spark, sf), 1.0), "dt")
+    return rounded(sph.collisions(moving(spark, sf), 1.0), "dt")
 
 
 @query(f"WITH p AS ({SQL_VIEWS['emb']}), {COLLIDE} SELECT id FROM p WHERE id NOT IN (SELECT id FROM hit UNION SELECT partner FROM hit)")
 def collision_resolve(spark: SparkSession, sf: str) -> DataFrame:
-    points = from_embeddings(spark, sf)
+    points = moving(spark, sf)
     return sph.resolve(points, sph.collisions(points, 1.0)).select("id")
 
 

@@ -56,40 +56,84 @@ def boxes_distance2(a: str, b: str, farthest: bool = False) -> Column:
     return total
 
 
-def spline(r: Column, u: Column, dih: Column, dir_: Column, twoh: Column) -> tuple[Column, Column]:
-    """Potential and force factors of a cubic-spline softened mass, 1/r and 1/r**3 beyond
-    twoh; u = r * dih, dih = 2 / twoh and dir_ = 1 / r are columns of their own, so that
-    no long expression is written out again and again in generated code."""
-    u2, u3 = u * u, u * u * u
-    inner_a = dih * (7.0 / 5.0 - 2.0 / 3.0 * u2 + 3.0 / 10.0 * u2 * u2 - 1.0 / 10.0 * u2 * u3)
-    inner_b = dih * dih * dih * (4.0 / 3.0 - 6.0 / 5.0 * u2 + 1.0 / 2.0 * u3)
-    outer_a = -1.0 / 15.0 * dir_ + dih * (8.0 / 5.0 - 4.0 / 3.0 * u2 + u3 - 3.0 / 10.0 * u2 * u2 + 1.0 / 30.0 * u2 * u3)
-    outer_b = -1.0 / 15.0 * dir_ * dir_ * dir_ + dih * dih * dih * (8.0 / 3.0 - 3.0 * u + 6.0 / 5.0 * u2 - 1.0 / 6.0 * u3)
-    near = r < twoh
-    a = F.when(near & (u < 1.0), inner_a).when(near, outer_a).otherwise(dir_)
-    b = F.when(near & (u < 1.0), inner_b).when(near, outer_b).otherwise(dir_ * dir_ * dir_)
-    return a, b
+def horner(x: Column, *coefficients: float) -> Column:
+    """The polynomial with these coefficients, of the highest power first."""
+    out = F.lit(float(coefficients[0]))
+    for k in coefficients[1:]:
+        out = out * x + F.lit(float(k))
+    return out
+
+
+# The cubic spline kernel's potential and force, in powers of u from 5 and
+# from 3 down, within one softening length and between one and two.
+POTENTIAL_IN = (-1 / 10, 3 / 10, 0, -2 / 3, 0, 7 / 5)
+POTENTIAL_OUT = (1 / 30, -3 / 10, 1, -4 / 3, 0, 8 / 5)
+FORCE_IN = (1 / 2, -6 / 5, 0, 4 / 3)
+FORCE_OUT = (-1 / 6, 6 / 5, -3, 8 / 3)
+
+
+def spline(distance: Column, reach: Column) -> tuple[Column, Column]:
+    """Potential and force factors of a mass softened by the cubic spline of support
+    ``reach`` = 2 h: those of a point, 1/r and 1/r**3, from there on."""
+    h = reach / 2.0
+    u = distance / h
+    point = F.try_divide(F.lit(1.0), distance)
+    shell = point / 15.0
+    potential = F.when(u >= 2.0, point).when(u >= 1.0, horner(u, *POTENTIAL_OUT) / h - shell).otherwise(horner(u, *POTENTIAL_IN) / h)
+    force = F.when(u >= 2.0, power3(point)).when(u >= 1.0, horner(u, *FORCE_OUT) / power3(h) - shell * point * point).otherwise(horner(u, *FORCE_IN) / power3(h))
+    bare = ~(reach > 0.0)
+    return F.when(bare, point).otherwise(potential), F.when(bare, power3(point)).otherwise(force)
+
+
+def power3(x: Column) -> Column:
+    return x * x * x
 
 
 def kernel_m4(q2: Column) -> Column:
-    """pi h**3 W of the M4 kernel, from q**2 = (|dx|/h)**2."""
-    ak = F.lit(2.0) - F.sqrt(q2)
-    return F.when(q2 < 1.0, 1.0 - 0.75 * ak * q2).otherwise(0.25 * ak * ak * ak)
+    """pi h**3 W of the cubic spline (M4) kernel, from q**2 = (|dx|/h)**2 up to 4."""
+    q = F.sqrt(q2)
+    return F.when(q < 1.0, horner(q, 3 / 4, -3 / 2, 0, 1)).otherwise(horner(q, -1 / 4, 3 / 2, -3, 2))
 
 
 def dkernel_m4(q2: Column) -> Column:
-    """The scaled gradient of the M4 kernel."""
+    """The derivative of the kernel by q, over q."""
     q = F.sqrt(q2)
-    return F.when(q2 < 1.0, -3.0 + 2.25 * q).otherwise(-0.75 * (2.0 - q) * (2.0 - q) / q)
+    return F.when(q < 1.0, horner(q, 9 / 4, -3)).otherwise(horner(q, -3 / 4, 3, -3) / q)
+
+
+def time_to_contact(gap2: Column, speed2: Column, approach: Column, reach: Column) -> Column:
+    """When bodies at squared distance ``gap2`` get ``reach`` close: the smaller root of
+    speed2 t**2 + 2 approach t + (gap2 - reach**2); null if there is none or only one, or
+    if it lies behind, as for bodies that part or that overlap already."""
+    quarter = approach * approach - speed2 * (gap2 - reach * reach)
+    early = F.try_divide(-approach - F.sqrt(F.when(quarter > 0.0, quarter)), speed2)
+    return F.when(early > 0.0, early)
+
+
+def spheres_meet(distance2: Column, a: Column, b: Column) -> Column:
+    return distance2 <= (a + b) * (a + b)
+
+
+def box_in_sphere(x: Column, y: Column, z: Column, radius: Column, box: str) -> Column:
+    """Does the sphere enclose the box?"""
+    total = F.lit(0.0)
+    for p, d in ((x, "x"), (y, "y"), (z, "z")):
+        far = F.greatest(F.abs(F.col(f"{box}_{d}0") - p), F.abs(F.col(f"{box}_{d}1") - p))
+        total = total + far * far
+    return total <= radius * radius
+
+
+def sphere_in_box(x: Column, y: Column, z: Column, radius: Column, box: str) -> Column:
+    """Does the box enclose the sphere?"""
+    inside = F.lit(True)
+    for p, d in ((x, "x"), (y, "y"), (z, "z")):
+        inside = inside & (p - radius >= F.col(f"{box}_{d}0")) & (p + radius <= F.col(f"{box}_{d}1"))
+    return inside
 
 
-def time_to_contact(dx2: Column, v2: Column, rdotv: Column, radius: Column) -> Column:
-    """When two bodies first touch; null if never."""
-    inside = F.try_divide(dx2 - radius * radius, rdotv * rdotv) * v2
-    root = F.sqrt(F.when(inside <= 1.0, 1.0 - inside))
-    first, second = F.try_divide(-rdotv, v2) * (1.0 + root), F.try_divide(-rdotv, v2) * (1.0 - root)
-    hit = F.when((first > 0.0) & (first < second), first).when((second > 0.0) & (second < first), second)
-    return F.when((inside <= 1.0) & (rdotv != 0.0) & (v2 > 0.0), hit)
+def expanded(box: str, by: Column) -> dict[str, Column]:
+    """The columns of a box that reaches ``by`` further on every side."""
+    return {f"{box}_{d}{i}": F.col(f"{box}_{d}{i}") + (by if i else -by) for d in "xyz" for i in (0, 1)}
 
 
 FOUR_THIRDS_SQRT = math.sqrt(4.0 / 3.0)

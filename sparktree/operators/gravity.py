@@ -1,11 +1,12 @@
-"""Gravity: direct, hierarchical (monopole or quadrupole), and over periodic replicas."""
+"""Gravity: direct, hierarchical (monopoles, quadrupoles, hexadecapoles), and over periodic replicas."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import box_distance2, spline
+from ..functions.geometry import box_distance2, spheres_meet, spline
+from .multipoles import degree, field, letters
 from .traverse import Visitor, gravity_open, hinted, node_side, walk
 from .tree import build, shape
 
@@ -18,42 +19,25 @@ SUMS = ("ax", "ay", "az", "potential")
 def near_terms(pairs: DataFrame, dx: Column, dy: Column, dz: Column, mass: Column, twoh: Column) -> DataFrame:
     """id, ax, ay, az, potential of rows towards softened sources at (dx, dy, dz); 0 at the same place."""
     c = F.col
-    step = pairs.select("id", dx.alias("dx"), dy.alias("dy"), dz.alias("dz"), mass.alias("m"), twoh.alias("h"))
-    step = step.select("*", (c("dx") * c("dx") + c("dy") * c("dy") + c("dz") * c("dz")).alias("r2"))
-    step = step.select("*", F.sqrt("r2").alias("r"), F.try_divide(F.lit(2.0), c("h")).alias("dih"))
-    step = step.select("*", (c("r") * c("dih")).alias("u"), F.try_divide(F.lit(1.0), c("r")).alias("dir"))
-    a, b = spline(c("r"), c("u"), c("dih"), c("dir"), c("h"))
-    step = step.select("id", "dx", "dy", "dz", "r2", (a * c("m")).alias("am"), (b * c("m")).alias("bm"))
-    some = c("r2") != 0
-    values = (c("dx") * c("bm"), c("dy") * c("bm"), c("dz") * c("bm"), -c("am"))
-    return step.select("id", *(F.when(some, v).otherwise(F.lit(0.0)).alias(n) for n, v in zip(SUMS, values)))
-
-
-def far_terms(pairs: DataFrame, quadrupole: bool) -> DataFrame:
-    """The same of rows (id, x, y, z) towards nodes s_*, seen from leaves t_*: monopoles,
-    with the quadrupole unless the softening spheres meet."""
+    step = pairs.select("id", dx.alias("dx"), dy.alias("dy"), dz.alias("dz"), mass.alias("m"), twoh.alias("reach"))
+    step = step.withColumn("gap", F.sqrt(c("dx") * c("dx") + c("dy") * c("dy") + c("dz") * c("dz")))
+    potential, force = spline(c("gap"), c("reach"))
+    step = step.withColumns({"phi": potential * c("m"), "pull": force * c("m")})
+    values = (*(c(f"d{d}") * c("pull") for d in "xyz"), -c("phi"))
+    return step.select("id", *(F.when(c("gap") > 0.0, v).otherwise(F.lit(0.0)).alias(n) for n, v in zip(SUMS, values)))
+
+
+def far_terms(pairs: DataFrame, order: int) -> DataFrame:
+    """The same of rows (id, x, y, z) towards nodes s_*, seen from leaves t_*: multipoles up
+    to ``order``, or the mass alone where the softening spheres meet."""
     c = F.col
-    q = lambda i, j: c(f"s_q{min(i, j)}{max(i, j)}")
-    gap2 = sum((c(f"s_c{d}") - c(f"t_c{d}")) * (c(f"s_c{d}") - c(f"t_c{d}")) for d in "xyz")
-    reach, own = 2.0 * c("s_soft") + 2.0 * c("t_soft"), 2.0 * c("s_soft")
-    meet = (gap2 <= reach * reach) | (box_distance2(c("s_cx"), c("s_cy"), c("s_cz"), "t") <= own * own)
-    moments = [q(*p).alias(f"q{p}") for p in ("xx", "xy", "xz", "yy", "yz", "zz")]
-    step = pairs.select("id", *((c(d) - c(f"s_c{d}")).alias(f"r{d}") for d in "xyz"), c("s_mass").alias("m"), *moments, meet.alias("meet"))
-    step = step.select("*", (c("rx") * c("rx") + c("ry") * c("ry") + c("rz") * c("rz")).alias("r2"))
-    step = step.select("*", F.try_divide(F.lit(1.0), F.sqrt("r2")).alias("dir"))
-    step = step.select("*", (c("dir") * c("dir") * c("dir")).alias("b"))
-    mono = [-c(f"r{d}") * c("b") * c("m") for d in "xyz"] + [-c("m") * c("dir")]
-    terms = mono
-    if quadrupole:
-        own_q = lambda i, j: c(f"q{min(i, j)}{max(i, j)}")
-        qr = [(own_q(i, "x") * c("rx") + own_q(i, "y") * c("ry") + own_q(i, "z") * c("rz")).alias(f"qr{i}") for i in "xyz"]
-        step = step.select("*", *qr, (3.0 * c("b") * c("dir") * c("dir")).alias("c3"), (0.5 * (c("qxx") + c("qyy") + c("qzz"))).alias("tr"))
-        step = step.select("*", (5.0 * c("c3") * c("dir") * c("dir")).alias("d5"), (0.5 * (c("qrx") * c("rx") + c("qry") * c("ry") + c("qrz") * c("rz"))).alias("qir"))
-        step = step.select("*", (c("b") * c("m") + c("d5") * c("qir") - c("c3") * c("tr")).alias("radial"))
-        full = [-c("radial") * c(f"r{d}") + c("c3") * c(f"qr{d}") for d in "xyz"] + [-c("m") * c("dir") - c("c3") * c("qir") + c("b") * c("tr")]
-        terms = [F.when(c("meet"), a).otherwise(f) for a, f in zip(mono, full)]
-    some = c("r2") != 0
-    return step.select("id", *(F.when(some, v).otherwise(F.lit(0.0)).alias(n) for n, v in zip(SUMS, terms)))
+    apart2 = sum((c(f"s_c{d}") - c(f"t_c{d}")) * (c(f"s_c{d}") - c(f"t_c{d}")) for d in "xyz")
+    meet = spheres_meet(apart2, 2.0 * c("s_soft"), 2.0 * c("t_soft")) | (box_distance2(c("s_cx"), c("s_cy"), c("s_cz"), "t") <= 4.0 * c("s_soft") * c("s_soft"))
+    moments = [f"q{letters(p)}" for n in range(2, order + 1) for p in degree(n)]
+    kept = [F.when(meet, F.lit(0.0)).otherwise(c(f"s_{q}")).alias(q) for q in moments]
+    step = pairs.select("id", *((c(d) - c(f"s_c{d}")).alias(f"r{d}") for d in "xyz"), c("s_mass").alias("m"), *kept)
+    found = field(step, order)
+    return found.select("id", *(F.coalesce(c(f), F.lit(0.0)).alias(n) for n, f in zip(SUMS, ("fx", "fy", "fz", "f0"))))
 
 
 def summed(df: DataFrame) -> DataFrame:
@@ -86,9 +70,9 @@ def direct(points: DataFrame, replicas: int = 0, period: float = 0.0) -> DataFra
     return summed(near_terms(pairs, *gap, F.col("s_mass"), F.col("s_soft") + F.col("soft")))
 
 
-def hierarchical(points: DataFrame, theta: float = 0.7, quadrupole: bool = True, step: int = 3, leaf: int = 12) -> DataFrame:
-    """id, ax, ay, az, potential, terms by tree traversal."""
-    nodes, rows = build(points, step, leaf)
+def hierarchical(points: DataFrame, theta: float = 0.7, order: int = 2, step: int = 3, leaf: int = 12) -> DataFrame:
+    """id, ax, ay, az, potential, terms by tree traversal, with multipoles up to ``order``."""
+    nodes, rows = build(points, step, leaf, order=max(order, 2))
     nodes = shape(nodes)
     actions = walk(nodes, Visitor(gravity_open(theta)))
     n = nodes.count()
@@ -100,4 +84,4 @@ def hierarchical(points: DataFrame, theta: float = 0.7, quadrupole: bool = True,
     t = node_side(nodes.where("is_leaf").select("node", *(f"{d}{i}" for d in "xyz" for i in (0, 1)), "cx", "cy", "cz", "soft"), "t")
     s = node_side(nodes.select("node", "mass", "cx", "cy", "cz", "soft", *(c for c in nodes.columns if c.startswith("q"))), "s")
     far = actions.where("action = 'node'").select("target", "source").join(hinted(s, n), F.col("source") == F.col("s_node")).join(hinted(t, n), F.col("target") == F.col("t_node")).join(target, "target")
-    return summed(near.unionByName(far_terms(far, quadrupole)))
+    return summed(near.unionByName(far_terms(far, order)))

@@ -69,7 +69,9 @@ def collisions(points: DataFrame, max_dt: float, ball_dt: float = BALL_DT) -> Da
     if not widest:
         return points.limit(0).select("id", F.col("id").alias("partner"), F.lit(0.0).alias("dt"))
     pairs = grid_pairs(balls, points, widest).where((F.col("d2") < F.col("ball") * F.col("ball")) & (F.col("id") != F.col("s_id")))
-    v = {d: F.col(f"v{d}") - F.col(f"s_v{d}") for d in "xyz"}
+    # half a step's worth of the difference in acceleration, where rows have one
+    turn = {d: (F.col(f"a{d}") - F.col(f"s_a{d}")) * (max_dt / 2) if f"a{d}" in points.columns else F.lit(0.0) for d in "xyz"}
+    v = {d: F.col(f"v{d}") - F.col(f"s_v{d}") + turn[d] for d in "xyz"}
     v2 = v["x"] * v["x"] + v["y"] * v["y"] + v["z"] * v["z"]
     rdotv = sum((F.col(d) - F.col(f"s_{d}")) * v[d] for d in "xyz")
     dt = time_to_contact(F.col("d2"), v2, rdotv, 2.0 * (F.col("soft") + F.col("s_soft")))

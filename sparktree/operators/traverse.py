@@ -24,11 +24,16 @@ BROADCAST_ROWS = 100_000
 
 @dataclass
 class Visitor:
-    """``open``: descend into the source? ``cell``: in a dual walk, open the target too?"""
+    """``open``: descend into the source? ``cell``: in a dual walk, open the target too?
+    ``node`` and ``leaf``: what a row of the target gets from a node that is not opened
+    (columns s_* of the node, t_* of the target leaf) and from a row of a leaf that is
+    (s_* of that row); named Columns, which ``gather`` adds up."""
 
     open: Callable[[], Column]
     cell: Callable[[], Column] = lambda: F.lit(True)
     call_self_leaf: bool = True
+    node: Callable[[], dict[str, Column]] = dict
+    leaf: Callable[[], dict[str, Column]] = dict
 
 
 def node_side(nodes: DataFrame, prefix: str) -> DataFrame:
@@ -86,6 +91,23 @@ def counters(actions: DataFrame) -> DataFrame:
     return actions.groupBy("action").agg(F.count("*").alias("pairs"), F.sum("s_n").alias("source_rows"))
 
 
+def gather(nodes: DataFrame, rows: DataFrame, visitor: Visitor) -> DataFrame:
+    """id and, of each name that the visitor's ``node`` and ``leaf`` give, the sum over
+    all that a row meets. ``nodes``, ``rows``: a shaped tree and its rows with leaves."""
+    n = nodes.count()
+    actions = walk(nodes, visitor)
+    far, near = visitor.node(), visitor.leaf()
+    names = list(dict.fromkeys([*far, *near]))
+    terms = lambda given: [given.get(c, F.lit(0.0)).alias(c) for c in names]
+    target = rows.withColumnRenamed("leaf", "_leaf")
+    s, t = node_side(nodes, "s"), node_side(nodes.where("is_leaf"), "t")
+    met = actions.where("action = 'node'").select("target", "source").join(hinted(s, n), F.col("source") == F.col("s_node")).join(hinted(t, n), F.col("target") == F.col("t_node"))
+    met = met.join(target, F.col("target") == F.col("_leaf")).select("id", *terms(far))
+    others = node_side(rows, "s")
+    pairs = actions.where("action = 'leaf'").select("target", "source").join(target, F.col("target") == F.col("_leaf")).join(others, F.col("source") == F.col("s_leaf"))
+    return met.unionByName(pairs.select("id", *terms(near))).groupBy("id").agg(*(F.sum(c).alias(c) for c in names))
+
+
 def dual_walk(nodes: DataFrame, decide: Callable[[], Column]) -> DataFrame:
     """(source, target, outcome): pairs of nodes, both sides opened until ``decide`` gives
     an outcome other than null, or both are leaves (outcome 'leaf'). The larger node is

@@ -9,12 +9,15 @@ work shrinks with depth and no level is counted that the tree does not have.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import KEY_BITS
+from .multipoles import central, raw_names, raw_sums
 from .tables import written
 from .universe import box, keyed
 
@@ -22,17 +25,32 @@ LEAF = 12
 MOMENTS = [a + b for i, a in enumerate("xyz") for b in "xyz"[i:]]
 
 
-def raw_moments() -> list[Column]:
+@dataclass(frozen=True)
+class NodeAgg:
+    """A user's aggregate of nodes: ``value`` of each row, put together by sum, min or max."""
+
+    name: str
+    value: Column
+    how: str = "sum"
+
+    def __post_init__(self):
+        if self.how not in ("sum", "min", "max"):
+            raise ValueError("how must be sum, min or max")
+
+    def over(self, value: Column | str) -> Column:
+        return {"sum": F.sum, "min": F.min, "max": F.max}[self.how](value).alias(self.name)
+
+
+def raw_moments(order: int = 2, own: Sequence[NodeAgg] = ()) -> list[Column]:
     """Additive monomials: sums that partial aggregation and roll-up can add."""
-    m = F.col("mass")
-    first = [F.sum(m * F.col(d)).alias(f"m{d}") for d in "xyz"]
-    second = [F.sum(m * F.col(p[0]) * F.col(p[1])).alias(f"m{p}") for p in MOMENTS]
-    return [F.count("*").alias("n"), F.sum("mass").alias("mass"), F.sum(m * F.col("soft")).alias("msoft"), *first, *second, *box()]
+    plain = [F.count("*").alias("n"), F.sum("mass").alias("mass"), F.sum(F.col("mass") * F.col("soft")).alias("msoft")]
+    return [*plain, *raw_sums(order), *box(), *(a.over(a.value) for a in own)]
 
 
-def rolled_up() -> list[Column]:
-    sums = ["n", "mass", "msoft", *(f"m{d}" for d in "xyz"), *(f"m{p}" for p in MOMENTS)]
-    return [F.sum(c).alias(c) for c in sums] + [f(f"{d}{i}").alias(f"{d}{i}") for d in "xyz" for i, f in ((0, F.min), (1, F.max))]
+def rolled_up(order: int = 2, own: Sequence[NodeAgg] = ()) -> list[Column]:
+    sums = ["n", "mass", "msoft", *raw_names(order)]
+    sides = [f(f"{d}{i}").alias(f"{d}{i}") for d in "xyz" for i, f in ((0, F.min), (1, F.max))]
+    return [F.sum(c).alias(c) for c in sums] + sides + [a.over(a.name) for a in own]
 
 
 def node_of(depth: Column, step: int) -> Column:
@@ -42,17 +60,18 @@ def node_of(depth: Column, step: int) -> Column:
     return F.expr(f"shiftleft(1L, int({step} * depth)) + shiftright(key, int({total} - {step} * depth))")
 
 
-def build(points: DataFrame, step: int = 3, leaf: int = LEAF, stride: int = 4) -> tuple[DataFrame, DataFrame]:
-    """(nodes, leaf_of): the node table with raw moments, boxes, depth, parent, is_leaf;
-    and each row with the node of its leaf. ``points`` needs no key."""
+def build(points: DataFrame, step: int = 3, leaf: int = LEAF, stride: int = 4, order: int = 2, own: Sequence[NodeAgg] = ()) -> tuple[DataFrame, DataFrame]:
+    """(nodes, leaf_of): the node table with raw moments up to ``order``, boxes, a user's
+    ``own`` aggregates, depth, parent, is_leaf; and each row with the node of its leaf.
+    ``points`` needs no key."""
     rows = written(keyed(points), "keyed")
     deepest = 3 * KEY_BITS // step
-    cells = rows.groupBy("key").agg(*raw_moments())
+    cells = rows.groupBy("key").agg(*raw_moments(order, own))
     levels, low, left = [], 0, cells
     while True:
         high = min(low + stride * (3 // step), deepest)
         spread_out = left.withColumn("depth", F.explode(F.sequence(F.lit(low), F.lit(high))))
-        found = spread_out.withColumn("node", node_of(F.col("depth"), step)).groupBy("depth", "node").agg(*rolled_up())
+        found = spread_out.withColumn("node", node_of(F.col("depth"), step)).groupBy("depth", "node").agg(*rolled_up(order, own))
         found = written(found, "nodes")
         levels.append(found if not low else found.where(F.col("depth") > low))
         if high == deepest:
@@ -80,7 +99,8 @@ def shape(nodes: DataFrame) -> DataFrame:
     safe = F.when(m > 0, m)
     cm = {f"c{d}": F.coalesce(F.col(f"m{d}") / safe, (F.col(f"{d}0") + F.col(f"{d}1")) / 2.0) for d in "xyz"}
     out = nodes.withColumns(cm).withColumn("soft", F.coalesce(F.col("msoft") / safe, F.lit(0.0)))
-    out = out.withColumns({f"q{p}": F.col(f"m{p}") - m * F.col(f"c{p[0]}") * F.col(f"c{p[1]}") for p in MOMENTS})
+    order = max(len(c) - 1 for c in raw_names(8) if c in nodes.columns)
+    out = out.withColumns(central(order))
     half = F.sqrt(sum((F.col(f"{d}1") - F.col(f"{d}0")) * (F.col(f"{d}1") - F.col(f"{d}0")) for d in "xyz")) * 0.5
     corner = F.lit(0.0)
     for d in "xyz":
@@ -90,6 +110,18 @@ def shape(nodes: DataFrame) -> DataFrame:
     return out.withColumn("radius", radius)
 
 
+def per_leaf(leaf_of: DataFrame, *columns: Column) -> DataFrame:
+    """A function of each leaf's rows: the aggregates ``columns`` by leaf."""
+    return leaf_of.groupBy("leaf").agg(*columns)
+
+
+def key_range(node: Column, depth: Column, step: int) -> tuple[Column, Column]:
+    """The first and last curve key in a node."""
+    free = F.pow(F.lit(2.0), F.lit(float(3 * KEY_BITS)) - depth * float(step)).cast("long")  # exact powers of two
+    prefix = node - F.pow(F.lit(2.0), depth * float(step)).cast("long")
+    return prefix * free, prefix * free + free - 1
+
+
 def subtract(a: dict[str, float], b: dict[str, float]) -> dict[str, float]:
     """What is left of raw moments ``a`` without ``b``."""
     return {k: a[k] - b[k] for k in a}

@@ -127,8 +127,9 @@ def test_ewald_does_not_depend_on_replicas(spark):
     """Ewald with a hole and the direct sum over the replicas in it: one answer."""
     rng = np.random.default_rng(1)
     x = rng.uniform(-0.4, 0.4, (6, 3))
-    m = {"mass": 1.0, "cx": 0.1, "cy": 0.0, "cz": -0.1, **{f"q{p}": 0.0 for p in tree.MOMENTS}}
+    m = {"mass": 1.0, "cx": 0.1, "cy": 0.0, "cz": -0.1, **dict(zip((f"q{p}" for p in tree.MOMENTS), (0.03, 0.01, -0.02, 0.05, 0.015, 0.02)))}
     c = np.array([0.1, 0.0, -0.1])
+    q = ewald.tensor(m)
 
     def total(replicas):
         out = ewald.corrections(x, m, 2.0, replicas)
@@ -138,13 +139,44 @@ def test_ewald_does_not_depend_on_replicas(spark):
                 for k in n:
                     r = x - c + 2.0 * np.array([i, j, k])
                     r2 = (r * r).sum(axis=1)
-                    out[:, :3] -= r / r2[:, None] ** 1.5
-                    out[:, 3] -= r2**-0.5
+                    qr, rqr, tr = r @ q, ((r @ q) * r).sum(axis=1), np.trace(q)
+                    out[:, :3] += -r / r2[:, None] ** 1.5 + 3 * qr / r2[:, None] ** 2.5 - r * (7.5 * rqr / r2**3.5 - 1.5 * tr / r2**2.5)[:, None]
+                    out[:, 3] -= r2**-0.5 + 1.5 * rqr / r2**2.5 - 0.5 * tr / r2**1.5
         return out
 
+    step = 1e-4
+    for axis in range(3):  # the acceleration is the potential's slope
+        ahead, back = (ewald.corrections(x + s * step * np.eye(3)[axis], m, 2.0, 0)[:, 3] for s in (1, -1))
+        assert np.allclose(ewald.corrections(x, m, 2.0, 0)[:, axis], (back - ahead) / (2 * step), atol=1e-5)
+
     assert np.allclose(total(0), total(1), atol=2e-3)
 
 
+def test_hexadecapole_against_the_direct_sum(spark, data):
+    rows = from_embeddings(spark, f"{data}/sf0.001")
+    want = gravity.direct(rows).toPandas().set_index("id").sort_index()
+    size = (want[["ax", "ay", "az"]] ** 2).sum(axis=1).mean()
+    off = {}
+    for order in (0, 2, 4):
+        found = gravity.hierarchical(rows, order=order).toPandas().set_index("id").sort_index()
+        off[order] = np.sqrt(((found - want)[["ax", "ay", "az"]] ** 2).sum(axis=1).mean() / size)
+    assert off[4] < off[2] < off[0] and off[4] < 0.001
+
+
+def test_boxes_and_spheres(spark):
+    from pyspark.sql import functions as F
+
+    from sparktree.functions import geometry
+
+    box = {f"b_{d}{i}": F.lit(float(i)) for d in "xyz" for i in (0, 1)}
+    row = spark.range(1).select(*(v.alias(k) for k, v in box.items()), *(F.lit(0.5).alias(d) for d in "xyz"))
+    at = [F.col(d) for d in "xyz"]
+    checks = [geometry.box_in_sphere(*at, F.lit(0.9), "b"), geometry.box_in_sphere(*at, F.lit(0.8), "b"), geometry.sphere_in_box(*at, F.lit(0.5), "b"), geometry.sphere_in_box(*at, F.lit(0.6), "b"), geometry.spheres_meet(F.lit(4.0), F.lit(1.0), F.lit(1.0))]
+    assert list(row.select(*(c.alias(f"c{i}") for i, c in enumerate(checks))).first()) == [True, False, True, False, True]
+    wide = row.select(*(v.alias(k) for k, v in geometry.expanded("b", F.lit(0.5)).items())).first()
+    assert (wide.b_x0, wide.b_z1) == (-0.5, 1.5)
+
+
 def test_simulations(spark, data):
     rows = from_embeddings(spark, f"{data}/sf0.001").limit(100)
     config = Config(iterations=2)
