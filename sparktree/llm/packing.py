@@ -90,8 +90,7 @@ class Packer:
     def __init__(self, window: int):
         self.window, self.step = window, -(-window // LEVELS)
         self.top = window // self.step
-        self.levels = np.zeros(self.top + 1)
-        self.levels[self.top] = -0.5  # a full window is not open: twice this makes its cost 1 - 2 N(h)
+        self.levels = [0] * self.top
         self.open: dict[int, list[list]] = defaultdict(list)
         self.short: list[list] = []  # windows with less room than a level
         self.n_open = self.next = self.joined = 0
@@ -115,12 +114,18 @@ class Packer:
         return -(-size_of(pieces) // self.step)
 
     def choose(self, size: int) -> int:
-        """The level to which a piece of so many levels goes; 0 for a new window."""
-        n = self.levels
-        costs = 2 * (n[size + 1 :] - n[1 : self.top - size + 1]) + 2
-        costs[n[1 : self.top - size + 1] <= 0] = np.inf
-        level = len(costs) - int(np.argmin(costs[::-1])) if len(costs) else 0
-        return 0 if not level or costs[level - 1] > 2 * n[size] + 1 else level
+        """The level to which a piece of so many levels goes; 0 for a new window. Each is
+        measured by what it adds to the sum of squares; a window at the top is not open."""
+        n, top = self.levels, self.top
+        if size >= top:
+            return 0
+        best, least = 0, 2 * n[size] + 1
+        for h in range(1, top - size + 1):
+            if n[h]:
+                cost = 1 - 2 * n[h] + (2 * n[h + size] + 1 if h + size < top else 0)
+                if cost <= least:
+                    best, least = h, cost
+        return best
 
     def place(self, piece: tuple) -> None:
         level = self.choose(self.level([piece]))
@@ -153,7 +158,7 @@ class Packer:
         pieces += [p for group in self.short for p in group]
         self.open.clear()
         self.short.clear()
-        self.levels[: self.top] = 0
+        self.levels = [0] * self.top
         self.n_open, before = 0, self.next
         left = sum(len(p[2]) for p in pieces)
         room, held, filled = (self.window, [], 0) if left >= self.window or not last else (1 << (left.bit_length() - 1) if left else 0, [], 0)

@@ -251,8 +251,7 @@ def test_packer_chooses_by_sum_of_squares(window):
     packer, rng = packing.Packer(window), np.random.default_rng(window)
     for doc in range(600):
         size = int(rng.integers(1, packer.top))
-        n = packer.levels.copy()
-        n[packer.top] = 0
+        n = np.append(packer.levels, 0)
 
         def squares(level):
             m = n.copy()
