@@ -39,7 +39,7 @@ from .common import materialize, ranges, table
 
 SAMPLE, WITHIN = 4096, 0.97
 #: Rotations, each giving up to 64 bits of the code.
-ROTATIONS, ROUNDS = 2, 20
+ROTATIONS, ROUNDS = 4, 20
 BLOCK, PART = 8192, 4096
 #: Substring widths to choose from.
 WIDTHS = (16, 32, 64)
