@@ -171,10 +171,8 @@ def subtree_homes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {sql_key('evt')}, r AS (SELECT *, (row_number() OVER (ORDER BY key, id) - 1) // 500 AS grp FROM k), s AS (SELECT max(key) AS key FROM r GROUP BY grp), t AS (SELECT DISTINCT (key >> 51) << 51 AS tk FROM k) SELECT key, arg_min(tk, (abs(key - tk), tk)) AS nearest FROM s, t GROUP BY key")
 def splitter_alignment(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    rows = universe.keyed(from_events(spark, sf))
-    parts = F.floor((F.row_number().over(W.orderBy("key", "id")) - 1) / 500)
+    rows, _ = partitioning.ranked(from_events(spark, sf))
+    parts = F.floor(F.col("rank") / 500)
     cuts = rows.select("key", parts.alias("grp")).groupBy("grp").agg(F.max("key").alias("key")).select("key").distinct()
     return partitioning.align(cuts, rows.select(F.shiftleft(F.shiftright("key", 51), 51).alias("key")).distinct())
 
@@ -243,6 +241,35 @@ def tree_leaves(spark: SparkSession, sf: str) -> DataFrame:
     return tree.build(from_embeddings(spark, sf))[1].select("id", "leaf")
 
 
+def halved_tree_sql(longest: bool, levels: int = 20) -> str:
+    """Nodes of the k-d or longest-side tree over pt_emb: paths of ``levels`` halvings, cut where 12 rows or fewer are left."""
+    out = f"WITH p AS ({SQL_VIEWS['emb']}), b0 AS (SELECT id, x, y, z, CAST(0 AS BIGINT) AS bin FROM p)"
+    for i in range(levels):
+        if longest:
+            out += f", g{i} AS MATERIALIZED (SELECT bin, {BOX}, avg(x) AS ax, avg(y) AS ay, avg(z) AS az FROM b{i} GROUP BY bin)"
+            out += f", b{i + 1} AS MATERIALIZED (SELECT id, x, y, z, b.bin * 2 + CASE WHEN (CASE WHEN x1 - x0 = greatest(x1 - x0, y1 - y0, z1 - z0) THEN x > ax WHEN y1 - y0 = greatest(x1 - x0, y1 - y0, z1 - z0) THEN y > ay ELSE z > az END) THEN 1 ELSE 0 END AS bin FROM b{i} b JOIN g{i} g ON b.bin = g.bin)"
+        else:
+            d = "xyz"[i % 3]
+            out += f", b{i + 1} AS MATERIALIZED (SELECT id, x, y, z, bin * 2 + CASE WHEN row_number() OVER (PARTITION BY bin ORDER BY {d}, id) > ceil(count(*) OVER (PARTITION BY bin) / 2e0) THEN 1 ELSE 0 END AS bin FROM b{i})"
+    every = " UNION ALL ".join(f"SELECT {i} AS depth, {1 << i} + bin AS node, x, y, z FROM b{i}" for i in range(levels + 1))
+    out += f", ag AS MATERIALIZED (SELECT depth, node, count(*) AS n, {BOX} FROM ({every}) GROUP BY depth, node)"
+    return out + " SELECT a.node, a.depth, a.n, a.n <= 12 AS is_leaf, a.x0, a.x1, a.y0, a.y1, a.z0, a.z1 FROM ag a LEFT JOIN ag q ON q.node = a.node >> 1 AND a.depth > 0 WHERE a.depth = 0 OR q.n > 12"
+
+
+def halved_tree(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    return tree.planted(kind, from_embeddings(spark, sf))[0].select("node", "depth", "n", "is_leaf", *universe.BOX)
+
+
+@query(halved_tree_sql(False, 9))
+def tree_nodes_kd(spark: SparkSession, sf: str) -> DataFrame:
+    return halved_tree(spark, sf, "kd")
+
+
+@query(halved_tree_sql(True))
+def tree_nodes_longest(spark: SparkSession, sf: str) -> DataFrame:
+    return halved_tree(spark, sf, "longest")
+
+
 ROLL = ["mass", *(f"c{d}" for d in "xyz"), *(f"q{p}" for p in MOM), "soft", "radius"]
 
 
@@ -449,6 +476,19 @@ def ball_join_count(spark: SparkSession, sf: str) -> DataFrame:
     return joins.ball(points, points, 2.0).groupBy("id").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH p AS ({SQL_VIEWS['part']}) SELECT a.id, count(*) AS n FROM p a JOIN p b ON {D2} <= pow(5e-1 * (a.id % 7), 2) GROUP BY a.id")
+def ball_join_own_radius(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows within a radius of each row's own: 0 to 3."""
+    points = from_parts(spark, sf)
+    return joins.ball_each(points.withColumn("ball", 0.5 * (F.col("id") % 7)), points, "ball").groupBy("id").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH p AS ({SQL_VIEWS['emb']}), {REPS}, q AS (SELECT a.id, b.x + ox - a.x AS dx, b.y + oy - a.y AS dy, b.z + oz - a.z AS dz, b.mass AS m, a.soft + b.soft AS h FROM p a, p b, o), t AS ({sql_direct('q')}) {sql_sum('t', 'CAST(27 * (SELECT count(*) FROM p) AS BIGINT)')}")
+def gravity_tree_replicas(spark: SparkSession, sf: str) -> DataFrame:
+    """Replicas on the tree walk, opened to the last pair: the direct sum's answer."""
+    return out_gravity(gravity.hierarchical(from_embeddings(spark, sf), theta=1e-9, replicas=1, period=2.0))
+
+
 COLLIDE = f"""m AS (SELECT *, -x AS ax, -y AS ay, -z AS az FROM p), cb AS (SELECT a.id, b.id AS s_id, {D2} AS d2, pow(a.vx-b.vx+(a.ax-b.ax)*5e-1,2)+pow(a.vy-b.vy+(a.ay-b.ay)*5e-1,2)+pow(a.vz-b.vz+(a.az-b.az)*5e-1,2) AS v2, (a.x-b.x)*(a.vx-b.vx+(a.ax-b.ax)*5e-1)+(a.y-b.y)*(a.vy-b.vy+(a.ay-b.ay)*5e-1)+(a.z-b.z)*(a.vz-b.vz+(a.az-b.az)*5e-1) AS rv, 2e0*(a.soft+b.soft) AS sr FROM m a, m b WHERE a.id <> b.id AND {D2} < pow(2e0*sqrt(a.vx*a.vx+a.vy*a.vy+a.vz*a.vz)*{sph.BALL_DT!r}e0 + 4e0*a.soft, 2)),
 cc AS (SELECT *, (d2 - sr*sr) / (rv*rv) * v2 AS inside FROM cb WHERE rv <> 0 AND v2 > 0),
 cd AS (SELECT *, -rv/v2*(1e0+sqrt(1e0-inside)) AS t1, -rv/v2*(1e0-sqrt(1e0-inside)) AS t2 FROM cc WHERE inside <= 1),

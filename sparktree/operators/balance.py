@@ -11,13 +11,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranking import TASK_ROWS, running
+from .universe import box
 
-def prefixed(objects: DataFrame, value: str) -> DataFrame:
+
+def prefixed(objects: DataFrame, value: str, most: int = TASK_ROWS) -> DataFrame:
     """``objects`` with ``upto``, the inclusive sum of ``value`` in the order of (pe, id), and ``total``."""
     per = objects.groupBy("pe").agg(F.sum(value).alias("s"))
     before = per.select("pe", (F.sum("s").over(W.orderBy("pe").rowsBetween(W.unboundedPreceding, 0)) - F.col("s")).alias("before"), F.sum("s").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("total"))
-    within = F.sum(value).over(W.partitionBy("pe").orderBy("id").rowsBetween(W.unboundedPreceding, 0))
-    return objects.join(F.broadcast(before), "pe").withColumn("upto", F.col("before") + within).drop("before")
+    within = running(objects, ["pe"], ["id"], F.col(value), objects.count(), most=most).drop("whole")
+    return within.join(F.broadcast(before), "pe").withColumn("upto", F.col("before") + F.col("upto")).drop("before")
 
 
 def prefix_balance(objects: DataFrame, pes: int) -> DataFrame:
@@ -71,18 +74,19 @@ def diffusion_moves(objects: DataFrame, pes: int) -> DataFrame:
     return chosen.select("id", "pe", F.col("best.to").alias("to_pe"))
 
 
-def orb_balance(objects: DataFrame, levels: int) -> DataFrame:
-    """id, to_pe: bisection of the centroids on the longest side of each part at half its load."""
+def orb_balance(objects: DataFrame, levels: int, most: int = TASK_ROWS) -> DataFrame:
+    """id, to_pe: bisection of the centroids on the longest side of each part at half its
+    load. A part may hold most objects, so sums run over ranges wherever all are more than ``most``."""
     rows = objects.select("id", "x", "y", "z", "load", F.lit(0).cast("long").alias("bin"))
+    n = objects.count()
     for _ in range(levels):
-        b = rows.groupBy("bin").agg(*(f(d).alias(f"{d}{i}") for d in "xyz" for i, f in ((0, F.min), (1, F.max))), F.sum("load").alias("total"))
+        b = rows.groupBy("bin").agg(*box())
         size = {d: F.col(f"{d}1") - F.col(f"{d}0") for d in "xyz"}
         widest = F.greatest(*size.values())
-        b = b.select("bin", "total", F.when(size["x"] == widest, 0).when(size["y"] == widest, 1).otherwise(2).alias("dim"))
+        b = b.select("bin", F.when(size["x"] == widest, 0).when(size["y"] == widest, 1).otherwise(2).alias("dim"))
         at = F.when(F.col("dim") == 0, F.col("x")).when(F.col("dim") == 1, F.col("y")).otherwise(F.col("z"))
-        upto = F.sum("load").over(W.partitionBy("bin").orderBy("at", "id").rowsBetween(W.unboundedPreceding, 0))
-        rows = rows.join(b, "bin").withColumn("at", at).withColumn("upto", upto)
-        rows = rows.select("id", "x", "y", "z", "load", (F.col("bin") * 2 + (F.col("upto") - F.col("load") / 2 > F.col("total") / 2).cast("long")).alias("bin"))
+        rows = running(rows.join(b, "bin").withColumn("at", at), ["bin"], ["at", "id"], F.col("load"), n, most=most)
+        rows = rows.select("id", "x", "y", "z", "load", (F.col("bin") * 2 + (F.col("upto") - F.col("load") / 2 > F.col("whole") / 2).cast("long")).alias("bin"))
     return rows.select("id", F.col("bin").alias("to_pe"))
 
 
@@ -97,5 +101,3 @@ def orb_histogram(objects: DataFrame, dim: str, bins: int = 8) -> DataFrame:
 def load_metrics(objects: DataFrame, pe: str = "pe") -> DataFrame:
     per = objects.groupBy(pe).agg(F.sum("load").alias("load"))
     return per.agg(F.max("load").alias("most"), F.min("load").alias("least"), F.avg("load").alias("mean"), (F.max("load") / F.avg("load")).alias("ratio"))
-
-

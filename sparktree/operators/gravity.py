@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import box_distance2, spheres_meet, spline
 from .multipoles import degree, field, letters
 from .traverse import Visitor, gravity_open, hinted, node_side, walk
-from .tree import build, shape
+from .tree import build, planted, shape
 
 #: Rows of one block of the direct sum.
 BLOCK = 2048
@@ -70,18 +70,30 @@ def direct(points: DataFrame, replicas: int = 0, period: float = 0.0) -> DataFra
     return summed(near_terms(pairs, *gap, F.col("s_mass"), F.col("s_soft") + F.col("soft")))
 
 
-def hierarchical(points: DataFrame, theta: float = 0.7, order: int = 2, step: int = 3, leaf: int = 12) -> DataFrame:
-    """id, ax, ay, az, potential, terms by tree traversal, with multipoles up to ``order``."""
-    nodes, rows = build(points, step, leaf, order=max(order, 2))
+def hierarchical(points: DataFrame, theta: float = 0.7, order: int = 2, step: int = 3, leaf: int = 12, kind: str | None = None, replicas: int = 0, period: float = 0.0) -> DataFrame:
+    """id, ax, ay, az, potential, terms by tree traversal, with multipoles up to ``order``.
+    ``kind``: a tree type of ``tree.TREES`` instead of ``step``. With ``replicas`` of a
+    periodic box, every target leaf walks the tree once from each place that its shifted
+    box has, as the field of a shifted source is that at an oppositely shifted target."""
+    nodes, rows = planted(kind, points, leaf, max(order, 2)) if kind else build(points, step, leaf, order=max(order, 2))
     nodes = shape(nodes)
-    actions = walk(nodes, Visitor(gravity_open(theta)))
     n = nodes.count()
     target = rows.select("id", "x", "y", "z", "soft", F.col("leaf").alias("target"))
+    leaves = nodes.where("is_leaf").select("node", *(f"{d}{i}" for d in "xyz" for i in (0, 1)), "cx", "cy", "cz", "soft")
+    at, copy = ["target"], None
+    if replicas:
+        at, copy = ["target", "copy"], "copy"
+        places = F.broadcast(offsets(points, replicas, period).withColumn("copy", F.format_string("%s %s %s", "ox", "oy", "oz")))
+        moved = lambda df, names: df.crossJoin(places).withColumns({c: F.col(c) - F.col(f"o{d}") for d in "xyz" for c in names(d)}).drop("ox", "oy", "oz")
+        target = moved(target, lambda d: [d])
+        leaves = moved(leaves, lambda d: [f"{d}0", f"{d}1", f"c{d}"])
+    actions = walk(nodes, Visitor(gravity_open(theta)), leaves if copy else None, copy)
     source = rows.select(*(F.col(c).alias(f"s_{c}") for c in ("x", "y", "z", "mass", "soft")), F.col("leaf").alias("source"))
-    near = actions.where("action = 'leaf'").select("target", "source").join(target, "target").join(source, "source")
+    near = actions.where("action = 'leaf'").select(*at, "source").join(target, at).join(source, "source")
     gap = [F.col(f"s_{d}") - F.col(d) for d in "xyz"]
     near = near_terms(near, *gap, F.col("s_mass"), F.col("s_soft") + F.col("soft"))
-    t = node_side(nodes.where("is_leaf").select("node", *(f"{d}{i}" for d in "xyz" for i in (0, 1)), "cx", "cy", "cz", "soft"), "t")
+    t = node_side(leaves, "t").withColumnRenamed("t_node", "target").withColumnRenamed("t_copy", "copy")
     s = node_side(nodes.select("node", "mass", "cx", "cy", "cz", "soft", *(c for c in nodes.columns if c.startswith("q"))), "s")
-    far = actions.where("action = 'node'").select("target", "source").join(hinted(s, n), F.col("source") == F.col("s_node")).join(hinted(t, n), F.col("target") == F.col("t_node")).join(target, "target")
+    copies = (2 * replicas + 1) ** 3
+    far = actions.where("action = 'node'").select(*at, "source").join(hinted(s, n), F.col("source") == F.col("s_node")).join(hinted(t, n * copies), at).join(target, at)
     return summed(near.unionByName(far_terms(far, order)))

@@ -52,6 +52,32 @@ def ball(targets: DataFrame, sources: DataFrame, radius: float, strict: bool = F
     return grid_pairs(targets, sources, radius).where(near)
 
 
+#: Powers of two below the widest ball that have a grid of their own.
+BALL_CLASSES = 20
+
+
+def ball_each(targets: DataFrame, sources: DataFrame, radius: str, strict: bool = False) -> DataFrame:
+    """Pairs within each target's own ``radius``, a column; targets without a finite one have none.
+
+    Balls are classed by the power of two above their radius and each class has its own
+    grid, so one wide ball does not coarsen those of others. Sources are looked up once
+    for each class that occurs (``BALL_CLASSES`` + 1 at most), targets in 27 cells.
+    """
+    some = targets.where((F.col(radius) >= 0) & (F.col(radius) < float("inf")))
+    widest = some.agg(F.max(radius)).first()[0] or 1.0
+    top = math.floor(math.log2(widest)) + 1
+    power = F.floor(F.log2(F.when(F.col(radius) > 0, F.col(radius)).otherwise(widest))) + 1
+    power = F.when(F.col(radius) > 0, F.greatest(F.least(power, F.lit(top)), F.lit(top - BALL_CLASSES))).otherwise(top - BALL_CLASSES)
+    classed = some.withColumn("_class", power.cast("int"))
+    edge = F.pow(F.lit(2.0), F.col("_class"))
+    present = F.broadcast(classed.select("_class").distinct())
+    source = sources.select(*(F.col(c).alias(f"s_{c}") for c in sources.columns))
+    source = source.crossJoin(present).select("*", *(F.floor(F.col(f"s_{d}") / edge).cast("long").alias(f"g{d}") for d in "xyz"))
+    pairs = around(classed, edge).join(source, ["_class", "gx", "gy", "gz"]).drop("_class", "gx", "gy", "gz").withColumn("d2", distance2())
+    reach = F.col(radius) * F.col(radius)
+    return pairs.where(F.col("d2") < reach if strict else F.col("d2") <= reach)
+
+
 def knn(points: DataFrame, k: int = 32, ties: bool = False) -> DataFrame:
     """The k nearest rows of each row, itself among them: id, s_id, s_mass, ..., d2, rank.
 

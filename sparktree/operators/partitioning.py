@@ -7,26 +7,39 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import KEY_BITS
+from .halving import halve
+from .ranking import TASK_ROWS, running
+from .tables import written
 from .tree import build
-from .universe import box, keyed
+from .universe import keyed
 
 
-def by_curve(points: DataFrame, parts: int) -> DataFrame:
-    """Exact ranks along the curve: n rows in ``parts`` bins, the first n % parts one larger.
+def ranked(points: DataFrame, most: int = TASK_ROWS) -> tuple[DataFrame, int]:
+    """``points`` with their key and exact ``rank`` along the curve from 0, and how many there are.
 
     Ranks come from the counts of coarse curve cells (a running sum over at most
-    2**12 rows) and the place of a row in its cell, so no task sorts all rows.
+    2**12 rows) and the place of a row in its cell. If a cell holds more than ``most``
+    rows, it is ranked by ranges (``running``), so no task sorts more than some ``most`` rows.
     """
-    rows = keyed(points)
-    cell = F.shiftright("key", 3 * KEY_BITS - 12)
-    counts = rows.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))
-    before = counts.select("cell", (F.sum("n").over(W.orderBy("cell").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("before"), F.sum("n").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("total"))
-    placed = rows.withColumn("cell", cell).join(F.broadcast(before), "cell")
-    rank = F.col("before") + F.row_number().over(W.partitionBy("cell").orderBy("key", "id")) - 1
-    small = F.floor(F.col("total") / parts)
-    large = F.col("total") % parts
-    bin_ = F.when(F.col("rank") < large * (small + 1), F.floor(F.col("rank") / (small + 1))).otherwise(large + F.floor((F.col("rank") - large * (small + 1)) / F.greatest(small, F.lit(1))))
-    return placed.withColumn("rank", rank).withColumn("partition_idx", bin_.cast("int")).drop("cell", "before", "total", "rank")
+    rows = keyed(points).withColumn("cell", F.shiftright("key", 3 * KEY_BITS - 12))
+    n = points.count()
+    counts = rows.groupBy("cell").agg(F.count("*").alias("n"))
+    largest = n
+    if n > most:
+        counts = written(counts, "cells")
+        largest = counts.agg(F.max("n")).first()[0]
+    before = counts.select("cell", (F.sum("n").over(W.orderBy("cell").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("before"))
+    placed = running(rows, ["cell"], ["key", "id"], F.lit(1).cast("long"), n, largest, most).join(F.broadcast(before), "cell")
+    return placed.withColumn("rank", F.col("before") + F.col("upto") - 1).drop("cell", "before", "upto", "whole"), n
+
+
+def by_curve(points: DataFrame, parts: int, most: int = TASK_ROWS) -> DataFrame:
+    """Exact ranks along the curve: n rows in ``parts`` bins, the first n % parts one larger."""
+    rows, n = ranked(points, most)
+    small, large = n // parts, n % parts
+    tail = large + F.floor((F.col("rank") - large * (small + 1)) / max(small, 1))
+    bin_ = F.when(F.col("rank") < large * (small + 1), F.floor(F.col("rank") / (small + 1))).otherwise(tail)
+    return rows.withColumn("partition_idx", bin_.cast("int")).drop("rank")
 
 
 def by_range(points: DataFrame, parts: int) -> DataFrame:
@@ -41,26 +54,13 @@ def by_cells(points: DataFrame, parts: int, step: int = 3) -> DataFrame:
     return rows.select("id", F.col("leaf").alias("node")), nodes.where("is_leaf").select("node", "depth", "n")
 
 
-def by_median(points: DataFrame, levels: int, longest: bool = False) -> DataFrame:
+def by_median(points: DataFrame, levels: int, longest: bool = False, most: int = TASK_ROWS) -> DataFrame:
     """id, bin after ``levels`` halvings of each bin: k-d (dimension = level mod 3, at the
     median row, the larger half left), or the longest side at its mean."""
     rows = points.select("id", "x", "y", "z", F.lit(0).cast("long").alias("bin"))
+    n = 0 if longest else points.count()
     for level in range(levels):
-        by = W.partitionBy("bin")
-        if longest:
-            b = rows.groupBy("bin").agg(*box(), *(F.avg(d).alias(f"mean_{d}") for d in "xyz"))
-            size = {d: F.col(f"{d}1") - F.col(f"{d}0") for d in "xyz"}
-            widest = F.greatest(*size.values())
-            dim = F.when(size["x"] == widest, "x").when(size["y"] == widest, "y").otherwise("z")
-            b = b.select("bin", dim.alias("dim"), "mean_x", "mean_y", "mean_z")
-            pick = lambda p: F.when(F.col("dim") == "x", F.col(f"{p}x")).when(F.col("dim") == "y", F.col(f"{p}y")).otherwise(F.col(f"{p}z"))
-            right = (pick("") > pick("mean_")).cast("long")
-            rows = rows.join(b, "bin").select("id", "x", "y", "z", (F.col("bin") * 2 + right).alias("bin"))
-        else:
-            d = "xyz"[level % 3]
-            place = F.row_number().over(by.orderBy(d, "id"))
-            n = F.count("*").over(by)
-            rows = rows.withColumn("right", (place > F.ceil(n / 2)).cast("long")).select("id", "x", "y", "z", (F.col("bin") * 2 + F.col("right")).alias("bin"))
+        rows = halve(rows, level, longest, n, most)
     return rows.select("id", "bin")
 
 

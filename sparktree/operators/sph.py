@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import dkernel_m4, kernel_m4, time_to_contact
-from .joins import grid_pairs, knn
+from .joins import ball_each, knn
 from .tables import written
 
 GAMMA_M1 = 5.0 / 3.0 - 1.0
@@ -65,10 +65,7 @@ def collisions(points: DataFrame, max_dt: float, ball_dt: float = BALL_DT) -> Da
     """id, partner, dt: the first body that each body touches among those in its ball."""
     speed = F.sqrt(sum(F.col(f"v{d}") * F.col(f"v{d}") for d in "xyz"))
     balls = points.withColumn("ball", 2.0 * speed * ball_dt + 4.0 * F.col("soft"))
-    widest = balls.agg(F.max("ball")).first()[0]
-    if not widest:
-        return points.limit(0).select("id", F.col("id").alias("partner"), F.lit(0.0).alias("dt"))
-    pairs = grid_pairs(balls, points, widest).where((F.col("d2") < F.col("ball") * F.col("ball")) & (F.col("id") != F.col("s_id")))
+    pairs = ball_each(balls, points, "ball", strict=True).where(F.col("id") != F.col("s_id"))
     # half a step's worth of the difference in acceleration, where rows have one
     turn = {d: (F.col(f"a{d}") - F.col(f"s_a{d}")) * (max_dt / 2) if f"a{d}" in points.columns else F.lit(0.0) for d in "xyz"}
     v = {d: F.col(f"v{d}") - F.col(f"s_v{d}") + turn[d] for d in "xyz"}

@@ -64,25 +64,31 @@ def always() -> Column:
     return F.lit(True)
 
 
-def walk(nodes: DataFrame, visitor: Visitor, targets: DataFrame | None = None) -> DataFrame:
+def walk(nodes: DataFrame, visitor: Visitor, targets: DataFrame | None = None, copy: str | None = None) -> DataFrame:
     """(target, source, s_n, action): action 'node' where a source is not opened, 'leaf'
-    where an opened source is a leaf, 'open' for the others. Targets: all leaves."""
+    where an opened source is a leaf, 'open' for the others. Targets: all leaves.
+    ``copy``: a column of ``targets`` that tells apart rows of one node (at shifted
+    places), and comes out too."""
     n = nodes.count()
+    many = n if targets is None or not copy else targets.count()
+    also = [f"t_{copy}"] if copy else []
     targets = node_side(targets if targets is not None else nodes.where("is_leaf"), "t")
     sources = node_side(nodes, "s")
-    frontier = targets.select("t_node", F.lit(1).cast("long").alias("at"))
+    frontier = targets.select("t_node", *also, F.lit(1).cast("long").alias("at"))
     found = []
     while True:
-        seen = frontier.join(hinted(sources, n), F.col("at") == F.col("s_node")).join(hinted(targets, n), "t_node")
+        seen = frontier.join(hinted(sources, n), F.col("at") == F.col("s_node")).join(hinted(targets, many), ["t_node", *also])
         action = F.when(~visitor.open(), "node").when(F.col("s_is_leaf"), "leaf").otherwise("open")
-        step = written(seen.select(F.col("t_node").alias("target"), F.col("s_node").alias("source"), "s_n", action.alias("action")), "frontier")
+        step = written(seen.select(F.col("t_node").alias("target"), F.col("s_node").alias("source"), *also, "s_n", action.alias("action")), "frontier")
         found.append(step)
         opened = step.where("action = 'open'")
         if opened.isEmpty():
             break
         children = sources.where("s_depth > 0").select("s_parent", F.col("s_node").alias("at"))
-        frontier = opened.join(hinted(children, n), F.col("source") == F.col("s_parent")).select(F.col("target").alias("t_node"), "at")
+        frontier = opened.join(hinted(children, n), F.col("source") == F.col("s_parent")).select(F.col("target").alias("t_node"), *also, "at")
     out = reduce(DataFrame.unionByName, found)
+    if copy:
+        out = out.withColumnRenamed(also[0], copy)
     return out if visitor.call_self_leaf else out.where("NOT (action = 'leaf' AND target = source)")
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import KEY_BITS
+from .halving import path_keyed
 from .multipoles import central, raw_names, raw_sums
 from .tables import written
 from .universe import box, keyed
@@ -60,11 +61,15 @@ def node_of(depth: Column, step: int) -> Column:
     return F.expr(f"shiftleft(1L, int({step} * depth)) + shiftright(key, int({total} - {step} * depth))")
 
 
-def build(points: DataFrame, step: int = 3, leaf: int = LEAF, stride: int = 4, order: int = 2, own: Sequence[NodeAgg] = ()) -> tuple[DataFrame, DataFrame]:
+def build(points: DataFrame, step: int = 3, leaf: int = LEAF, stride: int = 4, order: int = 2, own: Sequence[NodeAgg] = (), keys: str = "curve") -> tuple[DataFrame, DataFrame]:
     """(nodes, leaf_of): the node table with raw moments up to ``order``, boxes, a user's
     ``own`` aggregates, depth, parent, is_leaf; and each row with the node of its leaf.
-    ``points`` needs no key."""
-    rows = written(keyed(points), "keyed")
+    ``points`` needs no key. ``keys``: 'curve', or 'kd' or 'longest' for a binary tree whose
+    nodes are cut at the median row or at the mean of their longest side."""
+    if keys not in ("curve", "kd", "longest"):
+        raise ValueError(f"unknown keys {keys}")
+    step = step if keys == "curve" else 1
+    rows = written(keyed(points) if keys == "curve" else path_keyed(points, leaf, keys == "longest"), "keyed")
     deepest = 3 * KEY_BITS // step
     cells = rows.groupBy("key").agg(*raw_moments(order, own))
     levels, low, left = [], 0, cells
@@ -135,5 +140,17 @@ def graphviz(nodes: DataFrame) -> DataFrame:
     return boxes.unionByName(edges)
 
 
+#: The tree types of the settings: ``step`` and ``keys`` of ``build``.
+TREES = {"oct": (3, "curve"), "binoct": (1, "curve"), "kd": (1, "kd"), "longest": (1, "longest")}
+
+
+def planted(kind: str, points: DataFrame, leaf: int = LEAF, order: int = 2, own: Sequence[NodeAgg] = ()) -> tuple[DataFrame, DataFrame]:
+    """``build`` of a tree type by its name in the settings."""
+    if kind not in TREES:
+        raise ValueError(f"unknown tree {kind}, not one of {', '.join(TREES)}")
+    step, keys = TREES[kind]
+    return build(points, step, leaf, order=order, own=own, keys=keys)
+
+
 def expected_depth(rows: int, leaf: int = LEAF, step: int = 3) -> int:
     return max(0, math.ceil(math.log2(max(1, rows / leaf)) / step))

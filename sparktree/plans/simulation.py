@@ -57,7 +57,7 @@ class GravitySimulation(Simulation):
     fixed_dt: float | None = None
 
     def forces(self, rows: DataFrame) -> DataFrame:
-        found = gravity.hierarchical(rows, self.theta, leaf=self.config.leaf_size)
+        found = gravity.hierarchical(rows, self.theta, leaf=self.config.leaf_size, kind=self.config.tree)
         return with_forces(rows, found, "ax", "ay", "az", "potential")
 
     def dt(self, rows: DataFrame) -> float:

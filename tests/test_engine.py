@@ -228,3 +228,71 @@ def test_streamed_snapshots(spark, tmp_path):
     stream = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).parquet(f"{tmp_path}/in")
     append_snapshots(stream, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 20
+
+
+def test_running_sums_by_ranges(spark):
+    """Ranges give what one window gives, with one group of most rows."""
+    from pyspark.sql import functions as F
+
+    from sparktree.operators.ranking import running
+
+    rows = spark.range(5000).select("id", F.when(F.col("id") % 10 < 8, 0).otherwise(F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 13).alias("v"))
+    both = [running(rows, ["g"], ["v", "id"], F.col("v"), 5000, most=most).toPandas().sort_values("id").reset_index(drop=True) for most in (5000, 300)]
+    assert both[0][both[1].columns].equals(both[1])
+    assert both[1].upto.max() == both[1].whole.max()
+
+
+def test_partitions_do_not_depend_on_task_rows(spark, data):
+    from sparktree.operators import balance
+    from sparktree.sources.adapters import from_parts
+
+    rows = from_parts(spark, f"{data}/sf0.001")
+    order = lambda df: sorted(map(tuple, df.collect()))
+    assert order(partitioning.by_median(rows, 3)) == order(partitioning.by_median(rows, 3, most=40))
+    assert order(partitioning.by_curve(rows, 7).select("id", "partition_idx")) == order(partitioning.by_curve(rows, 7, most=20).select("id", "partition_idx"))
+    objects = rows.selectExpr("id", "id % 3 AS pe", "x", "y", "z", "1L + id % 5 AS load")
+    assert order(balance.orb_balance(objects, 3)) == order(balance.orb_balance(objects, 3, most=40))
+    assert order(balance.prefixed(objects, "load").select("id", "upto")) == order(balance.prefixed(objects, "load", most=40).select("id", "upto"))
+
+
+@pytest.mark.parametrize("kind", ["kd", "longest"])
+def test_halved_trees(spark, data, kind):
+    rows = from_embeddings(spark, f"{data}/sf0.001")
+    nodes, leaf_of = tree.planted(kind, rows, 12)
+    leaves = nodes.where("is_leaf").toPandas()
+    assert leaves.n.sum() == leaf_of.count() == rows.count() and (leaves.n <= 12).all()
+    if kind == "kd":
+        assert leaves.n.min() >= leaves.n.max() // 2
+    a = gravity.direct(rows).toPandas().set_index("id").sort_index()
+    b = gravity.hierarchical(rows, kind=kind).toPandas().set_index("id").sort_index()
+    d = sum((a[c] - b[c]) ** 2 for c in ("ax", "ay", "az")).mean() / sum(a[c] ** 2 for c in ("ax", "ay", "az")).mean()
+    assert d**0.5 < 0.02
+    for few in ([(1, 0, 0, 0)], [(i, 2, 2, 2) for i in range(5)], [(i, 2, 2, 2 + (i > 3)) for i in range(5)]):
+        nodes, leaf_of = tree.planted(kind, points(spark, few), 2)
+        assert nodes.where("is_leaf").toPandas().n.sum() == len(few) == leaf_of.count()
+    with pytest.raises(ValueError):
+        tree.planted("none", rows)
+
+
+def test_balls_of_each_row(spark):
+    """Radii from none to very wide, and rows at one place."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    at = np.vstack([rng.uniform(-1, 1, (60, 3)), np.zeros((4, 3))])
+    reach = [None, float("nan"), -1.0, 0.0, 1e-9, 0.125, 0.25, 40.0] * 8
+    rows = spark.createDataFrame([(i, *map(float, p), r) for i, (p, r) in enumerate(zip(at, reach))], "id long, x double, y double, z double, r double")
+    d2 = ((at[:, None] - at[None]) ** 2).sum(-1)
+    for strict in (False, True):
+        found = {(r.id, r.s_id) for r in joins.ball_each(rows, rows.drop("r"), "r", strict).collect()}
+        want = {(i, j) for i, r in enumerate(reach) for j in range(64) if r is not None and r >= 0 and (d2[i, j] < r * r if strict else d2[i, j] <= r * r)}
+        assert found == want
+    assert joins.ball_each(rows.where("false"), rows, "r").count() == 0 == joins.ball_each(rows.withColumn("r", F.lit(None).cast("double")), rows, "r").count()
+
+
+def test_replicas_on_the_walk(spark, data):
+    rows = from_embeddings(spark, f"{data}/sf0.001").limit(100)
+    a = gravity.direct(rows, 1, 2.0).toPandas().set_index("id").sort_index()
+    b = gravity.hierarchical(rows, theta=0.5, replicas=1, period=2.0).toPandas().set_index("id").sort_index()
+    d = sum((a[c] - b[c]) ** 2 for c in ("ax", "ay", "az")).mean() / sum(a[c] ** 2 for c in ("ax", "ay", "az")).mean()
+    assert d**0.5 < 0.01 and b.terms.sum() < a.terms.sum()
