@@ -132,7 +132,7 @@ def dual_walk(nodes: DataFrame, decide: Callable[[], Column]) -> DataFrame:
         left = step.where("outcome IS NULL")
         if left.isEmpty():
             break
-        by_source = left.where("first").join(hinted(children, n), F.col("s_node") == F.col("above")).select(F.col("below").alias("s_node"), "t_node")
-        by_target = left.where("NOT first").join(hinted(children, n), F.col("t_node") == F.col("above")).select("s_node", F.col("below").alias("t_node"))
-        frontier = by_source.unionByName(by_target)
+        # one join for both sides: the children of the node that is opened first
+        met = left.withColumn("opened", F.when(F.col("first"), F.col("s_node")).otherwise(F.col("t_node"))).join(hinted(children, n), F.col("opened") == F.col("above"))
+        frontier = met.select(*(F.when(here, F.col("below")).otherwise(F.col(c)).alias(c) for c, here in (("s_node", F.col("first")), ("t_node", ~F.col("first")))))
     return reduce(DataFrame.unionByName, found).select(F.col("s_node").alias("source"), F.col("t_node").alias("target"), "s_n", "t_n", "outcome")
