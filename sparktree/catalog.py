@@ -315,6 +315,36 @@ def visit_all(spark: SparkSession, sf: str) -> DataFrame:
     return traverse.counters(traverse.walk(nodes, traverse.Visitor(traverse.always)))
 
 
+@query(f"""WITH RECURSIVE {sql_tree('emb')}, act AS (
+  SELECT s.node AS source, t.node AS target, t.n AS t_n, CASE WHEN t.is_leaf THEN 'leaf' WHEN {OPEN_SQL} THEN 'open' ELSE 'node' END AS action FROM nodes s, nodes t WHERE s.is_leaf AND t.depth = 0
+  UNION ALL
+  SELECT s.node, t.node, t.n, CASE WHEN t.is_leaf THEN 'leaf' WHEN {OPEN_SQL} THEN 'open' ELSE 'node' END FROM act JOIN nodes t ON t.parent = act.target AND t.depth > 0 JOIN nodes s ON s.node = act.source WHERE act.action = 'open'
+) SELECT action, count(*) AS pairs, CAST(sum(t_n) AS BIGINT) AS target_rows FROM act GROUP BY action""")
+def inverted_counts(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = tree.shape(tree.build(from_embeddings(spark, sf))[0])
+    actions = traverse.inverted(nodes, traverse.Visitor(traverse.gravity_open(0.7)))
+    return actions.groupBy("action").agg(F.count("*").alias("pairs"), F.sum("t_n").alias("target_rows"))
+
+
+NEAR_LEAVES = f"SELECT t.node AS target, s.node AS source FROM nodes t, nodes s WHERE t.is_leaf AND s.is_leaf AND {' + '.join(f'pow(greatest(s.{d}0 - t.{d}1, 0e0, t.{d}0 - s.{d}1), 2)' for d in 'xyz')} <= 9e-2"
+
+
+@query(f"WITH {sql_tree('emb')} {NEAR_LEAVES}")
+def up_and_down_leaves(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = tree.build(from_embeddings(spark, sf))[0]
+    met = traverse.up_and_down(nodes, traverse.Visitor(traverse.ball_open(F.lit(0.3))))
+    return met.where("action = 'leaf'").select("target", "source")
+
+
+@query(f"WITH {sql_tree('emb')} {NEAR_LEAVES}")
+def dual_leaves(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaves at most 0.3 apart, both sides opened together, targets down to leaves."""
+    nodes = tree.build(from_embeddings(spark, sf))[0]
+    met = traverse.dual_visit(nodes, traverse.Visitor(traverse.ball_open(F.lit(0.3)), cell=traverse.ball_open(F.lit(0.3))), leaf_targets=True, even=True)
+    pairs = met.where("action = 'leaf'").join(nodes.select(F.col("node").alias("target"), *(F.col(c).alias(f"t_{c}") for c in universe.BOX)), "target").join(nodes.select(F.col("node").alias("source"), *(F.col(c).alias(f"s_{c}") for c in universe.BOX)), "source")
+    return pairs.where(traverse.ball_open(F.lit(0.3))()).select("target", "source")
+
+
 HIST_ARGS = (1e-3, 1e1, 12)
 LO, HI = math.log(HIST_ARGS[0]), math.log(HIST_ARGS[1])
 
@@ -440,6 +470,11 @@ def knn32(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(joins.knn(from_embeddings(spark, sf), 32).select("id", "s_id", "d2", "rank"), "d2", digits=9)
 
 
+@query(ORACLE_SQL["knn32"])
+def knn32_tree(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(joins.knn_tree(from_embeddings(spark, sf), 32).select("id", "s_id", "d2", "rank"), "d2", digits=9)
+
+
 KERNEL = "CASE WHEN q2 < 1 THEN 1e0 - 75e-2 * (2e0 - sqrt(q2)) * q2 ELSE 25e-2 * pow(2e0 - sqrt(q2), 3) END"
 DENS = f"n2 AS (SELECT *, max(d2) OVER (PARTITION BY id) AS ball2 FROM n1 WHERE tied <= 32), n3 AS (SELECT *, 4e0 * d2 / ball2 AS q2 FROM n2), dens AS (SELECT id, ball2, sum(({KERNEL}) * s_mass) / (125e-3 * {math.pi!r}e0 * ball2 * sqrt(ball2)) AS density, count(*) AS n_near FROM n3 GROUP BY id, ball2)"
 
@@ -655,6 +690,30 @@ def lb_orb_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(balance.orb_histogram(loads(spark, sf), "x"), "load", "upto", digits=3)
 
 
+def orb_refined_sql(levels: int, rounds: int) -> str:
+    wide = "greatest(x1 - x0, y1 - y0, z1 - z0)"
+    dim = lambda x, y, z: f"CASE WHEN x1 - x0 = {wide} THEN {x} WHEN y1 - y0 = {wide} THEN {y} ELSE {z} END"
+    out = f"WITH {LOADS}, r0 AS MATERIALIZED (SELECT CAST(0 AS BIGINT) AS part, {BOX} FROM o), w0 AS MATERIALIZED (SELECT *, CAST(0 AS BIGINT) AS part FROM o)"
+    for i in range(levels):
+        out += f", g{i} AS MATERIALIZED (SELECT *, {dim(*(repr(d) for d in 'xyz'))} AS dim, {dim('x0', 'y0', 'z0')} AS lo, {dim('x1', 'y1', 'z1')} AS hi FROM r{i})"
+        out += f", a{i} AS MATERIALIZED (SELECT w.*, CASE dim WHEN 'x' THEN x WHEN 'y' THEN y ELSE z END AS at_ FROM w{i} w JOIN g{i} USING (part)), s{i}_0 AS MATERIALIZED (SELECT part, lo, hi FROM g{i})"
+        for k in range(rounds):
+            out += f", h{i}_{k} AS MATERIALIZED (SELECT part, lo, hi, greatest(least(floor(coalesce((at_ - lo) / nullif(hi - lo, 0), 0e0) * 8), 8), -1) AS slice, sum(load) AS load FROM a{i} JOIN s{i}_{k} USING (part) GROUP BY ALL)"
+            out += f", c{i}_{k} AS (SELECT *, sum(load) OVER (PARTITION BY part ORDER BY slice) AS upto, sum(load) OVER (PARTITION BY part) / 2 AS half FROM h{i}_{k})"
+            out += f", f{i}_{k} AS (SELECT *, greatest(least(slice, 7), 0) AS j FROM c{i}_{k} WHERE upto >= half QUALIFY row_number() OVER (PARTITION BY part ORDER BY slice) = 1)"
+            out += f", s{i}_{k + 1} AS MATERIALIZED (SELECT part, lo + (hi - lo) * j / 8 AS lo, lo + (hi - lo) * (j + 1) / 8 AS hi, half - (upto - load) AS short, upto - half AS over_ FROM f{i}_{k})"
+        out += f", t{i} AS MATERIALIZED (SELECT part, CASE WHEN short <= over_ THEN lo ELSE hi END AS cut FROM s{i}_{rounds})"
+        out += f", w{i + 1} AS MATERIALIZED (SELECT id, x, y, z, load, part * 2 + CASE WHEN at_ >= cut THEN 1 ELSE 0 END AS part FROM a{i} JOIN t{i} USING (part))"
+        sides = ", ".join(f"CASE WHEN dim = '{d}' AND side = {1 - e} THEN cut ELSE {d}{e} END AS {d}{e}" for d in "xyz" for e in (0, 1))
+        out += f", r{i + 1} AS MATERIALIZED (SELECT part * 2 + side AS part, {sides} FROM g{i} JOIN t{i} USING (part), (VALUES (0), (1)) v(side))"
+    return out + f" SELECT id, CAST(part AS BIGINT) AS to_pe FROM w{levels}"
+
+
+@query(orb_refined_sql(3, 4))
+def lb_orb_refined(spark: SparkSession, sf: str) -> DataFrame:
+    return balance.orb_refined(loads(spark, sf), 3)
+
+
 @query(f"WITH {LOADS}, g AS (SELECT pe, sum(load) AS load FROM o GROUP BY pe) SELECT round(max(load), 3) AS most, round(min(load), 3) AS least, round(avg(load), 3) AS mean, round(max(load) / avg(load), 6) AS ratio FROM g")
 def lb_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rounded(balance.load_metrics(loads(spark, sf)), "most", "least", "mean", digits=3), "ratio")

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .ranking import TASK_ROWS, running
+from .tables import written
 from .universe import box
 
 
@@ -98,6 +99,42 @@ def orb_histogram(objects: DataFrame, dim: str, bins: int = 8) -> DataFrame:
     return per.select("bin", "load", F.sum("load").over(W.orderBy("bin").rowsBetween(W.unboundedPreceding, 0)).alias("upto"))
 
 
+def orb_refined(objects: DataFrame, levels: int, bins: int = 8, rounds: int = 4) -> DataFrame:
+    """id, to_pe: bisection by load histograms, without a sort. Each part is cut across the
+    longest side of its region: the load in ``bins`` slices shows the slice in which half of
+    it is reached, which is sliced again, ``rounds`` times; the cut is the last slice's edge
+    that leaves the sides more equal, and what lies on it goes right. The regions of the
+    parts, and so the cuts, fill the box of all. A round shuffles bins + 2 sums a part.
+    """
+    region = objects.agg(*box()).withColumn("part", F.lit(0).cast("long"))
+    rows = objects.select("id", "x", "y", "z", "load", F.lit(0).cast("long").alias("part"))
+    for _ in range(levels):
+        size = {d: F.col(f"{d}1") - F.col(f"{d}0") for d in "xyz"}
+        widest = F.greatest(*size.values())
+        pick = lambda of: F.when(size["x"] == widest, F.col(of("x"))).when(size["y"] == widest, F.col(of("y"))).otherwise(F.col(of("z")))  # noqa: B023, E731
+        dim = F.when(size["x"] == widest, "x").when(size["y"] == widest, "y").otherwise("z")
+        region = written(region.select("part", *(f"{d}{i}" for d in "xyz" for i in (0, 1)), dim.alias("dim"), pick(lambda d: f"{d}0").alias("lo"), pick(lambda d: f"{d}1").alias("hi")), "regions")
+        at = F.when(F.col("dim") == "x", F.col("x")).when(F.col("dim") == "y", F.col("y")).otherwise(F.col("z"))
+        rows = written(rows.join(F.broadcast(region.select("part", "dim")), "part").withColumn("at", at), "objects")
+        slices = region.select("part", "lo", "hi")
+        for _ in range(rounds):
+            spot = F.floor(F.coalesce(F.try_divide(F.col("at") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * bins)
+            sums = rows.join(F.broadcast(slices.select("part", "lo", "hi")), "part").groupBy("part", "lo", "hi", F.greatest(F.least(spot, F.lit(bins)), F.lit(-1)).alias("slice")).agg(F.sum("load").alias("load"))
+            part = W.partitionBy("part")  # at most bins + 2 rows
+            sums = sums.withColumns({"upto": F.sum("load").over(part.orderBy("slice").rowsBetween(W.unboundedPreceding, 0)), "half": F.sum("load").over(part) / 2})
+            first = sums.where(F.col("upto") >= F.col("half")).groupBy("part", "lo", "hi", "half").agg(F.min("slice").alias("slice"), F.min("upto").alias("upto"), F.min_by("load", "slice").alias("load"))
+            j = F.greatest(F.least(F.col("slice"), F.lit(bins - 1)), F.lit(0))
+            edge = lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / bins
+            slices = written(first.select("part", edge(j).alias("lo"), edge(j + 1).alias("hi"), (F.col("half") - (F.col("upto") - F.col("load"))).alias("short"), (F.col("upto") - F.col("half")).alias("over")), "slices")
+        cuts = slices.select("part", F.when(F.col("short") <= F.col("over"), F.col("lo")).otherwise(F.col("hi")).alias("cut"))
+        right = (F.col("at") >= F.col("cut")).cast("long")
+        rows = rows.join(F.broadcast(cuts), "part").select("id", "x", "y", "z", "load", (F.col("part") * 2 + right).alias("part"))
+        halves = region.join(F.broadcast(cuts), "part").withColumn("right", F.explode(F.array(F.lit(0), F.lit(1))))
+        cut_at = lambda d, i: F.when((F.col("dim") == d) & (F.col("right") == 1 - i), F.col("cut")).otherwise(F.col(f"{d}{i}")).alias(f"{d}{i}")
+        region = halves.select((F.col("part") * 2 + F.col("right")).alias("part"), *(cut_at(d, i) for d in "xyz" for i in (0, 1)))
+    return rows.select("id", F.col("part").alias("to_pe"))
+
+
 def load_metrics(objects: DataFrame, pe: str = "pe") -> DataFrame:
     per = objects.groupBy(pe).agg(F.sum("load").alias("load"))
     return per.agg(F.max("load").alias("most"), F.min("load").alias("least"), F.avg("load").alias("mean"), (F.max("load") / F.avg("load")).alias("ratio"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import boxes_distance2
 from .tables import written
-from .traverse import dual_walk
+from .traverse import Visitor, above, ball_open, dual_walk, hinted, up_and_down
 from .tree import build
 from .universe import box
 
@@ -110,6 +110,50 @@ def knn(points: DataFrame, k: int = 32, ties: bool = False) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+#: Rows, in multiples of k, of a node whose rows are compared one by one for a first radius.
+CROWD = 32
+
+
+def knn_tree(points: DataFrame, k: int = 32, ties: bool = False) -> DataFrame:
+    """``knn`` over an octree, for data of any density: nothing is set by the mean density,
+    so a crowd beside a void costs what a crowd costs.
+
+    The lowest node over (or at) a leaf that holds k rows bounds how far the k-th neighbour
+    of the leaf's rows may be: by its rows, or if they are more than ``CROWD`` * k by the
+    far corners of its box. The tree is then walked up and down within that radius, and
+    the leaves met are compared row by row.
+    """
+    nodes, rows = build(points)
+    n = nodes.count()
+    leaves = nodes.where("is_leaf")
+    size = nodes.select(F.col("node").alias("over"), F.col("n").alias("held"))
+    path = leaves.select("node", F.lit(0).alias("up"), F.col("node").alias("over")).unionByName(above(leaves.select("node", "depth"), 3).select("node", "up", "over"))
+    enough = path.join(hinted(size, n), "over").where((F.col("held") >= k) | (F.col("over") == 1))
+    base = written(enough.groupBy("node").agg(F.min_by("over", "up").alias("base"), F.min("held").alias("held")), "base")
+    few = (F.col("held") >= k) & (F.col("held") <= CROWD * k)
+    source = rows.select(F.col("leaf").alias("s_leaf"), *(F.col(d).alias(f"s_{d}") for d in "xyz"))
+    target = rows.select("id", "leaf", "x", "y", "z")
+    # leaves under each base, to meet its rows
+    under = path.select(F.col("node").alias("s_leaf"), F.col("over").alias("base"))
+    pairs = base.where(few).select("node", "base").join(under, "base").join(target, F.col("node") == F.col("leaf")).join(source, "s_leaf").select("node", "id", distance2().alias("d2"))
+    kth = pairs.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("d2"))).where(F.col("rank") == k).groupBy("node").agg(F.max("d2").alias("kth"))
+    sides = [f"{d}{i}" for d in "xyz" for i in (0, 1)]
+    t, s = (nodes.select(F.col("node").alias(name), *(F.col(c).alias(f"{p}_{c}") for c in sides)) for name, p in (("node", "t"), ("base", "s")))
+    far = base.join(hinted(t, n), "node").join(hinted(s, n), "base").select("node", boxes_distance2("s", "t", farthest=True).alias("far"), F.col("held"))
+    # a base of fewer than k rows is the root: its box holds all there are
+    reach = F.sqrt(F.coalesce("kth", "far")) * (1 + 1e-9)
+    reached = written(far.join(kth, "node", "left").select("node", reach.alias("reach")), "reach")
+    met = up_and_down(nodes, Visitor(ball_open(F.col("t_reach"))), targets=leaves.join(hinted(reached, n), "node"))
+    met = met.where("action = 'leaf'").select("target", "source").join(hinted(reached, n), F.col("target") == F.col("node")).select("target", "source", "reach")
+    kept = [c for c in points.columns if c in rows.columns]
+    targets = rows.select("leaf", *kept)
+    sources = rows.select(F.col("leaf").alias("_s_leaf"), *(F.col(c).alias(f"s_{c}") for c in kept))
+    close = met.join(targets, F.col("target") == F.col("leaf")).join(sources, F.col("source") == F.col("_s_leaf")).withColumn("d2", distance2())
+    close = close.where(F.col("d2") <= F.col("reach") * F.col("reach")).drop("target", "source", "reach", "leaf", "_s_leaf")
+    order = (F.rank if ties else F.row_number)().over(W.partitionBy("id").orderBy(*(["d2"] if ties else ["d2", "s_id"])))
+    return close.withColumn("rank", order).where(F.col("rank") <= k)
+
+
 def bin_of(d2: Column, low: float, high: float, bins: int) -> Column:
     """The logarithmic bin of a distance; null outside [low, high)."""
     d = F.sqrt(d2)

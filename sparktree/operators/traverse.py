@@ -64,17 +64,18 @@ def always() -> Column:
     return F.lit(True)
 
 
-def walk(nodes: DataFrame, visitor: Visitor, targets: DataFrame | None = None, copy: str | None = None) -> DataFrame:
+def walk(nodes: DataFrame, visitor: Visitor, targets: DataFrame | None = None, copy: str | None = None, start: DataFrame | None = None) -> DataFrame:
     """(target, source, s_n, action): action 'node' where a source is not opened, 'leaf'
     where an opened source is a leaf, 'open' for the others. Targets: all leaves.
     ``copy``: a column of ``targets`` that tells apart rows of one node (at shifted
-    places), and comes out too."""
+    places), and comes out too. ``start``: the pairs (t_node, at) to begin with, if not
+    every target at the root."""
     n = nodes.count()
     many = n if targets is None or not copy else targets.count()
     also = [f"t_{copy}"] if copy else []
     targets = node_side(targets if targets is not None else nodes.where("is_leaf"), "t")
     sources = node_side(nodes, "s")
-    frontier = targets.select("t_node", *also, F.lit(1).cast("long").alias("at"))
+    frontier = targets.select("t_node", *also, F.lit(1).cast("long").alias("at")) if start is None else start
     found = []
     while True:
         seen = frontier.join(hinted(sources, n), F.col("at") == F.col("s_node")).join(hinted(targets, many), ["t_node", *also])
@@ -92,6 +93,73 @@ def walk(nodes: DataFrame, visitor: Visitor, targets: DataFrame | None = None, c
     return out if visitor.call_self_leaf else out.where("NOT (action = 'leaf' AND target = source)")
 
 
+def above(leaves: DataFrame, step: int) -> DataFrame:
+    """``leaves`` once for each node over them: ``up`` levels higher, ``over`` it, and
+    ``via``, the node below it on the leaf's own path."""
+    upward = leaves.where("depth > 0").withColumn("up", F.explode(F.sequence(F.lit(1), F.col("depth"))))
+    # shifts by a column are not in the DataFrame API
+    return upward.withColumns({"over": F.expr(f"shiftright(node, int({step} * up))"), "via": F.expr(f"shiftright(node, int({step} * (up - 1)))")})
+
+
+def up_and_down(nodes: DataFrame, visitor: Visitor, step: int = 3, targets: DataFrame | None = None) -> DataFrame:
+    """``walk`` that begins with a target's own leaf and with the siblings of each node over
+    it, and goes down from all of these: the leaf's own path is opened without asking.
+    ``step`` is the tree's. Beginnings are one join; targets without rows near them cost
+    only their path."""
+    goals = targets if targets is not None else nodes.where("is_leaf")
+    children = nodes.where("depth > 0").select(F.col("parent").alias("over"), F.col("node").alias("at"))
+    siblings = above(goals.select("node", "depth"), step).join(hinted(children, nodes.count()), "over").where(F.col("at") != F.col("via"))
+    own = goals.select(F.col("node").alias("t_node"), F.col("node").alias("at"))
+    return walk(nodes, visitor, targets=goals, start=own.unionByName(siblings.select(F.col("node").alias("t_node"), "at")))
+
+
+def inverted(nodes: DataFrame, visitor: Visitor) -> DataFrame:
+    """(source, target, t_n, action): each source leaf goes down the targets from the root.
+    A target leaf that is reached is met without asking ('leaf'); other targets are opened
+    or get the source as a whole ('node')."""
+    n = nodes.count()
+    sources, targets = node_side(nodes.where("is_leaf"), "s"), node_side(nodes, "t")
+    children = targets.where("t_depth > 0").select("t_parent", F.col("t_node").alias("at"))
+    frontier, found = sources.select("s_node", F.lit(1).cast("long").alias("at")), []
+    while True:
+        seen = frontier.join(hinted(targets, n), F.col("at") == F.col("t_node")).join(hinted(sources, n), "s_node")
+        action = F.when(F.col("t_is_leaf"), "leaf").when(visitor.open(), "open").otherwise("node")
+        step = written(seen.select(F.col("s_node").alias("source"), F.col("t_node").alias("target"), "t_n", action.alias("action")), "inverted")
+        found.append(step)
+        opened = step.where("action = 'open'")
+        if opened.isEmpty():
+            break
+        frontier = opened.join(hinted(children, n), F.col("target") == F.col("t_parent")).select(F.col("source").alias("s_node"), "at")
+    return reduce(DataFrame.unionByName, found)
+
+
+def dual_visit(nodes: DataFrame, visitor: Visitor, leaf_targets: bool = False, even: bool = False) -> DataFrame:
+    """(source, target, action) of a dual walk that asks the visitor: ``cell`` opens both
+    sides of a pair, else ``open`` opens one, or the pair is done ('node'); two leaves meet
+    as 'leaf'. ``leaf_targets``: the side opened is the target until it is a leaf, so no
+    leaf meets an inner target. ``even``: with ``cell``, a target deeper than its source waits."""
+    n = nodes.count()
+    s, t = node_side(nodes, "s"), node_side(nodes, "t")
+    below = nodes.where("depth > 0").select(F.col("parent").alias("over"), F.col("node").alias("child"))
+    frontier, found = nodes.where("depth = 0").select(F.col("node").alias("s_node"), F.col("node").alias("t_node")), []
+    met = F.col("s_is_leaf") & (F.col("t_is_leaf") | F.lit(not leaf_targets))
+    one = F.when(~visitor.open(), "node").when(F.lit(leaf_targets) & ~F.col("t_is_leaf"), "target").otherwise("source")
+    both = F.when(F.lit(even) & (F.col("t_depth") > F.col("s_depth")), "source").otherwise("both")
+    action = F.when(met, "leaf").when(F.col("s_is_leaf") | F.col("t_is_leaf"), one).when(visitor.cell(), both).otherwise(one)
+    while True:
+        seen = frontier.join(hinted(s, n), "s_node").join(hinted(t, n), "t_node")
+        step = written(seen.select("s_node", "t_node", action.alias("action")), "dual")
+        found.append(step.where("action IN ('node', 'leaf')"))
+        left = step.where("action NOT IN ('node', 'leaf')")
+        if left.isEmpty():
+            break
+        for side, other in (("s_node", "target"), ("t_node", "source")):
+            down = below.select(F.col("over").alias(f"_{side}"), F.col("child").alias(f"_child_{side}"))
+            left = left.join(hinted(down, n), (F.col(side) == F.col(f"_{side}")) & (F.col("action") != other), "left").withColumn(side, F.coalesce(f"_child_{side}", side)).drop(f"_{side}", f"_child_{side}")
+        frontier = left.select("s_node", "t_node")
+    return reduce(DataFrame.unionByName, found).select(F.col("s_node").alias("source"), F.col("t_node").alias("target"), "action")
+
+
 def counters(actions: DataFrame) -> DataFrame:
     """action, pairs, rows: how many times each action was taken, on how many source rows."""
     return actions.groupBy("action").agg(F.count("*").alias("pairs"), F.sum("s_n").alias("source_rows"))

@@ -296,3 +296,63 @@ def test_replicas_on_the_walk(spark, data):
     b = gravity.hierarchical(rows, theta=0.5, replicas=1, period=2.0).toPandas().set_index("id").sort_index()
     d = sum((a[c] - b[c]) ** 2 for c in ("ax", "ay", "az")).mean() / sum(a[c] ** 2 for c in ("ax", "ay", "az")).mean()
     assert d**0.5 < 0.01 and b.terms.sum() < a.terms.sum()
+
+
+def as_rows(df):
+    return sorted(map(tuple, df.select("id", "s_id", "rank").collect()))
+
+
+def test_neighbours_by_tree_equal_those_by_grid(spark):
+    # a crowd in a corner of a wide box, some rows at one place, and a few far ones
+    rng = np.random.default_rng(5)
+    crowd = [(i, *(rng.random(3) * 1e-3)) for i in range(300)]
+    same_place = [(1000 + i, 0.5, 0.5, 0.5) for i in range(30)]
+    far = [(2000 + i, *(rng.random(3) * 1e3)) for i in range(5)]
+    rows = points(spark, crowd + same_place + far)
+    found = as_rows(joins.knn_tree(rows, 8))
+    assert found == as_rows(joins.knn(rows, 8)) and len(found) == 8 * 335
+    tied = as_rows(joins.knn_tree(rows, 8, ties=True))
+    assert tied == as_rows(joins.knn(rows, 8, ties=True)) and len(tied) > len(found)
+
+
+def test_neighbours_by_tree_of_few_rows_and_of_none(spark):
+    few = points(spark, [(1, 0, 0, 0), (2, 1, 0, 0), (3, 5, 0, 0)])
+    assert as_rows(joins.knn_tree(few, 32)) == as_rows(joins.knn(few, 32)) and joins.knn_tree(few, 32).count() == 9
+    assert joins.knn_tree(few.limit(0), 4).count() == 0
+    assert as_rows(joins.knn_tree(points(spark, [(7, 0, 0, 0)]), 1)) == [(7, 7, 1)]
+
+
+@pytest.mark.parametrize("leaf_targets", [False, True])
+@pytest.mark.parametrize("even", [False, True])
+def test_dual_visit_meets_every_pair_once(spark, data, leaf_targets, even):
+    nodes = tree.shape(tree.build(from_embeddings(spark, f"{data}/sf0.001"))[0])
+    n = nodes.where("depth = 0").first()["n"]
+    visitor = traverse.Visitor(traverse.gravity_open(0.7), cell=traverse.gravity_open(0.5))
+    met = traverse.dual_visit(nodes, visitor, leaf_targets, even).toPandas()
+    size = nodes.select("node", "n", "is_leaf").toPandas().set_index("node")
+    assert (size.n.loc[met.source].to_numpy() * size.n.loc[met.target].to_numpy()).sum() == n * n
+    leaf = met[met.action == "leaf"]
+    assert size.is_leaf.loc[leaf.source].all()
+    if leaf_targets:
+        assert size.is_leaf.loc[leaf.target].all()
+
+
+def test_walk_up_and_down_meets_the_leaves_of_the_walk_down(spark, data):
+    nodes = tree.build(from_embeddings(spark, f"{data}/sf0.001"))[0]
+    visitor = traverse.Visitor(traverse.ball_open(traverse.F.lit(0.2)))
+    pairs = lambda met: sorted(map(tuple, met.where("action = 'leaf'").select("target", "source").collect()))
+    assert pairs(traverse.up_and_down(nodes, visitor)) == pairs(traverse.walk(nodes, visitor))
+
+
+def test_bisection_by_histograms(spark):
+    from sparktree.operators import balance
+
+    rng = np.random.default_rng(1)
+    rows = [(i, *map(float, rng.random(3) ** 3), float(rng.random())) for i in range(4000)]
+    kinds = "id long, x double, y double, z double, load double"
+    parts = balance.orb_refined(spark.createDataFrame(rows, kinds), 3).join(spark.createDataFrame(rows, kinds), "id").groupBy("to_pe").sum("load").toPandas()
+    loads = parts["sum(load)"]
+    assert len(loads) == 8 and loads.max() / loads.mean() < 1.05
+    equal = spark.createDataFrame([(i, 1.0, 1.0, 1.0, 1.0) for i in range(5)], kinds)
+    assert {r.to_pe for r in balance.orb_refined(equal, 2).collect()} == {3}
+    assert balance.orb_refined(equal.limit(0), 2).count() == 0
