@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, importance_resampling, language_id, multi_index, packing, simhash, substring_dedup, toxicity, url_filters, warc
+from . import byte_pairs, decontamination, importance_resampling, language_id, multi_index, packing, periodic_runs, prefix_trie, simhash, substring_dedup, toxicity, url_filters, warc
 
 QUERIES = {
     "op9_nearest_neighbours": multi_index.op9_nearest_neighbours,
@@ -15,10 +15,14 @@ QUERIES = {
     "op6_packing": packing.op6_packing,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+    "op11_byte_level_bpe": byte_pairs.op11_byte_level_bpe,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_conversation_trie": prefix_trie.op13_conversation_trie,
 }
 ORACLE_SQL = {
     "op10_warc": warc.ORACLE_SQL,
     "op2_url_filters": url_filters.ORACLE_SQL,
     "op8_decontamination": decontamination.ORACLE_SQL,
     "op7_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op13_conversation_trie": prefix_trie.ORACLE_SQL,
 }
