@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
+import secrets
 import uuid
 from collections.abc import Iterator
 
@@ -178,6 +180,40 @@ def sized_hash(total: np.ndarray, size: np.ndarray) -> np.ndarray:
     return mix(total + size.astype(np.uint64) * _ODD)
 
 
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+
+
+def drawn_seed() -> int:
+    """A seed for word hashes that texts can't have been made for; drawn once for a run and shipped."""
+    return secrets.randbits(63)
+
+
+def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the words at these places. Each block of eight bytes is mixed
+    into what the blocks before it made, twice with different beginnings; words of over
+    LONG_WORD bytes are hashed by keyed BLAKE2b."""
+    size = end - start
+    own = mix(np.array([seed, seed ^ 0x5DEECE66D], np.uint64) + _ODD)
+    both = [mix(own[i] + size.astype(np.uint64) * _ODD) for i in (0, 1)]
+    bytes_at = np.lib.stride_tricks.sliding_window_view(np.concatenate([buf, np.zeros(8, np.uint8)]), 8)
+    at = np.flatnonzero(size <= LONG_WORD)
+    done = 0
+    while len(at):
+        block = np.ascontiguousarray(bytes_at[start[at] + done]).view(np.uint64).ravel()
+        left = np.minimum(size[at] - done, 8).astype(np.uint64)
+        block &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left)
+        both[0][at] = mix(both[0][at] ^ block)
+        both[1][at] = mix((both[1][at] + block) * (own[0] | np.uint64(1)))
+        done += 8
+        at = at[size[at] > done]
+    key = int(seed).to_bytes(8, "little")
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        digest = hashlib.blake2b(buf[start[i] : end[i]].tobytes(), digest_size=16, key=key).digest()
+        both[0][i], both[1][i] = np.frombuffer(digest, np.uint64)
+    return both[0], both[1]
+
+
 #: Which bytes make words: all but 0x20 and 0x09-0x0D.
 PLAIN = ~np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
@@ -186,10 +222,11 @@ class Words:
     """The words (runs of ``inside`` bytes) of a binary column.
 
     ``start``/``end``: byte ranges in ``buf``; ``first``: index of each row's first
-    word, with the number of words at its end; ``hash``: a 64-bit hash of each word.
+    word, with the number of words at its end; ``hash``: a 64-bit hash of each word under
+    ``seed``.
     """
 
-    def __init__(self, raw: pa.Array, lower: bool = False, inside: np.ndarray = PLAIN):
+    def __init__(self, raw: pa.Array, lower: bool = False, inside: np.ndarray = PLAIN, seed: int = 0):
         buf, row_end = flat(raw)
         if lower:
             buf = np.where((buf >= 65) & (buf <= 90), buf + np.uint8(32), buf)
@@ -206,26 +243,22 @@ class Words:
         self.end = np.flatnonzero(inside & ~after) + 1
         self.first = np.append(np.searchsorted(self.start, row_start), len(self.start))
         self._hash = self._check = None
+        self.seed = seed
 
-    def _sums(self, spread) -> np.ndarray:
-        """A hash of each word: the sum of what ``spread`` makes of its (place, byte) pairs, mixed."""
-        size = self.end - self.start
-        place = ranges(np.zeros(len(size), np.int64), size).astype(np.uint64)
-        sums = np.append(np.uint64(0), np.cumsum(spread(placed(place, self.buf[ranges(self.start, size)])), dtype=np.uint64))
-        stop = np.cumsum(size)
-        return sized_hash(sums[stop] - sums[stop - size], size)
+    def _hashes(self) -> None:
+        self._hash, self._check = word_hashes(self.buf, self.start, self.end, self.seed)
 
     @property
     def hash(self) -> np.ndarray:
         if self._hash is None:
-            self._hash = self._sums(lambda x: x)
+            self._hashes()
         return self._hash
 
     @property
     def check(self) -> np.ndarray:
         """A second hash of each word, for those that must not meet by chance or design."""
         if self._check is None:
-            self._check = self._sums(lambda x: (x ^ (x >> np.uint64(31))) * (x | np.uint64(1)))
+            self._hashes()
         return self._check
 
     def windows(self, k: int, of: str = "hash") -> np.ndarray:

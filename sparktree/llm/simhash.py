@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bk_tree import Forest
-from .common import Words, binary, materialize, mix, ranges, slices, table, tidied
+from .common import Words, binary, drawn_seed, materialize, mix, ranges, slices, table, tidied
 from .components import connected_components, joined
 
 #: Nodes of one block of a shard, and nodes that all blocks of a large shard share.
@@ -251,7 +251,9 @@ def in_rounds(members: DataFrame, compare) -> DataFrame:
     one = rest.select("shard", "node", "group", F.col("part").alias("own"), "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side")).where("own IS NULL OR own != part")
     cell = F.xxhash64("shard", "block", "part").alias("shard")
     met = one.select(cell, "side", "node", "group").unionByName(two.select(cell, "side", "node", "group"))
-    return found.unionByName(compare(met))
+    # and those of one part, whatever their blocks, meet each other
+    among = rest.where("part IS NOT NULL").select(F.xxhash64("shard", F.lit(-1), "part").alias("shard"), F.lit(0).alias("side"), "node", "group")
+    return found.unionByName(compare(met.unionByName(among)))
 
 
 def radius_links(nodes: DataFrame, radius: int, counted: int | None = None) -> DataFrame:
@@ -346,13 +348,13 @@ def spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(x) for x in thinned()], names=["a", "b"])
 
 
-def similar_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def similar_links(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
     """Rows (shard, side, node, group, text) sorted by shard -> spanning links (a, b)."""
     held: list[pa.RecordBatch] = []
 
     def solve(t: pa.Table) -> pa.RecordBatch:
         shard, side, node, group = (t.column(c).to_numpy() for c in ("shard", "side", "node", "group"))
-        sets = [shingle_sets(Words(binary(part.column(part.schema.get_field_index("text"))), lower=True), SHINGLE_WORDS) for part in slices(t, "text")]
+        sets = [shingle_sets(Words(binary(part.column(part.schema.get_field_index("text"))), lower=True, seed=seed), SHINGLE_WORDS) for part in slices(t, "text")]
         hashes, counts = (np.concatenate([x[i] for x in sets]) for i in (0, 1))
         ends = np.cumsum(counts)
         bounds = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(shard))
@@ -404,9 +406,11 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.xxhash64(text).alias("node"), text.alias("text")).join(members.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     texts = materialize(texts, "texts")
 
+    seed = drawn_seed()
+
     def compare(rows: DataFrame) -> DataFrame:
         whole = texts.join(rows, "node").select("shard", F.col("side").cast("int").alias("side"), "node", "group", "text")
-        return whole.repartition("shard").sortWithinPartitions("shard").mapInArrow(tidied(similar_links), "a long, b long")
+        return whole.repartition("shard").sortWithinPartitions("shard").mapInArrow(tidied(lambda it: similar_links(it, seed)), "a long, b long")
 
     return with_components(coded.select("doc_id", "node"), in_rounds(members, compare), "node")
 
@@ -419,7 +423,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "node"))
     kept = materialize(found.groupBy(group.alias("g"), F.col("component_id").isNull().alias("none")).agg(first.alias("first")).select("first.doc_id", "first.node"), "kept")
     key, node = "_kept_id", "_kept_node"
-    while {key, node} & set(docs.columns):
+    while {x.lower() for x in docs.columns} & {key, node, f"{node}2"}:
         key, node = key + "_", node + "_"
     marked = docs.withColumn(node, F.xxhash64(F.col(f"`{text_col}`")))
     kept = kept.select(F.col("doc_id").alias(key), F.col("node").alias(f"{node}2"))

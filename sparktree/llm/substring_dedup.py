@@ -6,8 +6,9 @@ document. Windows are judged level by level, at lengths that double up to ``wind
 key, the smallest hash of that many words in it, so a run of unlike windows shares a
 key. Keys that one document alone holds end there, and so do their windows; the others
 are extended to twice the length, until none survive or the full length is reached.
-There windows are told apart by 96 bits of two hashes of their words, so that neither
-chance (one in a thousand at 1e13 windows) nor made-up words remove anything.
+There windows are told apart by 96 bits of two hashes of their words: two unlike ones
+are taken for one with a chance of one in a thousand at 1e13 windows. Word hashes depend
+on a seed that is drawn for each run, so texts can't be made to meet in them.
 
 Documents are dealt once into chunks of bounded size (a bucketed table in the shared
 folder; several chunks share a bucket where there are many). A chunk sends a hash once,
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, binary, bucketed, materialize, ranges, release_shuffles, shuffle_partitions, slices, table, text_bytes, tidy
+from .common import Words, binary, bucketed, drawn_seed, materialize, ranges, release_shuffles, shuffle_partitions, slices, table, text_bytes, tidy
 
 CHUNK_BYTES = 8 << 20
 #: Chunks and buckets of their table, at most.
@@ -108,7 +109,7 @@ def survivors(words: Words, window: int, length: int, known: np.ndarray, bits: i
     return starts[known[np.minimum(np.searchsorted(known, least), len(known) - 1)] == least]
 
 
-def middle_level(chunk: pa.Table, answers: pa.Table | None, window: int, before: int | None, length: int, bits: int) -> pa.Table:
+def middle_level(chunk: pa.Table, answers: pa.Table | None, window: int, before: int | None, length: int, bits: int, seed: int = 0) -> pa.Table:
     """The chunk's keys of one level, of windows that survived the level before: 32 bits
     beyond the range bits, then one byte that tells whether two documents of this chunk
     hold it."""
@@ -118,7 +119,7 @@ def middle_level(chunk: pa.Table, answers: pa.Table | None, window: int, before:
     ids = chunk.column("id").to_numpy()
     known = None if answers is None else known_keys(answers)
     for at, part in parts(chunk):
-        words = Words(binary(part.column("text")))
+        words = Words(binary(part.column("text")), seed=seed)
         starts, least = level_keys(words, window, length)
         if known is not None:
             own = np.isin(starts, survivors(words, window, before, known, bits), assume_unique=True)
@@ -168,7 +169,7 @@ def distinct(key: np.ndarray, check: np.ndarray) -> np.ndarray:
     return np.append(True, (key[1:] != key[:-1]) | (check[1:] != check[:-1])) if len(key) else np.zeros(0, bool)
 
 
-def last_level(chunk: pa.Table, answers: pa.Table, window: int, before: int, bits: int) -> pa.Table:
+def last_level(chunk: pa.Table, answers: pa.Table, window: int, before: int, bits: int, seed: int = 0) -> pa.Table:
     """The windows that survived: both their hashes, with the smallest id here and
     whether another document of this chunk holds it."""
     if not chunk.num_rows or not answers.num_rows:
@@ -177,7 +178,7 @@ def last_level(chunk: pa.Table, answers: pa.Table, window: int, before: int, bit
     found: list[list[np.ndarray]] = [[], [], []]
     ids = chunk.column("id").to_numpy()
     for at, part in parts(chunk):
-        words = Words(binary(part.column("text")))
+        words = Words(binary(part.column("text")), seed=seed)
         starts = survivors(words, window, before, known, bits)
         if len(starts):
             new = (words.windows(window)[starts], words.windows(window, "check")[starts].astype(np.uint32), ids[at + words.row()[starts]])
@@ -234,7 +235,7 @@ def smallest_ids(rows: pa.Table) -> pa.Table:
     return pa.table([rows.column("chunk").take(keep), rows.column("bucket").take(keep), [key[i].tobytes() + check[i].tobytes() for i in own], [least[i].tobytes() for i in own]], schema=_ANSWER_ARROW)
 
 
-def removed_words(chunk: pa.Table, answers: pa.Table, window: int):
+def removed_words(chunk: pa.Table, answers: pa.Table, window: int, seed: int = 0):
     """For each slice of the chunk: rows before it, its words, and which of them go."""
     ids = chunk.column("id").to_numpy()
     keys, checks = both_hashes(answers.column("hashes").to_pylist()) if answers.num_rows else ([np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)])
@@ -243,7 +244,7 @@ def removed_words(chunk: pa.Table, answers: pa.Table, window: int):
     order = np.lexsort((check, key))
     key, check, least = key[order], check[order], least[order]
     for at, part in parts(chunk):
-        words = Words(binary(part.column("text")))
+        words = Words(binary(part.column("text")), seed=seed)
         gone = np.zeros(len(words.start), bool)
         whole = np.flatnonzero(words.whole(window)) if len(key) else np.zeros(0, np.int64)
         if len(whole):
@@ -270,9 +271,9 @@ def removed_words(chunk: pa.Table, answers: pa.Table, window: int):
 _DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def digest(chunk: pa.Table, answers: pa.Table, window: int) -> pa.Table:
+def digest(chunk: pa.Table, answers: pa.Table, window: int, seed: int) -> pa.Table:
     out: list[list] = [[], [], []]
-    for _, part, words, gone in removed_words(chunk, answers, window):
+    for _, part, words, gone in removed_words(chunk, answers, window, seed):
         removed = np.add.reduceat(np.append(gone, False), words.first[:-1]) if part.num_rows else []
         removed = np.where(np.diff(words.first) > 0, removed, 0)
         for i, text in enumerate(binary(part.column("text")).to_pylist()):
@@ -285,10 +286,10 @@ def digest(chunk: pa.Table, answers: pa.Table, window: int) -> pa.Table:
     return pa.table([chunk.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def cut_text(chunk: pa.Table, answers: pa.Table, window: int) -> pa.Table:
+def cut_text(chunk: pa.Table, answers: pa.Table, window: int, seed: int) -> pa.Table:
     """The chunk with the removed words, and the space after each, cut from its texts."""
     texts = []
-    for _, part, words, gone in removed_words(chunk, answers, window):
+    for _, part, words, gone in removed_words(chunk, answers, window, seed):
         raw = binary(part.column("text")).to_pylist()
         for i, text in enumerate(raw):
             a, b = words.first[i], words.first[i + 1]
@@ -303,14 +304,14 @@ def cut_text(chunk: pa.Table, answers: pa.Table, window: int) -> pa.Table:
     return chunk.set_column(chunk.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
 
 
-def _level(own: DataFrame, keys: DataFrame | None, window: int, before: int | None, length: int, bits: int) -> DataFrame:
+def _level(own: DataFrame, keys: DataFrame | None, window: int, before: int | None, length: int, bits: int, seed: int) -> DataFrame:
     """What the chunks send at one level short of the last."""
     if keys is None:
-        return own.groupBy("chunk").applyInArrow(lambda t: tidied(middle_level, t, None, window, None, length, bits), _SENT)
-    return own.groupBy("chunk").cogroup(keys.groupBy("chunk")).applyInArrow(lambda t, a: tidied(middle_level, t, a, window, before, length, bits), _SENT)
+        return own.groupBy("chunk").applyInArrow(lambda t: tidied(middle_level, t, None, window, None, length, bits, seed), _SENT)
+    return own.groupBy("chunk").cogroup(keys.groupBy("chunk")).applyInArrow(lambda t, a: tidied(middle_level, t, a, window, before, length, bits, seed), _SENT)
 
 
-def _passes(spark: SparkSession, docs: DataFrame, window: int, n_bytes: int) -> tuple[DataFrame, DataFrame]:
+def _passes(spark: SparkSession, docs: DataFrame, window: int, n_bytes: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """The chunk table (columns id, text, chunk and what docs has besides) and the
     answers of the last level."""
     if window < 2:
@@ -325,12 +326,12 @@ def _passes(spark: SparkSession, docs: DataFrame, window: int, n_bytes: int) ->
     *lengths, _ = levels(window)
     keys, before = None, None
     for length in lengths:
-        sent = _level(own, keys, window, before, length, bits)
+        sent = _level(own, keys, window, before, length, bits, seed)
         keys, before = materialize(sent.groupBy("bucket").applyInArrow(repeated_keys, _ANSWER), "keys"), length
         release_shuffles(spark)
         if keys.isEmpty():
             return chunked, keys
-    sent = own.groupBy("chunk").cogroup(keys.groupBy("chunk")).applyInArrow(lambda t, a: tidied(last_level, t, a, window, before, bits), _SENT)
+    sent = own.groupBy("chunk").cogroup(keys.groupBy("chunk")).applyInArrow(lambda t, a: tidied(last_level, t, a, window, before, bits, seed), _SENT)
     answers = materialize(sent.groupBy("bucket").applyInArrow(smallest_ids, _ANSWER), "windows")
     release_shuffles(spark)
     return chunked, answers
@@ -339,8 +340,9 @@ def _passes(spark: SparkSession, docs: DataFrame, window: int, n_bytes: int) ->
 def substring_digests(spark: SparkSession, docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row of ``docs``."""
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    chunked, answers = _passes(spark, plain, window, text_bytes(plain, "text"))
-    return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda t, a: tidied(digest, t, a, window) if t.num_rows else pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]).empty_table(), _DIGEST)
+    seed = drawn_seed()
+    chunked, answers = _passes(spark, plain, window, text_bytes(plain, "text"), seed)
+    return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda t, a: tidied(digest, t, a, window, seed) if t.num_rows else pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]).empty_table(), _DIGEST)
 
 
 def dedup_substrings(spark: SparkSession, docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -349,9 +351,10 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, window: int = 50, id_
     names, own = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
     place: list[Column] = [F.col(f"`{n}`").alias("text" if n == text_col else o) for n, o in zip(names, own)]
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), *place)
-    chunked, answers = _passes(spark, plain, window, text_bytes(plain, "text"))
+    seed = drawn_seed()
+    chunked, answers = _passes(spark, plain, window, text_bytes(plain, "text"), seed)
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in chunked.schema])
-    cut = chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda t, a: tidied(cut_text, t, a, window), schema)
+    cut = chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda t, a: tidied(cut_text, t, a, window, seed), schema)
     return cut.select(*(F.col("text" if n == text_col else o).alias(n) for n, o in zip(names, own)))
 
 

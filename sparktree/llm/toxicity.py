@@ -12,7 +12,8 @@ probability is mixed in. So a chain that a class has seen too rarely says what o
 
 A word's evidence is the difference of its two log-likelihoods less ``LEAST`` nats, which
 rare words have by chance. A text's raw score is the sum over all its words, by their
-number; a logistic curve fitted on the labelled rows turns it into 0 to 1.
+number; a logistic curve fitted on the labelled rows turns it into 0 to 1. Where no cut
+tells their classes apart, every score is the share of toxic labels, below a half.
 
 Labelled rows are at most ``SAMPLE``, taken by hash of their id, so their ids are
 broadcast, and the driver gathers the chains that occur more than ``DISCOUNT`` times in
@@ -43,6 +44,8 @@ from .common import Words, binary, materialize, placed, ranges, sized_hash, slic
 ORDER, DISCOUNT, SHARED_DISCOUNT, LEAST = 5, 3, 0.75, 1.0
 #: Labelled rows to learn from, at most.
 SAMPLE = 40_000
+#: The score of every text is at most this where the labels teach nothing.
+HIGHEST_PRIOR = 0.499
 #: Distinct words or sequences that a task holds before it sends their counts.
 HELD = 1 << 18
 #: First bytes of a word by which words are dealt to tasks.
@@ -119,6 +122,8 @@ class Model:
     leaving: np.ndarray | None = None
     middle: float = 0.0
     slope: float = 1.0
+    #: The score of every text, if the labels teach nothing.
+    prior: float | None = None
 
     @classmethod
     def build(cls, node: np.ndarray, above: np.ndarray, depth: np.ndarray, shared: np.ndarray, counts: tuple[np.ndarray, np.ndarray]) -> Model:
@@ -190,6 +195,8 @@ class Model:
     def score(self, text: Column) -> Column:
         if self.keys is None:
             return F.lit(0.0)
+        if self.prior is not None:
+            return F.lit(self.prior)
         return 1 / (1 + F.exp(-self.slope * (self.raw(text) - self.middle)))
 
 
@@ -336,23 +343,38 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     shared = shared_probability(gram.view(np.uint64), {k: unsigned(x) for k, x in by_order.items()}, {k: unsigned(x) for k, x in contexts.items()})
     model = Model.build(node.view(np.uint64), above.view(np.uint64), depth, shared, (toxic, ordinary))
     checked = taught.select("label", model.raw(F.col("text")).alias("raw")).toPandas()
-    model.middle, model.slope = curve(checked["raw"].to_numpy(), checked["label"].to_numpy())
+    raw, label = checked["raw"].to_numpy(), checked["label"].to_numpy()
+    found = curve(raw, label)
+    if found is None:
+        model.prior = min(float(label.mean()) if len(label) else 0.0, HIGHEST_PRIOR)
+    else:
+        model.middle, model.slope = found
     return model
 
 
-def curve(raw: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Where the logistic curve is a half (the cut with the best F1) and its slope."""
+def curve(raw: np.ndarray, label: np.ndarray) -> tuple[float, float] | None:
+    """Where the logistic curve is a half and its slope; None if no cut tells toxic texts
+    from ordinary ones.
+
+    The cut has the best F1 of those above 0, as a text of which nothing is known (raw 0)
+    must stay below a half. It counts only if the curve says more about the labels than
+    their share does: its log-loss, with two parameters' cost, must be the smaller one.
+    """
     order = np.argsort(-raw, kind="stable")
     raw, label = raw[order], label[order]
-    if not len(raw) or not label.any():
-        return 0.01, 400.0
     hits = np.cumsum(label)
-    f1 = 2 * hits / (np.arange(len(raw)) + 1 + label.sum())
-    last = np.append(raw[1:] != raw[:-1], True)
-    best = int(np.argmax(np.where(last, f1, -1)))
-    middle = (raw[best] + (raw[best + 1] if best + 1 < len(raw) else 0.0)) / 2
+    f1 = 2 * hits / (np.arange(len(raw)) + 1 + label.sum()) if len(raw) else raw
+    cuts = np.append(raw[1:] != raw[:-1], True) & (raw > 0) if len(raw) else np.zeros(0, bool)
+    if not cuts.any() or not label.any():
+        return None
+    best = int(np.argmax(np.where(cuts, f1, -1)))
+    middle = (raw[best] + max(raw[best + 1] if best + 1 < len(raw) else 0.0, 0.0)) / 2
     slopes = np.geomspace(10, 10_000, 40)
     loss = [np.logaddexp(0, np.where(label == 1, -s, s) * (raw - middle)).mean() for s in slopes]
+    share = label.mean()
+    known = 0.0 if share == 1 else -(share * np.log(share) + (1 - share) * np.log(1 - share))
+    if min(loss) + np.log(len(label)) / len(label) >= known:
+        return None
     return float(middle), float(slopes[int(np.argmin(loss))])
 
 

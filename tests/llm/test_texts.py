@@ -85,6 +85,28 @@ def test_substring_query(spark, oracle, same, data):
     same(found, oracle(substring_dedup.ORACLE_SQL))
 
 
+#: A word of as many letters as this number has bits, a for 0 and b for 1: a sum over (place, letter) hashes can't tell it from one of a alone.
+MADE_UP = 0xD3005D083514573D347443E6411095B709BF64687C2711CE358DDD85F432D2C081CA9E90744EFEA4013D4FBB60E14176004778D9781C11BD8AD28F2A06E314D9037C7C31DDA05A9BFC365688D76DA6C57364FCC6C3F5D44B1537D7809DFEA926DBDD37D92D4A5BD05A4337BCD681675923587E1901F30981B8307B97715CE33311E0884DBC0DAB6161206470BFD88DFD23B5E6DD6B6E6CC79D6248608350B389CAEE01E1A742A3BD9D7FF2B038B1EF2D8F729181C6680DBF81C09D991078F54E01D6088586C7B63EECB80B9F0290622CE6E3D0363B07A3599A2BD480542630481BAB44C7075D18666C6C6BF112CCF5F06B5BA45A5C6894B223AA494E49E106FF9C35479DCFDA1E3F052119B1157C0DA1
+
+
+def test_made_up_words_remove_nothing(spark):
+    one = "".join("ab"[(MADE_UP >> i) & 1] for i in range(2175, -1, -1))
+    tail = " ".join(f"x{i}" for i in range(12))
+    found = substring_dedup.substring_digests(spark, documents(spark, [(1, f"{one} {tail}"), (2, f"{'a' * 2176} {tail}"), (3, f"{one} {tail}")]))
+    assert {r.doc_id: r.n_removed for r in found.collect()} == {1: 0, 2: 0, 3: 13}
+
+
+def test_word_hashes():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    words = sorted({"".join(rng.choice(list("ab"), rng.integers(1, 90))) for _ in range(5000)} | {"a" * n for n in range(1, 130)} | {"\x00" * n for n in range(1, 20)})
+    a, b, other = (Words(binary(pa.array([" ".join(words + words)])), seed=s) for s in (1, 1, 2))
+    for x in (a.hash, a.check):
+        assert (x[: len(words)] == x[len(words) :]).all() and len(np.unique(x)) == len(words)
+    assert (a.hash == b.hash).all() and (a.check == b.check).all() and not np.isin(a.hash, other.hash).any() and not np.isin(a.hash, a.check).any()
+
+
 def test_substring_texts_keep_other_columns(spark, empty):
     passage = " ".join(f"w{i}" for i in range(60))
     rows = [(1, f"start {passage} end"), (2, f"other\n{passage}\ntail"), (3, "clean\n text"), (4, None)]
@@ -149,6 +171,43 @@ def test_links_of_dense_shards(spark, cap, monkeypatch):
     assert [label.get(c, c) for c in codes] == want
 
 
+@pytest.mark.parametrize("cap", [8, 512])
+def test_every_pair_of_a_shard_meets(spark, cap, monkeypatch):
+    """Unlike nodes of one large shard: whatever blocks and parts they lie in, each two meet."""
+    monkeypatch.setattr(simhash, "SHARD", cap)
+    n = 60 if cap == 8 else 1500
+    members = spark.range(n).selectExpr("1L AS shard", "id AS node")
+    met = []
+
+    def compare(rows):
+        met.append(rows.toPandas())
+        return spark.createDataFrame([], "a long, b long")
+
+    simhash.in_rounds(members, compare)
+    pairs = set()
+    for frame in met:
+        for _, cell in frame.groupby("shard"):
+            assert len(cell) <= 2 * cap + simhash.LEADERS
+            node, side = cell.node.to_numpy(), cell.side.to_numpy()
+            a, b = np.nonzero((side[:, None] != side[None, :]) | (side[:, None] == 0))
+            pairs |= set(zip(node[a].tolist(), node[b].tolist()))
+    assert len({(a, b) for a, b in pairs if a < b}) == n * (n - 1) // 2
+
+
+def test_planted_pairs_of_one_shard(spark):
+    """2,000 codes that share 12 bits; 1,000 pairs differ in one bit of each other block."""
+    rng = np.random.default_rng(2)
+    codes = []
+    for _ in range(1000):
+        code = int(rng.integers(0, 2**51)) << 12
+        codes += [code, code ^ sum(1 << int(rng.integers(lo, lo + 12)) for lo in (13, 26, 39, 51 - 1))]
+    nodes = spark.createDataFrame([(c,) for c in codes], "node long")
+    from sparktree.llm.components import connected_components
+
+    label = {r.node: r.label for r in connected_components(simhash.radius_links(nodes, 4)).collect()}
+    assert all(label.get(a) is not None and label.get(a) == label.get(b) for a, b in zip(codes[::2], codes[1::2]))
+
+
 def test_bk_trees():
     rng = np.random.default_rng(0)
     code = np.unique(rng.integers(0, 2**10, 300)).astype(np.uint64)
@@ -587,3 +646,44 @@ def test_substring_windows_with_one_first_hash(monkeypatch):
     answers = substring_dedup.smallest_ids(sent)
     gone = np.concatenate([g for _, _, _, g in substring_dedup.removed_words(chunk, answers, 3)])
     assert np.flatnonzero(gone).tolist() == [7, 8, 9]
+
+
+def test_toxicity_where_labels_teach_nothing(spark, some, data):
+    same_text = documents(spark, [(i, "the very same text of some words") for i in range(200)])
+    labels = spark.createDataFrame([(i, int(i < 4)) for i in range(200)], "doc_id long, toxic int")
+    assert {r.predicted for r in toxicity.score_documents(same_text, labels).collect()} == {0}
+    assert toxicity.drop_toxic(same_text, labels).count() == 200
+    few = some.where("doc_id < 61")
+    assert toxicity.drop_toxic(few, spark.read.parquet(f"{data}/sf0.001/labels.parquet")).count() >= few.count() - 2
+    rng = np.random.default_rng(8)
+    chance = documents(spark, [(i, " ".join(f"w{x}" for x in rng.integers(0, 300, 40))) for i in range(300)] + [(900, None), (901, "12 ?!"), (902, "...")])
+    drawn = spark.createDataFrame([(i, int(rng.random() < 0.3)) for i in range(300)], "doc_id long, toxic int")
+    kept = {r.doc_id for r in toxicity.drop_toxic(chance, drawn).collect()}
+    assert {900, 901, 902} <= kept and len(kept) > 150
+
+
+def test_toxicity_curve():
+    raw, label = np.array([3.0, 2.0, 0.0, 0.0, -1.0] * 20), np.array([1, 1, 0, 0, 0] * 20)
+    middle, _ = toxicity.curve(raw, label)
+    assert middle == 1.0
+    assert toxicity.curve(np.zeros(50), np.arange(50) % 5 == 0) is None
+    assert toxicity.curve(np.zeros(0), np.zeros(0)) is None
+    assert toxicity.curve(-raw - 1, label) is None
+
+
+@pytest.mark.parametrize("stage", ["near", "toxic", "items"])
+def test_stages_with_clashing_columns(spark, data, stage):
+    """Columns named like the operators' own, and an all-null row."""
+    names = ["_kept_id", "_kept_node2", "node", "keys", "shard", "label", "learn_id", "score", "gram", "shingle", "item_id", "n", "hash", "text2"]
+    rows = [(i, f"text number {i} has a few words of its own {i * 7}", *range(len(names))) for i in range(6)]
+    rows += [(6, rows[0][1], *range(len(names))), (None, None, *[None] * len(names))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` long" for n in names))
+    if stage == "near":
+        kept = simhash.drop_near_duplicates(docs)
+        assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {0, 1, 2, 3, 4, 5, None}
+    elif stage == "toxic":
+        kept = toxicity.drop_toxic(docs, spark.read.parquet(f"{data}/sf0.001/labels.parquet"))
+        assert kept.columns == docs.columns and kept.count() == 8
+    else:
+        kept = decontamination.drop_contaminated(docs, spark.read.parquet(f"{data}/sf0.001/benchmark.parquet"))
+        assert kept.columns == docs.columns and kept.count() == 8
