@@ -452,11 +452,14 @@ def visitor_user_sums(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(traverse.gather(tree.shape(nodes), rows, visitor), "glow", "heat", digits=4)
 
 
-@query(f"WITH {sql_tree('emb')} SELECT node, min(key) >= (node - (CAST(1 AS BIGINT) << CAST(3 * depth AS INTEGER))) * (CAST(1 AS BIGINT) << CAST(60 - 3 * depth AS INTEGER)) AS inside, (node - (CAST(1 AS BIGINT) << CAST(3 * depth AS INTEGER))) * (CAST(1 AS BIGINT) << CAST(60 - 3 * depth AS INTEGER)) AS first_key, (node - (CAST(1 AS BIGINT) << CAST(3 * depth AS INTEGER)) + 1) * (CAST(1 AS BIGINT) << CAST(60 - 3 * depth AS INTEGER)) - 1 AS last_key FROM up SEMI JOIN nodes USING (node) GROUP BY node, depth")
+@query(f"WITH {sql_tree('emb')} SELECT node, min(key) >= (node - (CAST(1 AS BIGINT) << CAST(3 * depth AS INTEGER))) * (CAST(1 AS BIGINT) << CAST(60 - 3 * depth AS INTEGER)) AND max(key) < (node - (CAST(1 AS BIGINT) << CAST(3 * depth AS INTEGER)) + 1) * (CAST(1 AS BIGINT) << CAST(60 - 3 * depth AS INTEGER)) AS inside, (node - (CAST(1 AS BIGINT) << CAST(3 * depth AS INTEGER))) * (CAST(1 AS BIGINT) << CAST(60 - 3 * depth AS INTEGER)) AS first_key, (node - (CAST(1 AS BIGINT) << CAST(3 * depth AS INTEGER)) + 1) * (CAST(1 AS BIGINT) << CAST(60 - 3 * depth AS INTEGER)) - 1 AS last_key FROM up SEMI JOIN nodes USING (node) GROUP BY node, depth")
 def node_key_range(spark: SparkSession, sf: str) -> DataFrame:
-    nodes, _ = tree.build(from_embeddings(spark, sf))
+    """The keys that a node may hold, and whether those of its rows lie among them."""
+    least = [tree.NodeAgg("least", F.col("key"), "min"), tree.NodeAgg("most", F.col("key"), "max")]
+    nodes, _ = tree.build(from_embeddings(spark, sf), own=least)
     first, last = tree.key_range(F.col("node"), F.col("depth"), 3)
-    return nodes.select("node", F.lit(True).alias("inside"), first.alias("first_key"), last.alias("last_key"))
+    inside = (F.col("least") >= first) & (F.col("most") <= last)
+    return nodes.select("node", inside.alias("inside"), first.alias("first_key"), last.alias("last_key"))
 
 
 # Neighbours and SPH

@@ -63,8 +63,8 @@ def test_hierarchical_is_near_direct(spark, data):
     rows = from_embeddings(spark, f"{data}/sf0.001")
     a = gravity.direct(rows).toPandas().sort_values("id")
     errors = []
-    for quadrupole in (False, True):
-        b = gravity.hierarchical(rows, quadrupole=quadrupole).toPandas().sort_values("id")
+    for order in (0, 2):
+        b = gravity.hierarchical(rows, order=order).toPandas().sort_values("id")
         d = np.sqrt(sum((a[c].to_numpy() - b[c].to_numpy()) ** 2 for c in ("ax", "ay", "az")))
         errors.append(np.sqrt(np.mean((d / np.sqrt(a.ax**2 + a.ay**2 + a.az**2).to_numpy()) ** 2)))
     assert errors[1] < 0.01 and errors[1] < errors[0] < 0.02
