@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import arrays
 from .functions.geometry import CUBE_MARGIN, FOUR_THIRDS_SQRT, r6
-from .operators import balance, gravity, integrate, joins, partitioning, sph, traverse, tree, universe
+from .operators import balance, gravity, integrate, joins, local, partitioning, sph, traverse, tree, universe
 from .sources.adapters import SQL_VIEWS, from_embeddings, from_events, from_parts, table
 
 QUERIES: dict = {}
@@ -414,6 +414,47 @@ def gravity_hexadecapole(spark: SparkSession, sf: str) -> DataFrame:
     return out_gravity(gravity.hierarchical(from_embeddings(spark, sf), order=4))
 
 
+def sql_local(order: int, spread: float) -> str:
+    """The far part as what it is: with R between the centres and u what the two rows are off
+    them, the Taylor series of 1/|R + u| up to the order, by Legendre polynomials of
+    s = u.R, w = u.u and r2 = R.R; by degree the term and its derivatives by s and w."""
+    series = [
+        ("pow(r2, -5e-1)", "0e0", "0e0"),
+        ("-s * pow(r2, -15e-1)", "-pow(r2, -15e-1)", "0e0"),
+        ("(3 * s * s * pow(r2, -25e-1) - w * pow(r2, -15e-1)) / 2", "3 * s * pow(r2, -25e-1)", "-5e-1 * pow(r2, -15e-1)"),
+        ("(3 * s * w * pow(r2, -25e-1) - 5 * s * s * s * pow(r2, -35e-1)) / 2", "(3 * w * pow(r2, -25e-1) - 15 * s * s * pow(r2, -35e-1)) / 2", "15e-1 * s * pow(r2, -25e-1)"),
+        ("(35 * pow(s, 4) * pow(r2, -45e-1) - 30 * s * s * w * pow(r2, -35e-1) + 3 * w * w * pow(r2, -25e-1)) / 8", "(140 * s * s * s * pow(r2, -45e-1) - 60 * s * w * pow(r2, -35e-1)) / 8", "(6 * w * pow(r2, -25e-1) - 30 * s * s * pow(r2, -35e-1)) / 8"),
+        ("(70 * pow(s, 3) * w * pow(r2, -45e-1) - 63 * pow(s, 5) * pow(r2, -55e-1) - 15 * s * w * w * pow(r2, -35e-1)) / 8", "(210 * s * s * w * pow(r2, -45e-1) - 315 * pow(s, 4) * pow(r2, -55e-1) - 15 * w * w * pow(r2, -35e-1)) / 8", "(70 * pow(s, 3) * pow(r2, -45e-1) - 30 * s * w * pow(r2, -35e-1)) / 8"),
+    ]
+    value, by_s, by_w = (" + ".join(f"({t[j]})" for t in series[: order + 1]) for j in range(3))
+    half = " + ".join(f"pow({d}1 - {d}0, 2)" for d in "xyz")
+    corner = " + ".join(f"pow(greatest(c{d} - {d}0, {d}1 - c{d}), 2)" for d in "xyz")
+    gap = "sqrt(" + " + ".join(f"pow(t.b{d} - s.c{d}, 2)" for d in "xyz") + ")"
+    pair = f"""s.node AS source, t.node AS target,
+  CASE WHEN s.reach + t.half < {gap} * {spread!r}e0 AND {gap} - (s.reach + t.half) > s.softest + t.softest THEN 'far' WHEN s.is_leaf AND t.is_leaf THEN 'leaf' END AS outcome,
+  CASE WHEN s.is_leaf THEN false WHEN t.is_leaf THEN true ELSE s.n >= t.n END AS first"""
+    return f"""WITH RECURSIVE {sql_tree('emb')},
+ce AS (SELECT nodes.*, {', '.join(f'({d}0 + {d}1) / 2e0 AS b{d}' for d in 'xyz')}, 5e-1 * sqrt({half}) AS half, sqrt({corner}) AS reach, softest FROM nodes JOIN (SELECT node, max(soft) AS softest FROM up GROUP BY node) USING (node)),
+dw AS (SELECT {pair} FROM ce s, ce t WHERE s.depth = 0 AND t.depth = 0
+  UNION ALL
+  SELECT {pair} FROM dw JOIN ce c ON c.depth > 0 AND c.parent = CASE WHEN dw.first THEN dw.source ELSE dw.target END
+  JOIN ce s ON s.node = CASE WHEN dw.first THEN c.node ELSE dw.source END JOIN ce t ON t.node = CASE WHEN dw.first THEN dw.target ELSE c.node END WHERE dw.outcome IS NULL),
+q AS (SELECT a.id, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz, b.mass AS m, a.soft + b.soft AS h FROM dw JOIN leaf_of a ON a.leaf = dw.target JOIN leaf_of b ON b.leaf = dw.source WHERE outcome = 'leaf'),
+nt AS ({sql_direct('q')}),
+f0 AS (SELECT a.id, b.mass AS m, {', '.join(f't.b{d} - s.c{d} AS r{d}, (a.{d} - t.b{d}) - (b.{d} - s.c{d}) AS u{d}' for d in 'xyz')} FROM dw JOIN ce s ON s.node = dw.source JOIN ce t ON t.node = dw.target JOIN up a ON a.node = dw.target JOIN up b ON b.node = dw.source WHERE outcome = 'far'),
+f1 AS (SELECT *, rx*rx + ry*ry + rz*rz AS r2, ux*ux + uy*uy + uz*uz AS w, rx*ux + ry*uy + rz*uz AS s FROM f0),
+f2 AS (SELECT *, {value} AS v, {by_s} AS vs, {by_w} AS vw FROM f1),
+tt AS (SELECT id, count(*) + 1 AS terms FROM q GROUP BY id),
+t AS (SELECT id, ax, ay, az, potential FROM nt UNION ALL SELECT id, {', '.join(f'sum(m * (vs * r{d} + 2e0 * vw * u{d}))' for d in 'xyz')}, sum(-m * v) FROM f2 GROUP BY id)
+SELECT t.id, {', '.join(rnd(f'sum({c})', c, 4) for c in gravity.SUMS)}, any_value(tt.terms) AS terms FROM t JOIN tt USING (id) GROUP BY t.id"""
+
+
+@query(sql_local(5, local.SPREAD))
+def gravity_local_expansion(spark: SparkSession, sf: str) -> DataFrame:
+    """Far nodes by local expansions of order 5, handed down the tree; near rows directly."""
+    return out_gravity(local.expanded(from_embeddings(spark, sf))[0])
+
+
 # A user's aggregates, visitors and leaf functions
 
 def own_aggregates() -> list[tree.NodeAgg]:
@@ -434,6 +475,27 @@ def leaf_user_function(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out, "fastest", "cx")
 
 
+REST = "sum(mass * vx) OVER w / sum(mass) OVER w"
+
+
+@query(f"WITH {sql_tree('emb')}, r AS (SELECT id, leaf, mass, vx - {REST} AS vx, row_number() OVER (PARTITION BY leaf ORDER BY mass DESC, id) AS place, count(*) OVER w AS n FROM leaf_of WINDOW w AS (PARTITION BY leaf)) SELECT id, leaf, {rnd('vx', 'vx')}, {rnd('CASE WHEN place = 1 THEN mass * n ELSE mass END', 'mass')}, CAST(place AS BIGINT) AS place FROM r WHERE place * 2 <= n + 1")
+def leaf_rows_changed(spark: SparkSession, sf: str) -> DataFrame:
+    """A leaf function that keeps the heavier half of each leaf's rows, at rest as the whole
+    leaf was, numbers them and changes the first one's mass."""
+    _, rows = tree.build(from_embeddings(spark, sf))
+
+    def change(block):
+        block = block.assign(momentum=block.mass * block.vx).sort_values(["leaf", "mass", "id"], ascending=[True, False, True])
+        of = block.groupby("leaf")
+        n, place = of.id.transform("size"), of.cumcount() + 1
+        vx = block.vx - of.momentum.transform("sum") / of.mass.transform("sum")
+        out = block.assign(vx=vx, place=place, mass=block.mass.where(place > 1, block.mass * n))
+        return out[place * 2 <= n + 1][["id", "leaf", "vx", "mass", "place"]]
+
+    out = tree.map_leaf_blocks(rows.select("id", "leaf", "mass", "vx"), change, "id long, leaf long, vx double, mass double, place long")
+    return rounded(out, "vx", "mass")
+
+
 @query(f"""WITH RECURSIVE {sql_tree('emb')}, {sql_walk(OPEN_SQL)}, up2 AS (SELECT node, max(u) AS hottest FROM up GROUP BY node),
 g AS (SELECT p.id, s.mass / (1e0 + pow(p.x - s.cx, 2) + pow(p.y - s.cy, 2) + pow(p.z - s.cz, 2)) AS glow, up2.hottest * s.n AS heat FROM act JOIN nodes s ON s.node = act.source JOIN up2 ON up2.node = s.node JOIN leaf_of p ON p.leaf = act.target WHERE action = 'node'
 UNION ALL SELECT a.id, b.mass / (1e0 + pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)), b.u FROM act JOIN leaf_of a ON a.leaf = act.target JOIN leaf_of b ON b.leaf = act.source WHERE action = 'leaf')

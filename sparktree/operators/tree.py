@@ -9,10 +9,12 @@ work shrinks with depth and no level is counted that the tree does not have.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ from .tables import written
 from .universe import box, keyed
 
 LEAF = 12
+#: Rows of whole leaves that a leaf function gets at a time.
+LEAF_BLOCK = 1 << 16
 MOMENTS = [a + b for i, a in enumerate("xyz") for b in "xyz"[i:]]
 
 
@@ -120,6 +124,68 @@ def per_leaf(leaf_of: DataFrame, *columns: Column) -> DataFrame:
     return leaf_of.groupBy("leaf").agg(*columns)
 
 
+def map_leaf_blocks(leaf_of: DataFrame, change: Callable, schema: str, most: int = LEAF_BLOCK, pieces: bool = False) -> DataFrame:
+    """``change`` of blocks of whole leaves: a function of a pandas frame, with the columns
+    of ``leaf_of`` in the order of ``leaf``, to a frame of ``schema`` with any rows.
+
+    One shuffle by leaf; a block holds as many leaves as have ``most`` rows together, so a
+    task's memory is bounded and the function can work on many small leaves at once. Only a
+    leaf at the greatest depth (rows at one place) can be larger: it is an error, unless
+    ``pieces`` says that the function may see such a leaf in parts of ``most`` rows.
+    """
+    names = leaf_of.columns
+    at = names.index("leaf")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def blocks(last: bool) -> Iterator[pa.Table]:
+            """Of what is held, all blocks but the last; that too, if nothing follows."""
+            nonlocal held
+            leaf = held.column(at).to_numpy()
+            cuts = np.append(np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1])), len(leaf))
+            done = 0
+            while done < len(leaf):
+                fits = int(cuts[np.searchsorted(cuts, done + most, "right") - 1])
+                if not last and done + most >= len(leaf):
+                    break
+                if fits <= done:  # one leaf has more than ``most`` rows
+                    if not pieces:
+                        raise ValueError(f"leaf {leaf[done]} has more than {most} rows; raise most, or allow pieces")
+                    fits = min(done + most, int(cuts[np.searchsorted(cuts, done, "right")]))
+                yield held.slice(done, fits - done)
+                done = fits
+            held = held.slice(done)
+
+        def changed(block: pa.Table) -> Iterator[pa.RecordBatch]:
+            yield from pa.Table.from_pandas(change(block.to_pandas()), arrow, preserve_index=False).to_batches()
+
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            for block in blocks(False):
+                yield from changed(block)
+        if held is not None and held.num_rows:
+            for block in blocks(True):
+                yield from changed(block)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    return leaf_of.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(run, schema)
+
+
+def map_leaves(leaf_of: DataFrame, change: Callable, schema: str, most: int = LEAF_BLOCK, pieces: bool = False) -> DataFrame:
+    """``change`` of each leaf's rows, as a pandas frame, to rows of ``schema``: it may
+    rewrite, drop or add rows and columns. See ``map_leaf_blocks``."""
+    import pandas as pd
+
+    def each(block: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([change(own) for _, own in block.groupby("leaf", sort=False)], ignore_index=True)
+
+    return map_leaf_blocks(leaf_of, each, schema, most, pieces)
+
+
 def key_range(node: Column, depth: Column, step: int) -> tuple[Column, Column]:
     """The first and last curve key in a node."""
     free = F.pow(F.lit(2.0), F.lit(float(3 * KEY_BITS)) - depth * float(step)).cast("long")  # exact powers of two

@@ -5,10 +5,11 @@ import warnings
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparktree.config import Config
 from sparktree.functions import arrays
-from sparktree.operators import ewald, gravity, integrate, joins, partitioning, sph, traverse, tree, universe
+from sparktree.operators import ewald, gravity, integrate, joins, local, partitioning, sph, traverse, tree, universe
 from sparktree.plans.simulation import CollisionSimulation, GravitySimulation, SphSimulation
 from sparktree.sources import arrays as array_files
 from sparktree.sources import models, tipsy
@@ -17,8 +18,6 @@ from sparktree.sources.adapters import from_embeddings, particles
 
 def points(spark, rows):
     """Rows of (id, x, y, z[, mass[, vx, vy, vz]])."""
-    from pyspark.sql import functions as F
-
     full = [(r[0], *map(float, r[1:4]), float(r[4]) if len(r) > 4 else 1.0, *(map(float, r[5:8]) if len(r) > 5 else (0.0,) * 3)) for r in rows]
     df = spark.createDataFrame(full, "id long, x double, y double, z double, mass double, vx double, vy double, vz double")
     return particles(df, **{c: F.col(c) for c in df.columns}, soft=0.01)
@@ -70,6 +69,89 @@ def test_hierarchical_is_near_direct(spark, data):
     assert errors[1] < 0.01 and errors[1] < errors[0] < 0.02
 
 
+def test_local_expansions_beat_the_quadrupole_walk(spark, data):
+    """Nearer to the direct sum by fewer interactions, and within the accuracy asked of order 4."""
+    rows = from_embeddings(spark, f"{data}/sf0.001")
+    a = gravity.direct(rows).toPandas().sort_values("id")
+    walked = gravity.hierarchical(rows, order=2).toPandas()
+    found, pairs = local.expanded(rows)
+    b = found.toPandas().sort_values("id")
+    d = np.sqrt(sum((a[c].to_numpy() - b[c].to_numpy()) ** 2 for c in ("ax", "ay", "az")))
+    assert np.sqrt(np.mean((d / np.sqrt(a.ax**2 + a.ay**2 + a.az**2).to_numpy()) ** 2)) < 0.001
+    assert np.allclose(a.potential, b.potential, rtol=1e-3)
+    counts = {r.outcome: (r.pairs, r.rows) for r in pairs.groupBy("outcome").agg(F.count("*").alias("pairs"), F.sum(F.col("s_n") * F.col("t_n")).alias("rows")).collect()}
+    assert counts["far"][1] + counts["leaf"][1] == len(a) ** 2  # each two rows meet once
+    assert counts["far"][0] + counts["leaf"][1] < walked.terms.sum()
+
+
+def test_local_expansions_of_few_and_coincident_rows(spark):
+    rng = np.random.default_rng(3)
+    for places in (rng.random((1, 3)), np.repeat(rng.random((2, 3)), 20, axis=0)):
+        rows = points(spark, [(i, *map(float, p)) for i, p in enumerate(places)])
+        a, b = gravity.direct(rows).toPandas().sort_values("id"), local.expanded(rows, 0.3, 3)[0].toPandas().sort_values("id")
+        for c in gravity.SUMS:
+            assert np.allclose(a[c], b[c], rtol=1e-3, atol=1e-4)
+
+
+def test_local_expansions_of_other_trees(spark, data):
+    """In a k-d tree; with everything opened it is the direct sum."""
+    rows = from_embeddings(spark, f"{data}/sf0.001").where("id < 120")
+    a = gravity.direct(rows).toPandas().sort_values("id")
+    b = local.expanded(rows, 0.4, 3, kind="kd")[0].toPandas().sort_values("id")
+    c = local.expanded(rows, 0.0, 2)[0].toPandas().sort_values("id")
+    for s in gravity.SUMS:
+        assert np.allclose(a[s], b[s], rtol=5e-2, atol=5e-2 * np.abs(a[s]).max()) and np.allclose(a[s], c[s], rtol=1e-9, atol=1e-9)
+
+
+def test_leaf_functions_change_rows(spark, data):
+    rows = from_embeddings(spark, f"{data}/sf0.001")
+    _, leaf_of = tree.build(rows)
+    before = leaf_of.select("id", "leaf", "vx", "mass").toPandas()
+
+    def keep_heavier_half(leaf):
+        """Drops rows, adds a column, changes another."""
+        leaf = leaf.sort_values(["mass", "id"], ascending=[False, True]).head((len(leaf) + 1) // 2)
+        return leaf.assign(vx=leaf.vx - leaf.vx.mean(), place=range(len(leaf)))
+
+    for most in (5, 64, 1 << 16):
+        if most < 12:
+            with pytest.raises(Exception, match="more than 5 rows"):
+                tree.map_leaves(leaf_of.select("id", "leaf", "vx", "mass"), keep_heavier_half, "id long, leaf long, vx double, mass double, place long", most=most).count()
+            continue
+        found = tree.map_leaves(leaf_of.select("id", "leaf", "vx", "mass"), keep_heavier_half, "id long, leaf long, vx double, mass double, place long", most=most).toPandas()
+        want = before.groupby("leaf", group_keys=False)[before.columns.tolist()].apply(keep_heavier_half)
+        a, b = (f.sort_values("id").reset_index(drop=True) for f in (found, want))
+        assert a[["id", "leaf", "place"]].equals(b[["id", "leaf", "place"]]) and np.allclose(a.vx, b.vx)
+
+
+def test_leaf_functions_of_coincident_rows(spark):
+    """A leaf at the greatest depth holds more than ``leaf`` rows; beyond ``most`` it comes in pieces, if that may be."""
+    rows = points(spark, [(i, 2, 2, 2) for i in range(100)] + [(100 + i, i, 0, 1) for i in range(30)])
+    _, leaf_of = tree.build(rows)
+    assert leaf_of.groupBy("leaf").count().agg({"count": "max"}).first()[0] == 100
+    sizes = lambda leaf: leaf.assign(size=len(leaf))[["id", "leaf", "size"]]
+    whole = tree.map_leaves(leaf_of.select("id", "leaf"), sizes, "id long, leaf long, size long").toPandas()
+    assert len(whole) == 130 and (whole[whole.id < 100]["size"] == 100).all()
+    pieces = tree.map_leaves(leaf_of.select("id", "leaf"), sizes, "id long, leaf long, size long", most=16, pieces=True).toPandas()
+    assert len(pieces) == 130 and pieces["size"].max() <= 16
+    with pytest.raises(Exception, match="more than 16 rows"):
+        tree.map_leaves(leaf_of.select("id", "leaf"), sizes, "id long, leaf long, size long", most=16).count()
+    nothing = tree.map_leaves(leaf_of.select("id", "leaf").where("id < 0"), sizes, "id long, leaf long, size long")
+    assert nothing.count() == 0
+
+
+def test_leaf_blocks_hold_whole_leaves(spark, data):
+    """A block function sees many leaves at once, each whole, in order."""
+    _, leaf_of = tree.build(from_embeddings(spark, f"{data}/sf0.001"))
+
+    def ranked(block):
+        assert block.leaf.is_monotonic_increasing
+        return block.assign(rank=block.groupby("leaf").mass.rank("first").astype("int64"))[["id", "leaf", "rank"]]
+
+    found = tree.map_leaf_blocks(leaf_of.select("id", "leaf", "mass"), ranked, "id long, leaf long, rank long", most=64).toPandas()
+    assert len(found) == leaf_of.count() and (found.groupby("leaf")["rank"].max() == found.groupby("leaf").id.count()).all()
+
+
 def test_self_leaf_can_be_left_out(spark, data):
     nodes = tree.build(from_embeddings(spark, f"{data}/sf0.001"))[0]
     every = traverse.walk(nodes, traverse.Visitor(traverse.always)).count()
