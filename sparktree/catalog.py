@@ -841,14 +841,25 @@ def dual_counts(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.agg(F.sum(F.col("s_n") * F.col("t_n")).alias("row_pairs"))
 
 
-@query()
+SECTIONS = f"WITH p AS ({SQL_VIEWS['emb']}), o AS (SELECT *, row_number() OVER (ORDER BY CASE type WHEN 2 THEN 0 WHEN 3 THEN 1 ELSE 2 END, id, x, y, z, mass) - 1 AS record FROM p)"
+
+
+@query(f"{SECTIONS} SELECT record AS id, type, mass, {', '.join(f'CAST(CAST({c} AS FLOAT) AS DOUBLE) AS {c}' for c in ('x', 'y', 'z', 'vx', 'vy', 'vz'))}, {rnd('CASE WHEN type = 1 THEN 0e0 ELSE CAST(CAST(soft AS FLOAT) AS DOUBLE) END', 'soft')}, {rnd('CASE WHEN type = 2 THEN CAST(CAST(u * 2e0 / 3e0 AS FLOAT) AS DOUBLE) * 15e-1 ELSE 0e0 END', 'u')} FROM o")
 def tipsy_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """A snapshot written by all tasks at their records' places, and read again by ranges."""
     import uuid
 
     from .operators.tables import shared_dir
     from .sources import tipsy
 
     path = f"{shared_dir(spark)}/rows-{uuid.uuid4().hex}.tipsy"
-    tipsy.write_tipsy(from_embeddings(spark, sf), path)
-    back = tipsy.read_tipsy(spark, path)
-    return rounded(back.select("id", "type", "mass", "x", "y", "z"), "x", "y", "z")
+    tipsy.write_tipsy(from_embeddings(spark, sf), path.replace("file:///", "/").replace("file:/", "/"))
+    return rounded(tipsy.read_tipsy(spark, path), "soft", "u")
+
+
+@query(f"{SECTIONS} SELECT id, record, CAST(record // CAST(ceil((SELECT count(*) FROM p) / 7e0) AS BIGINT) AS INTEGER) AS writer FROM o")
+def snapshot_writers(spark: SparkSession, sf: str) -> DataFrame:
+    """The record number of each row in a snapshot, and which of seven writers has it."""
+    from .sources import tipsy
+
+    return tipsy.routed(tipsy.recorded(from_embeddings(spark, sf))[0], 7).select("id", F.col("at").alias("record"), "writer")

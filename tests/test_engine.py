@@ -1,6 +1,7 @@
 """Invariants and hand-made cases of the spatial engine."""
 
 import math
+import struct
 import warnings
 
 import numpy as np
@@ -103,6 +104,34 @@ def test_local_expansions_of_other_trees(spark, data):
         assert np.allclose(a[s], b[s], rtol=5e-2, atol=5e-2 * np.abs(a[s]).max()) and np.allclose(a[s], c[s], rtol=1e-9, atol=1e-9)
 
 
+def test_snapshot_records_are_written_in_place(spark, tmp_path):
+    """Many tasks, rows in any order, ties and empty sections: one file, read in record order."""
+    rows = points(spark, [(i % 37, i * 0.5, -i, 1, i + 1, i, 0, 2) for i in range(90)] + [(5, 1, 1, 1)] * 3).withColumn("type", F.lit(3)).repartition(5)
+    path = f"{tmp_path}/many.tipsy"
+    for again in range(2):  # a second snapshot replaces the first
+        tipsy.write_tipsy(rows, path, time=1.5)
+    with open(path, "rb") as f:
+        head = struct.unpack(tipsy.HEADER, f.read(tipsy.HEADER_BYTES))
+        assert head[:6] == (1.5, 93, 3, 0, 93, 0) and len(f.read()) == 93 * 36
+    back = tipsy.read_tipsy(spark, path, 4).orderBy("id").toPandas()
+    want = rows.toPandas().sort_values(["id", "x", "y", "z", "mass"]).reset_index(drop=True)
+    for c in ("mass", "x", "y", "z", "vx", "vz", "soft"):
+        assert np.allclose(back[c], want[c], atol=1e-6)
+    assert [p.name for p in tmp_path.iterdir()] == ["many.tipsy"]
+    tipsy.write_tipsy(rows.limit(0), path)
+    assert tipsy.read_tipsy(spark, path).count() == 0
+
+
+def test_a_lost_record_is_told(tmp_path):
+    draft = tmp_path / "draft"
+    draft.write_bytes(b"x")
+    writer = tipsy.TipsyWriter({"path": f"{tmp_path}/out", "draft": str(draft), "gas": "1", "dark": "0", "star": "2"})
+    with pytest.raises(ValueError, match="2 records were written of 3"):
+        writer.commit([tipsy.Written(2), None])
+    writer.abort([])
+    assert not draft.exists()
+
+
 def test_leaf_functions_change_rows(spark, data):
     rows = from_embeddings(spark, f"{data}/sf0.001")
     _, leaf_of = tree.build(rows)
@@ -294,6 +323,9 @@ def test_files(spark, tmp_path):
     assert len(back) == 50 and list(back.type) == list(want.type)
     for c in ("x", "y", "vz", "mass"):
         assert np.allclose(back[c], want[c], atol=1e-6)
+    assert np.allclose(back[back.type != 1]["soft"], want[want.type != 1]["soft"], atol=1e-6)
+    with pytest.raises(ValueError):
+        tipsy.write_tipsy(rows, "s3://bucket/a.tipsy")
     full = rows.withColumns({"ax": F.col("x"), "ay": F.col("y"), "az": F.col("z"), "density": F.lit(2.0), "u": F.lit(3.0)})
     array_files.write_outputs(full, f"{tmp_path}/out")
     acc = array_files.read_array(spark, f"{tmp_path}/out.acc", dims=3).toPandas()
