@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import arrays
-from .functions.geometry import CUBE_MARGIN, FOUR_THIRDS_SQRT, r6
+from .functions.geometry import CUBE_MARGIN, FOUR_THIRDS_SQRT, hilbert_cell, hilbert_table, r6
 from .operators import balance, gravity, integrate, joins, local, partitioning, sph, traverse, tree, universe
 from .sources.adapters import SQL_VIEWS, from_embeddings, from_events, from_parts, table
 
@@ -153,6 +153,24 @@ def range_histogram(spark: SparkSession, sf: str) -> DataFrame:
 CURVE = f"WITH {sql_key('evt')}, r AS (SELECT *, ntile(8) OVER (ORDER BY key, id) - 1 AS partition_idx FROM k)"
 
 
+# the automaton's entry is digit * 24 + state; what is carried on is key * 24 + state
+HILBERT_STEP = f"[{', '.join(map(str, hilbert_table()[0]))}][CAST((a % 24) * 8 + o + 1 AS BIGINT)]"
+HILBERT_SQL = f"CAST(list_reduce(list_prepend(CAST(0 AS HUGEINT), list_transform(range(19, -1, -1), lambda b: CAST(((ix >> b) & 1) * 4 + ((iy >> b) & 1) * 2 + ((iz >> b) & 1) AS HUGEINT))), lambda a, o: (a // 24 * 8 + {HILBERT_STEP} // 24) * 24 + {HILBERT_STEP} % 24) // 24 AS BIGINT)"
+
+
+@query(f"WITH {sql_key('evt')} SELECT id, {HILBERT_SQL} AS key, ix, iy, iz FROM ci")
+def hilbert_key(spark: SparkSession, sf: str) -> DataFrame:
+    """The Hilbert key of each row, and the cell that the key stands for."""
+    rows = universe.keyed(from_events(spark, sf), "hilbert").select("id", "key", hilbert_cell("key").alias("cell"))
+    return rows.select("id", "key", "cell.*")
+
+
+@query(f"WITH {sql_key('evt')}, h AS (SELECT id, row_number() OVER (ORDER BY {HILBERT_SQL}, id) - 1 AS rank, count(*) OVER () AS n FROM ci) SELECT id, CAST(CASE WHEN rank < (n % 8) * (n // 8 + 1) THEN rank // (n // 8 + 1) ELSE n % 8 + (rank - (n % 8) * (n // 8 + 1)) // greatest(n // 8, 1) END AS INTEGER) AS partition_idx FROM h")
+def hilbert_partition(spark: SparkSession, sf: str) -> DataFrame:
+    """Equal parts of the Hilbert curve: each is one connected chain of cells."""
+    return partitioning.by_curve(from_events(spark, sf), 8, curve="hilbert").select("id", "partition_idx")
+
+
 @query(f"{CURVE} SELECT id, CAST(partition_idx AS INTEGER) AS partition_idx FROM r")
 def sfc_partition(spark: SparkSession, sf: str) -> DataFrame:
     return partitioning.by_curve(from_events(spark, sf), 8).select("id", "partition_idx")
@@ -540,6 +558,12 @@ def knn32_tree(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(joins.knn_tree(from_embeddings(spark, sf), 32).select("id", "s_id", "d2", "rank"), "d2", digits=9)
 
 
+@query(ORACLE_SQL["knn32"])
+def knn32_shrinking(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbours by a walk whose radius shrinks from level to level."""
+    return rounded(joins.knn_tree(from_embeddings(spark, sf), 32, shrinking=True).select("id", "s_id", "d2", "rank"), "d2", digits=9)
+
+
 KERNEL = "CASE WHEN q2 < 1 THEN 1e0 - 75e-2 * (2e0 - sqrt(q2)) * q2 ELSE 25e-2 * pow(2e0 - sqrt(q2), 3) END"
 DENS = f"n2 AS (SELECT *, max(d2) OVER (PARTITION BY id) AS ball2 FROM n1 WHERE tied <= 32), n3 AS (SELECT *, 4e0 * d2 / ball2 AS q2 FROM n2), dens AS (SELECT id, ball2, sum(({KERNEL}) * s_mass) / (125e-3 * {math.pi!r}e0 * ball2 * sqrt(ball2)) AS density, count(*) AS n_near FROM n3 GROUP BY id, ball2)"
 

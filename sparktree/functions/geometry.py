@@ -37,6 +37,50 @@ def morton(ix: Column, iy: Column, iz: Column) -> Column:
     return spread(ix, 2) + spread(iy, 1) + spread(iz, 0)
 
 
+def hilbert_table() -> tuple[list[int], list[int]]:
+    """The Hilbert curve as an automaton of 24 states, 3 * corner + axis: where the curve
+    enters a cell and along which axis it leaves. Of each state and octant the digit along
+    the curve and the next state (as digit * 24 + state), and of each state and digit the
+    octant and the next state. Digits count octants by Gray's code, turned so that it
+    enters at the corner and leaves along the axis (C. Hamilton's compact indices)."""
+    turn = lambda b, n: ((b << n) | (b >> (3 - n))) & 7 if n % 3 else b
+    trailing = lambda i: 0 if not i & 1 else 1 + trailing(i >> 1)
+    gray = [i ^ (i >> 1) for i in range(8)]
+    digits, octants = [0] * 192, [0] * 192
+    for corner in range(8):
+        for axis in range(3):
+            for w in range(8):
+                octant = turn(gray[w], (axis + 1) % 3) ^ corner
+                enters = gray[2 * ((w - 1) // 2)] if w else 0
+                along = 0 if w == 0 else trailing(w - 1) % 3 if w % 2 == 0 else trailing(w) % 3
+                state = 3 * (corner ^ turn(enters, (axis + 1) % 3)) + (axis + along + 1) % 3
+                digits[(3 * corner + axis) * 8 + octant] = w * 24 + state
+                octants[(3 * corner + axis) * 8 + w] = octant * 24 + state
+    return digits, octants
+
+
+def folded(bits: int, table: list[int], octal: str, merge: str, zero: str, finish: str) -> Column:
+    """A fold over the bits from the highest on: ``octal`` is the table's place of a bit b in
+    a state, ``merge`` what its entry e adds to ``acc``."""
+    entries = f"array({', '.join(map(str, table))})"
+    step = f"aggregate(array({entries}[acc.state * 8 + {octal}]), acc, (old, e) -> named_struct({merge}, 'state', e % 24))"
+    return F.expr(f"aggregate(sequence({bits - 1}, 0, -1), named_struct({zero}, 'state', 0), (acc, b) -> {step}, acc -> {finish})")
+
+
+def hilbert(ix: str, iy: str, iz: str, bits: int = KEY_BITS) -> Column:
+    """The Hilbert key of the cell indexes in three columns: cells of consecutive keys share
+    a face, at every level of the tree."""
+    octal = " + ".join(f"int(shiftright({c}, b) & 1) * {w}" for c, w in ((ix, 4), (iy, 2), (iz, 1)))
+    return folded(bits, hilbert_table()[0], octal, "'key', old.key * 8 + e div 24", "'key', 0L", "acc.key")
+
+
+def hilbert_cell(key: str, bits: int = KEY_BITS) -> Column:
+    """The cell (a struct ix, iy, iz) of a Hilbert key."""
+    octal = f"int(shiftright({key}, 3 * b) & 7)"
+    merge = ", ".join(f"'{d}', old.{d} * 2 + (shiftright(int(e div 24), {n}) & 1)" for d, n in (("ix", 2), ("iy", 1), ("iz", 0)))
+    return folded(bits, hilbert_table()[1], octal, merge, "'ix', 0L, 'iy', 0L, 'iz', 0L", "named_struct('ix', acc.ix, 'iy', acc.iy, 'iz', acc.iz)")
+
+
 def box_distance2(x: Column, y: Column, z: Column, box: str) -> Column:
     """Squared distance of a point from the box in columns <box>_x0 .. <box>_z1."""
     total = F.lit(0.0)

@@ -112,18 +112,17 @@ def knn(points: DataFrame, k: int = 32, ties: bool = False) -> DataFrame:
 
 #: Rows, in multiples of k, of a node whose rows are compared one by one for a first radius.
 CROWD = 32
+#: Rows, in multiples of k, of the nearest leaves that bound a shrinking radius at last.
+SURE = 4
 
 
-def knn_tree(points: DataFrame, k: int = 32, ties: bool = False) -> DataFrame:
-    """``knn`` over an octree, for data of any density: nothing is set by the mean density,
-    so a crowd beside a void costs what a crowd costs.
+def leaves_in_reach(nodes: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(target, source, reach): the leaves that may hold one of the k nearest rows of a leaf's.
 
     The lowest node over (or at) a leaf that holds k rows bounds how far the k-th neighbour
     of the leaf's rows may be: by its rows, or if they are more than ``CROWD`` * k by the
-    far corners of its box. The tree is then walked up and down within that radius, and
-    the leaves met are compared row by row.
+    far corners of its box. The tree is then walked up and down within that radius.
     """
-    nodes, rows = build(points)
     n = nodes.count()
     leaves = nodes.where("is_leaf")
     size = nodes.select(F.col("node").alias("over"), F.col("n").alias("held"))
@@ -144,7 +143,50 @@ def knn_tree(points: DataFrame, k: int = 32, ties: bool = False) -> DataFrame:
     reach = F.sqrt(F.coalesce("kth", "far")) * (1 + 1e-9)
     reached = written(far.join(kth, "node", "left").select("node", reach.alias("reach")), "reach")
     met = up_and_down(nodes, Visitor(ball_open(F.col("t_reach"))), targets=leaves.join(hinted(reached, n), "node"))
-    met = met.where("action = 'leaf'").select("target", "source").join(hinted(reached, n), F.col("target") == F.col("node")).select("target", "source", "reach")
+    return met.where("action = 'leaf'").select("target", "source").join(hinted(reached, n), F.col("target") == F.col("node")).select("target", "source", "reach")
+
+
+def leaves_by_shrinking(nodes: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """``leaves_in_reach`` by one walk whose radius shrinks as it goes down.
+
+    Each target leaf carries its radius from level to level. The nodes that it meets on a
+    level hold all rows within the radius so far; the nearest of them that hold k rows
+    together bound it anew, by their boxes' far corners, and what lies beyond is not
+    opened. At last the rows of the nearest leaves, ``SURE`` * k of them and those of one
+    leaf more, bound it by their own distances.
+    """
+    n = nodes.count()
+    sides = [f"{d}{i}" for d in "xyz" for i in (0, 1)]
+    t = nodes.where("is_leaf").select(F.col("node").alias("target"), *(F.col(c).alias(f"t_{c}") for c in sides))
+    s = nodes.select(F.col("node").alias("source"), F.col("is_leaf").alias("s_is_leaf"), F.col("n").alias("s_n"), *(F.col(c).alias(f"s_{c}") for c in sides))
+    below = nodes.where("depth > 0").select(F.col("parent").alias("over"), F.col("node").alias("below"))
+    frontier = t.select("target", F.lit(1).cast("long").alias("source"), F.lit(float("inf")).alias("so_far"))
+    own = W.partitionBy("target")
+    while True:
+        met = frontier.join(hinted(s, n), "source").join(hinted(t, n), "target").select("target", "source", "s_is_leaf", "s_n", "so_far", boxes_distance2("s", "t").alias("near"), boxes_distance2("s", "t", farthest=True).alias("far"))
+        held = met.withColumn("held", F.sum("s_n").over(own.orderBy("far")))
+        bound = F.least("so_far", F.coalesce(F.min(F.when(F.col("held") >= k, F.col("far"))).over(own), F.lit(float("inf"))))
+        step = written(held.withColumn("bound", bound).where(F.col("near") <= F.col("bound") * (1 + 1e-9)).drop("so_far"), "shrinking")
+        opened = step.where("NOT s_is_leaf")
+        if opened.isEmpty():
+            break
+        down = opened.join(hinted(below, n), F.col("source") == F.col("over")).select("target", F.col("below").alias("source"), F.col("bound").alias("so_far"))
+        frontier = down.unionByName(step.where("s_is_leaf").select("target", "source", F.col("bound").alias("so_far")))
+    sure = step.where(F.col("held") - F.col("s_n") < SURE * k).select("target", "source")
+    target = rows.select(F.col("leaf").alias("target"), "id", "x", "y", "z")
+    source = rows.select(F.col("leaf").alias("source"), *(F.col(d).alias(f"s_{d}") for d in "xyz"))
+    pairs = sure.join(target, "target").join(source, "source").select("target", "id", distance2().alias("d2"))
+    kth = pairs.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("d2"))).where(F.col("rank") == k).groupBy("target").agg(F.max("d2").alias("kth"))
+    last = step.join(kth, "target", "left").withColumn("within", F.least("bound", F.coalesce("kth", F.lit(float("inf")))) * (1 + 1e-9))
+    return last.where(F.col("near") <= F.col("within")).select("target", "source", F.sqrt("within").alias("reach"))
+
+
+def knn_tree(points: DataFrame, k: int = 32, ties: bool = False, shrinking: bool = False) -> DataFrame:
+    """``knn`` over an octree, for data of any density: nothing is set by the mean density,
+    so a crowd beside a void costs what a crowd costs. Leaves that may hold neighbours are
+    found by ``leaves_in_reach``, or ``leaves_by_shrinking``, and compared row by row."""
+    nodes, rows = build(points)
+    met = (leaves_by_shrinking if shrinking else leaves_in_reach)(nodes, rows, k)
     kept = [c for c in points.columns if c in rows.columns]
     targets = rows.select("leaf", *kept)
     sources = rows.select(F.col("leaf").alias("_s_leaf"), *(F.col(c).alias(f"s_{c}") for c in kept))

@@ -14,14 +14,14 @@ from .tree import build
 from .universe import keyed
 
 
-def ranked(points: DataFrame, most: int = TASK_ROWS) -> tuple[DataFrame, int]:
+def ranked(points: DataFrame, most: int = TASK_ROWS, curve: str = "morton") -> tuple[DataFrame, int]:
     """``points`` with their key and exact ``rank`` along the curve from 0, and how many there are.
 
     Ranks come from the counts of coarse curve cells (a running sum over at most
     2**12 rows) and the place of a row in its cell. If a cell holds more than ``most``
     rows, it is ranked by ranges (``running``), so no task sorts more than some ``most`` rows.
     """
-    rows = keyed(points).withColumn("cell", F.shiftright("key", 3 * KEY_BITS - 12))
+    rows = keyed(points, curve).withColumn("cell", F.shiftright("key", 3 * KEY_BITS - 12))
     n = points.count()
     counts = rows.groupBy("cell").agg(F.count("*").alias("n"))
     largest = n
@@ -33,18 +33,18 @@ def ranked(points: DataFrame, most: int = TASK_ROWS) -> tuple[DataFrame, int]:
     return placed.withColumn("rank", F.col("before") + F.col("upto") - 1).drop("cell", "before", "upto", "whole"), n
 
 
-def by_curve(points: DataFrame, parts: int, most: int = TASK_ROWS) -> DataFrame:
+def by_curve(points: DataFrame, parts: int, most: int = TASK_ROWS, curve: str = "morton") -> DataFrame:
     """Exact ranks along the curve: n rows in ``parts`` bins, the first n % parts one larger."""
-    rows, n = ranked(points, most)
+    rows, n = ranked(points, most, curve)
     small, large = n // parts, n % parts
     tail = large + F.floor((F.col("rank") - large * (small + 1)) / max(small, 1))
     bin_ = F.when(F.col("rank") < large * (small + 1), F.floor(F.col("rank") / (small + 1))).otherwise(tail)
     return rows.withColumn("partition_idx", bin_.cast("int")).drop("rank")
 
 
-def by_range(points: DataFrame, parts: int) -> DataFrame:
+def by_range(points: DataFrame, parts: int, curve: str = "morton") -> DataFrame:
     """Curve ranges from Spark's sampled splitters, sorted within: the scalable shuffle."""
-    return keyed(points).repartitionByRange(parts, "key").sortWithinPartitions("key", "id")
+    return keyed(points, curve).repartitionByRange(parts, "key").sortWithinPartitions("key", "id")
 
 
 def by_cells(points: DataFrame, parts: int, step: int = 3) -> DataFrame:

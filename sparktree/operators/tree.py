@@ -65,15 +65,18 @@ def node_of(depth: Column, step: int) -> Column:
     return F.expr(f"shiftleft(1L, int({step} * depth)) + shiftright(key, int({total} - {step} * depth))")
 
 
-def build(points: DataFrame, step: int = 3, leaf: int = LEAF, stride: int = 4, order: int = 2, own: Sequence[NodeAgg] = (), keys: str = "curve") -> tuple[DataFrame, DataFrame]:
+def build(points: DataFrame, step: int = 3, leaf: int = LEAF, stride: int = 4, order: int = 2, own: Sequence[NodeAgg] = (), keys: str = "curve", curve: str = "morton") -> tuple[DataFrame, DataFrame]:
     """(nodes, leaf_of): the node table with raw moments up to ``order``, boxes, a user's
     ``own`` aggregates, depth, parent, is_leaf; and each row with the node of its leaf.
-    ``points`` needs no key. ``keys``: 'curve', or 'kd' or 'longest' for a binary tree whose
+    ``points`` needs no key. ``curve`` ('morton' or 'hilbert', for an octree) numbers the
+    cells: the same nodes under other names, whose ranges are other parts of space. ``keys``: 'curve', or 'kd' or 'longest' for a binary tree whose
     nodes are cut at the median row or at the mean of their longest side."""
     if keys not in ("curve", "kd", "longest"):
         raise ValueError(f"unknown keys {keys}")
     step = step if keys == "curve" else 1
-    rows = written(keyed(points) if keys == "curve" else path_keyed(points, leaf, keys == "longest"), "keyed")
+    if curve != "morton" and step != 3:
+        raise ValueError("a half of a Hilbert curve's cell is no box: it needs step 3")
+    rows = written(keyed(points, curve) if keys == "curve" else path_keyed(points, leaf, keys == "longest"), "keyed")
     deepest = 3 * KEY_BITS // step
     cells = rows.groupBy("key").agg(*raw_moments(order, own))
     levels, low, left = [], 0, cells

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import CUBE_MARGIN, cell_index, morton
+from ..functions.geometry import CUBE_MARGIN, cell_index, hilbert, morton
 
 BOX = [f"{d}{i}" for d in "xyz" for i in (0, 1)]
 
@@ -32,11 +32,15 @@ def cube(points: DataFrame) -> DataFrame:
     return b.select(side.alias("side"), *BOX).select("side", *(((F.col(f"{d}0") + F.col(f"{d}1")) / 2.0 - F.col("side") / 2.0).alias(f"lo_{d}") for d in "xyz"))
 
 
-def keyed(points: DataFrame) -> DataFrame:
-    """``points`` with their Morton ``key``. The cube is one row, so it is broadcast."""
+def keyed(points: DataFrame, curve: str = "morton") -> DataFrame:
+    """``points`` with their ``key`` along a curve ('morton' or 'hilbert'). The cube is one row,
+    so it is broadcast. Either key's leading digits name a cell of the octree."""
+    if curve not in ("morton", "hilbert"):
+        raise ValueError(f"unknown curve {curve}")
     framed = points.crossJoin(F.broadcast(cube(points)))
     cells = framed.withColumns({f"i{d}": cell_index(F.col(d), F.col(f"lo_{d}"), F.col("side")) for d in "xyz"})
-    return cells.withColumn("key", morton(F.col("ix"), F.col("iy"), F.col("iz"))).drop("ix", "iy", "iz", "side", "lo_x", "lo_y", "lo_z")
+    key = morton(F.col("ix"), F.col("iy"), F.col("iz")) if curve == "morton" else hilbert("ix", "iy", "iz")
+    return cells.withColumn("key", key).drop("ix", "iy", "iz", "side", "lo_x", "lo_y", "lo_z")
 
 
 def time_step(points: DataFrame, max_dt: float = 1e-5) -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from sparktree.config import Config
 from sparktree.functions import arrays
+from sparktree.functions.geometry import hilbert, hilbert_cell
 from sparktree.operators import ewald, gravity, integrate, joins, local, partitioning, sph, traverse, tree, universe
+from sparktree.operators.tables import written
 from sparktree.plans.simulation import CollisionSimulation, GravitySimulation, SphSimulation
 from sparktree.sources import arrays as array_files
 from sparktree.sources import models, tipsy
@@ -104,6 +106,52 @@ def test_local_expansions_of_other_trees(spark, data):
         assert np.allclose(a[s], b[s], rtol=5e-2, atol=5e-2 * np.abs(a[s]).max()) and np.allclose(a[s], c[s], rtol=1e-9, atol=1e-9)
 
 
+@pytest.mark.parametrize("kind", ["even", "crowd"])
+def test_shrinking_walk_meets_fewer_leaves(spark, kind):
+    """The same neighbours as ``knn`` by fewer pairs of leaves than within one radius."""
+    rng = np.random.default_rng(7)
+    places = rng.random((400, 3)) if kind == "even" else np.concatenate([rng.random((200, 3)), rng.random((200, 3)) * 1e-3, np.full((30, 3), 0.5)])
+    rows = points(spark, [(i, *map(float, p)) for i, p in enumerate(places)])
+    nodes, leaf_of = tree.build(rows)
+    nodes, leaf_of = written(nodes, "n"), written(leaf_of, "l")
+    k = 8
+    shrunk, reached = (f(nodes, leaf_of, k).count() for f in (joins.leaves_by_shrinking, joins.leaves_in_reach))
+    assert shrunk < reached
+    found = joins.knn_tree(rows, k, shrinking=True).select("id", "s_id", "rank").toPandas()
+    d2 = ((places[:, None] - places[None]) ** 2).sum(-1)
+    want = {(i, int(j), r + 1) for i in range(len(places)) for r, j in enumerate(np.lexsort((np.arange(len(places)), d2[i]))[:k])}
+    assert set(found.itertuples(index=False, name=None)) == want
+
+
+def test_shrinking_walk_of_few_rows(spark):
+    rows = points(spark, [(i, i, 0, 0) for i in range(3)])
+    assert joins.knn_tree(rows, 8, shrinking=True).count() == 9
+
+
+@pytest.mark.parametrize("bits", [1, 2, 3])
+def test_hilbert_curve_takes_unit_steps(spark, bits):
+    """Every key has one cell, cells of following keys share a face, and each level's prefix is a cell of that level."""
+    cells = spark.range(1 << 3 * bits).select("id", hilbert_cell("id", bits).alias("c")).select("id", "c.*")
+    found = cells.withColumn("key", hilbert("ix", "iy", "iz", bits)).orderBy("id").toPandas()
+    assert (found.key == found.id).all()
+    place = found[["ix", "iy", "iz"]].to_numpy()
+    assert (np.abs(np.diff(place, axis=0)).sum(1) == 1).all() and len(np.unique(place, axis=0)) == len(place)
+    for level in range(bits):
+        of = found.groupby(found.id.to_numpy() >> 3 * (bits - level))[["ix", "iy", "iz"]].agg(lambda c: (c // (1 << (bits - level))).nunique())
+        assert (of == 1).all().all()
+
+
+def test_hilbert_trees_have_the_same_cells(spark, data):
+    rows = from_embeddings(spark, f"{data}/sf0.001")
+    a, b = (tree.build(rows, curve=c)[0].select("depth", "n", "is_leaf", "x0", "x1", "y0", "z1").toPandas() for c in ("morton", "hilbert"))
+    key = ["depth", "x0", "x1", "y0", "z1"]
+    assert a.sort_values(key).reset_index(drop=True).equals(b.sort_values(key).reset_index(drop=True))
+    with pytest.raises(ValueError):
+        tree.build(rows, 1, curve="hilbert")
+    with pytest.raises(ValueError):
+        universe.keyed(rows, "peano")
+
+
 def test_snapshot_records_are_written_in_place(spark, tmp_path):
     """Many tasks, rows in any order, ties and empty sections: one file, read in record order."""
     rows = points(spark, [(i % 37, i * 0.5, -i, 1, i + 1, i, 0, 2) for i in range(90)] + [(5, 1, 1, 1)] * 3).withColumn("type", F.lit(3)).repartition(5)
