@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import arrays
 from .functions.geometry import CUBE_MARGIN, FOUR_THIRDS_SQRT, hilbert_cell, hilbert_table, r6
-from .operators import balance, gravity, integrate, joins, local, partitioning, sph, traverse, tree, universe
+from .operators import balance, gravity, integrate, joins, local, partitioning, sph, splitters, traverse, tree, universe
 from .sources.adapters import SQL_VIEWS, from_embeddings, from_events, from_parts, table
 
 QUERIES: dict = {}
@@ -176,6 +176,26 @@ def sfc_partition(spark: SparkSession, sf: str) -> DataFrame:
     return partitioning.by_curve(from_events(spark, sf), 8).select("id", "partition_idx")
 
 
+@query(f"{CURVE} SELECT id, CAST(partition_idx AS INTEGER) AS partition_idx FROM r")
+def sfc_partition_by_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """The same parts, their bounds narrowed by histograms instead of ranks."""
+    return splitters.weighted(from_events(spark, sf), 8).select("id", "partition_idx")
+
+
+@query(f"WITH {sql_key('evt')}, w AS (SELECT id, key, 1 + id % 7 * (id % 3) AS weight FROM k), r AS (SELECT id, sum(weight) OVER (ORDER BY key, id ROWS UNBOUNDED PRECEDING) - weight AS before, sum(weight) OVER () AS total FROM w) SELECT id, CAST(len(list_filter(range(1, 12), lambda i: total * i // 12 <= before)) AS INTEGER) AS partition_idx FROM r")
+def weighted_partition(spark: SparkSession, sf: str) -> DataFrame:
+    weight = F.lit(1) + F.col("id") % 7 * (F.col("id") % 3)
+    return splitters.weighted(from_events(spark, sf), 12, weight).select("id", "partition_idx")
+
+
+@query(f"WITH {sql_key('evt')}, b AS (SELECT list_sort(list_distinct(list(key))) AS bounds FROM k WHERE id % 97 = 0) SELECT CAST(len(list_filter(bounds, lambda b: b <= key)) AS INTEGER) AS range, count(*) AS n, CAST(sum(1 + id % 5) AS BIGINT) AS weight FROM k, b GROUP BY 1")
+def histogram_between(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows and weight between uneven bounds: the keys of every 97th id."""
+    rows = from_events(spark, sf)
+    bounds = universe.keyed(rows).where(F.col("id") % 97 == 0)
+    return splitters.histogram_between(rows, bounds, F.lit(1) + F.col("id") % 5)
+
+
 @query(f"{CURVE}, g AS (SELECT partition_idx, count(*) AS n FROM r GROUP BY 1) SELECT max(n) AS most, min(n) AS least, CAST(sum(n) AS BIGINT) AS total, avg(n) AS mean, round(max(n) / avg(n), 6) AS ratio FROM g")
 def sfc_partition_stats(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(partitioning.bin_stats(partitioning.by_curve(from_events(spark, sf), 8)), "ratio")

@@ -82,17 +82,26 @@ def homes(rows: DataFrame, group: str, bins: str = "partition_idx") -> DataFrame
 
 
 def align(splitters: DataFrame, targets: DataFrame) -> DataFrame:
-    """key, nearest: each splitter key with the nearest target key (ties: the smaller).
+    """key, nearest: each splitter key with the nearest target key (ties: the smaller;
+    null for a null key, or without targets).
 
-    An as-of join: both sides in one running order; splitter tables are small.
+    An as-of join by ranges: both sides are dealt by key, the last and first targets are
+    carried within a range, and those of the ranges before and after come from the ranges'
+    ends, a row each. No task orders more than a range.
     """
-    both = splitters.select("key", F.lit(None).cast("long").alias("target")).unionByName(targets.select("key", F.col("key").alias("target")))
-    order = W.orderBy("key", F.col("target").isNull())
+    both = splitters.select("key", F.lit(None).cast("long").alias("target")).unionByName(targets.where("key IS NOT NULL").select("key", F.col("key").alias("target")))
+    ranged = written(both.repartitionByRange("key").withColumn("_part", F.spark_partition_id()), "ranges")
+    ends = ranged.where("target IS NOT NULL").groupBy("_part").agg(F.min("target").alias("low"), F.max("target").alias("high"))
+    ends = ends.agg(F.collect_list(F.struct("_part", "low", "high")).alias("ends"))  # a row for each range
+    order = W.partitionBy("_part").orderBy("key", F.col("target").isNull())
     below = F.last("target", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
     above = F.first("target", ignorenulls=True).over(order.rowsBetween(0, W.unboundedFollowing))
-    near = both.select("key", "target", below.alias("below"), above.alias("above")).where("target IS NULL")
+    near = ranged.select("_part", "key", "target", below.alias("below"), above.alias("above")).where("target IS NULL").crossJoin(F.broadcast(ends))
+    before = F.array_max(F.transform(F.filter("ends", lambda e: e["_part"] < F.col("_part")), lambda e: e["high"]))
+    after = F.array_min(F.transform(F.filter("ends", lambda e: e["_part"] > F.col("_part")), lambda e: e["low"]))
+    near = near.select("key", F.coalesce("below", before).alias("below"), F.coalesce("above", after).alias("above"))
     pick = F.when(F.col("above").isNull() | (F.col("key") - F.col("below") <= F.col("above") - F.col("key")), F.col("below")).otherwise(F.col("above"))
-    return near.select("key", pick.alias("nearest"))
+    return near.select("key", F.when(F.col("key").isNotNull(), pick).alias("nearest"))
 
 
 def place_blocks(bins: DataFrame, executors: int) -> DataFrame:

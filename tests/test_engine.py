@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sparktree.config import Config
 from sparktree.functions import arrays
 from sparktree.functions.geometry import hilbert, hilbert_cell
-from sparktree.operators import ewald, gravity, integrate, joins, local, partitioning, sph, traverse, tree, universe
+from sparktree.operators import ewald, gravity, integrate, joins, local, partitioning, sph, splitters, traverse, tree, universe
 from sparktree.operators.tables import written
 from sparktree.plans.simulation import CollisionSimulation, GravitySimulation, SphSimulation
 from sparktree.sources import arrays as array_files
@@ -518,3 +518,42 @@ def test_bisection_by_histograms(spark):
     equal = spark.createDataFrame([(i, 1.0, 1.0, 1.0, 1.0) for i in range(5)], kinds)
     assert {r.to_pe for r in balance.orb_refined(equal, 2).collect()} == {3}
     assert balance.orb_refined(equal.limit(0), 2).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 8, 40])
+def test_splitters_by_rounds(spark, parts, monkeypatch):
+    """Few bounds a round, coincident rows that must be cut between ids, weights of 0."""
+    monkeypatch.setattr(splitters, "BOUNDS", 400)
+    rng = np.random.default_rng(parts)
+    rows = points(spark, [(int(i), *(rng.integers(0, 3, 3) if i % 2 else (1, 1, 1)), 1) for i in rng.permutation(60) - 20])
+    exact = partitioning.by_curve(rows, parts).toPandas().set_index("id").partition_idx
+    assert splitters.weighted(rows, parts).toPandas().set_index("id").partition_idx.sort_index().equals(exact.sort_index())
+    weight = F.when(F.col("id") % 4 == 0, F.abs("id")).when(F.col("id") % 4 == 1, F.lit(0))
+    found = splitters.weighted(rows.withColumn("w", weight), parts, F.col("w")).toPandas().sort_values(["key", "id"])
+    w = found.w.fillna(0).astype(int)
+    goals = np.array([int(w.sum()) * i // parts for i in range(1, parts)])
+    assert [int((goals <= b).sum()) for b in w.cumsum() - w] == found.partition_idx.tolist()
+    assert splitters.weighted(rows.where("false"), parts).count() == 0
+    assert set(splitters.weighted(rows, parts, F.lit(0)).toPandas().partition_idx) == {parts - 1}
+
+
+def test_splitters_do_not_sort(spark):
+    rows = points(spark, [(i, i, 0, 0) for i in range(50)])
+    found = splitters.weighted(rows, 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Window" not in plan
+
+
+def test_alignment_by_ranges(spark):
+    rng = np.random.default_rng(3)
+    keys, targets = rng.integers(0, 1 << 40, 700), rng.integers(0, 1 << 40, 90)
+    keys[:90] = targets
+    frame = lambda values: spark.createDataFrame([(int(v),) for v in values] + [(None,)], "key long").repartition(5)
+    aligned = partitioning.align(frame(keys), frame(targets))
+    found = aligned.toPandas()
+    assert len(found) == 701 and found.nearest[found.key.isna()].isna().all()
+    for r in found.dropna().itertuples():
+        assert r.nearest == min(targets, key=lambda t: (abs(int(t) - int(r.key)), t))
+    plan = aligned._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "hashpartitioning(_part" in plan
+    assert partitioning.align(frame(keys[:3]), frame([])).toPandas().nearest.isna().all()
