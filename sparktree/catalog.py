@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import arrays
 from .functions.geometry import CUBE_MARGIN, FOUR_THIRDS_SQRT, hilbert_cell, hilbert_table, r6
-from .operators import balance, gravity, integrate, joins, local, partitioning, sph, splitters, traverse, tree, universe
+from .operators import balance, gravity, integrate, joins, local, multipoles, partitioning, sph, splitters, traverse, tree, universe
 from .sources.adapters import SQL_VIEWS, from_embeddings, from_events, from_parts, table
 
 QUERIES: dict = {}
@@ -452,6 +452,74 @@ def gravity_hexadecapole(spark: SparkSession, sf: str) -> DataFrame:
     return out_gravity(gravity.hierarchical(from_embeddings(spark, sf), order=4))
 
 
+@query(ORACLE_SQL["gravity_hexadecapole"])
+def gravity_reduced_moments(spark: SparkSession, sf: str) -> DataFrame:
+    """The same field from traceless moments."""
+    return out_gravity(gravity.hierarchical(from_embeddings(spark, sf), order=4, far="reduced"))
+
+
+def sql_softened(soft: float) -> str:
+    """The quadrupole walk with far nodes behind the softening kernel: its potential a and the
+    factors b, c, d that follow, as published, with dx, dy, dz and h of a pair row to centre."""
+    h, u, r = "(2e0 / h)", "(r * 2e0 / h)", "r"
+    kernel = {
+        "b": (f"pow({h}, 3) * (4e0/3 - 6e0/5*pow({u}, 2) + 1e0/2*pow({u}, 3))", f"-1e0/15*pow({r}, -3) + pow({h}, 3) * (8e0/3 - 3e0*{u} + 6e0/5*pow({u}, 2) - 1e0/6*pow({u}, 3))", f"pow({r}, -3)"),
+        "c": (f"pow({h}, 5) * (12e0/5 - 3e0/2*{u})", f"-1e0/5*pow({r}, -5) + 3e0*pow({h}, 4)/{r} + pow({h}, 5) * (-12e0/5 + 1e0/2*{u})", f"3e0*pow({r}, -5)"),
+        "d": (f"3e0/2*pow({h}, 6)/{r}", f"-pow({r}, -7) + 3e0*pow({h}, 4)*pow({r}, -3) - 1e0/2*pow({h}, 6)/{r}", f"15e0*pow({r}, -7)"),
+    }
+    cases = ", ".join(f"CASE WHEN {u} < 1 THEN {i} WHEN r < h THEN {o} ELSE {f} END AS {k}" for k, (i, o, f) in kernel.items())
+    tree_sql = sql_tree("emb").replace(SQL_VIEWS["emb"], f"SELECT * REPLACE (CAST({soft!r} AS DOUBLE) AS soft) FROM ({SQL_VIEWS['emb']})")
+    a = sql_spline("r2", "h")[0]
+    return f"""WITH RECURSIVE {tree_sql}, {sql_walk(OPEN_SQL)},
+q AS (SELECT a.id, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz, b.mass AS m, a.soft + b.soft AS h FROM act JOIN leaf_of a ON a.leaf = act.target JOIN leaf_of b ON b.leaf = act.source WHERE action = 'leaf'),
+nt AS ({sql_direct('q')}),
+fr AS (SELECT p.id, b.mass AS m, s.soft + p.soft AS h, {', '.join(f'p.{d} - s.c{d} AS r{d}, b.{d} - s.c{d} AS d{d}' for d in 'xyz')}, s.node AS s_node
+  FROM act JOIN nodes s ON s.node = act.source JOIN leaf_of p ON p.leaf = act.target JOIN up b ON b.node = s.node WHERE action = 'node'),
+f1 AS (SELECT *, rx*rx + ry*ry + rz*rz AS r2, sqrt(rx*rx + ry*ry + rz*rz) AS r, dx*dx + dy*dy + dz*dz AS w, rx*dx + ry*dy + rz*dz AS s FROM fr),
+f2 AS (SELECT *, {a} AS a, {cases} FROM f1),
+ft AS (SELECT id, s_node, {', '.join(f'sum(m * (c * s * d{d} - (b + (d * s * s - c * w) / 2) * r{d})) AS a{d}' for d in 'xyz')}, -sum(m * (a + (c * s * s - b * w) / 2)) AS potential FROM f2 GROUP BY id, s_node),
+tt AS (SELECT id, count(*) AS terms FROM (SELECT id FROM q UNION ALL SELECT id FROM ft) GROUP BY id),
+t AS (SELECT id, ax, ay, az, potential FROM nt UNION ALL SELECT id, ax, ay, az, potential FROM ft)
+SELECT t.id, {', '.join(rnd(f'sum({c})', c, 4) for c in gravity.SUMS)}, any_value(tt.terms) AS terms FROM t JOIN tt USING (id) GROUP BY t.id"""
+
+
+@query(sql_softened(1.0))
+def gravity_softened_quadrupole(spark: SparkSession, sf: str) -> DataFrame:
+    """Softening spheres so wide that they overlap most nodes."""
+    return out_gravity(gravity.hierarchical(from_embeddings(spark, sf).withColumn("soft", F.lit(1.0)), far="softened"))
+
+
+def sql_traceless(p: str) -> str:
+    """A row's share of a traceless moment, in solid harmonics written by pairs of letters."""
+    n = len(p)
+    pairs = [(i, j) for i in range(n) for j in range(i + 1, n) if p[i] == p[j]]
+    rest = lambda used: " * ".join(["1e0", *(f"d{d}" for i, d in enumerate(p) if i not in used)])
+    terms = [rest(())] + [f"- w / {2 * n - 1}e0 * {rest(pair)}" for pair in pairs]
+    terms += [f"+ w * w / {(2 * n - 1) * (2 * n - 3)}e0" for a in pairs for b in pairs if a < b and not set(a) & set(b)]
+    return f"({' '.join(terms)})"
+
+
+REDUCED = multipoles.reduced_names(4)
+
+
+@query(f"""WITH {sql_tree('emb')}, d AS (SELECT up.node, up.mass, {', '.join(f'up.{d} - nodes.c{d} AS d{d}' for d in 'xyz')} FROM up JOIN nodes USING (node)), e AS (SELECT *, dx*dx + dy*dy + dz*dz AS w FROM d)
+SELECT node, {', '.join(rnd(f'sum(mass * {sql_traceless(t[1:])})', t, 4) for t in REDUCED)} FROM e GROUP BY node""")
+def tree_reduced_moments(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = tree.shape(tree.build(from_embeddings(spark, sf), order=4)[0]).withColumns(multipoles.reduced(4))
+    return rounded(nodes.select("node", *REDUCED), *REDUCED, digits=4)
+
+
+@query(f"WITH {sql_tree('emb')}, f AS (SELECT parent, min(node) AS node FROM nodes WHERE depth > 0 GROUP BY parent) SELECT o.parent AS node, CAST(sum(o.n) AS BIGINT) AS n, {', '.join(rnd(f'sum(o.{c})', c) for c in ('mass', 'mx', 'mxy'))} FROM nodes o JOIN f ON o.parent = f.parent AND o.node <> f.node WHERE o.depth > 0 GROUP BY 1")
+def node_moments_left(spark: SparkSession, sf: str) -> DataFrame:
+    """What inner nodes of several children are without the first of them."""
+    nodes, _ = tree.build(from_embeddings(spark, sf))
+    first = F.min(F.struct("node", "n", "mass", "mx", "mxy"))
+    children = nodes.where("depth > 0").groupBy("parent").agg(first.alias("first"), F.count("*").alias("children")).where("children > 1")
+    parts = children.select(F.col("parent").alias("node"), "first.n", "first.mass", "first.mx", "first.mxy")
+    left = tree.without(nodes.join(parts.select("node"), "node", "left_semi"), parts)
+    return rounded(left.select("node", "n", "mass", "mx", "mxy"), "mass", "mx", "mxy")
+
+
 def sql_local(order: int, spread: float) -> str:
     """The far part as what it is: with R between the centres and u what the two rows are off
     them, the Taylor series of 1/|R + u| up to the order, by Legendre polynomials of

@@ -129,6 +129,37 @@ def spline(distance: Column, reach: Column) -> tuple[Column, Column]:
     return F.when(bare, point).otherwise(potential), F.when(bare, power3(point)).otherwise(force)
 
 
+def laurent(u: Column, inverse: Column, terms: dict[int, float]) -> Column:
+    """The sum of factor * u**power, where powers may be negative."""
+    low = min([*terms, 0])
+    out = horner(u, *(terms.get(k, 0.0) for k in range(max([*terms, 0]), -1, -1)))
+    return out if low == 0 else out + inverse * horner(inverse, *(terms.get(-k, 0.0) for k in range(-low, 0, -1)))
+
+
+def spline_slopes(distance: Column, reach: Column, orders: int) -> list[Column]:
+    """The potential factor of ``spline`` and what -1/r d/dr makes of it again and again:
+    (2n - 1)!! / r**(2n + 1) from the support on. The third, the quadrupole's, and those
+    after it grow as r goes to 0, less than the r's that they are multiplied with; at 0
+    their negative powers count as 0."""
+    h = reach / 2.0
+    u = distance / h
+    point = F.try_divide(F.lit(1.0), distance)
+    inverse = F.coalesce(point, F.lit(0.0)) * h
+    inner = dict(zip(range(5, -1, -1), POTENTIAL_IN))
+    outer = dict(zip(range(5, -1, -1), POTENTIAL_OUT)) | {-1: -1 / 15}
+    scale = F.try_divide(F.lit(1.0), h)
+    step = scale * scale
+    bare = point
+    out = []
+    for n in range(orders):
+        near = F.when(u >= 2.0, bare).when(u >= 1.0, laurent(u, inverse, outer) * scale).otherwise(laurent(u, inverse, inner) * scale)
+        out.append(F.when(reach > 0.0, near).otherwise(bare))
+        inner, outer = ({k - 2: -k * f for k, f in terms.items() if k * f} for terms in (inner, outer))
+        scale = scale * step
+        bare = bare * point * point * float(2 * n + 1)
+    return out
+
+
 def power3(x: Column) -> Column:
     return x * x * x
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box_distance2, spheres_meet, spline
-from .multipoles import degree, field, letters
+from .multipoles import degree, field, letters, reduced, reduced_names, restored
 from .traverse import Visitor, gravity_open, hinted, node_side, walk
 from .tree import build, planted, shape
 
@@ -27,16 +27,25 @@ def near_terms(pairs: DataFrame, dx: Column, dy: Column, dz: Column, mass: Colum
     return step.select("id", *(F.when(c("gap") > 0.0, v).otherwise(F.lit(0.0)).alias(n) for n, v in zip(SUMS, values)))
 
 
-def far_terms(pairs: DataFrame, order: int) -> DataFrame:
+def far_terms(pairs: DataFrame, order: int, far: str = "plain") -> DataFrame:
     """The same of rows (id, x, y, z) towards nodes s_*, seen from leaves t_*: multipoles up
-    to ``order``, or the mass alone where the softening spheres meet."""
+    to ``order``, or the mass alone where the softening spheres meet. ``far`` as in
+    ``hierarchical``."""
     c = F.col
+    if far == "softened":
+        moments = [c(f"s_q{letters(p)}").alias(f"q{letters(p)}") for n in range(2, order + 1) for p in degree(n)]
+        step = pairs.select("id", *((c(d) - c(f"s_c{d}")).alias(f"r{d}") for d in "xyz"), c("s_mass").alias("m"), (c("s_soft") + c("soft")).alias("both"), *moments)
+        found = field(step, order, c("both"))
+        return found.select("id", *(F.coalesce(c(f), F.lit(0.0)).alias(n) for n, f in zip(SUMS, ("fx", "fy", "fz", "f0"))))
+    if far == "reduced":
+        given = {f"s_{q}": t for q, t in restored(order).items()}
+        pairs = pairs.withColumnsRenamed({f"s_{t}": t for t in reduced_names(order)}).withColumns(given)
     apart2 = sum((c(f"s_c{d}") - c(f"t_c{d}")) * (c(f"s_c{d}") - c(f"t_c{d}")) for d in "xyz")
     meet = spheres_meet(apart2, 2.0 * c("s_soft"), 2.0 * c("t_soft")) | (box_distance2(c("s_cx"), c("s_cy"), c("s_cz"), "t") <= 4.0 * c("s_soft") * c("s_soft"))
     moments = [f"q{letters(p)}" for n in range(2, order + 1) for p in degree(n)]
     kept = [F.when(meet, F.lit(0.0)).otherwise(c(f"s_{q}")).alias(q) for q in moments]
     step = pairs.select("id", *((c(d) - c(f"s_c{d}")).alias(f"r{d}") for d in "xyz"), c("s_mass").alias("m"), *kept)
-    found = field(step, order)
+    found = field(step, order, traceless=far == "reduced")
     return found.select("id", *(F.coalesce(c(f), F.lit(0.0)).alias(n) for n, f in zip(SUMS, ("fx", "fy", "fz", "f0"))))
 
 
@@ -70,13 +79,20 @@ def direct(points: DataFrame, replicas: int = 0, period: float = 0.0) -> DataFra
     return summed(near_terms(pairs, *gap, F.col("s_mass"), F.col("s_soft") + F.col("soft")))
 
 
-def hierarchical(points: DataFrame, theta: float = 0.7, order: int = 2, step: int = 3, leaf: int = 12, kind: str | None = None, replicas: int = 0, period: float = 0.0) -> DataFrame:
+def hierarchical(points: DataFrame, theta: float = 0.7, order: int = 2, step: int = 3, leaf: int = 12, kind: str | None = None, replicas: int = 0, period: float = 0.0, far: str = "plain") -> DataFrame:
     """id, ax, ay, az, potential, terms by tree traversal, with multipoles up to ``order``.
+    ``far``: 'plain' (a node whose softening sphere meets the leaf's acts by its mass alone,
+    unsoftened), 'reduced' (the same field from traceless moments, a third fewer numbers of
+    a node) or 'softened' (all moments act through the softening kernel).
     ``kind``: a tree type of ``tree.TREES`` instead of ``step``. With ``replicas`` of a
     periodic box, every target leaf walks the tree once from each place that its shifted
     box has, as the field of a shifted source is that at an oppositely shifted target."""
+    if far not in ("plain", "reduced", "softened"):
+        raise ValueError(f"unknown far field {far}")
     nodes, rows = planted(kind, points, leaf, max(order, 2)) if kind else build(points, step, leaf, order=max(order, 2))
     nodes = shape(nodes)
+    if far == "reduced":
+        nodes = nodes.withColumns(reduced(order))
     n = nodes.count()
     target = rows.select("id", "x", "y", "z", "soft", F.col("leaf").alias("target"))
     leaves = nodes.where("is_leaf").select("node", *(f"{d}{i}" for d in "xyz" for i in (0, 1)), "cx", "cy", "cz", "soft")
@@ -93,7 +109,7 @@ def hierarchical(points: DataFrame, theta: float = 0.7, order: int = 2, step: in
     gap = [F.col(f"s_{d}") - F.col(d) for d in "xyz"]
     near = near_terms(near, *gap, F.col("s_mass"), F.col("s_soft") + F.col("soft"))
     t = node_side(leaves, "t").withColumnRenamed("t_node", "target").withColumnRenamed("t_copy", "copy")
-    s = node_side(nodes.select("node", "mass", "cx", "cy", "cz", "soft", *(c for c in nodes.columns if c.startswith("q"))), "s")
+    s = node_side(nodes.select("node", "mass", "cx", "cy", "cz", "soft", *(reduced_names(order) if far == "reduced" else (c for c in nodes.columns if c.startswith("q")))), "s")
     copies = (2 * replicas + 1) ** 3
-    far = actions.where("action = 'node'").select(*at, "source").join(hinted(s, n), F.col("source") == F.col("s_node")).join(hinted(t, n * copies), at).join(target, at)
-    return summed(near.unionByName(far_terms(far, order)))
+    distant = actions.where("action = 'node'").select(*at, "source").join(hinted(s, n), F.col("source") == F.col("s_node")).join(hinted(t, n * copies), at).join(target, at)
+    return summed(near.unionByName(far_terms(distant, order, far)))

@@ -15,6 +15,8 @@ from math import comb, factorial, prod
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import spline_slopes
+
 Powers = tuple[int, int, int]
 
 
@@ -67,21 +69,73 @@ def traced(n: int, k: int, p: Powers) -> Column:
     return total(terms)
 
 
-def field(pairs: DataFrame, order: int) -> DataFrame:
+def independent(n: int) -> list[Powers]:
+    """The 2n + 1 components that give all of a traceless tensor: z at most once."""
+    return [p for p in degree(n) if p[2] < 2]
+
+
+def odds(n: int) -> int:
+    """1 * 3 * ... * (2n - 1)."""
+    return prod(range(1, 2 * n, 2))
+
+
+def reduced_names(order: int) -> list[str]:
+    return [f"t{letters(p)}" for n in range(2, order + 1) for p in independent(n)]
+
+
+def reduced(order: int) -> dict[str, Column]:
+    """The traceless part t... of the moments q...: all that a far point feels of them.
+    Each k pairs of equal letters are taken out and the moments' k-fold trace put there."""
+    out = {}
+    for n in range(2, order + 1):
+        for p in independent(n):
+            terms = []
+            for k in range(n // 2 + 1):
+                share = (-1) ** k * odds(n - k) / odds(n)
+                for pairs in degree(k):
+                    if all(2 * j <= i for i, j in zip(p, pairs)):
+                        ways = prod(factorial(i) // (2**j * factorial(j) * factorial(i - 2 * j)) for i, j in zip(p, pairs))
+                        terms.append(traced(n, k, tuple(i - 2 * j for i, j in zip(p, pairs))) * (share * ways))
+            out[f"t{letters(p)}"] = total(terms)
+    return out
+
+
+def restored(order: int) -> dict[str, Column]:
+    """All components q... of traceless moments from the independent ones t..., as every
+    zz is - xx - yy."""
+
+    def whole(p: Powers) -> Column:
+        if p[2] < 2:
+            return F.col(f"t{letters(p)}")
+        return -whole((p[0] + 2, p[1], p[2] - 2)) - whole((p[0], p[1] + 2, p[2] - 2))
+
+    return {f"q{letters(p)}": whole(p) for n in range(2, order + 1) for p in degree(n)}
+
+
+def field(pairs: DataFrame, order: int, reach: Column | None = None, traceless: bool = False) -> DataFrame:
     """``pairs`` (rx, ry, rz from a source's centre; m; its q...) with the acceleration
-    fx, fy, fz and the potential f0; null at the centre itself."""
+    fx, fy, fz and the potential f0; null at the centre itself, if not softened there.
+    ``reach``: all rows of the source are softened by the cubic spline of this support.
+    ``traceless``: moments have no traces, whose terms are left out; not for softened ones.
+    """
     c = F.col
     r2 = total([c(f"r{d}") * c(f"r{d}") for d in "xyz"])
-    step = pairs.withColumn("inv", F.try_divide(F.lit(1.0), F.sqrt(r2)))
-    step = step.withColumn("inv2", c("inv") * c("inv"))
-    parts: list[tuple[str, float, int]] = []  # (name, weight, power of 1/r)
+    # k0, k1, ...: 1/r, or its softened form, and what -1/r d/dr makes of it
+    if reach is None:
+        step = pairs.withColumn("k0", F.try_divide(F.lit(1.0), F.sqrt(r2)))
+        step = step.withColumn("inv2", c("k0") * c("k0"))
+        for n in range(1, order + 2):
+            step = step.withColumn(f"k{n}", c(f"k{n - 1}") * c("inv2") * float(2 * n - 1))
+    else:
+        step = pairs.withColumns({"gap": F.sqrt(r2), "reach": reach})
+        step = step.withColumns({f"k{n}": k for n, k in enumerate(spline_slopes(c("gap"), c("reach"), order + 2))})
+    parts: list[tuple[str, float, int]] = []  # (name, weight, which k)
     made: dict[str, Column] = {}
     for n in range(2, order + 1):
-        for k in range(n // 2 + 1):
+        for k in range(1 if traceless else n // 2 + 1):
             left = n - 2 * k
             name = f"s{n}{k}"
-            odd = prod(range(1, 2 * (n - k), 2))
-            parts.append((name, (-1) ** k * odd / (2**k * factorial(k) * factorial(left)), 2 * (n - k) + 1))
+            parts.append((name, (-1) ** k / (2**k * factorial(k) * factorial(left)), n - k))
             value, slope = [], {d: [] for d in "xyz"}
             for p in degree(left):
                 moment = traced(n, k, p) * (factorial(left) / prod(map(factorial, p)))
@@ -93,7 +147,7 @@ def field(pairs: DataFrame, order: int) -> DataFrame:
             made[name] = total(value)
             made |= {f"{name}{d}": total(slope[d]) for d in "xyz"}
     step = step.withColumns(made) if made else step
-    potential = total([-c("m") * c("inv")] + [c(s) * power(c("inv2"), p // 2) * c("inv") * -w for s, w, p in parts])
-    pull = total([-c("m") * c("inv") * c("inv2")] + [c(s) * power(c("inv2"), p // 2 + 1) * c("inv") * (-w * p) for s, w, p in parts])
+    potential = total([-c("m") * c("k0")] + [c(s) * c(f"k{j}") * -w for s, w, j in parts])
+    pull = total([-c("m") * c("k1")] + [c(s) * c(f"k{j + 1}") * -w for s, w, j in parts])
     step = step.withColumns({"f0": potential, "pull": pull})
-    return step.withColumns({f"f{d}": total([c("pull") * c(f"r{d}")] + [c(f"{s}{d}") * power(c("inv2"), p // 2) * c("inv") * w for s, w, p in parts]) for d in "xyz"})
+    return step.withColumns({f"f{d}": total([c("pull") * c(f"r{d}")] + [c(f"{s}{d}") * c(f"k{j}") * w for s, w, j in parts]) for d in "xyz"})

@@ -201,6 +201,16 @@ def subtract(a: dict[str, float], b: dict[str, float]) -> dict[str, float]:
     return {k: a[k] - b[k] for k in a}
 
 
+def without(nodes: DataFrame, parts: DataFrame) -> DataFrame:
+    """``nodes`` less the raw moments of ``parts`` of the same ``node``, of which there may be
+    several (or none): counts, masses and monomials that both have are subtracted. Boxes
+    don't shrink by that, so they and all else stay those of ``nodes``."""
+    sums = [c for c in ("n", "mass", "msoft", *raw_names(8)) if c in nodes.columns and c in parts.columns]
+    taken = parts.groupBy("node").agg(*(F.sum(c).alias(f"_{c}") for c in sums))
+    left = nodes.join(taken, "node", "left").withColumns({c: F.col(c) - F.coalesce(F.col(f"_{c}"), F.lit(0)) for c in sums})
+    return left.drop(*(f"_{c}" for c in sums))
+
+
 def graphviz(nodes: DataFrame) -> DataFrame:
     """line: the tree in Graphviz's language, a line for each node and edge."""
     colour = F.when(F.col("is_leaf"), F.lit("lightblue")).otherwise(F.lit("lightgrey"))

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from sparktree.config import Config
 from sparktree.functions import arrays
-from sparktree.functions.geometry import hilbert, hilbert_cell
+from sparktree.functions.geometry import hilbert, hilbert_cell, spline, spline_slopes
 from sparktree.operators import ewald, gravity, integrate, joins, local, partitioning, sph, splitters, traverse, tree, universe
+from sparktree.operators.multipoles import field, reduced, reduced_names, restored
 from sparktree.operators.tables import written
 from sparktree.plans.simulation import CollisionSimulation, GravitySimulation, SphSimulation
 from sparktree.sources import arrays as array_files
@@ -557,3 +558,48 @@ def test_alignment_by_ranges(spark):
     plan = aligned._jdf.queryExecution().executedPlan().toString()
     assert "Window" in plan and "hashpartitioning(_part" in plan
     assert partitioning.align(frame(keys[:3]), frame([])).toPandas().nearest.isna().all()
+
+
+def test_softened_kernel_by_differences(spark):
+    """Each slope is -1/r d/dr of the one before, across the kernel's joints and beyond it."""
+    r = np.linspace(0.05, 2.5, 99)
+    near = spark.createDataFrame([(i, float(x), float(x) - 1e-5, float(x) + 1e-5) for i, x in enumerate(r)], "i int, r double, lo double, hi double")
+    columns = [k.alias(f"{at}{n}") for at in ("r", "lo", "hi") for n, k in enumerate(spline_slopes(F.col(at), F.lit(1.6), 5))]
+    found = near.select("i", *columns).toPandas().sort_values("i")
+    for n in range(3):
+        slope = -(found[f"hi{n}"] - found[f"lo{n}"]) / 2e-5 / r
+        assert np.allclose(slope, found[f"r{n + 1}"], rtol=1e-4, atol=2e-4 * found[f"r{n + 1}"].abs().max())
+    potential, force = spline(F.col("r"), F.lit(1.6))
+    plain = near.select("i", potential.alias("a"), force.alias("b")).toPandas().sort_values("i")
+    assert np.allclose(plain.a, found.r0) and np.allclose(plain.b, found.r1)
+
+
+def test_softened_multipoles_beat_the_softened_mass(spark, data):
+    rows = from_embeddings(spark, f"{data}/sf0.001").withColumn("soft", F.lit(0.6))
+    a = gravity.direct(rows).toPandas().sort_values("id")
+    errors = []
+    for order in (0, 2, 3):
+        b = gravity.hierarchical(rows, order=order, far="softened").toPandas().sort_values("id")
+        errors.append(np.sqrt(sum(((a[c] - b[c].to_numpy()) ** 2).mean() for c in ("ax", "ay", "az"))))
+    assert errors[2] < errors[1] < errors[0] / 3
+    one = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 2.0, 0.5, *([0.1] * 6))], "id int, rx double, ry double, rz double, m double, reach_of double, qxx double, qxy double, qxz double, qyy double, qyz double, qzz double")
+    at_centre = field(one, 2, F.col("reach_of")).first()
+    assert at_centre.fx == at_centre.fy == at_centre.fz == 0.0
+    assert math.isclose(at_centre.f0, -2.0 * 7 / 5 * 4 + 0.3 / 2 * 4 / 3 * 64)
+
+
+def test_traceless_moments(spark, data):
+    """Traces vanish, the independent components give the rest, and a second reduction changes nothing."""
+    nodes = tree.shape(tree.build(from_embeddings(spark, f"{data}/sf0.001"), order=4)[0]).where("n > 3").withColumns(reduced(4))
+    once = nodes.select("node", *reduced_names(4))
+    again = once.withColumns(restored(4)).withColumnsRenamed({t: f"old_{t}" for t in reduced_names(4)})
+    found = again.withColumns(reduced(4)).toPandas()
+    for t in reduced_names(4):
+        assert np.allclose(found[t], found[f"old_{t}"], rtol=1e-9, atol=1e-9 * found[f"old_{t}"].abs().max())
+    assert np.allclose(found.qxxxz + found.qxyyz + found.qxzzz, 0.0, atol=1e-9 * found.qxxxz.abs().max())
+
+
+def test_nodes_without_several_parts(spark):
+    nodes = spark.createDataFrame([(1, 5, 10.0, 4.0), (2, 3, 1.0, 1.0)], "node long, n long, mass double, mx double")
+    parts = spark.createDataFrame([(1, 2, 3.0), (1, 1, 1.5), (9, 1, 1.0)], "node long, n long, mass double")
+    assert sorted(tree.without(nodes, parts).collect()) == [(1, 2, 5.5, 4.0), (2, 3, 1.0, 1.0)]
