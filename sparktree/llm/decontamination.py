@@ -2,13 +2,13 @@
 
 DataFrame functions only. Test items are partitioned by their number of shingles n, in
 powers of two. A document that holds a share of ``threshold`` of them misses at most
-e = n - ceil(threshold * n). So of an item's e + ``SPARE`` smallest shingle hashes it
-shares at least SPARE: these are the item's sketch, and nothing is missed. An item
-whose sketch would be longer than ``SKETCH`` keeps that many and asks for a quarter of
-them, which a document that qualifies misses with a probability below 1e-12. The
-largest sketched hash of a size bounds what its items can match, and the largest of
-all sizes, which falls as items grow, what a document needs to look up. Candidates are
-verified by exact containment of the shingle strings themselves.
+e = n - ceil(threshold * n). So of an item's e + k smallest shingle hashes it shares at
+least k: these are the item's sketch, k what a candidate must share, and nothing is ever
+missed, whatever the size. k is ``SPARE`` and a ``SPARE_SHARE`` of the class's smallest n
+more, so that long items ask for more than a few common shingles. Each size class is
+searched on its own: a document's shingle is looked up in the classes whose largest
+sketched hash it does not exceed, and only if the document has as many shingles as the
+class's smallest item must share; sketches are joined by class and hash.
 
 The sketches are broadcast if there are at most ``BROADCAST_ROWS`` of them; beyond, the
 same join shuffles. Document shingles are hashed and probed within one stage of
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-SHINGLE, THRESHOLD, SKETCH, SPARE = 5, 0.8, 32, 3
+SHINGLE, THRESHOLD, SPARE, SPARE_SHARE = 5, 0.8, 3, 1 / 16
 #: Sketch rows (three numbers each) that are broadcast at most.
 BROADCAST_ROWS = 1 << 20
 
@@ -62,14 +62,27 @@ def item_shingles(items: DataFrame, item_id: str, text: str, size: int) -> DataF
 
 
 def sketches(own: DataFrame, threshold: float) -> DataFrame:
-    """(item_key, hash, need, size): each item's smallest hashes, the number of them to
-    share, and the item's size class."""
+    """(item_key, hash, need, size, n): each item's smallest hashes, the number of them to
+    share, the item's size class and number of shingles."""
     rank = F.row_number().over(W.partitionBy("item_key").orderBy("hash", "shingle"))
     missed = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9)
-    kept = F.least(missed + SPARE, F.col("n"), F.lit(SKETCH))
-    need = F.when(missed + SPARE <= SKETCH, kept - missed).otherwise(SKETCH // 4)
-    least = own.select("item_key", "hash", "n", rank.alias("rank"), kept.alias("kept"), F.greatest(need, F.lit(1)).cast("int").alias("need"))
-    return least.where("rank <= kept").select("item_key", "hash", "need", F.floor(F.log2("n")).cast("int").alias("size"))
+    spare = F.floor(F.pow(F.lit(2.0), F.col("size")) * SPARE_SHARE) + SPARE
+    least = own.withColumn("size", F.floor(F.log2("n")).cast("int")).select("item_key", "hash", "n", "size", rank.alias("rank"), missed.alias("missed"), F.least(missed + spare, F.col("n")).alias("kept"))
+    return least.where("rank <= kept").select("item_key", "hash", (F.col("kept") - F.col("missed")).cast("int").alias("need"), "size", "n")
+
+
+def looked_up(docs: DataFrame, text: Column, sketch: DataFrame, size: int, threshold: float) -> DataFrame:
+    """(doc_key, hash, size): the places of shingles of ``docs``, in each size class that
+    they can match. The classes (one for each power of two) go through the driver."""
+    bounds = sketch.groupBy("size").agg(F.max("hash").alias("bound"), F.min("n").alias("least")).collect()
+    if not bounds:
+        return docs.limit(0).select("doc_key", F.lit(0).cast("long").alias("hash"), F.lit(0).alias("size"))
+    # shingles of a document, counted with repeats: no fewer than its distinct ones
+    places = F.greatest(F.size(word_array(text)) - (size - 1), F.lit(1))
+    hashes = shingles(docs.withColumn("places", places), text, size, "doc_key", "places").select("doc_key", "places", F.xxhash64("shingle").alias("hash"))
+    fits = [F.when((F.col("hash") <= F.lit(b["bound"])) & (F.col("places") >= F.lit(b["least"] * threshold - 1e-9)), F.lit(b["size"])) for b in sorted(bounds)]
+    below = hashes.where(F.col("hash") <= F.lit(max(b["bound"] for b in bounds)))
+    return below.select("doc_key", "hash", F.explode(F.array(*fits)).alias("size")).where("size IS NOT NULL")
 
 
 def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -78,12 +91,9 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", d
     doc_key tells rows with other texts apart; so are items, by a key of their own."""
     own = materialize(item_shingles(items, item_id, item_text, size), "items")
     sketch = materialize(sketches(own, threshold), "sketches")
-    sizes = sketch.groupBy("size").agg(F.count("*").alias("rows"), F.max("hash").alias("bound")).collect()  # a row for each power of two
-    rows, bound = sum(r["rows"] for r in sizes), max((r["bound"] for r in sizes), default=None)
     text = F.col(f"`{doc_text}`")
     keyed = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text.alias("text"), row_key(doc_id, doc_text).alias("doc_key"))
-    hashes = shingles(keyed, F.col("text"), size, "doc_key").select("doc_key", F.xxhash64("shingle").alias("hash")).where(F.col("hash") <= F.lit(bound).cast("long"))
-    probed = hashes.join(sized(sketch.drop("size"), rows), "hash")
+    probed = looked_up(keyed, F.col("text"), sketch, size, threshold).join(sized(sketch.drop("n"), sketch.count()), ["size", "hash"])
     candidates = probed.groupBy("doc_key", "item_key").agg(F.count("*").alias("shared"), F.first("need").alias("need")).where("shared >= need").select("doc_key", "item_key")
     candidates = materialize(candidates, "candidates")
     held = keyed.join(candidates.select("doc_key").distinct(), "doc_key").dropDuplicates(["doc_key"])

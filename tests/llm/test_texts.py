@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from sparktree.llm import decontamination, importance_resampling, language_id, packing, simhash, substring_dedup, toxicity
 from sparktree.llm.bk_tree import Forest
@@ -380,6 +381,39 @@ def test_decontamination_items_with_null_and_equal_ids(spark):
     assert [r.doc_id for r in decontamination.drop_contaminated(docs, items).collect()] == [9]
 
 
+def test_decontamination_of_items_of_all_sizes(spark):
+    """Items of 2 to 900 shingles, in long documents and alone, with words changed until they
+    just hold enough, or just too little: equal to brute force, nothing is missed."""
+    rng = np.random.default_rng(8)
+    words = lambda n: [f"w{i}" for i in rng.integers(0, 40_000, n)]
+    texts = [words(int(n)) for n in (6, 7, 12, 20, 40, 90, 180, 300, 600, 904)]
+    cut = lambda t: {" ".join(t[i : i + 5]) for i in range(max(len(t) - 4, 1))}
+    docs = []
+    for t in texts:
+        for changes in range(0, len(t) // 10 + 3, max(len(t) // 60, 1)):
+            own = list(t)
+            for at in rng.integers(0, len(t), changes):
+                own[at] = "changed"
+            docs.append(own if changes % 2 else words(400) + own + words(30))
+    items = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "item_id long, text string")
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontamination.contained_items(rows, items).collect()}
+    want = {(d, i) for d, doc in enumerate(docs) for i, t in enumerate(texts) if len(cut(doc) & cut(t)) >= 0.8 * len(cut(t))}
+    assert found == want and len({i for _, i in want}) == len(texts)
+
+
+def test_decontamination_looks_up_by_class(spark):
+    """Each class takes the hashes up to its own bound, and no document too short for it."""
+    rng = np.random.default_rng(9)
+    words = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 40_000, n))
+    items = spark.createDataFrame([(i, words(7)) for i in range(3)] + [(i, words(204)) for i in range(3, 6)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, words(2004)), (2, words(104))], "doc_key long, text string")
+    sketch = decontamination.sketches(decontamination.item_shingles(items, "item_id", "text", 5), 0.8)
+    share = {(r.doc_key, r.size): r.n for r in decontamination.looked_up(docs, F.col("text"), sketch, 5, 0.8).groupBy("doc_key", "size").agg(F.count("*").alias("n")).collect()}
+    assert set(share) == {(1, 1), (1, 7), (2, 1)}
+    assert share[1, 7] < 0.4 * 2000 and share[1, 7] < share[1, 1]
+
+
 def test_decontamination_without_broadcast(spark, same, some, data, monkeypatch):
     items = spark.read.parquet(f"{data}/sf0.001/benchmark.parquet")
     want = decontamination.contained_items(some, items).toPandas()
