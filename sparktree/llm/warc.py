@@ -2,10 +2,12 @@
 
 Of pages with equal payloads of at least ``REVISIT_BYTES`` bytes, the one with the
 largest id is written as a response and the others as revisits that refer to it; all
-shorter payloads are responses. Headers alone (id, digest, length) are shuffled: one
+shorter payloads are responses. Headers alone (id, digest, length) settle that: one
 partial aggregation finds the response of each digest, and headers join it by digest.
 Both sides of that join are plain shuffles, so Spark splits a digest that a third of
-all pages share. Only then are records made, with fresh headers, and written by
+all pages share. If there are at most ``BROADCAST_ROWS`` shared digests, they are sent
+to the payloads, which move once, to their archives; beyond, payloads are shuffled by
+digest before that. Only then are records made, with fresh headers, and written by
 Spark's text writer, whose separator is the end of a record: task commits make the
 write safe when executors are lost.
 
