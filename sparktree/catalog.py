@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import arrays
 from .functions.geometry import CUBE_MARGIN, FOUR_THIRDS_SQRT, hilbert_cell, hilbert_table, r6
-from .operators import balance, gravity, integrate, joins, local, multipoles, partitioning, sph, splitters, traverse, tree, universe
+from .operators import balance, ewald, gravity, integrate, joins, local, multipoles, partitioning, sph, splitters, traverse, tree, universe
 from .sources.adapters import SQL_VIEWS, from_embeddings, from_events, from_parts, table
 
 QUERIES: dict = {}
@@ -898,14 +900,63 @@ def lb_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 
-# Without an SQL twin: erf, generators and binary formats
+def sql_ewald(order: int, period: float, replicas: int = 0) -> str:
+    """The kernel's screened part by Gauss-Legendre nodes, and its derivatives by the powers
+    of x, y and z, each met with its own moment."""
+    alpha, last, reach = 2.0 / period, order + 1, max(3, replicas)
+    powers = [p for n in range(order + 1) if n != 1 for p in multipoles.degree(n)]
+    name = lambda p: "q" + multipoles.letters(p)
+    over = lambda p, at: " * ".join([f"pow({at}{d}, {i})" for d, i in zip("xyz", p) if i]) or "1e0"
+    inverse = lambda p: 1.0 / math.prod(map(math.factorial, p))
+    number = lambda v: f"{v!r}" if "e" in repr(v) else f"{v!r}e0"
+
+    def slope(p: tuple[int, ...]) -> str:
+        terms = []
+        for pairs in itertools.product(*(range(i // 2 + 1) for i in p)):
+            ways = math.prod(math.factorial(i) // (2**j * math.factorial(j) * math.factorial(i - 2 * j)) for i, j in zip(p, pairs))
+            which = sum(p) - sum(pairs)
+            terms.append(f"{(-1) ** which * ways} * {over([i - 2 * j for i, j in zip(p, pairs)], 'r')} * k{which}")
+        return "(" + " + ".join(terms) + ")"
+
+    def series(axis: int | None) -> str:
+        more = lambda p: [i + (j == axis) for j, i in enumerate(p)]
+        return " + ".join(f"{number((-1) ** sum(p) * inverse(p))} * {name(p)} * {slope(more(p))}" for p in powers)
+
+    def spectrum(odd: int) -> str:
+        return " + ".join([f"{number((-1) ** (sum(p) // 2) * inverse(p))} * {name(p)} * {over(p, 'w')}" for p in powers if sum(p) % 2 == odd] or ["0e0"])
+
+    nodes = ", ".join(f"({number(float(t) / 2 + 0.5)}, {number(float(w) / 2)})" for t, w in zip(*np.polynomial.legendre.leggauss(48)))
+    smooth = ", ".join(f"sum(w * {number(2 * alpha / math.sqrt(math.pi) * (2 * alpha * alpha) ** n)} * pow(t, {2 * n}) * exp({number(-alpha * alpha)} * r2 * t * t)) AS b{n}" for n in range(last + 1))
+    kernel = ", ".join(f"CASE WHEN kept THEN 0e0 ELSE {multipoles.odds(n)} * pow(r2, {-n - 0.5}) END - b{n} AS k{n}" for n in range(last + 1))
+    return f"""WITH p AS ({SQL_VIEWS['emb']}),
+c AS (SELECT {', '.join(f'sum(mass * {d}) / sum(mass) AS c{d}' for d in 'xyz')} FROM p),
+d AS (SELECT id, mass, {', '.join(f'{d} - c{d} AS d{d}' for d in 'xyz')} FROM p, c),
+mo AS (SELECT {', '.join(f"sum(mass * {over(p, 'd')}) AS {name(p)}" for p in powers)} FROM d),
+im AS (SELECT id, ix, iy, iz, {', '.join(f'd{d} + i{d} * {period}e0 AS r{d}' for d in 'xyz')}, greatest(abs(ix), abs(iy), abs(iz)) <= {replicas} AS kept FROM d, {', '.join(f'range({-reach}, {reach + 1}) t{d}(i{d})' for d in 'xyz')}),
+i2 AS (SELECT *, rx * rx + ry * ry + rz * rz AS r2 FROM im),
+b AS (SELECT id, ix, iy, iz, rx, ry, rz, r2, kept, {smooth} FROM i2, (VALUES {nodes}) gl(t, w) WHERE kept OR r2 <= {number((2.6 * period) ** 2)} GROUP BY ALL),
+kk AS (SELECT *, {kernel} FROM b),
+hh AS (SELECT hx * hx + hy * hy + hz * hz AS h2, {', '.join(f'h{d} * {number(2 * math.pi / period)} AS w{d}' for d in 'xyz')} FROM {', '.join(f'range(-3, 4) t{d}(h{d})' for d in 'xyz')}),
+sp AS (SELECT wx, wy, wz, exp({number(-((math.pi / 2) ** 2))} * h2) / (h2 * {number(math.pi * period)}) AS g, {spectrum(0)} AS even, {spectrum(1)} AS odd FROM hh, mo WHERE h2 > 0 AND h2 <= 784e-2),
+ph AS (SELECT id, wx, wy, wz, g, even, odd, wx * dx + wy * dy + wz * dz AS a FROM d, sp),
+t AS (SELECT id, {', '.join(f'{series(i)} AS a{d}' for i, d in enumerate('xyz'))}, -({series(None)}) AS potential FROM kk, mo
+  UNION ALL SELECT id, {', '.join(f'g * w{d} * (odd * cos(a) - even * sin(a))' for d in 'xyz')}, -g * (even * cos(a) + odd * sin(a)) FROM ph
+  UNION ALL SELECT id, 0e0, 0e0, 0e0, q * {number(math.pi / 4 / period)} FROM d, mo)
+SELECT id, {', '.join(rnd(f'sum({s})', s) for s in ewald.SUMS)} FROM t GROUP BY id"""
+
+
+@query(sql_ewald(2, 2.0))
+def gravity_ewald(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(ewald.ewald(from_embeddings(spark, sf), 2.0), *ewald.SUMS)
 
 
-@query()
-def gravity_ewald(spark: SparkSession, sf: str) -> DataFrame:
-    from .operators import ewald
+@query(sql_ewald(4, 2.0, 1))
+def gravity_ewald_hexadecapole(spark: SparkSession, sf: str) -> DataFrame:
+    """With moments to order 4, beside images within one period that the walk adds up itself."""
+    return rounded(ewald.ewald(from_embeddings(spark, sf), 2.0, 1, order=4), *ewald.SUMS)
+
 
-    return rounded(ewald.ewald(from_embeddings(spark, sf), 2.0), "ax", "ay", "az", "potential")
+# Without an SQL twin: generators
 
 
 @query()

@@ -112,16 +112,19 @@ def restored(order: int) -> dict[str, Column]:
     return {f"q{letters(p)}": whole(p) for n in range(2, order + 1) for p in degree(n)}
 
 
-def field(pairs: DataFrame, order: int, reach: Column | None = None, traceless: bool = False) -> DataFrame:
+def field(pairs: DataFrame, order: int, reach: Column | None = None, traceless: bool = False, given: bool = False) -> DataFrame:
     """``pairs`` (rx, ry, rz from a source's centre; m; its q...) with the acceleration
     fx, fy, fz and the potential f0; null at the centre itself, if not softened there.
     ``reach``: all rows of the source are softened by the cubic spline of this support.
     ``traceless``: moments have no traces, whose terms are left out; not for softened ones.
+    ``given``: the kernel and its slopes are there as k0 .. k<order + 1>.
     """
     c = F.col
     r2 = total([c(f"r{d}") * c(f"r{d}") for d in "xyz"])
     # k0, k1, ...: 1/r, or its softened form, and what -1/r d/dr makes of it
-    if reach is None:
+    if given:
+        step = pairs
+    elif reach is None:
         step = pairs.withColumn("k0", F.try_divide(F.lit(1.0), F.sqrt(r2)))
         step = step.withColumn("inv2", c("k0") * c("k0"))
         for n in range(1, order + 2):

@@ -283,33 +283,71 @@ def test_partitions(spark, data):
     assert placed.sort_values("bin").executor.is_monotonic_increasing
 
 
-def test_ewald_does_not_depend_on_replicas(spark):
-    """Ewald with a hole and the direct sum over the replicas in it: one answer."""
-    rng = np.random.default_rng(1)
-    x = rng.uniform(-0.4, 0.4, (6, 3))
-    m = {"mass": 1.0, "cx": 0.1, "cy": 0.0, "cz": -0.1, **dict(zip((f"q{p}" for p in tree.MOMENTS), (0.03, 0.01, -0.02, 0.05, 0.015, 0.02)))}
-    c = np.array([0.1, 0.0, -0.1])
-    q = ewald.tensor(m)
-
-    def total(replicas):
-        out = ewald.corrections(x, m, 2.0, replicas)
-        n = range(-replicas, replicas + 1)
-        for i in n:
-            for j in n:
-                for k in n:
-                    r = x - c + 2.0 * np.array([i, j, k])
-                    r2 = (r * r).sum(axis=1)
-                    qr, rqr, tr = r @ q, ((r @ q) * r).sum(axis=1), np.trace(q)
-                    out[:, :3] += -r / r2[:, None] ** 1.5 + 3 * qr / r2[:, None] ** 2.5 - r * (7.5 * rqr / r2**3.5 - 1.5 * tr / r2**2.5)[:, None]
-                    out[:, 3] -= r2**-0.5 + 1.5 * rqr / r2**2.5 - 0.5 * tr / r2**1.5
-        return out
+def image_field(rows, moments, order, period, replicas):
+    """The bare field of a root's moments and of its images within ``replicas``, by ``field``."""
+    steps = F.array(*(F.lit(float(i)) for i in range(-replicas, replicas + 1)))
+    out = rows.select("id", "x", "y", "z")
+    for d in "xyz":
+        out = out.withColumn(f"i{d}", F.explode(steps))
+    out = out.withColumns({f"r{d}": F.col(d) - moments[f"c{d}"] + F.col(f"i{d}") * period for d in "xyz"} | {k: F.lit(v) for k, v in moments.items() if k[0] == "q"} | {"m": F.lit(moments["mass"])})
+    return field(out, order).groupBy("id").agg(*(F.sum(f).alias(a) for f, a in zip(("fx", "fy", "fz", "f0"), ewald.SUMS)))
 
-    step = 1e-4
-    for axis in range(3):  # the acceleration is the potential's slope
-        ahead, back = (ewald.corrections(x + s * step * np.eye(3)[axis], m, 2.0, 0)[:, 3] for s in (1, -1))
-        assert np.allclose(ewald.corrections(x, m, 2.0, 0)[:, axis], (back - ahead) / (2 * step), atol=1e-5)
 
-    assert np.allclose(total(0), total(1), atol=2e-3)
+def arrayed(df):
+    return df.toPandas().sort_values("id")[list(ewald.SUMS)].to_numpy()
+
+
+@pytest.mark.parametrize("order", [2, 4])
+def test_ewald_does_not_depend_on_replicas(spark, order):
+    """Ewald with a hole and the direct sum over the replicas in it: one answer. Images
+    beyond the cut are the same in both, so the two agree to the kernel's error."""
+    rng = np.random.default_rng(1)
+    rows = points(spark, [(i, *(rng.uniform(0.3, 0.9, 3) * rng.choice([-1, 1], 3))) for i in range(6)])
+    lump = points(spark, [(i, *rng.uniform(-0.2, 0.2, 3), m + 1) for i, m in enumerate(rng.uniform(0, 1, 12))])
+    moments = ewald.root(lump, order)
+    step = 1e-4
+    moved = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("to"))
+    for k, (d, by) in enumerate((d, by) for d in "xyz" for by in (step, -step)):
+        moved = moved.withColumn(d, F.when(F.col("to") == k + 1, F.col(d) + by).otherwise(F.col(d)))
+    moved = moved.withColumn("id", F.col("id") * 7 + F.col("to"))
+    one, two = (arrayed(ewald.ewald(at, 2.0, n, order, moments)) + arrayed(image_field(at, moments, order, 2.0, n)) for n, at in ((0, moved), (1, rows)))
+    one = one.reshape(6, 7, 4)
+    assert np.allclose(one[:, 0], two, rtol=0, atol=1e-9 * moments["mass"])
+    slope = (one[:, 2::2, 3] - one[:, 1::2, 3]) / (2 * step)  # the acceleration is the potential's slope
+    assert np.allclose(one[:, 0, :3], slope, atol=1e-5 * np.abs(one).max())
+
+
+def test_ewald_kernel_against_quadrature(spark):
+    """Both series, across their seam, in the hole and outside of it."""
+    alpha, last = 1.3, 5
+    r = np.concatenate([[0.0, 1e-9, 1e-3], np.linspace(0.05, 9.0, 400), 4.0 / alpha * np.array([1 - 1e-12, 1.0, 1 + 1e-12])])
+    t, w = np.polynomial.legendre.leggauss(200)
+    t, w = (t + 1) / 2, w / 2
+    rows = spark.createDataFrame([(float(v) ** 2, k) for v in r for k in (True, False) if v > 0.5 or k], "r2 double, kept boolean")
+    found = ewald.screened(rows, alpha, last).toPandas()
+    for n in range(last + 1):
+        smooth = np.exp(-(alpha * alpha) * found.r2.to_numpy()[:, None] * t * t) @ (w * 2 * alpha / math.sqrt(math.pi) * (2 * alpha * alpha * t * t) ** n)
+        bare = math.prod(range(1, 2 * n, 2)) / np.maximum(found.r2, 1e-30) ** (n + 0.5)
+        top = 2 * alpha / math.sqrt(math.pi) * (2 * alpha * alpha) ** n / (2 * n + 1)
+        assert np.allclose(found[f"k{n}"], np.where(found.kept, 0, bare) - smooth, rtol=1e-12, atol=1e-13 * top)
+
+
+def test_ewald_of_higher_moments_is_nearer_to_all_pairs(spark):
+    """Each row's own Ewald sum over all others (a mass has no moments) is the truth."""
+    rng = np.random.default_rng(4)
+    lump = [(i, *rng.uniform(-0.35, 0.35, 3), float(m)) for i, m in enumerate(rng.integers(1, 5, 6))]
+    rows = points(spark, lump)
+    truth = sum(arrayed(ewald.ewald(rows, 2.0, 1, 0, {"mass": one[4], "cx": one[1], "cy": one[2], "cz": one[3]})) for one in lump)
+    errors = [np.abs(arrayed(ewald.ewald(rows, 2.0, 1, order)) - truth).max() for order in (0, 2, 4)]
+    assert errors[2] < 0.5 * errors[1] < 0.25 * errors[0], errors
+
+
+def test_ewald_of_nothing(spark):
+    none = points(spark, [(1, 0, 0, 0)]).where("id > 1")
+    assert ewald.ewald(none, 2.0, order=4).count() == 0
+    lost = points(spark, [(1, 0, 0, 0), (2, 1, 1, 1)]).withColumn("x", F.when(F.col("id") == 1, F.col("x")))
+    found = ewald.ewald(lost, 4.0).toPandas().sort_values("id")
+    assert found.potential.isna().tolist() == [False, True]
 
 
 def test_hexadecapole_against_the_direct_sum(spark, data):
