@@ -1026,3 +1026,22 @@ def snapshot_writers(spark: SparkSession, sf: str) -> DataFrame:
     from .sources import tipsy
 
     return tipsy.routed(tipsy.recorded(from_embeddings(spark, sf))[0], 7).select("id", F.col("at").alias("record"), "writer")
+
+
+def sql_gadget(block: int, columns: tuple[str, ...]) -> str:
+    each = "CAST(ceil((SELECT count(*) FROM p) / 3e0) AS BIGINT)"
+    return " UNION ALL ".join(f"SELECT {block} AS block, CAST(record // {each} AS INTEGER) AS file, CAST({dim} AS INTEGER) AS dim, record AS idx, CAST(CAST({c} AS FLOAT) AS DOUBLE) AS value FROM o" for dim, c in enumerate(columns))
+
+
+@query(f"{SECTIONS} {sql_gadget(0, ('x', 'y', 'z'))} UNION ALL {sql_gadget(3, ('mass',))}")
+def gadget_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Three files written by all tasks, and two of their blocks read again by ranges of records."""
+    import uuid
+
+    from .operators.tables import shared_dir
+    from .sources import gadget
+
+    path = f"{shared_dir(spark)}/rows-{uuid.uuid4().hex}.gadget".replace("file:///", "/").replace("file:/", "/")
+    gadget.write_gadget(from_embeddings(spark, sf), path, 3, ">")
+    blocks = [gadget.read_gadget(spark, path, b, 3).withColumn("block", F.lit(b)) for b in (0, 3)]
+    return blocks[0].unionByName(blocks[1])

@@ -61,27 +61,5 @@ def read_model(spark: SparkSession, path: str) -> DataFrame:
     return particles(rows, **{c: F.col(c) for c in rows.columns})
 
 
-def read_gadget_block(spark: SparkSession, path: str, block: int) -> DataFrame:
-    """(file, dim, idx, value) of one block of Gadget snapshots: 4-byte lengths frame each
-    block after the 256-byte header; the byte order is told by the header's frame, and
-    1 or 3 values a row by the block's length."""
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                order = "<" if struct.unpack("<i", content[:4])[0] == 256 else ">"
-                n = sum(struct.unpack(f"{order}6i", content[4:28]))
-                at = 264
-                for _ in range(block):
-                    at += struct.unpack(f"{order}i", content[at : at + 4])[0] + 8
-                size = struct.unpack(f"{order}i", content[at : at + 4])[0]
-                dims = size // (4 * n)
-                values = np.frombuffer(content, f"{order}f4", n * dims, at + 4).reshape(n, dims).astype(float)
-                for d in range(dims):
-                    yield pd.DataFrame({"file": name, "dim": d, "idx": np.arange(n), "value": values[:, d]})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, "file string, dim int, idx long, value double")
-
-
 def head(rows: DataFrame, n: int = 10) -> DataFrame:
     return rows.orderBy("id").limit(n)

@@ -16,7 +16,7 @@ from sparktree.operators.multipoles import field, reduced, reduced_names, restor
 from sparktree.operators.tables import written
 from sparktree.plans.simulation import CollisionSimulation, GravitySimulation, SphSimulation
 from sparktree.sources import arrays as array_files
-from sparktree.sources import models, tipsy
+from sparktree.sources import gadget, models, tipsy
 from sparktree.sources.adapters import from_embeddings, particles
 
 
@@ -641,3 +641,59 @@ def test_nodes_without_several_parts(spark):
     nodes = spark.createDataFrame([(1, 5, 10.0, 4.0), (2, 3, 1.0, 1.0)], "node long, n long, mass double, mx double")
     parts = spark.createDataFrame([(1, 2, 3.0), (1, 1, 1.5), (9, 1, 1.0)], "node long, n long, mass double")
     assert sorted(tree.without(nodes, parts).collect()) == [(1, 2, 5.5, 4.0), (2, 3, 1.0, 1.0)]
+
+
+def gadget_file(path, order, blocks, counts):
+    """A snapshot made by hand: blocks of floats between lengths."""
+    head = struct.pack(f"{order}6i", *counts).ljust(256, b"\0")
+    with open(path, "wb") as f:
+        for data in (head, *(np.asarray(b, f"{order}f4").tobytes() for b in blocks)):
+            f.write(struct.pack(f"{order}i", len(data)) + data + struct.pack(f"{order}i", len(data)))
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_gadget_blocks(spark, tmp_path, order):
+    """Both byte orders, 1 and 3 values a record, files in their order (ten of them: .10 is
+    not there and .2 comes before .9), one of them empty, and splits within a file."""
+    sizes = [5, 0, 3, 1, 7, 2, 4, 1, 1, 6]
+    rng = np.random.default_rng(3)
+    wide, narrow = ([rng.normal(size=(n, k)).astype("f4") for n in sizes] for k in (3, 1))
+    for i, n in enumerate(sizes):
+        gadget_file(tmp_path / f"snap.{i}", order, [wide[i], narrow[i]], [n // 2, n - n // 2, 0, 0, 0, 0])
+    for block, data in ((0, wide), (1, narrow)):
+        rows = gadget.read_gadget(spark, str(tmp_path / "snap"), block, files=10, split_bytes=24)
+        assert rows.rdd.getNumPartitions() > 9  # nine files have records
+        found = rows.toPandas().sort_values(["idx", "dim"])
+        whole = np.concatenate(data)
+        assert np.array_equal(found.value, whole.astype(float).ravel())
+        assert np.array_equal(found.idx, np.repeat(np.arange(len(whole)), whole.shape[1]))
+        assert np.array_equal(found.file, np.repeat(np.arange(10), [n * whole.shape[1] for n in sizes]))
+
+
+def test_gadget_written_and_read(spark, tmp_path):
+    rows = points(spark, [(i, i, -i, 0.5, 1 + i, i, 0, 0) for i in range(11)]).withColumn("type", (F.col("id") % 3 + 1).cast("int"))
+    for files, order in ((1, "<"), (2, ">"), (20, "<")):
+        path = str(tmp_path / f"out{files}")
+        gadget.write_gadget(rows, path, files, order)
+        ids = gadget.read_gadget(spark, path, 2, files, kind="u4").toPandas().sort_values("idx")
+        assert ids.value.tolist() == [1, 4, 7, 10, 2, 5, 8, 0, 3, 6, 9]  # gas (2), dark (3), stars (1)
+        mass = gadget.read_gadget(spark, path, 3, files).toPandas().sort_values("idx")
+        assert (mass.value == ids.value.to_numpy() + 1).all()
+        assert not [f for f in tmp_path.iterdir() if len(f.name) > 30]
+    with open(tmp_path / "out2.0", "rb") as f:
+        head = struct.unpack(f">i{gadget.HEADER}", f.read(4 + struct.calcsize(f">{gadget.HEADER}")))
+    assert head[1:7] == (4, 2, 0, 0, 0, 0) and head[17:23] == (4, 3, 0, 0, 4, 0) and head[24] == 2
+    gadget.write_gadget(rows.where("id < 0"), str(tmp_path / "none"))
+    assert gadget.read_gadget(spark, str(tmp_path / "none"), 0).count() == 0
+    with pytest.raises(ValueError):
+        gadget.write_gadget(rows.withColumn("id", F.col("id") - 1), str(tmp_path / "minus"))
+
+
+def test_gadget_faults(tmp_path):
+    gadget_file(tmp_path / "odd", "<", [np.zeros(4)], [3, 0, 0, 0, 0, 0])
+    (tmp_path / "text").write_text("not a snapshot" * 40)
+    gadget_file(tmp_path / "torn", "<", [np.zeros(3)], [3, 0, 0, 0, 0, 0])
+    (tmp_path / "torn").write_bytes((tmp_path / "torn").read_bytes()[:-4] + b"\1\0\0\0")
+    for name, block in (("odd", 0), ("text", 0), ("torn", 0), ("odd", 1)):
+        with pytest.raises(ValueError):
+            gadget.locate(str(tmp_path / name), block)
