@@ -217,6 +217,26 @@ def splitter_alignment(spark: SparkSession, sf: str) -> DataFrame:
     return partitioning.align(cuts, rows.select(F.shiftleft(F.shiftright("key", 51), 51).alias("key")).distinct())
 
 
+def flush_sql() -> str:
+    """Bins of the even ids; then all rows by the first keys of those bins, in their cube."""
+    keys = sql_key("evt")
+    even = keys.replace("AS vz FROM events)", "AS vz FROM events WHERE event_id % 2 = 0)")
+    again = "ca AS" + keys.split("\nci AS")[1].replace("p.*", "pa.*").replace("FROM p, cu", "FROM pa, cu").replace("\nk AS", "\nka AS").replace("FROM ci)", "FROM ca)")
+    return f"""WITH {even},
+r AS (SELECT key, ntile(8) OVER (ORDER BY key, id) AS bin FROM k),
+b AS (SELECT min(key) AS low FROM r GROUP BY bin),
+pa AS ({SQL_VIEWS['evt']}),
+{again}
+SELECT id, key, CAST(greatest((SELECT count(*) FROM b WHERE low <= ka.key) - 1, 0) AS INTEGER) AS partition_idx FROM ka"""
+
+
+@query(flush_sql())
+def flush_to_given_bins(spark: SparkSession, sf: str) -> DataFrame:
+    """All rows sent to the bins that half of them gave."""
+    rows = from_events(spark, sf)
+    return partitioning.flushed(rows, partitioning.layout("sfc", rows.where("id % 2 = 0"), 8)).select("id", "key", "partition_idx")
+
+
 def cell_sql(step: int) -> str:
     keys = sql_key("evt").replace("\nk AS (", "\nk AS MATERIALIZED (")
     return f"WITH {keys}, up AS (SELECT id, CAST(d AS INTEGER) AS depth, (CAST(1 AS BIGINT) << CAST({step} * d AS INTEGER)) + (key >> CAST(60 - {step} * d AS INTEGER)) AS node FROM k, range(0, {60 // step + 1}) t(d)), ag AS MATERIALIZED (SELECT depth, node, count(*) AS n FROM up GROUP BY ALL), lim AS (SELECT count(*) // 8 AS l FROM k) SELECT a.node, a.depth, a.n FROM lim, ag a LEFT JOIN ag q ON q.node = a.node >> {step} WHERE (a.depth = 0 OR q.n > l) AND a.n <= l"
@@ -942,18 +962,18 @@ ph AS (SELECT id, wx, wy, wz, g, even, odd, wx * dx + wy * dy + wz * dz AS a FRO
 t AS (SELECT id, {', '.join(f'{series(i)} AS a{d}' for i, d in enumerate('xyz'))}, -({series(None)}) AS potential FROM kk, mo
   UNION ALL SELECT id, {', '.join(f'g * w{d} * (odd * cos(a) - even * sin(a))' for d in 'xyz')}, -g * (even * cos(a) + odd * sin(a)) FROM ph
   UNION ALL SELECT id, 0e0, 0e0, 0e0, q * {number(math.pi / 4 / period)} FROM d, mo)
-SELECT id, {', '.join(rnd(f'sum({s})', s) for s in ewald.SUMS)} FROM t GROUP BY id"""
+SELECT id, {', '.join(rnd(f'sum({s})', s, 4) for s in ewald.SUMS)} FROM t GROUP BY id"""
 
 
 @query(sql_ewald(2, 2.0))
 def gravity_ewald(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(ewald.ewald(from_embeddings(spark, sf), 2.0), *ewald.SUMS)
+    return rounded(ewald.ewald(from_embeddings(spark, sf), 2.0), *ewald.SUMS, digits=4)
 
 
 @query(sql_ewald(4, 2.0, 1))
 def gravity_ewald_hexadecapole(spark: SparkSession, sf: str) -> DataFrame:
     """With moments to order 4, beside images within one period that the walk adds up itself."""
-    return rounded(ewald.ewald(from_embeddings(spark, sf), 2.0, 1, order=4), *ewald.SUMS)
+    return rounded(ewald.ewald(from_embeddings(spark, sf), 2.0, 1, order=4), *ewald.SUMS, digits=4)
 
 
 # Without an SQL twin: generators

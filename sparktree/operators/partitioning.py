@@ -1,4 +1,5 @@
-"""Decompositions: curve ranges, oct and binary-oct cells, k-d and longest-dimension bins."""
+"""Decompositions: curve ranges, oct and binary-oct cells, k-d and longest-dimension bins,
+chosen by name, and rows sent to the bins of a decomposition that is given."""
 
 from __future__ import annotations
 
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.geometry import KEY_BITS
 from .halving import halve
 from .ranking import TASK_ROWS, running
+from .splitters import among
 from .tables import written
-from .tree import build
-from .universe import keyed
+from .tree import build, key_range
+from .universe import cube, keyed
 
 
 def ranked(points: DataFrame, most: int = TASK_ROWS, curve: str = "morton") -> tuple[DataFrame, int]:
@@ -64,6 +66,55 @@ def by_median(points: DataFrame, levels: int, longest: bool = False, most: int =
     return rows.select("id", "bin")
 
 
+#: The decompositions of the settings; cells by their bits a level.
+DECOMPOSITIONS = ("sfc", "oct", "binoct", "kd", "longest")
+CELLS = {"oct": 3, "binoct": 1}
+
+
+def checked(kind: str) -> str:
+    if kind not in DECOMPOSITIONS:
+        raise ValueError(f"unknown decomposition {kind}, not one of {', '.join(DECOMPOSITIONS)}")
+    return kind
+
+
+def decomposed(kind: str, points: DataFrame, parts: int) -> DataFrame:
+    """id, partition_idx from 0 by a decomposition's name in the settings: curve ranges
+    (``parts`` of them), cells with at most n/parts rows in the order of the curve, or
+    halvings into the next power of two of ``parts``."""
+    if checked(kind) == "sfc":
+        return by_curve(points, parts).select("id", "partition_idx")
+    if kind in CELLS:
+        labels, cells = by_cells(points, parts, CELLS[kind])
+        # a row a cell, of which there are some multiple of ``parts``
+        low = key_range(F.col("node"), F.col("depth"), CELLS[kind])[0]
+        numbered = cells.select("node", (F.row_number().over(W.orderBy(low)) - 1).alias("partition_idx"))
+        return labels.join(F.broadcast(numbered), "node").select("id", "partition_idx")
+    return by_median(points, max(0, parts - 1).bit_length(), kind == "longest").select("id", F.col("bin").cast("int").alias("partition_idx"))
+
+
+def layout(kind: str, points: DataFrame, parts: int) -> DataFrame:
+    """One row that says where rows belong, those of another table too: the cube (side,
+    lo_x, lo_y, lo_z) and ``bounds``, the first curve key of each bin. For curve ranges and
+    cells; halvings have no keys of the cube. Its size is that of ``parts``."""
+    if checked(kind) in CELLS:
+        cells = by_cells(points, parts, CELLS[kind])[1]
+        lows = cells.select(key_range(F.col("node"), F.col("depth"), CELLS[kind])[0].alias("low"))
+    elif kind == "sfc":
+        lows = by_curve(points, parts).groupBy("partition_idx").agg(F.min("key").alias("low"))
+    else:
+        raise ValueError(f"bins of {kind} are no ranges of keys")
+    return written(cube(points).crossJoin(lows.agg(F.sort_array(F.collect_list("low")).alias("bounds"))), "layout")
+
+
+def flushed(points: DataFrame, given: DataFrame) -> DataFrame:
+    """``points`` with key and ``partition_idx`` by a ``layout`` of this or an earlier state:
+    a bin reaches from its first key to the next one's; rows below all are in the first.
+    Nothing is shuffled: a row finds its bin by a binary search in the broadcast bounds."""
+    rows = keyed(points, frame=given.select("side", "lo_x", "lo_y", "lo_z"))
+    placed = among(rows, given.select("bounds"), "key", "below")
+    return placed.withColumn("partition_idx", F.greatest(F.col("below") - 1, F.lit(0))).drop("below")
+
+
 def histogram(points: DataFrame, ranges: int) -> DataFrame:
     """range, n: rows in each of ``ranges`` equal curve ranges."""
     width = (1 << 3 * KEY_BITS) // ranges

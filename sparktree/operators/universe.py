@@ -32,12 +32,13 @@ def cube(points: DataFrame) -> DataFrame:
     return b.select(side.alias("side"), *BOX).select("side", *(((F.col(f"{d}0") + F.col(f"{d}1")) / 2.0 - F.col("side") / 2.0).alias(f"lo_{d}") for d in "xyz"))
 
 
-def keyed(points: DataFrame, curve: str = "morton") -> DataFrame:
+def keyed(points: DataFrame, curve: str = "morton", frame: DataFrame | None = None) -> DataFrame:
     """``points`` with their ``key`` along a curve ('morton' or 'hilbert'). The cube is one row,
-    so it is broadcast. Either key's leading digits name a cell of the octree."""
+    so it is broadcast. Either key's leading digits name a cell of the octree. ``frame``: a
+    cube given; rows outside of it have the keys of its outermost cells."""
     if curve not in ("morton", "hilbert"):
         raise ValueError(f"unknown curve {curve}")
-    framed = points.crossJoin(F.broadcast(cube(points)))
+    framed = points.crossJoin(F.broadcast(cube(points) if frame is None else frame))
     cells = framed.withColumns({f"i{d}": cell_index(F.col(d), F.col(f"lo_{d}"), F.col("side")) for d in "xyz"})
     key = morton(F.col("ix"), F.col("iy"), F.col("iz")) if curve == "morton" else hilbert("ix", "iy", "iz")
     return cells.withColumn("key", key).drop("ix", "iy", "iz", "side", "lo_x", "lo_y", "lo_z")

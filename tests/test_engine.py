@@ -397,6 +397,43 @@ def test_config(tmp_path):
         Config.load(str(path))
 
 
+def test_config_names_of_files_and_flags(tmp_path):
+    path = tmp_path / "run.param"
+    path.write_text("nParticlesPerLeafMax = 20\nachDecompType = sfc\nachTreeType=kd\ndxPeriod = 2\ndyPeriod = 2\ndzPeriod = 2\niFlushPeriod = 5\nbPeriodic = 1\n")
+    c = Config.load(None, ["-x", str(path), "-p", "32", "-l", "9", "-nIterations", "4", "-e", "0.1", "--tree", "oct"])
+    assert (c.leaf_size, c.decomposition, c.tree, c.period, c.flush_period, c.periodic) == (9, "sfc", "oct", 2.0, 5, True)
+    assert (c.min_partitions, c.iterations, c.softening, c.origin["leaf_size"], c.origin["period"]) == (32, 4, 0.1, "command line", "file")
+    for wrong in ("dxPeriod = 2\ndzPeriod = 3\n", "achDecompType = round\n", "achTreeType = sfc\n"):
+        path.write_text(wrong)
+        with pytest.raises(ValueError):
+            Config.load(str(path))
+
+
+@pytest.mark.parametrize("kind", partitioning.DECOMPOSITIONS)
+def test_decomposition_by_setting(spark, kind):
+    """Every row in one bin, bins numbered from 0; a layout sends the rows that it comes from
+    to their own bins and others to some bin."""
+    rng = np.random.default_rng(6)
+    rows = points(spark, [(i, *rng.normal(size=3)) for i in range(300)])
+    own = partitioning.decomposed(Config(decomposition=kind).decomposition, rows, 6).toPandas().set_index("id").partition_idx.sort_index()
+    assert len(own) == 300 and sorted(own.unique()) == list(range(own.max() + 1))
+    if kind in ("kd", "longest"):
+        assert own.nunique() == 8
+        with pytest.raises(ValueError):
+            partitioning.layout(kind, rows, 6)
+        return
+    given = partitioning.layout(kind, rows, 6)
+    again = partitioning.flushed(rows, given).toPandas().set_index("id").partition_idx.sort_index()
+    assert (own == again).all()
+    far = points(spark, [(1, -9, -9, -9), (2, 9, 9, 9)])
+    assert partitioning.flushed(far, given).orderBy("id").toPandas().partition_idx.tolist() == [0, own.max()]
+
+
+def test_decomposition_unknown(spark):
+    with pytest.raises(ValueError):
+        partitioning.decomposed("round", points(spark, [(1, 0, 0, 0)]), 2)
+
+
 def test_files(spark, tmp_path):
     rows = models.recentred(models.plummer(spark, 50)).withColumnsRenamed({})
     from pyspark.sql import functions as F
