@@ -769,3 +769,15 @@ def test_direct_sum_in_blocks(spark, monkeypatch):
         assert list(found.terms) == list(want.terms) == [60 * 27] * 60
         for c in gravity.SUMS:
             assert np.allclose(found[c], want[c], rtol=1e-9, atol=1e-9)
+
+
+def test_kd_sql_holds_beyond_nine_levels(spark, oracle, same, tmp_path):
+    """9 levels end at 6,144 rows; the SQL must go on as the tree does."""
+    import pandas as pd
+
+    from sparktree import catalog
+
+    rng = np.random.default_rng(1)
+    frame = pd.DataFrame({"vec_id": np.arange(6200), "label": 0, "embedding": list(rng.normal(0, 1, (6200, 6)).astype(np.float32))})
+    frame.to_parquet(tmp_path / "embeddings.parquet")
+    same(catalog.tree_nodes_kd(spark, str(tmp_path)).toPandas(), oracle(catalog.ORACLE_SQL["tree_nodes_kd"], embeddings=frame))
