@@ -17,10 +17,10 @@ about n rows; only nodes that are alike in their keys and yet unlike cost more.
 A task reports, of the links that it finds, as many as connect what they connect;
 components therefore lose nothing, and a group of n copies costs n rows, not n*n.
 
-The pipeline's near duplicates (``near_duplicate_components``) don't take fingerprints:
-at a similarity of 0.8, fingerprints of 64 bits differ in some ten bits, beyond what
-keys of equal blocks find. Candidates come from least hashes of shingle sets and are
-compared exactly, in the same shards and rounds.
+The pipeline's near duplicates (``near_duplicate_components``) take what the trees link
+as candidates, and compare candidates exactly, in the same shards and rounds. At a
+similarity of 0.8, fingerprints of 64 bits differ in some ten bits, beyond what keys of
+equal blocks find, so least hashes of shingle sets give further candidates.
 
 Defined results: a null or wordless text has fingerprint zero, which links like any
 other, and an empty shingle set, which equals other empty ones only; a null id takes part but is never a component's id unless all are null.
@@ -301,10 +301,13 @@ def simhash_components(docs: DataFrame, size: int = 4, radius: int = 4, id_col:
     return out.select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Fingerprints: words of a shingle, and bits in which linked ones differ at most.
+SIZE, RADIUS = 4, 4
 #: Near duplicates: pairs whose sets of SHINGLE_WORDS-word shingles have a Jaccard
-#: similarity of at least SIMILAR (a fraction). Texts that agree in the least hashes of
-#: BAND_ROWS orders, in one of BANDS bands, are candidates: a pair of similarity 0.8 is
-#: none with a probability of (1 - 0.8**BAND_ROWS)**BANDS, 5 in a million.
+#: similarity of at least SIMILAR (a fraction). Texts with linked fingerprints are
+#: candidates. So are texts that agree in the least hashes of
+#: BAND_ROWS orders, in one of BANDS bands: a pair of similarity 0.8 agrees in none with a
+#: probability of (1 - 0.8**BAND_ROWS)**BANDS, 5 in a million.
 SHINGLE_WORDS, SIMILAR, BANDS, BAND_ROWS = 5, (4, 5), 40, 6
 #: Bands that are looked at before the others.
 FIRST_BANDS = 6
@@ -313,18 +316,31 @@ COMPARED_BYTES = 1 << 24
 
 
 def text_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, node (a hash of the text), keys (of its bands)."""
+    """doc_id, node (a hash of the text), code (its fingerprint), keys (of its bands)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                keys = band_keys(*shingle_sets(Words(binary(part.column(2)), lower=True), SHINGLE_WORDS))
+                texts = binary(part.column(2))
+                codes = shingle_fingerprints(texts.to_pylist(), SIZE)
+                keys = band_keys(*shingle_sets(Words(texts, lower=True), SHINGLE_WORDS))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.view(np.int64).ravel()))
-                yield pa.record_batch([part.column(0), part.column(1), lists], names=["doc_id", "node", "keys"])
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(codes.view(np.int64), pa.int64()), lists], names=["doc_id", "node", "code", "keys"])
 
     text = F.col(f"`{text_col}`")
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("node"), text.alias("text"))
-    return plain.mapInArrow(tidied(run), "doc_id long, node long, keys array<long>")
+    return plain.mapInArrow(tidied(run), "doc_id long, node long, code long, keys array<long>")
+
+
+def fingerprint_candidates(nodes: DataFrame) -> DataFrame:
+    """(node, least) of texts whose fingerprints the BK-trees link: a fingerprint is stood
+    for by the least node that has it, and those of linked fingerprints are linked."""
+    codes = materialize(nodes.groupBy("code").agg(F.min("node").alias("least")), "codes")
+    equal = nodes.join(codes, "code").where("node != least").select("node", "least")
+    linked = radius_links(codes.select(F.col("code").alias("node")), RADIUS)
+    for side in ("a", "b"):
+        linked = linked.join(codes.select(F.col("code").alias(side), F.col("least").alias(f"node_{side}")), side)
+    return equal.unionByName(linked.select(F.col("node_a").alias("node"), F.col("node_b").alias("least")))
 
 
 def spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,7 +414,8 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     stands = materialize(few.groupBy("node").agg(F.min("least").alias("least")), "stands")
     more = nodes.select("node", F.explode(F.slice("keys", FIRST_BANDS + 1, BANDS)).alias("key")).join(stands.withColumnRenamed("node", "known"), F.col("node") == F.col("known"), "left")
     rest = by_key(more.select(F.coalesce("least", "node").alias("node"), "key").distinct())
-    links = few.unionByName(rest).select(F.col("node").alias("a"), F.col("least").alias("b"))
+    alike = fingerprint_candidates(coded.select("node", "code").distinct())
+    links = few.unionByName(rest).unionByName(alike).select(F.col("node").alias("a"), F.col("least").alias("b"))
     candidates = materialize(links.repartition("a").mapInArrow(tidied(spanning), "a long, b long"), "candidates")
     labels = connected_components(candidates)
     members = materialize(labels.select(F.col("label").alias("shard"), "node"), "shards")
@@ -432,7 +449,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_components(table(spark, sf_dir, "documents"), 4, 4)
+    return simhash_components(table(spark, sf_dir, "documents"), SIZE, RADIUS)
 
 
 ORACLE_SQL = None

@@ -282,6 +282,21 @@ def test_similar_texts_of_large_shards(spark, cap, monkeypatch):
     assert found[900] == found[901] == found[902] == 900
 
 
+def test_trees_of_fingerprints_give_candidates(spark, monkeypatch):
+    """The pipeline's step takes what op4's trees link, and compares it."""
+    words = [f"w{i}" for i in range(300)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-1], "other"])), (3, " ".join(words[::-1])), (4, None), (5, " "), (6, " ".join(words))]
+    docs = documents(spark, rows)
+    code = {r.doc_id: int(r.fingerprint, 16) for r in simhash.simhash_components(docs).collect()}
+    assert (code[1] ^ code[2]).bit_count() <= 4 < (code[1] ^ code[3]).bit_count()
+    links, whole = [], simhash.fingerprint_candidates
+    monkeypatch.setattr(simhash, "fingerprint_candidates", lambda nodes: links.append(whole(nodes)) or links[0])
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()}
+    nodes = {r.doc_id: r.node for r in simhash.text_keys(docs, "doc_id", "text").collect()}
+    assert {frozenset(r) for r in links[0].collect()} == {frozenset((nodes[1], nodes[2])), frozenset((nodes[4], nodes[5]))}
+    assert kept == {1, 3, 4}
+
+
 def test_packing_round_trip(spark, odd, some):
     import public_tokenizers
     from tokenizers import Tokenizer
