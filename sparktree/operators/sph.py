@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.geometry import dkernel_m4, kernel_m4, time_to_contact
-from .joins import ball_each, knn
+from ..functions.geometry import dkernel_m4, kernel_m4
+from .joins import around, ball_classes, cells, in_groups, knn, numbers, slabs, squares
 from .tables import written
 
 GAMMA_M1 = 5.0 / 3.0 - 1.0
@@ -61,19 +64,60 @@ def forces(near: DataFrame, dens: DataFrame) -> DataFrame:
     return mine.unionByName(theirs).groupBy("id").agg(*(F.sum(c).alias(c) for c in ("ax", "ay", "az", "pdv")))
 
 
+def contact(gap2: np.ndarray, speed2: np.ndarray, approach: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """``geometry.time_to_contact`` of arrays; NaN where there is none."""
+    quarter = approach * approach - speed2 * (gap2 - reach * reach)
+    none = ~((quarter > 0.0) & (speed2 != 0.0))
+    early = (-approach - np.sqrt(np.where(none, 0.0, quarter))) / np.where(none, 1.0, speed2)
+    return np.where(none, np.nan, early)
+
+
 def collisions(points: DataFrame, max_dt: float, ball_dt: float = BALL_DT) -> DataFrame:
-    """id, partner, dt: the first body that each body touches among those in its ball."""
+    """id, partner, dt: the first body that each body touches among those in its ball. Balls
+    are classed like those of ``ball_each``; a cell's bodies are compared, and each one's
+    first touch found, in one task."""
     speed = F.sqrt(sum(F.col(f"v{d}") * F.col(f"v{d}") for d in "xyz"))
     balls = points.withColumn("ball", 2.0 * speed * ball_dt + 4.0 * F.col("soft"))
-    pairs = ball_each(balls, points, "ball", strict=True).where(F.col("id") != F.col("s_id"))
-    # half a step's worth of the difference in acceleration, where rows have one
-    turn = {d: (F.col(f"a{d}") - F.col(f"s_a{d}")) * (max_dt / 2) if f"a{d}" in points.columns else F.lit(0.0) for d in "xyz"}
-    v = {d: F.col(f"v{d}") - F.col(f"s_v{d}") + turn[d] for d in "xyz"}
-    v2 = v["x"] * v["x"] + v["y"] * v["y"] + v["z"] * v["z"]
-    rdotv = sum((F.col(d) - F.col(f"s_{d}")) * v[d] for d in "xyz")
-    dt = time_to_contact(F.col("d2"), v2, rdotv, 2.0 * (F.col("soft") + F.col("s_soft")))
-    first = pairs.withColumn("dt", dt).where("dt IS NOT NULL").groupBy("id").agg(F.min(F.struct("dt", "s_id")).alias("first"))
-    return first.select("id", F.col("first.s_id").alias("partner"), F.col("first.dt").alias("dt")).where(F.col("dt") < max_dt)
+    rates = [f"{p}{d}" for p in "va" for d in "xyz" if f"{p}{d}" in points.columns]
+    used = ["id", "x", "y", "z", "soft", *rates]
+    classed, present, edge = ball_classes(balls.select(*used, "ball"), "ball")
+    keys = ["_class", "gx", "gy", "gz"]
+    target = classed.select(*used, "ball", "_class", *cells(edge)).where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")
+    source = around(points.select(*used).crossJoin(present), edge).select(*keys, *(F.col(c).alias(f"s_{c}") for c in used))
+
+    def first(t: pa.Table, s: pa.Table) -> pa.Table:
+        of, (ids, others) = squares(t, s), (x.column(c).to_numpy() for x, c in ((t, "id"), (s, "s_id")))
+        own, other = (dict(zip(used, numbers(x, *(f"{p}{c}" for c in used)))) for x, p in ((t, ""), (s, "s_")))
+        ball = numbers(t, "ball")[0]
+        best = []
+        for slab in slabs(t.num_rows, s.num_rows):
+            gap2 = of(slab)
+            at, to = np.nonzero(gap2 < (ball[slab] * ball[slab])[:, None])
+            gap2 = gap2[at, to]
+            at += slab.start
+            reach = 2.0 * (own["soft"][at] + other["soft"][to])
+            # those that overlap already touch no more; and none touches itself
+            some = (gap2 > reach * reach * (1 - 1e-9)) & (ids[at] != others[to])
+            at, to, gap2, reach = at[some], to[some], gap2[some], reach[some]
+            speed2 = approach = 0.0
+            for d in "xyz":
+                v = own[f"v{d}"][at] - other[f"v{d}"][to]
+                # half a step's worth of the difference in acceleration, where rows have one
+                if f"a{d}" in own:
+                    v += (own[f"a{d}"][at] - other[f"a{d}"][to]) * (max_dt / 2)
+                speed2 = speed2 + v * v
+                approach = approach + (own[d][at] - other[d][to]) * v
+            dt = contact(gap2, speed2, approach, reach)
+            some = dt > 0.0
+            at, to, dt = at[some], to[some], dt[some]
+            order = np.lexsort((others[to], dt, at))
+            at, to, dt = at[order], to[order], dt[order]
+            lead = np.append(True, at[1:] != at[:-1])[: len(at)]
+            best.append(pa.table({"id": ids[at[lead]], "partner": others[to[lead]], "dt": dt[lead]}))
+        return pa.concat_tables(best)
+
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("partner", T.LongType()), T.StructField("dt", T.DoubleType())])
+    return in_groups(target, source, keys, first, schema).where(F.col("dt") < max_dt)
 
 
 def resolve(points: DataFrame, hits: DataFrame) -> DataFrame:
