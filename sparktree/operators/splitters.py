@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import KEY_BITS
+from .ranking import running
 from .tables import written
 from .universe import keyed
 
@@ -112,7 +113,10 @@ def weighted(points: DataFrame, parts: int, weight: Column | None = None, curve:
 def histogram_between(points: DataFrame, bounds: DataFrame, weight: Column, curve: str = "morton") -> DataFrame:
     """range, n, weight: rows between given bounds of any widths, range i from the i-th
     smallest on (0: below all). ``bounds``: a column ``key``, repeats as one; ranges without
-    rows are left out."""
-    row = bounds.where("key IS NOT NULL").agg(F.sort_array(F.collect_set("key")).alias("bounds"))
-    placed = among(keyed(points, curve).withColumn("weight", weight), row, "key", "range")
-    return placed.groupBy("range").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+    rows are left out. Bounds may be as many as rows: keys of both are put in one order."""
+    held = keyed(points, curve).withColumn("weight", weight).groupBy("key").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), F.lit(0).alias("bound"))
+    cut = bounds.where("key IS NOT NULL").select("key", F.lit(0).cast("long").alias("n"), F.lit(None).cast(held.schema["weight"].dataType).alias("weight"), F.lit(1).alias("bound"))
+    each = written(held.unionByName(cut).groupBy("key").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.max("bound").alias("bound")), "keys")
+    # a key's range is the number of bounds up to it
+    placed = running(each, [], ["key"], F.col("bound"), each.count()).where("n > 0")
+    return placed.groupBy(F.col("upto").cast("int").alias("range")).agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"))
