@@ -233,9 +233,24 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, label) -> head, word, ordinary, toxic: how often each word stands in texts."""
+    """(text, label) -> head, word, ordinary, toxic: how often each word stands in texts.
+    Small slices of text are added up to HELD words before they are sent."""
+    held: list[pa.Table] = []
+
+    def combined() -> pa.Table:
+        t = pa.concat_tables(held)
+        if len(held) > 1:
+            t = t.group_by("word").aggregate([("ordinary", "sum"), ("toxic", "sum")]).rename_columns({"ordinary_sum": "ordinary", "toxic_sum": "toxic"})
+        return t.select(["word", "ordinary", "toxic"])
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for t in held:
+            heads = pa.compute.binary_slice(t.column("word"), 0, HEAD)
+            yield from t.add_column(0, "head", heads).to_batches(max_chunksize=1 << 16)
+        held.clear()
+
     for batch in batches:
-        for part in slices(batch, "text", 8 << 20):
+        for part in slices(batch, "text"):
             words = words_of(binary(part.column(0)))
             if not len(words.start):
                 continue
@@ -245,7 +260,14 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             label, back = label[both // len(first)], both % len(first)
             counts = [np.bincount(back[label == c], minlength=len(first)).astype(np.int64) for c in (0, 1)]
             own = [words.buf[a:b].tobytes() for a, b in zip(words.start[first].tolist(), words.end[first].tolist())]
-            yield pa.record_batch([pa.array([w[:HEAD] for w in own], pa.binary()), pa.array(own, pa.binary()), *map(pa.array, counts)], names=["head", "word", "ordinary", "toxic"])
+            held.append(pa.table([pa.array(own, pa.binary()), *map(pa.array, counts)], names=["word", "ordinary", "toxic"]))
+            if sum(t.num_rows for t in held) > HELD:
+                held[:] = [combined()]
+                if held[0].num_rows > HELD // 2:
+                    yield from rows()
+    if held:
+        held[:] = [combined()]
+    yield from rows()
 
 
 def count_chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

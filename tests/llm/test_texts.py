@@ -2,9 +2,12 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -736,3 +739,25 @@ def test_stages_with_clashing_columns(spark, data, stage):
     else:
         kept = decontamination.drop_contaminated(docs, spark.read.parquet(f"{data}/sf0.001/benchmark.parquet"))
         assert kept.columns == docs.columns and kept.count() == 8
+
+
+def test_toxicity_counts_words_of_a_large_batch_in_little_memory():
+    rng = np.random.default_rng(5)
+    names = np.array([f"w{i:x}" for i in range(60_000)])
+    texts = [" ".join(names[rng.integers(0, len(names), 5_000)]) for _ in range(300)]  # 7 MB
+    labels = [i % 3 == 0 for i in range(len(texts))]
+    batch = pa.record_batch([pa.array(texts), pa.array(np.array(labels, np.int32))], names=["text", "label"])
+    tracemalloc.start()
+    found = list(toxicity.count_words(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60 << 20
+    want, seen = [Counter(), Counter()], [Counter(), Counter()]
+    for text, label in zip(texts, labels):
+        want[label].update({w.encode() for w in text.split()})
+    for b in found:
+        assert b.column("head").to_pylist() == [w[: toxicity.HEAD] for w in b.column("word").to_pylist()]
+        for name, own in zip(("ordinary", "toxic"), seen):
+            for word, n in zip(b.column("word").to_pylist(), b.column(name).to_pylist()):
+                own[word] += n
+    assert [+c for c in seen] == [+c for c in want]
