@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 #: Text bytes that a Python worker handles at a time, unless one document is longer.
 SLICE_BYTES = 1 << 20
 
+#: Bytes of an Arrow batch that Spark sends to a Python worker.
+BATCH_BYTES = 4 << 20
+
 _scratch: list[tuple[SparkSession, str, str]] = []
 
 
@@ -113,6 +116,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let Spark end an Arrow batch at BATCH_BYTES, from now on in this session. Its own
+    bounds, 10,000 rows and 64 MB, hold tens of MB of texts in both processes, and the
+    JVM keeps most of what its threads have once allocated for them."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def text_bytes(df: DataFrame, text: str) -> int:
     return int(df.agg(F.sum(F.octet_length(text))).first()[0] or 0)
 

@@ -23,6 +23,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, tidied
+from .common import bound_batches, slices, table, tidied
 
 #: Open windows of a task beyond which they are joined.
 OPEN = 2048
 #: Fill levels of a window.
 LEVELS = 8
-#: Words that a worker remembers the ids of.
-REMEMBERED = 200_000
+#: Words that a worker remembers the ids of, some 150 bytes each.
+REMEMBERED = 50_000
 SPECIAL = "<|endoftext|>"
 
 
@@ -47,21 +48,27 @@ class Encoder:
     The vocabulary's pattern never joins a space to what stands before it, so text
     without two spaces in a row splits at spaces into parts whose ids don't depend on
     each other; the ids of a part are looked up, and computed once with the same
-    vocabulary's rank file. Other texts go to ``tokenizers`` whole.
+    vocabulary's rank file. Other texts go to ``tokenizers`` whole, which is loaded for
+    the first of them, as it takes more memory than all the rest.
     """
 
     def __init__(self, tokenizer: str, ranks: str, pattern: str):
         import base64
 
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(tokenizer)
+        self.tokenizer = tokenizer
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.part = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=table, special_tokens={})._core_bpe.encode_to_tiktoken_buffer
         self.known: dict[str, bytes] = {}
 
+    @cached_property
+    def whole(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.tokenizer)
+
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         none: set[str] = set()
         for text in texts:
@@ -192,6 +199,7 @@ def pack_documents(docs: DataFrame, window: int = 2048, end_id: int = 1, id_col:
     """
     import public_tokenizers
 
+    bound_batches(docs.sparkSession)
     files = (tokenizer or public_tokenizers.path("byte_bpe_50k.json"), ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     kinds = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
     schema = pa.schema(kinds + [("ids", pa.list_(pa.int32()))] * with_ids)

@@ -363,6 +363,33 @@ def test_ids_equal_the_tokenizers(spark):
         assert np.frombuffer(ids, np.uint32).tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
+def test_encoder_loads_the_tokenizer_when_needed():
+    """Texts that split at spaces don't take the memory of the whole tokenizer."""
+    import public_tokenizers
+
+    encode = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert all(encode(["some words", "other words"])) and "whole" not in vars(encode)
+    assert all(encode(["two  spaces"])) and "whole" in vars(encode)
+
+
+def test_packing_takes_batches_of_bounded_bytes(spark):
+    key, sizes = "spark.sql.execution.arrow.maxBytesPerBatch", "n long, size long"
+    before = spark.conf.get(key)
+    docs = spark.range(0, 400, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 20_000).alias("text"))
+
+    def seen(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    try:
+        packing.pack_documents(docs)
+        got = docs.mapInArrow(seen, sizes).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert sum(r.n for r in got) == 400
+    assert max(r.size for r in got) <= (4 << 20) + 200_000
+
+
 def test_packer_memory_is_bounded(monkeypatch):
     monkeypatch.setattr(packing, "OPEN", 16)
     packer = packing.Packer(64)
