@@ -55,9 +55,10 @@ class GravitySimulation(Simulation):
     theta: float = 0.7
     max_dt: float = 1e-5
     fixed_dt: float | None = None
+    last: bool = False
 
     def forces(self, rows: DataFrame) -> DataFrame:
-        found = gravity.hierarchical(rows, self.theta, leaf=self.config.leaf_size, kind=self.config.tree)
+        found = gravity.hierarchical(rows, self.theta, leaf=self.config.leaf_size, kind=self.config.tree, last=self.last)
         return with_forces(rows, found, "ax", "ay", "az", "potential")
 
     def dt(self, rows: DataFrame) -> float:

@@ -994,3 +994,42 @@ def test_distant_copies_by_series(spark):
         assert list(found.terms) == list(want.terms)
         for c in gravity.SUMS:
             assert np.allclose(found[c], want[c], rtol=1e-9, atol=1e-9)
+
+
+def test_two_rows_meet_once_for_both(spark, data, monkeypatch):
+    """A pair of blocks gives both sides' sums; a tree that is opened to the last pair by all of
+    its leaves comes to that, not to targets of its own."""
+    from sparktree.operators.gravity import met, softened
+
+    rng = np.random.default_rng(11)
+    shifts = [(0.0, 0.0, 0.0), (0.4, 0.0, -0.1)]
+    for soft, at in ((0.01, 0.0), (0.0, 0.0), (0.3, 0.0), (0.0, 1000.0)):
+        t = np.column_stack([rng.normal(at, 0.1, (300, 3)), np.full(300, soft), 1.0 + np.arange(300) % 4])
+        s = np.column_stack([rng.normal(at, 0.1, (700, 3)), np.full(700, soft), 1.0 + np.arange(700) % 7])
+        s[:3, :3] = t[:3, :3]  # at one place, and nearly so
+        s[1, :3] += 1e-7
+        s[2, :3] += 1e-10
+        there, back = met(t, s, shifts, True)
+        for a, b, sign, found in ((t, s, 1.0, there), (s, t, -1.0, back), (t, s, 1.0, met(t, s, shifts)[0])):
+            d = (b[None, :, None, :3] - a[:, None, None, :3]) + sign * np.array(shifts)
+            gap = np.sqrt((d * d).sum(-1))
+            phi, pull = softened(gap, a[:, 3][:, None, None] + b[:, 3][None, :, None] + np.zeros_like(gap))
+            terms = np.concatenate([d * pull[..., None], -phi[..., None]], -1) * b[None, :, None, 4, None]
+            assert (np.abs(found - terms.sum((1, 2))) <= 1e-13 * np.abs(terms).sum((1, 2))).all()
+    asked = []
+    monkeypatch.setattr(gravity, "direct", lambda points, *given: asked.append(given) or points)
+    gravity.hierarchical(from_embeddings(spark, f"{data}/sf0.001"), theta=1e-9, replicas=1, period=2.0)
+    assert asked == [(1, 2.0)]
+
+
+def test_rows_at_one_place_are_opened_to_the_last_pair(spark, oracle, same, tmp_path):
+    """More rows at one place than a node that is always opened, beside others."""
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    at = rng.normal(0, 0.1, (30, 6)).astype(np.float32)
+    at[:9], at[9:24] = at[0], at[9]
+    frame = pd.DataFrame({"vec_id": np.arange(30), "label": np.arange(30) % 10, "embedding": list(at)})
+    frame.to_parquet(tmp_path / "embeddings.parquet")
+    for name in ("gravity_tree_replicas", "sim_step"):
+        same(catalog.QUERIES[name](spark, str(tmp_path)).toPandas(), oracle(catalog.ORACLE_SQL[name], embeddings=frame))
