@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 Shift = tuple[float, float, float]
 
 #: Longest series. Its moments, numbers of the table as a whole, are LONGEST**2 at most.
-LONGEST = 96
+LONGEST = 160
 #: Part of a pair's force that the series may leave: a double's rounding.
 ROUNDING = 2.0**-53
 #: Rows whose harmonics are made at a time.
